@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -69,7 +70,7 @@ def batches(it: Iterator[pa.RecordBatch], column: str, most: int = 8_000_000) ->
             yield batch
             continue
         start = held = 0
-        for i, n in enumerate(pa.compute.fill_null(pa.compute.binary_length(col), 0).to_pylist()):
+        for i, n in enumerate(pc.fill_null(pc.binary_length(col), 0).to_pylist()):
             if held and held + n > most:
                 yield batch.slice(start, i - start)
                 start, held = i, 0
