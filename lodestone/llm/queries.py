@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from lodestone.llm import bpe, mixing, simhash, sstable, vectors, warc
+from lodestone.llm import bpe, licenses, mixing, pii, quality, rules, simhash, sstable, vectors, warc
 
 #: The tokenizer's vocabulary files stay outside the repository; operators take their paths as parameters.
 BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
@@ -26,6 +25,18 @@ def op1_sstable(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sstable.read_shards(manifest)
 
 
+def op2_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.scan_documents(table(spark, sf_dir, "documents"))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -42,12 +53,16 @@ def op8_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_documents(table(spark, sf_dir, "documents"))
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encoded_digests(table(spark, sf_dir, "documents"), vocabulary(WORD_BPE))
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_sstable, op5_simhash, op6_mixing, op7_warc, op8_vectors, op10_bpe)}
+    return {f.__name__: f for f in (op1_sstable, op2_rules, op3_quality, op4_pii, op5_simhash, op6_mixing, op7_warc, op8_vectors, op9_licenses, op10_bpe)}
 
 
 #: Five hex digits of the SHA-1 are four letters of its base32 form.

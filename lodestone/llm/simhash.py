@@ -176,3 +176,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     least = linked.groupBy("root").agg(F.min("least").alias("component_id"))
     named = cut(linked.join(least, "root").select("fp", "component_id"), "fingerprint-components")
     return marked.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
+    """The rows of docs, columns as they are, that are the first of their component: smallest doc_id, nulls last.
+
+    Of rows with one doc_id in one component the one with the smallest text hash stays, of equal ones the first by place. Rows with
+    null doc_id stay only if they are alone with others of their kind, again one of them.
+    """
+    spread = F.shiftrightunsigned(F.xxhash64(F.col(text_col)), 1)
+    placed = docs.withColumn("_at", F.monotonically_increasing_id())
+    keys = near_duplicates(placed.select("_at", text_col), "_at", text_col, width).select(F.col("doc_id").alias("_at"), F.col("component_id").alias("_of"))
+    ids = placed.select("_at", F.col(id_col).cast("long").alias("_id"), spread.alias("_hash"))
+    order = F.struct(F.col("_id").isNull().alias("n"), F.col("_id").alias("i"), F.col("_hash").alias("h"), F.col("_at").alias("a"))
+    first = ids.join(keys, "_at").groupBy("_of").agg(F.min(order).alias("x")).select(F.col("x.a").alias("_at"))
+    return placed.join(cut(first, "first-copies"), "_at", "left_semi").drop("_at")
