@@ -221,7 +221,7 @@ class TextEncoder:
     its ids are looked up from then on; texts with any other code point or with an added token's string go through it whole.
     """
 
-    def __init__(self, path: str, cache: int = 300_000):
+    def __init__(self, path: str, cache: int = 700_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -240,29 +240,40 @@ class TextEncoder:
         return np.asarray(ids, dtype=self.dtype).tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        out: list = [None] * len(texts)
-        parts: dict[int, list[str]] = {}
-        whole = []
-        for i, t in enumerate(texts):
-            if _OTHER.search(t) or self.added and self.added.search(t):
-                whole.append(i)
-            else:
-                parts[i] = _LATIN.findall(t)
-        for i in whole:
-            out[i] = self._pack(self.lib.encode(texts[i], add_special_tokens=False).ids)
-        cache = self.cache
-        new = list({p for ps in parts.values() for p in ps if p not in cache})
-        if len(cache) + len(new) > self.most:
-            cache.clear()
-            new = list({p for ps in parts.values() for p in ps})
-        for k in range(0, len(new), 10_000):
-            some = new[k : k + 10_000]
-            cache.update(zip(some, (self._pack(e.ids) for e in self.lib.encode_batch_fast(some, add_special_tokens=False)), strict=True))
-        for i, ps in parts.items():
-            out[i] = b"".join(map(cache.__getitem__, ps))
+        parts = [None if _OTHER.search(t) or self.added and self.added.search(t) else _LATIN.findall(t) for t in texts]
+        cache, new = self.cache, set()
+        for ps in parts:
+            if ps:
+                new.update(set(ps).difference(cache))
+        found, some = {}, list(new)
+        for k in range(0, len(some), 10_000):
+            chunk = some[k : k + 10_000]
+            found.update(zip(chunk, (self._pack(e.ids) for e in self.lib.encode_batch_fast(chunk, add_special_tokens=False)), strict=True))
+        if len(cache) + len(found) <= self.most:  # frequent pre-tokens come early; once the cache is full, it stays
+            cache.update(found)
+            found = {}
+        out = []
+        for t, ps in zip(texts, parts, strict=True):
+            if ps is None:
+                out.append(self._pack(self.lib.encode(t, add_special_tokens=False).ids))
+                continue
+            try:
+                out.append(b"".join(map(cache.__getitem__, ps)))
+            except KeyError:
+                out.append(b"".join([cache.get(p) or found[p] for p in ps]))
         return out
 
 
+_kept: dict[str, TextEncoder] = {}
+
+
+def text_encoder(path: str) -> TextEncoder:
+    """One encoder a worker process and file, so that its cache outlives a task."""
+    if path not in _kept:
+        _kept[path] = TextEncoder(path)
+    return _kept[path]
+
+
 MANIFEST = "shard int, uri string, entries long, n_ids long, first_id long, last_id long"
 
 
@@ -288,7 +299,7 @@ def write_shards(docs: DataFrame, tokenizer_path: str, end_id: int | None = 2, i
         enc = file = writer = first = last = None
         for batch in batches(it, "text"):
             if writer is None:
-                enc = TextEncoder(tokenizer_path)
+                enc = text_encoder(tokenizer_path)
                 end = b"" if end_id is None else enc._pack([end_id])
                 uri = f"{out}/{task.partitionId():06d}-{task.taskAttemptId()}.sst"
                 fs, path = storage(uri)
