@@ -35,7 +35,8 @@ def postings(chunks: DataFrame, fields: dict[str, Column]) -> DataFrame:
     listed = {name: tokens(F.coalesce(col, F.lit(""))) for name, col in fields.items()}
     df = chunks.select("chunk_id", *[c.alias(n) for n, c in listed.items()])
     length = sum((F.size(n) for n in fields), F.lit(0))
-    marked = F.concat(*[F.transform(F.col(n), lambda t, n=n: F.struct(t.alias("token"), F.lit(n).alias("field"))) for n in fields])
+    mark = lambda n: F.transform(F.col(n), lambda t: F.struct(t.alias("token"), F.lit(n).alias("field")))
+    marked = F.concat(*[mark(n) for n in fields])
     rows = df.select("chunk_id", length.alias("length"), F.explode(marked).alias("x"))
     return rows.groupBy(F.col("x.token").alias("token"), "chunk_id", "length").agg(*[F.count_if(F.col("x.field") == n).alias(f"tf_{n}") for n in fields])
 
