@@ -60,7 +60,7 @@ class _Table:
 class Bpe:
     """Encoder and decoder of a BPE file with byte symbols and an end-of-word suffix."""
 
-    def __init__(self, path: str, cache: int = 300_000):
+    def __init__(self, path: str, cache: int = 500_000):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model, added = spec["model"], {t["content"]: t["id"] for t in spec["added_tokens"]}
@@ -179,13 +179,10 @@ class Bpe:
             try:
                 out.append(b"".join(map(cache.__getitem__, words)))
             except KeyError:
-                new = {w for w in words if w not in cache}
-                if len(cache) + len(new) > self.most:
-                    cache.clear()
-                    new = set(words)
-                for w in new:
-                    cache[w] = np.array(self.encode_word(w), self.dtype).tobytes()
-                out.append(b"".join(map(cache.__getitem__, words)))
+                new = {w: np.array(self.encode_word(w), self.dtype).tobytes() for w in set(words).difference(cache)}
+                if len(cache) + len(new) <= self.most:  # frequent words come early; once the cache is full, it stays
+                    cache.update(new)
+                out.append(b"".join([cache.get(w) or new[w] for w in words]))
         return np.frombuffer(b"".join(out), self.dtype)
 
     def decode(self, ids: np.ndarray) -> str:

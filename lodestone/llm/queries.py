@@ -92,5 +92,33 @@ FROM c LEFT JOIN n ON c.vec_id = n.vec_id
 """
 
 
+_LEVELS = "[" + ", ".join(f"{c}::DOUBLE" for c in rules.LEVELS) + "]"
+_ALPHA, _DELTA = 0.01, 0.05
+
+OP2_SQL = rf"""
+WITH t AS (SELECT row_number() OVER () AS r, doc_id, lang AS stratum, coalesce(text, '') AS text FROM documents),
+s AS (SELECT r, doc_id, stratum, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM t),
+g AS (SELECT r, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS gram FROM (SELECT r, w, unnest(range(1, len(w) - 1)) AS i FROM s)),
+again AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, gram) AS n FROM g) WHERE n > 1),
+covered AS (SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest([i, i + 1, i + 2]) AS p FROM again) GROUP BY r),
+m AS (SELECT r, doc_id, stratum, len(w) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars, length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+    len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(c.n, 0) AS n_repeat_words, len(lines) AS n_lines, length(text) - length(regexp_replace(text, '[A-Z]', '', 'g')) AS n_capitals, length(text) - length(replace(text, '!', '')) AS n_bangs
+  FROM s LEFT JOIN covered c USING (r)),
+b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, coalesce(n_symbols / nullif(word_chars, 0), 0) AS symbols, coalesce(n_dup_lines / nullif(n_lines, 0), 0) AS lines_again,
+    coalesce(n_repeat_words / nullif(n_words, 0), 0) AS words_again, coalesce(n_capitals / nullif(word_chars, 0), 0) AS capitals, coalesce(n_bangs / nullif(word_chars, 0), 0) AS bangs FROM m),
+long AS (UNPIVOT (SELECT r, doc_id, stratum, base_failed, symbols, lines_again, words_again, capitals, bangs FROM b) ON symbols, lines_again, words_again, capitals, bangs INTO NAME share VALUE v),
+held AS (SELECT stratum, share, l.quality AS y, len(list_filter({_LEVELS}, lambda c: v > c)) AS passes FROM long JOIN labels l USING (doc_id) WHERE NOT base_failed AND l.quality IN (0, 1)),
+size AS (SELECT stratum, share, sum(y) AS n, sum(1 - y) AS n_bad FROM held GROUP BY ALL),
+level AS (SELECT s.*, j AS level, (SELECT count(DISTINCT coalesce(stratum, chr(0))) FROM held) AS strata,
+    (SELECT count(*) FROM held h WHERE h.stratum IS NOT DISTINCT FROM s.stratum AND h.share = s.share AND h.y = 1 AND h.passes > j) AS k, (SELECT count(*) FROM held h WHERE h.stratum IS NOT DISTINCT FROM s.stratum AND h.share = s.share AND h.y = 0 AND h.passes > j) AS hit
+  FROM size s, range({len(rules.LEVELS)}) x(j)),
+tail AS (SELECT *, CASE WHEN k > n * {_ALPHA} THEN 1.0 ELSE list_sum(list_transform(range(k + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({_ALPHA}) + (n - i) * ln(1 - {_ALPHA})))) END AS p FROM level),
+best AS (SELECT stratum, share, arg_max(level, (round(hit / greatest(n_bad, 1) - k / n, 9), level)) AS level FROM tail WHERE p <= {_DELTA} / (strata * {len(rules.SHARES)}) AND hit / greatest(n_bad, 1) - k / n > 0 GROUP BY ALL),
+over AS (SELECT DISTINCT r FROM long JOIN best ON best.stratum IS NOT DISTINCT FROM long.stratum AND best.share = long.share WHERE v > {_LEVELS}[best.level + 1])
+SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed,
+  NOT base_failed AND r NOT IN (SELECT r FROM over) AS kept FROM b
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op7_warc": OP7_SQL, "op8_vectors": OP8_SQL}
+    return {"op2_rules": OP2_SQL, "op7_warc": OP7_SQL, "op8_vectors": OP8_SQL}
