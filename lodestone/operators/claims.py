@@ -23,38 +23,42 @@ def _subset(a: Column, b: Column) -> Column:
     return F.size(F.array_except(a, b)) == 0
 
 
-def core_overlap(claim: Column, evidence: Column) -> Column:
+def evidence_facts(evidence: Column) -> Column:
+    """What the rules ask of an evidence text (in lower case), taken from it once."""
+    return F.struct(evidence.alias("text"), X.numbers(evidence).alias("numbers"), X.unit_facts(evidence).alias("units"), X.latin_tokens(evidence, False).alias("latin"), X.cjk_bigrams(evidence).alias("pairs"))
+
+
+def core_overlap(claim: Column, facts: Column) -> Column:
     """A shared Latin content token, or a claim of four CJK characters or more with bigram overlap of 0.12 or more."""
-    latin = F.size(F.array_intersect(X.latin_tokens(claim, True), X.latin_tokens(evidence, False))) > 0
-    pairs = X.cjk_bigrams(claim)
-    shared = F.size(F.array_intersect(pairs, X.cjk_bigrams(evidence))) / F.greatest(F.size(pairs), F.lit(1))
-    return latin | ((F.length(X.cjk(claim)) >= 4) & (shared >= 0.12))
+    latin = F.arrays_overlap(X.latin_tokens(claim, True), facts["latin"])
+    share = X.let(X.cjk_bigrams(claim), lambda p: F.size(F.array_intersect(p, facts["pairs"])) / F.greatest(F.size(p), F.lit(1)))
+    return latin | ((F.length(X.cjk(claim)) >= 4) & (share >= 0.12))
 
 
-def shares_objects(claim: Column, evidence: Column) -> Column:
+def shares_objects(claim: Column, facts: Column) -> Column:
     """Two shared Latin content tokens or two shared CJK bigrams."""
-    latin = F.size(F.array_intersect(X.latin_tokens(claim, True), X.latin_tokens(evidence, False))) >= 2
-    return latin | (F.size(F.array_intersect(X.cjk_bigrams(claim), X.cjk_bigrams(evidence))) >= 2)
+    latin = F.size(F.array_intersect(X.latin_tokens(claim, True), facts["latin"])) >= 2
+    return latin | (F.size(F.array_intersect(X.cjk_bigrams(claim), facts["pairs"])) >= 2)
 
 
-def support_failure(claim: Column, evidence: Column) -> Column:
-    """First of nine rules that fails, null if none does. evidence: quotes joined by line ends, in lower case."""
-    low = F.lower(claim)
+def support_failure(claim: Column, facts: Column) -> Column:
+    """First of nine rules that fails, null if none does; facts: evidence_facts, bound once a row."""
+    low, evidence = F.lower(claim), facts["text"]
     need = lambda asked, held: X.has_any(low, asked) & ~X.has_any(evidence, held)
     qualifier = F.lit(False)
     for group in QUALIFIERS:
         qualifier = qualifier | need(group, group)
     parts = X.clauses(claim)
     return (
-        F.when(~_subset(X.numbers(claim), X.numbers(evidence)), "NUMERIC_ANCHOR_MISSING_FROM_EVIDENCE")
-        .when(~_subset(X.unit_facts(claim), X.unit_facts(evidence)), "NUMERIC_UNIT_NOT_ESTABLISHED")
+        F.when(~_subset(X.numbers(claim), facts["numbers"]), "NUMERIC_ANCHOR_MISSING_FROM_EVIDENCE")
+        .when(~_subset(X.unit_facts(claim), facts["units"]), "NUMERIC_UNIT_NOT_ESTABLISHED")
         .when(need(CAUSAL, CAUSAL_EVIDENCE), "CAUSAL_RELATION_NOT_ESTABLISHED")
         .when(need(UNIVERSAL, UNIVERSAL), "UNIVERSAL_SCOPE_NOT_ESTABLISHED")
         .when(need(COMPARATIVE, COMPARATIVE), "COMPARISON_NOT_ESTABLISHED")
-        .when(X.has_any(low, COMPARATIVE) & ~shares_objects(claim, evidence), "COMPARISON_OBJECTS_NOT_ESTABLISHED")
+        .when(X.has_any(low, COMPARATIVE) & ~shares_objects(claim, facts), "COMPARISON_OBJECTS_NOT_ESTABLISHED")
         .when(need(NOVELTY, NOVELTY), "NOVELTY_OR_SUPERLATIVE_NOT_ESTABLISHED")
         .when(qualifier, "QUALIFYING_CONDITION_NOT_ESTABLISHED")
-        .when((F.size(parts) == 0) | ~F.forall(parts, lambda p: core_overlap(p, evidence)), "CORE_LEXICAL_OVERLAP_NOT_ESTABLISHED")
+        .when((F.size(parts) == 0) | ~F.forall(parts, lambda p: core_overlap(p, facts)), "CORE_LEXICAL_OVERLAP_NOT_ESTABLISHED")
     )
 
 
@@ -101,7 +105,7 @@ def verify(claims: DataFrame) -> DataFrame:
     bad = F.when(F.coalesce(F.btrim("text"), F.lit("")) == "", "CLAIM_TEXT_EMPTY").otherwise(citation_failure(F.col("citation_ids"), F.col("quotes")))
     df = claims.withColumn("_bad", bad).withColumn("_cited", F.when(F.col("_bad").isNull(), cited))
     df = df.withColumn("_evidence", F.lower(F.array_join("_cited", "\n"))).withColumn("_conflicts", conflicts(F.col("_cited"))).withColumn("_facts", X.unit_facts(F.col("text")))
-    df = df.withColumn("_failure", support_failure(F.col("text"), F.col("_evidence")))
+    df = df.withColumn("_failure", X.let(evidence_facts(F.col("_evidence")), lambda e: support_failure(F.col("text"), e)))
     told = X.has_any(F.lower("text"), CONFLICT)
     stated = F.exists("_conflicts", lambda c: F.size(F.array_intersect(c["values"], F.transform(F.filter("_facts", lambda f: f["unit"] == c["unit"]), lambda f: f["value"]))) >= 2)
     clash = F.size("_conflicts") > 0
@@ -122,8 +126,10 @@ def verify_set(claims: DataFrame) -> DataFrame:
     """Verdict on a whole evidence set, clause by clause where the claim as a whole fails; claims as for verify, citations valid."""
     cited = F.transform("citation_ids", lambda p: F.btrim(F.get(F.col("quotes"), p - 1)))
     df = claims.withColumn("_cited", cited).withColumn("_evidence", F.lower(F.array_join("_cited", "\n"))).withColumn("_clash", F.size(conflicts(F.col("_cited"))) > 0)
-    df = df.withColumn("_failure", support_failure(F.col("text"), F.col("_evidence"))).withColumn("_parts", X.clauses(F.col("text")))
-    good = F.size(F.filter("_parts", lambda p: support_failure(p, F.col("_evidence")).isNull()))
+    parts = lambda e: F.size(F.filter(X.clauses(F.col("text")), lambda p: support_failure(p, e).isNull()))
+    both = X.let(evidence_facts(F.col("_evidence")), lambda e: F.struct(support_failure(F.col("text"), e).alias("whole"), parts(e).alias("good")))
+    df = df.withColumn("_both", both).withColumn("_failure", F.col("_both.whole")).withColumn("_parts", X.clauses(F.col("text")))
+    good = F.col("_both.good")
     told = X.has_any(F.lower("text"), CONFLICT)
     limited = is_safe_limitation(F.col("text"))
     status = (
@@ -134,7 +140,7 @@ def verify_set(claims: DataFrame) -> DataFrame:
         F.when(F.col("_clash") & told, "BOUND_NUMERIC_CONFLICT_DISCLOSED").when(F.col("_clash"), "BOUND_NUMERIC_CONFLICT_NOT_DISCLOSED").when(told, "CONFLICT_NOT_DETERMINISTICALLY_PROVEN")
         .when(limited, "SAFE_LIMITATION_WITH_BOUND_EVIDENCE").otherwise(F.coalesce("_failure", F.lit("DETERMINISTIC_EVIDENCE_SET_PASS")))
     )
-    return df.withColumn("status", status).withColumn("reason", reason).drop("_cited", "_evidence", "_clash", "_failure", "_parts")
+    return df.withColumn("status", status).withColumn("reason", reason).drop("_cited", "_evidence", "_clash", "_failure", "_parts", "_both")
 
 
 def report(verified: DataFrame, by: str = "answer_id") -> DataFrame:

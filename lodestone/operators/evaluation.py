@@ -56,9 +56,9 @@ def refusal_metrics(results: DataFrame, items: DataFrame) -> DataFrame:
     return df.groupBy("backend").agg(ratio(refused, none).alias("no_answer_recall"), ratio(none, refused).alias("refusal_precision"), ratio(found, eligible).alias("wrong_refusal_rate"), ratio(F.col("decision") == "FORBIDDEN", forbidden).alias("forbidden_block_rate"))
 
 
-def by_question_type(per_question: DataFrame, items: DataFrame) -> DataFrame:
-    """backend, question_type, n, recall, ndcg at the largest k; items: question_id, question_types (array)."""
-    top = per_question.where(F.col("k") == per_question.agg(F.max("k")).first()[0])
+def by_question_type(per_question: DataFrame, items: DataFrame, k: int = max(KS)) -> DataFrame:
+    """backend, question_type, n, recall, ndcg at k; items: question_id, question_types (array)."""
+    top = per_question.where(F.col("k") == k)
     types = items.select("question_id", F.explode("question_types").alias("question_type"))
     return top.join(types, "question_id").groupBy("backend", "question_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("recall"), 6).alias("recall"), F.round(F.avg("ndcg"), 6).alias("ndcg"))
 

@@ -51,23 +51,45 @@ def _idf() -> Column:
     return F.log((F.col("n_chunks") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
 
 
+def _scored(hit: DataFrame, weights: dict[str, float], k1: float, b: float) -> DataFrame:
+    tf = sum((F.lit(w) * F.col(f"tf_{n}") for n, w in weights.items()), F.lit(0.0))
+    part = _idf() * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("length") / F.col("mean_length")))
+    return hit.groupBy("question_id", "chunk_id").agg(F.round(F.sum(part), 6).alias("score"))
+
+
 def bm25_scores(questions: DataFrame, index: DataFrame, weights: dict[str, float], k1: float = 1.2, b: float = 0.75, stop: tuple[str, ...] = QUERY_STOP_WORDS) -> DataFrame:
-    """question_id, chunk_id, score (6 places): BM25 of the fields' weighted term frequencies; tokens joined by OR.
+    """question_id, chunk_id, score (6 places): BM25 of the fields' weighted term frequencies over stored postings; tokens joined by OR.
 
     Only postings of the questions' tokens are scored. Corpus statistics are exact and taken over all chunks.
     """
     terms = question_terms(questions, stop)
     dfs, corpus = corpus_statistics(index)
     hit = index.join(terms, "token").join(dfs, "token").crossJoin(F.broadcast(corpus))  # corpus is one row
-    tf = sum((F.lit(w) * F.col(f"tf_{n}") for n, w in weights.items()), F.lit(0.0))
-    part = _idf() * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("length") / F.col("mean_length")))
-    return hit.groupBy("question_id", "chunk_id").agg(F.round(F.sum(part), 6).alias("score"))
+    return _scored(hit, weights, k1, b)
+
+
+def bm25_scan(questions: DataFrame, chunks: DataFrame, fields: dict[str, Column], weights: dict[str, float], k1: float = 1.2, b: float = 0.75, stop: tuple[str, ...] = QUERY_STOP_WORDS) -> DataFrame:
+    """The same scores straight from the chunks, for a batch of questions without stored postings.
+
+    Tokens that no question asks for drop out in a join before anything is shuffled, so what is shuffled grows with the hits, not with
+    the corpus; lengths and their mean need no shuffle at all.
+    """
+    terms = question_terms(questions, stop)
+    listed = chunks.select("chunk_id", *[tokens(F.coalesce(c, F.lit(""))).alias(n) for n, c in fields.items()])
+    length = sum((F.size(n) for n in fields), F.lit(0))
+    corpus = listed.select(length.alias("length")).where("length > 0").agg(F.count(F.lit(1)).alias("n_chunks"), F.avg("length").alias("mean_length"))
+    mark = lambda n: F.transform(F.col(n), lambda t: F.struct(t.alias("token"), F.lit(n).alias("field")))
+    rows = listed.select("chunk_id", length.alias("length"), F.explode(F.concat(*[mark(n) for n in fields])).alias("x")).select("chunk_id", "length", "x.token", "x.field")
+    asked = rows.join(terms.select("token").distinct(), "token")
+    found = asked.groupBy("token", "chunk_id", "length").agg(*[F.count_if(F.col("field") == n).alias(f"tf_{n}") for n in fields])
+    dfs = found.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+    return _scored(found.join(terms, "token").join(dfs, "token").crossJoin(F.broadcast(corpus)), weights, k1, b)
 
 
 def best_field_scores(questions: DataFrame, chunks: DataFrame, fields: dict[str, Column], weights: dict[str, float]) -> DataFrame:
     """The best of the fields' own BM25 scores times their weights; behaves like a best-field query of a search server."""
     parts = None
     for name, col in fields.items():
-        scores = bm25_scores(questions, postings(chunks, {name: col}), {name: 1.0}).withColumn("score", F.col("score") * weights[name])
+        scores = bm25_scan(questions, chunks, {name: col}, {name: 1.0}).withColumn("score", F.col("score") * weights[name])
         parts = scores if parts is None else parts.unionByName(scores)
     return parts.groupBy("question_id", "chunk_id").agg(F.round(F.max("score"), 6).alias("score"))

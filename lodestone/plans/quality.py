@@ -96,7 +96,8 @@ w AS (SELECT round(min(y.ndcg - x.ndcg), 6) AS worst_type_change FROM types x JO
 r AS (SELECT round((cand.ndcg - base.ndcg) / base.ndcg, 6) AS relative_gain, round(cand."precision" - base."precision", 6) AS precision_change, worst_type_change FROM base, cand, w)
 SELECT *, relative_gain >= 0.08 AND precision_change >= 0 AND coalesce(worst_type_change, 0) >= -0.02 AS promoted FROM r""")
 def evl_promotion(spark, sf_dir):
-    per = _per_question(spark, sf_dir)
+    _with_checkpoints(spark)
+    per = _per_question(spark, sf_dir).checkpoint()  # asked four times
     it = items(spark, sf_dir)
     return evaluation.promotion(evaluation.macro_metrics(per, it), evaluation.by_question_type(per, it), "overlap", "bm25", ("comparison", "number"))
 

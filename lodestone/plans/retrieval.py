@@ -87,7 +87,7 @@ def _fields():
 
 
 def _bm25(spark, sf_dir):
-    return lexical.bm25_scores(questions(spark, sf_dir), lexical.postings(chunks(spark, sf_dir), _fields()), {"body": 1.0, "section": 2.0})
+    return lexical.bm25_scan(questions(spark, sf_dir), chunks(spark, sf_dir), _fields(), {"body": 1.0, "section": 2.0})
 
 
 @query(f"WITH {_POSTINGS} SELECT question_id, chunk_id, score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, chunk_id) AS rank FROM bm25) WHERE rank <= 10")
@@ -95,6 +95,12 @@ def lex_bm25_topk(spark, sf_dir):
     return lexical.top_k(_bm25(spark, sf_dir), 10, ["question_id"])
 
 
+@query(f"WITH {_POSTINGS} SELECT question_id, chunk_id, score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, chunk_id) AS rank FROM bm25) WHERE rank <= 10")
+def lex_bm25_index(spark, sf_dir):
+    """The same over postings."""
+    return lexical.top_k(lexical.bm25_scores(questions(spark, sf_dir), lexical.postings(chunks(spark, sf_dir), _fields()), {"body": 1.0, "section": 2.0}), 10, ["question_id"])
+
+
 @query(f"WITH {_POSTINGS}, scored AS (SELECT question_id, chunk_id, score FROM bm25 JOIN chunks c USING (chunk_id) WHERE is_active AND visibility = 'public') SELECT question_id, chunk_id, score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, chunk_id) AS rank FROM scored) WHERE rank <= 5")
 def lex_bm25_authorized(spark, sf_dir):
     """Corpus statistics from all chunks, access applied after scoring and before the cut."""
