@@ -5,7 +5,8 @@ token of the corpus weighing the same) are r = min(cap, exp(sum of the multiplie
 minimise a convex dual; Newton steps with a line search find them, each step's gradient and Hessian being sums that Spark takes over
 the token counts of the groups' combinations. One column of groups gives a diagonal Hessian, more columns (source and language,
 say) a full one. Rates then become whole copies: the whole part, and one more for the documents that come first in an order by
-hash, as many as bring each source nearest to its target; four classes of length, one after the other, leave but a short document's error.
+hash, as many as bring each source nearest to its target; four classes of length, one after the other, leave but a short document's error, which a few single
+exchanges then mend.
 """
 
 from __future__ import annotations
@@ -58,8 +59,8 @@ def _table(spark, column: str, values: dict, name: str) -> DataFrame:
 
 
 def _null_safe(left: DataFrame, right: DataFrame, column: str) -> DataFrame:
-    """Left join on a column whose null is a group too; the right side is one row a group and Spark broadcasts it by its size."""
-    renamed = right.withColumnRenamed(column, "_group")
+    """Left join on a column whose null is a group too; the right side is one row a group, so at most `most_groups` rows, and broadcast."""
+    renamed = F.broadcast(right.withColumnRenamed(column, "_group"))
     return left.join(renamed, left[column].eqNullSafe(renamed["_group"]), "left").drop("_group")
 
 
@@ -150,7 +151,7 @@ def with_rates(sized: DataFrame, lam: dict[str, dict], cap: float) -> DataFrame:
     return df.withColumn("key", F.when((part > 1e-9) & (F.col("size") > 0), key)).drop("_hash", "_tie")
 
 
-def cut_keys(rows: DataFrame, column: str, need: dict, residue: int = 10_000) -> dict:
+def cut_keys(rows: DataFrame, column: str, need: dict, residue: int = 1_000) -> dict:
     """By group (largest key taken, tokens taken), so that the rows up to the key come nearest to the tokens needed.
 
     Histograms of the keys' leading bits, refined 12 bits at a time within the bucket where the need is crossed, leave a few rows a
@@ -194,6 +195,27 @@ class Mix:
             cuts = cut_keys(rated.where((F.col("tier") == tier) & F.col("key").isNotNull()).select(column, "key", "size"), column, need)
             over = {g: cuts[g][1] - need[g] for g in self.targets}
             self.cuts.append({g: k for g, (k, _) in cuts.items()})
+        self.flips = self._mended(rated, over)
+
+    def _mended(self, rated: DataFrame, over: dict, rounds: int = 3) -> dict:
+        """By group keys whose copy is given or taken back against the cut, one a round, where that brings the group nearer to its target."""
+        spark, flips = rated.sparkSession, {g: [] for g in self.targets}
+        tiers = range(len(TIERS) + 1)
+        for _ in range(rounds):
+            rows = [(g, float(over[g]), flips[g], [self.cuts[t][g] for t in tiers]) for g in self.targets]
+            state = spark.createDataFrame(rows, f"`{self.column}` string, _over double, _flips array<long>, _cuts array<long>")
+            df = _null_safe(rated.where("key is not null"), state, self.column)
+            given = (F.col("key") <= F.get("_cuts", F.col("tier"))) != F.array_contains("_flips", F.col("key"))
+            change = F.when(given, -F.col("size")).otherwise(F.col("size"))
+            left = F.abs(F.col("_over") + change)
+            best = df.where(left < F.abs("_over")).groupBy(self.column).agg(F.min_by(F.struct("key", change.alias("change")), F.struct(left, "key")).alias("x"))
+            found = best.collect()
+            for r in found:
+                over[r[0]] += r["x"]["change"]
+                flips[r[0]] = [k for k in flips[r[0]] if k != r["x"]["key"]] + [r["x"]["key"]] * (r["x"]["key"] not in flips[r[0]])
+            if not found:
+                break
+        return flips
 
     @staticmethod
     def _tier():
@@ -201,11 +223,12 @@ class Mix:
 
     def copies(self, sized: DataFrame) -> DataFrame:
         tiers = range(len(TIERS) + 1)
-        rows = [(g, float(self.targets[g]), int(self.sizes[g]), *(self.cuts[t][g] for t in tiers)) for g in self.targets]
-        cuts = sized.sparkSession.createDataFrame(rows, f"`{self.column}` string, target double, source_size long, " + ", ".join(f"_cut{t} long" for t in tiers))
+        rows = [(g, float(self.targets[g]), int(self.sizes[g]), *(self.cuts[t][g] for t in tiers), self.flips[g]) for g in self.targets]
+        cuts = sized.sparkSession.createDataFrame(rows, f"`{self.column}` string, target double, source_size long, " + ", ".join(f"_cut{t} long" for t in tiers) + ", _flips array<long>")
         rated = _null_safe(with_rates(sized, self.lam, self.cap), cuts, self.column)
-        more = F.when(F.col("key") <= F.get(F.array(*[f"_cut{t}" for t in tiers]), self._tier()), 1).otherwise(0)
-        return rated.withColumn("copies", (F.col("whole") + more).cast("int")).drop("key", "whole", *[f"_cut{t}" for t in tiers])
+        given = (F.col("key") <= F.get(F.array(*[f"_cut{t}" for t in tiers]), self._tier())) != F.array_contains("_flips", F.col("key"))
+        more = F.when(given, 1).otherwise(0)
+        return rated.withColumn("copies", (F.col("whole") + more).cast("int")).drop("key", "whole", "_flips", *[f"_cut{t}" for t in tiers])
 
     def table(self) -> DataFrame:
         """doc_id, size, source_size, target, taken, rate, copies of every row. Null texts have size 0; no rows give no rows."""
