@@ -157,7 +157,7 @@ def fingerprint_links(fps: DataFrame, split: int = 20_000) -> DataFrame:
     if hot.isEmpty():
         return _link_buckets(rows.select("k", "fp"), 2)
     cold = _link_buckets(rows.join(hot, "k", "left_anti").select("k", "fp"), 2)
-    other = F.shiftrightunsigned("fp", F.when(F.shiftrightunsigned("k", 36) == 0, F.lit(32)).otherwise(F.lit(0)))
+    other = F.when(F.shiftrightunsigned("k", 36) == 0, F.shiftrightunsigned("fp", 32)).otherwise(F.col("fp"))  # of the other segment the low 32 bits
     pieces = F.array(*[F.lit(i << 11).cast("long").bitwiseOR(F.expr(f"shiftrightunsigned(other, {at}) & {(1 << n) - 1}L")) for i, (at, n) in enumerate(((0, 11), (11, 11), (22, 10)))])
     again = rows.join(hot, "k").withColumn("other", other).select("k", F.explode(pieces).alias("k2"), "fp")
     return cold.union(_link_buckets(again.select("k", "k2", "fp"), 2))
@@ -181,13 +181,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
     """The rows of docs, columns as they are, that are the first of their component: smallest doc_id, nulls last.
 
-    Of rows with one doc_id in one component the one with the smallest text hash stays, of equal ones the first by place. Rows with
-    null doc_id stay only if they are alone with others of their kind, again one of them.
+    Of rows with one doc_id in one component the one with the smallest text hash stays, of equal ones the first by place; so one row
+    of each component stays, whatever its columns hold. docs must give its rows in the same places when read again, as a table does.
     """
-    spread = F.shiftrightunsigned(F.xxhash64(F.col(text_col)), 1)
-    placed = docs.withColumn("_at", F.monotonically_increasing_id())
-    keys = near_duplicates(placed.select("_at", text_col), "_at", text_col, width).select(F.col("doc_id").alias("_at"), F.col("component_id").alias("_of"))
-    ids = placed.select("_at", F.col(id_col).cast("long").alias("_id"), spread.alias("_hash"))
-    order = F.struct(F.col("_id").isNull().alias("n"), F.col("_id").alias("i"), F.col("_hash").alias("h"), F.col("_at").alias("a"))
-    first = ids.join(keys, "_at").groupBy("_of").agg(F.min(order).alias("x")).select(F.col("x.a").alias("_at"))
-    return placed.join(cut(first, "first-copies"), "_at", "left_semi").drop("_at")
+    at = "_at"
+    while at in docs.columns:
+        at += "_"
+    placed = docs.withColumn(at, F.monotonically_increasing_id())
+    keys = near_duplicates(placed.select(at, text_col), at, text_col, width).select(F.col("doc_id").alias("a"), F.col("component_id").alias("of"))
+    ids = placed.select(F.col(at).alias("a"), F.col(id_col).cast("long").alias("i"), F.xxhash64(F.col(text_col)).alias("h"))
+    order = F.struct(F.col("i").isNull().alias("n"), "i", "h", "a")
+    first = ids.join(keys, "a").groupBy("of").agg(F.min(order).alias("x")).select(F.col("x.a").alias(at))
+    kept = cut(first, "first-copies").hint("shuffle_hash")  # as many ids as documents: texts are dealt out once, never sorted
+    return placed.join(kept, at, "left_semi").drop(at).select(*[f"`{c}`" for c in docs.columns])
