@@ -82,3 +82,13 @@ def n_words(text):
     """Words `[^\\x20\\x09-\\x0D]+` of a text column; null: 0. Stays in the JVM."""
     bare = F.btrim(F.coalesce(text, F.lit("")), F.lit(SPACE))
     return F.when(bare == "", F.lit(0)).otherwise(F.size(F.split(bare, r"[\x20\x09-\x0D]+"))).cast("long")
+
+
+def hash_sample(df: DataFrame, key: str, rows: int, total: int) -> DataFrame:
+    """About `rows` of `total` rows, at most that many, drawn by hash of a key: the same in every run, whatever the partitions.
+
+    Rows are thinned by hash before they are ordered, so that tasks together send the driver little more than what is asked for.
+    """
+    share = min(1.0, 1.3 * (rows + 100) / max(total, 1))
+    thin = df.withColumn("_h", F.shiftrightunsigned(F.xxhash64(key), 11)).where(F.col("_h") <= int(share * (1 << 53)))
+    return thin.orderBy("_h", key).limit(rows).drop("_h")

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import batches, cut
+from lodestone.llm.common import batches, cut, hash_sample
 
 _SYMBOLS, _UPPER, _LOWER, _DIGITS, _PUNCT = b"#*$%&|<>", bytes(range(65, 91)), bytes(range(97, 123)), b"0123456789", b".,;:!?\"'()-"
 NAMES = ("log_words", "log_chars", "mean_word", "long_words", "unique", "top_word", "symbols", "bars", "bangs", "upper", "digits", "punct", "other_bytes", "windows_again", "same_next", "lines", "lines_again", "line_words", "odd_words", "stops", "char_kinds", "edge_symbols")
@@ -158,8 +158,9 @@ def remainder(doc_id, parts: int = 4):
 def train(stats: DataFrame, labels: DataFrame, held_out: int = 2, sample: int = 30_000, label_col: str = "quality", id_col: str = "doc_id") -> Trees:
     """Fit on at most `sample` labelled rows drawn by hash, none of whose identifiers has the held-out remainder."""
     known = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("y")).where("doc_id is not null and y in (0, 1)")
-    rows = stats.join(known.where(remainder(F.col("doc_id")) != held_out), "doc_id").select("stats", "y", F.xxhash64("doc_id").alias("h"), "doc_id")
-    got = rows.orderBy("h", "doc_id", "y").limit(sample).select("stats", "y").toArrow()
+    known = known.where(remainder(F.col("doc_id")) != held_out)
+    rows = stats.join(known, "doc_id").withColumn("key", F.struct("doc_id", "y"))
+    got = hash_sample(rows, "key", sample, known.count()).select("stats", "y").toArrow()
     x = np.array(got.column(0).to_pylist(), float).reshape(len(got), len(NAMES))
     return fit(x, got.column(1).to_numpy().astype(float))
 

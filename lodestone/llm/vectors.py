@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import cut
+from lodestone.llm.common import cut, hash_sample
 from lodestone.llm.graph import connected_components
 
 _UNITS = "vec_id long, key string, unit binary"
@@ -65,7 +65,7 @@ def spherical_kmeans(x: np.ndarray, k: int, rounds: int = 10, seed: int = 7) ->
 def fit_cells(distinct: DataFrame, n: int, cell_size: int, most_cells: int, sample_per_cell: int) -> np.ndarray:
     """Centroids for about n / cell_size cells, at most `most_cells`, from a sample of `sample_per_cell` vectors a cell drawn by hash of the key."""
     k = max(1, min(most_cells, math.ceil(n / cell_size)))
-    take = distinct.orderBy(F.xxhash64("key"), "key").limit(k * sample_per_cell).select("unit").toArrow()
+    take = hash_sample(distinct.select("key", "unit"), "key", k * sample_per_cell, n).select("unit").toArrow()
     x = np.frombuffer(b"".join(take.column(0).to_pylist()), "<f8").reshape(len(take), -1)
     return spherical_kmeans(x, min(k, len(x)))
 
