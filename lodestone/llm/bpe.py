@@ -60,7 +60,7 @@ class _Table:
 class Bpe:
     """Encoder and decoder of a BPE file with byte symbols and an end-of-word suffix."""
 
-    def __init__(self, path: str, cache: int = 500_000):
+    def __init__(self, path: str, cache: int = 300_000):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model, added = spec["model"], {t["content"]: t["id"] for t in spec["added_tokens"]}
@@ -144,7 +144,7 @@ class Bpe:
                         break
                     known = compatible.get((last, token))
                     if known is None:
-                        if len(compatible) > 1_000_000:
+                        if len(compatible) > 250_000:
                             compatible.clear()
                         known = compatible[last, token] = self._stay_apart(last, token, 1 << 60)
                     if known:
@@ -188,7 +188,7 @@ class Bpe:
     def decode(self, ids: np.ndarray) -> str:
         return self.names.gather(ids)[0][:-1].decode("utf-8", "replace")
 
-    def digests(self, texts: list[str], most: int = 1_000_000) -> list[tuple[int, str, str]]:
+    def digests(self, texts: list[str], most: int = 250_000) -> list[tuple[int, str, str]]:
         """Number of ids, SHA-256 of the decimal ids joined by one space, SHA-256 of the decoded text; about `most` ids at a time."""
         out: list[tuple[int, str, str]] = []
         held: list[np.ndarray] = []
