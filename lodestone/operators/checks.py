@@ -99,3 +99,12 @@ def contained_ranges(ranges: DataFrame, accepted: DataFrame, key: str) -> DataFr
 
 def numbered(df: DataFrame, by: list[str], order: list) -> DataFrame:
     return df.withColumn("position", F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
+
+
+def composite_match(left: DataFrame, right: DataFrame, keys: list[str], left_id: str, right_id: str) -> DataFrame:
+    """left_id, right_id, status of each left row: MATCHED with the one right row of equal keys, MISSING or AMBIGUOUS (on either side)."""
+    one = right.groupBy(*keys).agg(F.count(F.lit(1)).alias("_r"), F.min(right_id).alias(right_id))
+    mine = left.groupBy(*keys).agg(F.count(F.lit(1)).alias("_l"))
+    df = left.select(left_id, *keys).join(mine, keys).join(one, keys, "left")
+    status = F.when(F.col("_r").isNull(), "MISSING").when((F.col("_r") > 1) | (F.col("_l") > 1), "AMBIGUOUS").otherwise("MATCHED")
+    return df.select(left_id, F.when(status == "MATCHED", F.col(right_id)).alias(right_id), status.alias("status"))

@@ -104,3 +104,16 @@ def fingerprint(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "e
     """n and a digest of all (id, vector) that doesn't depend on row order; combined before the shuffle, so it scales."""
     each = F.conv(F.substring(F.sha2(F.to_json(F.struct(F.col(id_col).alias("id"), F.col(vector_col).alias("v"))), 256), 1, 15), 16, 10).cast("decimal(38,0)")
     return vectors.agg(F.count(F.lit(1)).alias("n"), F.sum(each).cast("string").alias("digest"))
+
+
+def embed_cached(texts: DataFrame, path: str, provider, text_col: str = "text", dims: int = 64) -> DataFrame:
+    """Adds vector from a table of (digest of the text, vector) at path; only texts that it lacks go to the provider, and are appended."""
+    from lodestone.sources.sinks import exists
+
+    spark = texts.sparkSession
+    keyed = texts.withColumn("_key", F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256))
+    asked = keyed.select("_key", F.coalesce(F.col(text_col), F.lit("")).alias("text")).dropDuplicates(["_key"])
+    if exists(spark, path):
+        asked = asked.join(spark.read.parquet(path), "_key", "left_anti")
+    embed(asked, provider, "text", dims).select("_key", "vector").write.mode("append").parquet(path)
+    return keyed.join(spark.read.parquet(path), "_key").drop("_key")

@@ -152,3 +152,10 @@ def plan_determinism(plans: DataFrame, most_p95: float = 5.0) -> DataFrame:
     """case_id, repetitions, stable, p95_ms, passed; plans: case_id, plan_hash, elapsed_ms."""
     df = plans.groupBy("case_id").agg(F.count(F.lit(1)).alias("repetitions"), (F.count_distinct("plan_hash") == 1).alias("stable"), F.round(F.percentile("elapsed_ms", F.lit(0.95)), 6).alias("p95_ms"))
     return df.withColumn("passed", F.col("stable") & (F.col("p95_ms") <= most_p95))
+
+
+def no_evidence_regressions(items: DataFrame, control: DataFrame, treatment: DataFrame) -> DataFrame:
+    """question_id of NO_EVIDENCE items that the control refuses and the treatment doesn't; frames: question_id, decision."""
+    pick = lambda df, n: df.select("question_id", F.col("decision").alias(n))
+    asked = items.where("answerability = 'NO_EVIDENCE'").select("question_id")
+    return asked.join(pick(control, "a"), "question_id").join(pick(treatment, "b"), "question_id").where("a = 'NO_EVIDENCE' and b <> 'NO_EVIDENCE'").select("question_id")

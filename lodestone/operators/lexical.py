@@ -15,9 +15,15 @@ def top_k(scored: DataFrame, k: int | None, by: list[str], score: str = "score",
     return ranked if k is None else ranked.where(F.col("rank") <= k)
 
 
-def question_terms(questions: DataFrame, stop: tuple[str, ...] = STOP_WORDS, id_col: str = "question_id", text_col: str = "question") -> DataFrame:
-    """question_id, token: distinct tokens but the stop words; a question without any has no row."""
-    return questions.select(F.col(id_col).alias("question_id"), F.explode(query_tokens(F.col(text_col), stop)).alias("token"))
+def question_terms(questions: DataFrame, stop: tuple[str, ...] = STOP_WORDS, id_col: str = "question_id", text_col: str = "question", tokenizer=None) -> DataFrame:
+    """question_id, token: distinct tokens but the stop words; a question without any has no row.
+
+    Another tokenizer (of Column to Column, as stemming.fts_tokens) is applied to the tokens that are left.
+    """
+    kept = query_tokens(F.col(text_col), stop)
+    if tokenizer:
+        kept = F.array_distinct(tokenizer(F.array_join(kept, " ")))
+    return questions.select(F.col(id_col).alias("question_id"), F.explode(kept).alias("token"))
 
 
 def overlap_scores(questions: DataFrame, chunks: DataFrame, passage: Column) -> DataFrame:
@@ -30,9 +36,9 @@ def overlap_scores(questions: DataFrame, chunks: DataFrame, passage: Column) ->
     return held.join(question_terms(questions), "token").groupBy("question_id", "chunk_id").agg(F.count(F.lit(1)).alias("score"))
 
 
-def postings(chunks: DataFrame, fields: dict[str, Column]) -> DataFrame:
+def postings(chunks: DataFrame, fields: dict[str, Column], tokenizer=tokens) -> DataFrame:
     """Inverted index: token, chunk_id, length (tokens of all fields) and tf_<field>."""
-    listed = {name: tokens(F.coalesce(col, F.lit(""))) for name, col in fields.items()}
+    listed = {name: tokenizer(F.coalesce(col, F.lit(""))) for name, col in fields.items()}
     df = chunks.select("chunk_id", *[c.alias(n) for n, c in listed.items()])
     length = sum((F.size(n) for n in fields), F.lit(0))
     mark = lambda n: F.transform(F.col(n), lambda t: F.struct(t.alias("token"), F.lit(n).alias("field")))
@@ -57,12 +63,12 @@ def _scored(hit: DataFrame, weights: dict[str, float], k1: float, b: float) -> D
     return hit.groupBy("question_id", "chunk_id").agg(F.round(F.sum(part), 6).alias("score"))
 
 
-def bm25_scores(questions: DataFrame, index: DataFrame, weights: dict[str, float], k1: float = 1.2, b: float = 0.75, stop: tuple[str, ...] = QUERY_STOP_WORDS) -> DataFrame:
+def bm25_scores(questions: DataFrame, index: DataFrame, weights: dict[str, float], k1: float = 1.2, b: float = 0.75, stop: tuple[str, ...] = QUERY_STOP_WORDS, tokenizer=None) -> DataFrame:
     """question_id, chunk_id, score (6 places): BM25 of the fields' weighted term frequencies over stored postings; tokens joined by OR.
 
     Only postings of the questions' tokens are scored. Corpus statistics are exact and taken over all chunks.
     """
-    terms = question_terms(questions, stop)
+    terms = question_terms(questions, stop, tokenizer=tokenizer)
     dfs, corpus = corpus_statistics(index)
     hit = index.join(terms, "token").join(dfs, "token").crossJoin(F.broadcast(corpus))  # corpus is one row
     return _scored(hit, weights, k1, b)

@@ -68,3 +68,11 @@ def unknown_keys(frames: list[DataFrame], key: str) -> DataFrame:
     for f in frames[2:]:
         later = later.union(f.select(key))
     return later.distinct().join(frames[0], key, "left_anti")
+
+
+def ordered_fingerprint(df: DataFrame, position: str, columns: list[str], block: int = 1000) -> DataFrame:
+    """One row: n and a digest of the rows in order of an integer position; digests of blocks first, so that no group grows with the data but the list of blocks."""
+    row = F.sha2(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}), 256)
+    parts = df.select(F.col(position).alias("p"), row.alias("h")).groupBy(F.floor(F.col("p") / block).alias("b"))
+    blocks = parts.agg(F.count(F.lit(1)).alias("n"), F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p", "h"))), lambda x: x["h"]), "\n"), 256).alias("h"))
+    return blocks.agg(F.sum("n").alias("n"), F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("b", "h"))), lambda x: x["h"]), "\n"), 256).alias("digest"))

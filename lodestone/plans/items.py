@@ -7,8 +7,11 @@ import uuid
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestone.operators import checks, evaluation, items
+from lodestone.functions.stemming import fts_tokens
+from lodestone.operators import checks, chunking, dense, evaluation, fusion, items, lexical, summaries
+from lodestone.plans import retrieval as R
 from lodestone.plans.frames import ITEMS, table
+from lodestone.plans.frames import chunks, questions
 from lodestone.plans.frames import items as base_items
 from lodestone.plans.quality import _with_checkpoints
 from lodestone.plans.registry import query
@@ -181,3 +184,69 @@ def chk_jobs(spark, sf_dir):
 def chk_several_active(spark, sf_dir):
     o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("owner_id"), F.col("o_orderpriority").alias("document_id"), (F.col("o_orderstatus") == "O").alias("is_active"))
     return checks.several_active(o)
+
+
+def _stemmed(spark, sf_dir):
+    index = lexical.postings(chunks(spark, sf_dir), R._fields(), fts_tokens)
+    return lexical.bm25_scores(questions(spark, sf_dir), index, {"body": 1.0, "section": 2.0}, tokenizer=fts_tokens)
+
+
+@query()
+def lex_bm25_porter(spark, sf_dir):
+    """BM25 over stemmed tokens without accents."""
+    return lexical.top_k(_stemmed(spark, sf_dir), 10, ["question_id"])
+
+
+@query()
+def evl_four_backends(spark, sf_dir):
+    """One run of token overlap, BM25, dense and their fusion over all questions; the dense vectors come from the hashing provider."""
+    number = F.substring("chunk_id", 2, 10).cast("bigint")
+    lexical_two = R.two_rankings(spark, sf_dir).select("backend", "question_id", number.alias("chunk_id"), "score", "rank")
+    asked = dense.embed(questions(spark, sf_dir), dense.hashed_embedding, "question").select(F.col("question_id").alias("id"), "vector")
+    held = dense.embed(chunks(spark, sf_dir).select(number.alias("id"), "text"), dense.hashed_embedding).select("id", "vector")
+    near = dense.cosine_top_k(asked, held, 20, 0.5, "id", "vector").withColumn("backend", F.lit("dense"))
+    three = lexical_two.unionByName(near)
+    fused = fusion.rrf(three, top=20).select(F.lit("rrf").alias("backend"), "question_id", "chunk_id", "score", "rank")
+    return three.unionByName(fused)
+
+
+@query()
+def evl_chunk_strategies(spark, sf_dir):
+    """Number and lengths of chunks by strategy."""
+    out = None
+    for name in chunking.STRATEGIES:
+        rows = chunking.chunked(table(spark, sf_dir, "documents"), name, "doc_id").withColumn("strategy", F.lit(name))
+        out = rows if out is None else out.unionByName(rows)
+    return summaries.length_summary(out, ["strategy"])
+
+
+@query("""WITH l AS (SELECT o_orderkey, o_custkey, o_orderpriority, count(*) OVER (PARTITION BY o_custkey, o_orderpriority) AS n FROM orders WHERE o_orderkey % 2 = 0),
+r AS (SELECT o_custkey, o_orderpriority, count(*) AS n, min(o_orderkey) AS k FROM orders WHERE o_orderkey % 2 = 1 GROUP BY ALL),
+m AS (SELECT l.o_orderkey, r.k, CASE WHEN r.n IS NULL THEN 'MISSING' WHEN r.n > 1 OR l.n > 1 THEN 'AMBIGUOUS' ELSE 'MATCHED' END AS status FROM l LEFT JOIN r USING (o_custkey, o_orderpriority))
+SELECT status, count(*) AS n, CAST(sum(CASE WHEN status = 'MATCHED' THEN k ELSE 0 END) AS BIGINT) AS keys FROM m GROUP BY status""")
+def jn_composite_unique(spark, sf_dir):
+    o = table(spark, sf_dir, "orders")
+    m = checks.composite_match(o.where("o_orderkey % 2 = 0"), o.where("o_orderkey % 2 = 1").withColumnRenamed("o_orderkey", "other"), ["o_custkey", "o_orderpriority"], "o_orderkey", "other")
+    return m.groupBy("status").agg(F.count(F.lit(1)).alias("n"), F.sum(F.coalesce("other", F.lit(0))).alias("keys"))
+
+
+@query(f"WITH {ITEMS} SELECT question_id FROM items WHERE answerability = 'NO_EVIDENCE' AND question_id % 2 = 1")
+def evl_no_evidence_regressions(spark, sf_dir):
+    i = base_items(spark, sf_dir)
+    control = i.select("question_id", F.lit("NO_EVIDENCE").alias("decision"))
+    return evaluation.no_evidence_regressions(i, control, i.select("question_id", F.when(F.col("question_id") % 2 == 1, "EVIDENCE_FOUND").otherwise("NO_EVIDENCE").alias("decision")))
+
+
+@query("""WITH r AS (SELECT item_id, sha256('{"item_id":' || CAST(item_id AS VARCHAR) || ',"n":' || CAST(length(text) AS VARCHAR) || '}') AS h FROM benchmark), b AS (SELECT item_id // 16 AS b, count(*) AS n, sha256(string_agg(h, chr(10) ORDER BY item_id)) AS h FROM r GROUP BY ALL)
+SELECT CAST(sum(n) AS BIGINT) AS n, sha256(string_agg(h, chr(10) ORDER BY b)) AS digest FROM b""")
+def agg_fingerprint(spark, sf_dir):
+    return summaries.ordered_fingerprint(table(spark, sf_dir, "benchmark").withColumn("n", F.length("text")), "item_id", ["item_id", "n"], 16)
+
+
+@query()
+def vec_embed_cached(spark, sf_dir):
+    """Twice over one cache: the second time nothing is asked of the provider."""
+    at = _shared(spark, "vectors")
+    q = questions(spark, sf_dir)
+    dense.embed_cached(q, at, dense.hashed_embedding, "question")
+    return dense.embed_cached(q, at, lambda texts: 1 // 0, "question").select("question_id", F.size("vector").alias("dims"))

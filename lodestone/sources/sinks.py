@@ -15,6 +15,11 @@ def _fs(spark: SparkSession, path: str):
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, target = _fs(spark, path)
+    return fs.exists(target)
+
+
 def publish(df: DataFrame, path: str, check=None, partition_by: list[str] | None = None) -> DataFrame:
     """Write beside the target, verify there, then rename; an existing target is an error. check(frame) raises on a fault.
 
@@ -41,6 +46,20 @@ def publish(df: DataFrame, path: str, check=None, partition_by: list[str] | None
     return spark.read.parquet(path)
 
 
+def publish_all(frames: dict[str, DataFrame], checks: dict | None = None) -> dict[str, DataFrame]:
+    """Publish several tables or none: when one fails, those published before it are taken back and the error is raised."""
+    done: dict[str, DataFrame] = {}
+    try:
+        for path, df in frames.items():
+            done[path] = publish(df, path, (checks or {}).get(path))
+    except Exception:
+        for path, df in done.items():
+            fs, target = _fs(df.sparkSession, path)
+            fs.delete(target, True)
+        raise
+    return done
+
+
 def ensure_staged(expected: DataFrame, path: str, keys: list[str]) -> int:
     """Append the rows that the table lacks, verify that none is missing then; returns how many were appended."""
     spark = expected.sparkSession

@@ -337,3 +337,26 @@ def test_index_grows_by_stream(spark, tmp_path):
     stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
     states.grow_index(stream, str(tmp_path / "index"), str(tmp_path / "ck"), lambda d: {"body": F.col("text")})
     assert spark.read.parquet(str(tmp_path / "index")).count() == 3
+
+
+STEMS = {"caresses": "caress", "ponies": "poni", "cats": "cat", "agreed": "agre", "plastered": "plaster", "motoring": "motor", "sing": "sing", "conflated": "conflat", "hopping": "hop", "falling": "fall", "filing": "file", "happy": "happi", "sky": "sky", "relational": "relat", "conditional": "condit", "vietnamization": "vietnam", "triplicate": "triplic", "hopeful": "hope", "revival": "reviv", "adjustment": "adjust", "adoption": "adopt", "probate": "probat", "rate": "rate", "controll": "control", "roll": "roll", "generalizations": "gener", "oscillators": "oscil"}
+
+
+def test_porter(spark):
+    from lodestone.functions import stemming
+
+    assert {w: stemming.stem(w) for w in STEMS} == STEMS
+    assert stemming.full_text_tokens("Ponies, CAFÉS & x_y 42") == ["poni", "cafe", "x", "y", "42"]
+    c = spark.createDataFrame([("a", "the ponies hopped"), ("b", "nothing here")], "chunk_id string, text string")
+    q = spark.createDataFrame([(1, "pony hopping")], "question_id long, question string")
+    index = lexical.postings(c, {"body": F.col("text")}, stemming.fts_tokens)
+    assert [r.chunk_id for r in lexical.bm25_scores(q, index, {"body": 1.0}, tokenizer=stemming.fts_tokens).collect()] == ["a"]
+
+
+def test_publish_all_or_none(spark, tmp_path):
+    df = spark.range(3)
+    fail = {str(tmp_path / "b"): lambda d: (_ for _ in ()).throw(RuntimeError("no"))}
+    with pytest.raises(RuntimeError):
+        sinks.publish_all({str(tmp_path / "a"): df, str(tmp_path / "b"): df}, fail)
+    assert not (tmp_path / "a").exists() and not (tmp_path / "b").exists()
+    assert sinks.publish_all({str(tmp_path / "a"): df, str(tmp_path / "b"): df})[str(tmp_path / "a")].count() == 3
