@@ -13,14 +13,18 @@ KS = (3, 5, 10, 20, 50)
 ELIGIBLE = ("ANSWERABLE", "PARTIALLY_ANSWERABLE", "CONFLICTING_EVIDENCE")
 
 
-def question_metrics(questions: DataFrame, ranking: DataFrame, judgments: DataFrame, ks: tuple[int, ...] = KS) -> DataFrame:
+def question_metrics(questions: DataFrame, ranking: DataFrame, judgments: DataFrame, ks: tuple[int, ...] = KS, backends: tuple[str, ...] | None = None) -> DataFrame:
     """question_id, backend, k, recall, precision, mrr, ndcg for every question, backend and k.
 
+    Naming the backends saves looking for them, and tells of those without any candidate.
+
     ranking: backend, question_id, chunk_id, rank; judgments: question_id, chunk_id, relevance (0 to 3). Relevant means a grade of 2 or
     more; nDCG uses all grades, its ideal list all judged ones. A question without relevant chunks has null recall; precision
     divides by k. Questions without candidates count with zeros.
     """
-    cut = questions.select("question_id").crossJoin(ranking.select("backend").distinct()).select("*", F.explode(F.array(*[F.lit(k) for k in ks])).alias("k"))
+    asked = questions.select("question_id")
+    known = asked.crossJoin(ranking.select("backend").distinct()) if backends is None else asked.select("*", F.explode(F.array(*[F.lit(b) for b in backends])).alias("backend"))
+    cut = known.select("*", F.explode(F.array(*[F.lit(k) for k in ks])).alias("k"))
     graded = ranking.join(judgments, ["question_id", "chunk_id"]).select("backend", "question_id", "rank", "relevance")
     at_k = graded.join(cut, ["question_id", "backend"]).where("rank <= k")
     hit = F.col("relevance") >= 2

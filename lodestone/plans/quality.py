@@ -15,13 +15,14 @@ from lodestone.plans.registry import query
 _BASE = f"{R._RANKS}, {JUDGMENTS}, {ITEMS}"
 
 
-def _judged(spark, sf_dir):
-    return judgments(R._overlap(spark, sf_dir), lexical.question_terms(questions(spark, sf_dir)))
+def _judged(spark, sf_dir, overlap=None):
+    return judgments(R._overlap(spark, sf_dir) if overlap is None else overlap, lexical.question_terms(questions(spark, sf_dir)))
 
 
 def _per_question(spark, sf_dir):
-    ranked = R.two_rankings(spark, sf_dir)
-    return evaluation.question_metrics(questions(spark, sf_dir), ranked.select("backend", "question_id", "chunk_id", "rank"), _judged(spark, sf_dir))
+    overlap = R._overlap(_with_checkpoints(spark), sf_dir).checkpoint()  # asked by the ranking and by the judgments
+    ranked = R.two_rankings(spark, sf_dir, overlap=overlap).select("backend", "question_id", "chunk_id", "rank")
+    return evaluation.question_metrics(questions(spark, sf_dir), ranked, _judged(spark, sf_dir, overlap), backends=("overlap", "bm25"))
 
 
 _METRICS = f"""{_BASE},

@@ -187,9 +187,10 @@ fused AS (SELECT question_id, chunk_id, round(sum(1.0::DOUBLE / (60 + rank)), 12
 rrf AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, best_rank, chunk_id) AS rank FROM fused)"""
 
 
-def two_rankings(spark, sf_dir, depth=20):
-    """backend, question_id, chunk_id, score, rank of token overlap and BM25."""
-    a = lexical.top_k(_overlap(spark, sf_dir).withColumn("score", F.col("score").cast("double")), depth, ["question_id"]).withColumn("backend", F.lit("overlap"))
+def two_rankings(spark, sf_dir, depth=20, overlap=None):
+    """backend, question_id, chunk_id, score, rank of token overlap (given where known already) and BM25."""
+    shared = _overlap(spark, sf_dir) if overlap is None else overlap
+    a = lexical.top_k(shared.withColumn("score", F.col("score").cast("double")), depth, ["question_id"]).withColumn("backend", F.lit("overlap"))
     b = lexical.top_k(_bm25(spark, sf_dir), depth, ["question_id"]).withColumn("backend", F.lit("bm25"))
     return a.unionByName(b)
 
