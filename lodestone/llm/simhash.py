@@ -107,60 +107,74 @@ def forest(fps: np.ndarray, bits: int, exact: int = 512) -> list[tuple[int, int]
     return out
 
 
-def _link_buckets(rows: DataFrame, bits: int) -> DataFrame:
-    """fp_a, fp_b: links that span each bucket's graph. rows: key (any number of columns `k*`), fp, in buckets of bounded size."""
-    keys = [c for c in rows.columns if c != "fp"]
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+def _link_buckets(rows: DataFrame, bits: int, most: int | None = None) -> DataFrame:
+    """a, b: links that span each bucket's graph; rows: key columns, then fp. Buckets of more than `most` rows only give their key, as k."""
+    keys = rows.columns[:-1]
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("k", pa.int64())])
 
-    def run(it):
-        held: list[np.ndarray] = []
-        for batch in it:
-            held.append(np.stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(batch.num_columns)]))
-            table = np.concatenate(held, axis=1)
-            change = np.flatnonzero((table[:-1, 1:] != table[:-1, :-1]).any(0)) + 1
-            if not len(change):
-                held = [table]
-                continue
-            done, held = table[:, : change[-1]], [table[:, change[-1] :]]
-            yield from links(done, np.concatenate([[0], change]))
-        if held:
-            table = np.concatenate(held, axis=1)
-            if table.shape[1]:
-                yield from links(table, np.concatenate([[0], np.flatnonzero((table[:-1, 1:] != table[:-1, :-1]).any(0)) + 1, [table.shape[1]]]))
-
-    def links(table, borders):
-        fps = table[-1].view(np.uint64) if table[-1].flags.c_contiguous else np.ascontiguousarray(table[-1]).view(np.uint64)
-        size = np.diff(borders)
+    def batch_of(a: np.ndarray, b: np.ndarray, large: list[int]):
+        a, b, none = pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.nulls(len(large), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.concat_arrays([a, none]), pa.concat_arrays([b, none]), pa.concat_arrays([pa.nulls(len(a), pa.int64()), pa.array(large, pa.int64())])], schema=schema)
+
+    def changes(table: np.ndarray) -> np.ndarray:
+        return np.flatnonzero((table[:-1, 1:] != table[:-1, :-1]).any(0)) + 1
+
+    def links(table: np.ndarray, borders: np.ndarray):
+        fps, size = np.ascontiguousarray(table[-1]).view(np.uint64), np.diff(borders)
         two = borders[:-1][size == 2]
         near = two[np.bitwise_count(fps[two] ^ fps[two + 1]) <= bits]
-        a, b = [fps[near]], [fps[near + 1]]
+        a, b, large = [fps[near]], [fps[near + 1]], []
         for start, n in zip(borders[:-1][size > 2].tolist(), size[size > 2].tolist(), strict=True):
+            if most is not None and n > most:
+                large.append(int(table[0, start]))
+                continue
             some = fps[start : start + n]
-            pairs = forest(some, bits)
-            if pairs:
+            if pairs := forest(some, bits):
                 i, j = np.array(pairs).T
                 a.append(some[i])
                 b.append(some[j])
-        a, b = np.concatenate(a).view(np.int64), np.concatenate(b).view(np.int64)
-        if len(a):
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], schema=schema)
+        return batch_of(np.concatenate(a), np.concatenate(b), large)
+
+    def run(it):
+        held = skipped = None
+        for batch in it:
+            table = np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns])
+            if skipped is not None:  # the rest of a bucket that is too large
+                table = table[:, (table[:-1] != skipped[:, None]).any(0)]
+                if not table.shape[1]:
+                    continue
+                skipped = None
+            if held is not None:
+                table = np.concatenate([held, table], axis=1)
+            if not table.shape[1]:
+                continue
+            cuts = changes(table)
+            if len(cuts):
+                yield links(table[:, : cuts[-1]], np.concatenate([[0], cuts]))
+                table = table[:, cuts[-1] :]
+            held = table
+            if most is not None and held.shape[1] > most:
+                skipped, held = held[:-1, 0].copy(), None
+                yield batch_of(np.empty(0, np.uint64), np.empty(0, np.uint64), [int(skipped[0])])
+        if held is not None and held.shape[1]:
+            yield links(held, np.array([0, held.shape[1]]))
 
-    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "a long, b long")
+    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "a long, b long, k long")
 
 
 def fingerprint_links(fps: DataFrame, split: int = 20_000) -> DataFrame:
     """a, b: links that span the graph of distinct fingerprints (column fp) within two differing bits; loses no connection."""
+    tasks = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     both = F.array(*[_variants(F.col("fp"), s, b) for s in (0, 1) for b in range(32)])
-    rows = fps.select("fp", F.explode(both).alias("k"))
-    size = rows.groupBy("k").agg(F.count(F.lit(1)).alias("n"))
-    hot = cut(size.where(F.col("n") > split).select("k"), "hot-variants")
+    rows = fps.select("fp").repartition(tasks).select(F.explode(both).alias("k"), "fp")  # few bytes a row, before they become 64 rows
+    found = cut(_link_buckets(rows, 2, split), "variant-links")
+    near, hot = found.where("k is null").select("a", "b"), found.where("k is not null").select("k").distinct()
     if hot.isEmpty():
-        return _link_buckets(rows.select("k", "fp"), 2)
-    cold = _link_buckets(rows.join(hot, "k", "left_anti").select("k", "fp"), 2)
+        return near
     other = F.when(F.shiftrightunsigned("k", 36) == 0, F.shiftrightunsigned("fp", 32)).otherwise(F.col("fp"))  # of the other segment the low 32 bits
     pieces = F.array(*[F.lit(i << 11).cast("long").bitwiseOR(F.expr(f"shiftrightunsigned(other, {at}) & {(1 << n) - 1}L")) for i, (at, n) in enumerate(((0, 11), (11, 11), (22, 10)))])
     again = rows.join(hot, "k").withColumn("other", other).select("k", F.explode(pieces).alias("k2"), "fp")
-    return cold.union(_link_buckets(again.select("k", "k2", "fp"), 2))
+    return near.union(_link_buckets(again, 2).select("a", "b"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
