@@ -151,24 +151,29 @@ def report(verified: DataFrame, by: str = "answer_id") -> DataFrame:
 
 
 def identity_failures(cited: DataFrame, versions: DataFrame, chunks: DataFrame) -> DataFrame:
-    """claim_id, reason: the first identity rule that a claim's evidence breaks, null if none does.
+    """claim_id, reason: the first rule that the first faulty piece of a claim's evidence breaks, null if all is well.
 
-    cited: claim_id, owner (expected), owner_id, chunk_id, document_id, version_id, is_active, quote. versions: document_id, version_id
-    (current); chunks: chunk_id, version_id (current). Rules come in order: id, owner, active, duplicate chunk, two versions of a
-    document, version not current, chunk not current, empty text.
+    cited: claim_id, position, owner (expected), owner_id, chunk_id, document_id, version_id, is_active, quote. versions: document_id,
+    version_id (current); chunks: chunk_id, document_id, version_id (current). Pieces are taken by position.
     """
     valid = lambda c: F.coalesce(F.col(c).rlike(r"^[A-Za-z0-9][A-Za-z0-9._:-]{0,127}$"), F.lit(False))
     now = versions.select("document_id", F.col("version_id").alias("_version")).dropDuplicates(["document_id"])
-    live = chunks.select("chunk_id", F.col("version_id").alias("_chunk_version")).dropDuplicates(["chunk_id"])
+    live = chunks.select("chunk_id", F.struct("document_id", "version_id").alias("_chunk")).dropDuplicates(["chunk_id"])
     df = cited.join(now, "document_id", "left").join(live, "chunk_id", "left")
-    any_ = lambda cond: F.max(F.when(F.coalesce(cond, F.lit(True)), 1).otherwise(0))
-    df = df.withColumn("_versions", F.size(F.collect_set("version_id").over(Window.partitionBy("claim_id", "document_id"))))
-    out = df.groupBy("claim_id").agg(
-        any_(~(valid("chunk_id") & valid("document_id") & valid("version_id"))).alias("a"), any_(F.col("owner_id") != F.col("owner")).alias("b"), any_(~F.col("is_active")).alias("c"), (F.count(F.lit(1)) > F.count_distinct("chunk_id")).cast("int").alias("d"),
-        any_(F.col("_versions") > 1).alias("e"), any_(F.col("version_id") != F.col("_version")).alias("f"), any_(F.col("version_id") != F.col("_chunk_version")).alias("g"), any_(F.btrim("quote") == "").alias("h"),
-    )
-    codes = {"a": "EVIDENCE_IDENTITY_INVALID", "b": "EVIDENCE_OWNER_MISMATCH", "c": "EVIDENCE_INACTIVE", "d": "EVIDENCE_DUPLICATE_CHUNK", "e": "EVIDENCE_CROSS_VERSION", "f": "EVIDENCE_VERSION_NOT_CURRENT", "g": "EVIDENCE_CHUNK_NOT_CURRENT", "h": "EVIDENCE_TEXT_EMPTY"}
-    return out.select("claim_id", F.coalesce(*[F.when(F.col(k) == 1, v) for k, v in codes.items()]).alias("reason"))
+    again = F.row_number().over(Window.partitionBy("claim_id", "chunk_id").orderBy("position")) > 1
+    first = F.first("version_id").over(Window.partitionBy("claim_id", "document_id").orderBy("position"))
+    code = (
+        F.when(~(valid("chunk_id") & valid("document_id") & valid("version_id") & valid("owner_id")), "EVIDENCE_IDENTITY_INVALID")
+        .when(F.col("owner_id") != F.col("owner"), "EVIDENCE_OWNER_MISMATCH")
+        .when(~F.coalesce(F.col("is_active"), F.lit(False)), "EVIDENCE_VERSION_NOT_ACTIVE")
+        .when(again, "EVIDENCE_CHUNK_ID_DUPLICATE")
+        .when(first != F.col("version_id"), "EVIDENCE_SET_CROSS_VERSION")
+        .when(~F.col("version_id").eqNullSafe(F.col("_version")), "EVIDENCE_VERSION_NOT_CURRENT")
+        .when(~F.struct("document_id", "version_id").eqNullSafe(F.col("_chunk")), "EVIDENCE_CHUNK_IDENTITY_NOT_CURRENT")
+        .when(F.coalesce(F.btrim("quote"), F.lit("")) == "", "BOUND_EVIDENCE_TEXT_EMPTY")
+    )
+    marked = df.withColumn("_code", code)
+    return marked.groupBy("claim_id").agg(F.min_by("_code", F.when(F.col("_code").isNotNull(), F.col("position"))).alias("reason"))
 
 
 def adjacent_pairs(chunks: DataFrame) -> DataFrame:

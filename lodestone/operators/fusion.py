@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from lodestone.functions.text import has_any
+from lodestone.functions import text as X
 
 # Words that make a question a comparison.
 COMPARISON_MARKERS = ("比较", "对比", "区别", "差异", "不同", "相比", "compare", "comparison", "difference", "versus", " vs ")
@@ -41,56 +41,73 @@ def route_rrf(hits: DataFrame, k: int = 60, top: int | None = None) -> DataFrame
 
 
 def score_pairs(pairs: DataFrame, scorer, left: str, right: str, batch: int = 16) -> DataFrame:
-    """Adds pair_score by scorer(list of (left, right)) -> list of numbers; a failed batch, wrong length or non-finite number gives nulls."""
+    """Adds pair_score by scorer(list of (left, right)) -> list of numbers, and pair_error where there is none.
+
+    A pair with a null side is TITLE_OR_TEMPLATE_UNAVAILABLE; a scorer that raises is MODEL_SCORING_UNAVAILABLE for its batch; a wrong number
+    of scores, or one that is no finite number, is MODEL_SCORE_INVALID for its batch.
+    """
+
+    def scored(some: list[tuple]) -> tuple[list, list]:
+        if any(x is None for p in some for x in p):
+            return [None] * len(some), ["TITLE_OR_TEMPLATE_UNAVAILABLE"] * len(some)
+        try:
+            got = list(scorer(some))
+        except Exception:  # noqa: BLE001  a scorer is foreign code; its failure is a result here
+            return [None] * len(some), ["MODEL_SCORING_UNAVAILABLE"] * len(some)
+        if len(got) != len(some) or not all(isinstance(x, int | float) and not isinstance(x, bool) and math.isfinite(x) for x in got):
+            return [None] * len(some), ["MODEL_SCORE_INVALID"] * len(some)
+        return [float(x) for x in got], [None] * len(some)
 
     def run(it):
         for part in it:
-            a, b = (part.column(part.schema.get_field_index(c)).to_pylist() for c in (left, right))
-            out: list = []
-            for at in range(0, len(a), batch):
-                some = list(zip(a[at : at + batch], b[at : at + batch], strict=True))
-                try:
-                    got = list(scorer(some))
-                except Exception:  # noqa: BLE001  a scorer is foreign code; its failure is a result here
-                    got = []
-                good = len(got) == len(some) and all(isinstance(x, int | float) and not isinstance(x, bool) and math.isfinite(x) for x in got)
-                out += [float(x) for x in got] if good else [None] * len(some)
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(out, pa.float64())], names=[*part.schema.names, "pair_score"])
+            both = list(zip(*(part.column(part.schema.get_field_index(c)).to_pylist() for c in (left, right)), strict=True))
+            scores: list = []
+            errors: list = []
+            for at in range(0, len(both), batch):
+                a, b = scored(both[at : at + batch])
+                scores += a
+                errors += b
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(scores, pa.float64()), pa.array(errors, pa.string())], names=[*part.schema.names, "pair_score", "pair_error"])
 
-    return pairs.mapInArrow(run, T.StructType([*pairs.schema.fields, T.StructField("pair_score", T.DoubleType())]))
+    return pairs.mapInArrow(run, T.StructType([*pairs.schema.fields, T.StructField("pair_score", T.DoubleType()), T.StructField("pair_error", T.StringType())]))
 
 
 def rerank(candidates: DataFrame, top: int, score: str = "pair_score", depth: int = 20) -> DataFrame:
     """Order by score, then former rank; questions with an invalid score among their candidates keep the former order.
 
-    Adds status APPLIED or FALLBACK and replaces rank; former_rank keeps the old one.
+    Adds status APPLIED or FALLBACK and failure_code (the first in order of pair_error, where candidates have it), and replaces rank;
+    former_rank keeps the old one.
     """
     used = candidates.where(F.col("rank") <= depth)
     group = Window.partitionBy("question_id")
-    bad = F.max(F.when(F.col(score).isNull() | F.isnan(score), 1).otherwise(0)).over(group)
-    marked = used.withColumn("status", F.when(bad == 1, "FALLBACK").otherwise("APPLIED"))
-    order = group.orderBy(F.desc(F.when(F.col("status") == "APPLIED", F.col(score))), "rank")
-    return marked.withColumn("new_rank", F.row_number().over(order)).where(F.col("new_rank") <= top).withColumnRenamed("rank", "former_rank").withColumnRenamed("new_rank", "rank")
+    bad = F.max(F.when(F.col(score).isNull() | F.isnan(score) | (F.abs(score) == float("inf")), 1).otherwise(0)).over(group)
+    code = F.lit("MODEL_SCORE_INVALID")
+    if "pair_error" in candidates.columns:
+        for name in ("MODEL_SCORING_UNAVAILABLE", "TITLE_OR_TEMPLATE_UNAVAILABLE"):
+            code = F.when(F.max(F.when(F.col("pair_error") == name, 1).otherwise(0)).over(group) == 1, name).otherwise(code)
+    marked = used.withColumn("_bad", bad == 1).withColumn("failure_code", F.when(F.col("_bad"), code)).withColumn("status", F.when(F.col("_bad"), "FALLBACK").otherwise("APPLIED"))
+    order = group.orderBy(F.desc(F.when(~F.col("_bad"), F.col(score))), "rank")
+    return marked.withColumn("new_rank", F.row_number().over(order)).where(F.col("new_rank") <= top).drop("_bad").withColumnRenamed("rank", "former_rank").withColumnRenamed("new_rank", "rank")
 
 
-def coverage(candidates: DataFrame, top: int = 3, question: str = "question") -> DataFrame:
+def coverage(candidates: DataFrame, top: int = 3, question: str = "question", enabled: bool = True) -> DataFrame:
     """Selection for two-document comparisons: the best candidate of each route, then the best others, in their former order.
 
-    candidates: question_id, question, requested_routes (array), route, chunk_id, rank. Where a precondition fails the first `top`
-    stay and status says which: ROUTE_COUNT_NOT_TWO, TOP_K_UNSUPPORTED, COMPARISON_NOT_PROVEN, TOO_FEW_CANDIDATES, ROUTE_UNKNOWN or
-    ROUTE_MISSING; else it is APPLIED.
+    candidates: question_id, question, requested_routes (array), route, chunk_id, rank. Adds status APPLIED, FALLBACK or DISABLED and
+    failure_code, the first precondition that fails; unless APPLIED, the first `top` candidates stay.
     """
     group = Window.partitionBy("question_id")
-    routes = F.array_distinct("requested_routes")
+    routes = F.col("requested_routes")
     n = F.count(F.lit(1)).over(group)
     unknown = F.max(F.when(F.array_contains(routes, F.col("route")), 0).otherwise(1)).over(group)
     present = F.size(F.collect_set("route").over(group))
-    status = (
-        F.when(F.size(routes) != 2, "ROUTE_COUNT_NOT_TWO").when(F.lit(top != 3), "TOP_K_UNSUPPORTED").when(~has_any(F.lower(question), COMPARISON_MARKERS), "COMPARISON_NOT_PROVEN")
-        .when(n < 3, "TOO_FEW_CANDIDATES").when(unknown == 1, "ROUTE_UNKNOWN").when(present < 2, "ROUTE_MISSING").otherwise("APPLIED")
+    code = F.lit("SWITCH_DISABLED") if not enabled else (
+        F.when((F.size(routes) != 2) | (F.size(F.array_distinct(routes)) != 2), "ROUTE_COUNT_NOT_TWO").when(F.lit(top != 3), "FINAL_TOP_K_NOT_THREE").when(~X.has_any(F.lower(question), COMPARISON_MARKERS), "COMPARISON_NOT_PROVEN")
+        .when(n < top, "CANDIDATE_COUNT_INSUFFICIENT").when(unknown == 1, "CANDIDATE_ROUTE_OUTSIDE_SCOPE").when(present < 2, "ROUTE_CANDIDATE_UNAVAILABLE")
     )
     first = F.row_number().over(Window.partitionBy("question_id", "route").orderBy("rank")) == 1
-    marked = candidates.withColumn("status", status).withColumn("_first", first)
+    marked = candidates.withColumn("failure_code", code).withColumn("_first", first)
+    marked = marked.withColumn("status", F.when(F.col("failure_code").isNull(), "APPLIED").when(F.col("failure_code") == "SWITCH_DISABLED", "DISABLED").otherwise("FALLBACK"))
     place = F.row_number().over(group.orderBy(F.when((F.col("status") == "APPLIED") & F.col("_first"), 0).otherwise(1), "rank"))
     kept = marked.withColumn("_place", place).where(F.col("_place") <= top)
     return kept.withColumn("new_rank", F.row_number().over(group.orderBy("rank"))).drop("_first", "_place").withColumnRenamed("rank", "former_rank").withColumnRenamed("new_rank", "rank")

@@ -193,16 +193,16 @@ def clm_enforced(spark, sf_dir):
     return answers.enforced(v)
 
 
-@query("""WITH o AS (SELECT *, 'c' || CAST(o_custkey AS VARCHAR) AS claim_id, CASE WHEN o_orderstatus = 'P' THEN 'u2' ELSE 'u1' END AS owner_id, 'd' || o_orderpriority AS d FROM orders),
-g AS (SELECT claim_id, bool_or(owner_id <> 'u1') AS b, bool_or(o_totalprice < 2000) AS c, count(*) > count(DISTINCT o_orderdate) AS dup FROM o GROUP BY claim_id)
-SELECT claim_id, CASE WHEN b THEN 'EVIDENCE_OWNER_MISMATCH' WHEN c THEN 'EVIDENCE_INACTIVE' WHEN dup THEN 'EVIDENCE_DUPLICATE_CHUNK' END AS reason FROM g""")
+@query("""WITH o AS (SELECT 'c' || CAST(o_custkey AS VARCHAR) AS claim_id, o_orderkey AS position, CASE WHEN o_orderstatus = 'P' THEN 'u2' ELSE 'u1' END AS owner_id, strftime(o_orderdate, '%Y%m%d') AS chunk, o_totalprice FROM orders),
+m AS (SELECT claim_id, position, CASE WHEN owner_id <> 'u1' THEN 'EVIDENCE_OWNER_MISMATCH' WHEN o_totalprice < 2000 THEN 'EVIDENCE_VERSION_NOT_ACTIVE' WHEN row_number() OVER (PARTITION BY claim_id, chunk ORDER BY position) > 1 THEN 'EVIDENCE_CHUNK_ID_DUPLICATE' WHEN chunk LIKE '%01' THEN 'EVIDENCE_CHUNK_IDENTITY_NOT_CURRENT' END AS code FROM o)
+SELECT claim_id, arg_min(code, position) FILTER (code IS NOT NULL) AS reason FROM m GROUP BY claim_id""")
 def clm_identity_gate(spark, sf_dir):
     """Orders as cited evidence of customers as claims."""
     o = table(spark, sf_dir, "orders")
     chunk = F.concat(F.lit("k"), F.date_format("o_orderdate", "yyyyMMdd"))
-    doc = F.concat(F.lit("d"), F.substring("o_orderpriority", 1, 1))
-    cited = o.select(F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("claim_id"), F.lit("u1").alias("owner"), F.when(F.col("o_orderstatus") == "P", "u2").otherwise("u1").alias("owner_id"), chunk.alias("chunk_id"), doc.alias("document_id"), F.lit("v1").alias("version_id"), (F.col("o_totalprice") >= 2000).alias("is_active"), F.col("o_orderpriority").alias("quote"))
-    versions, live = cited.select("document_id", "version_id").distinct(), cited.select("chunk_id", "version_id").distinct()
+    doc = F.concat(F.lit("d"), F.date_format("o_orderdate", "yyyyMMdd"))
+    cited = o.select(F.col("o_orderkey").alias("position"), F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("claim_id"), F.lit("u1").alias("owner"), F.when(F.col("o_orderstatus") == "P", "u2").otherwise("u1").alias("owner_id"), chunk.alias("chunk_id"), doc.alias("document_id"), F.lit("v1").alias("version_id"), (F.col("o_totalprice") >= 2000).alias("is_active"), F.col("o_orderpriority").alias("quote"))
+    versions, live = cited.select("document_id", "version_id").distinct(), cited.where("not endswith(chunk_id, '01')").select("chunk_id", "document_id", "version_id").distinct()
     return claims.identity_failures(cited, versions, live)
 
 

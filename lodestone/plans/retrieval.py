@@ -242,9 +242,9 @@ def fus_rerank_provider(spark, sf_dir):
 @query(f"""WITH {_RANKS}, pool AS (SELECT r.question_id, r.chunk_id, r.rank, c.visibility AS route FROM rrf r JOIN chunks c USING (chunk_id) WHERE r.rank <= 20 AND c.visibility <> 'private'),
 ranked AS (SELECT question_id, chunk_id, route, row_number() OVER (PARTITION BY question_id ORDER BY rank) AS rank FROM pool),
 m AS (SELECT *, count(*) OVER (PARTITION BY question_id) AS n, min(route) OVER (PARTITION BY question_id) <> max(route) OVER (PARTITION BY question_id) AS two, row_number() OVER (PARTITION BY question_id, route ORDER BY rank) = 1 AS first FROM ranked),
-st AS (SELECT *, CASE WHEN question_id % 2 = 1 THEN 'COMPARISON_NOT_PROVEN' WHEN n < 3 THEN 'TOO_FEW_CANDIDATES' WHEN NOT two THEN 'ROUTE_MISSING' ELSE 'APPLIED' END AS status FROM m),
-k AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY CASE WHEN status = 'APPLIED' AND first THEN 0 ELSE 1 END, rank) AS place FROM st)
-SELECT question_id, chunk_id, route, status, CAST(rank AS INTEGER) AS former_rank, CAST(row_number() OVER (PARTITION BY question_id ORDER BY rank) AS INTEGER) AS rank FROM k WHERE place <= 3""")
+st AS (SELECT *, CASE WHEN question_id % 2 = 1 THEN 'COMPARISON_NOT_PROVEN' WHEN n < 3 THEN 'CANDIDATE_COUNT_INSUFFICIENT' WHEN NOT two THEN 'ROUTE_CANDIDATE_UNAVAILABLE' END AS failure_code FROM m),
+k AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY CASE WHEN failure_code IS NULL AND first THEN 0 ELSE 1 END, rank) AS place FROM st)
+SELECT question_id, chunk_id, route, CASE WHEN failure_code IS NULL THEN 'APPLIED' ELSE 'FALLBACK' END AS status, failure_code, CAST(rank AS INTEGER) AS former_rank, CAST(row_number() OVER (PARTITION BY question_id ORDER BY rank) AS INTEGER) AS rank FROM k WHERE place <= 3""")
 def fus_route_coverage(spark, sf_dir):
     """Two routes by visibility; questions with an even id ask for a comparison."""
     from pyspark.sql.window import Window
@@ -253,7 +253,7 @@ def fus_route_coverage(spark, sf_dir):
     ranked = pool.withColumn("rank", F.row_number().over(Window.partitionBy("question_id").orderBy("rank")))
     asked = F.when(F.pmod("question_id", F.lit(2)) == 0, "compare the two").otherwise("tell of one")
     given = ranked.withColumns({"question": asked, "requested_routes": F.array(F.lit("public"), F.lit("tenant"))})
-    return fusion.coverage(given).select("question_id", "chunk_id", "route", "status", "former_rank", "rank")
+    return fusion.coverage(given).select("question_id", "chunk_id", "route", "status", "failure_code", "former_rank", "rank")
 
 
 @query(f"""WITH {_COSINE}, n AS (SELECT question_id, count(*) AS n FROM dense WHERE rank <= 10 GROUP BY question_id),
@@ -270,8 +270,8 @@ def fus_decompose(spark, sf_dir):
     from lodestone.operators.decompose import ComparisonConfig, decompose
 
     config = ComparisonConfig({"even": ("first report",), "odd": ("second report",)}, ("compare",), ("then",))
-    q = questions(spark, sf_dir).select("question_id", F.concat(F.lit("Compare the first report and the second report: "), X.squeeze(F.col("question"))).alias("question"), F.array(F.lit("even"), F.lit("odd")).alias("document_ids"))
-    return decompose(q, config).select("question_id", "status", F.col("queries")["even"].alias("left_query"), F.col("queries")["odd"].alias("right_query"))
+    q = questions(spark, sf_dir).select("question_id", F.concat(F.lit("Compare the first report vs the second report在 "), X.squeeze(F.col("question"))).alias("question"), F.array(F.lit("even"), F.lit("odd")).alias("document_ids"))
+    return decompose(q, config).select("question_id", "status", "failure_code", F.col("queries")["even"].alias("left_query"), F.col("queries")["odd"].alias("right_query"))
 
 
 _TOP3 = f"{_RANKS}, top3 AS (SELECT * FROM rrf WHERE rank <= 3)"

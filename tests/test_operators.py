@@ -79,7 +79,8 @@ def test_rrf_and_coverage(spark):
     pool = [(1, "compare a and b", ["r1", "r2"], "r1", f"c{i}", i) for i in range(1, 5)] + [(1, "compare a and b", ["r1", "r2"], "r2", "c9", 9)]
     pool += [(2, "tell", ["r1", "r2"], "r1", f"d{i}", i) for i in range(1, 5)]
     c = fusion.coverage(spark.createDataFrame(pool, "question_id long, question string, requested_routes array<string>, route string, chunk_id string, rank int")).collect()
-    assert [(x.chunk_id, x.rank, x.status) for x in sorted(c, key=lambda x: (x.question_id, x.rank))] == [("c1", 1, "APPLIED"), ("c2", 2, "APPLIED"), ("c9", 3, "APPLIED"), ("d1", 1, "COMPARISON_NOT_PROVEN"), ("d2", 2, "COMPARISON_NOT_PROVEN"), ("d3", 3, "COMPARISON_NOT_PROVEN")]
+    assert [(x.chunk_id, x.rank, x.status) for x in sorted(c, key=lambda x: (x.question_id, x.rank))] == [("c1", 1, "APPLIED"), ("c2", 2, "APPLIED"), ("c9", 3, "APPLIED"), ("d1", 1, "FALLBACK"), ("d2", 2, "FALLBACK"), ("d3", 3, "FALLBACK")]
+    assert {x.failure_code for x in c} == {None, "COMPARISON_NOT_PROVEN"}
 
 
 def test_rerank_falls_back(spark):
@@ -87,36 +88,53 @@ def test_rerank_falls_back(spark):
     got = fusion.rerank(spark.createDataFrame(rows, "question_id long, chunk_id string, rank int, pair_score double"), 2).collect()
     assert {(r.question_id, r.chunk_id): (r.rank, r.status) for r in got} == {(1, "b"): (1, "APPLIED"), (1, "a"): (2, "APPLIED"), (2, "a"): (1, "FALLBACK"), (2, "b"): (2, "FALLBACK"), (3, "a"): (1, "FALLBACK"), (3, "b"): (2, "FALLBACK")}
     pairs = spark.createDataFrame([("q", "t")] * 3, "l string, r string")
-    for bad in (lambda p: [1.0] * (len(p) + 1), lambda p: 1 / 0, lambda p: [True] * len(p), lambda p: [float("inf")] * len(p)):
-        assert {r.pair_score for r in fusion.score_pairs(pairs, bad, "l", "r").collect()} == {None}
+    for bad, code in ((lambda p: [1.0] * (len(p) + 1), "MODEL_SCORE_INVALID"), (lambda p: 1 / 0, "MODEL_SCORING_UNAVAILABLE"), (lambda p: [True] * len(p), "MODEL_SCORE_INVALID"), (lambda p: [float("inf")] * len(p), "MODEL_SCORE_INVALID")):
+        assert {(r.pair_score, r.pair_error) for r in fusion.score_pairs(pairs, bad, "l", "r").collect()} == {(None, code)}
+    none = fusion.score_pairs(pairs.select("l", F.lit(None).cast("string").alias("r")), lambda p: [0.0] * len(p), "l", "r")
+    assert {r.pair_error for r in none.collect()} == {"TITLE_OR_TEMPLATE_UNAVAILABLE"}
+
+
+def test_identity_gate(spark):
+    good = {"owner": "u", "owner_id": "u", "chunk_id": "k1", "document_id": "d1", "version_id": "v1", "is_active": True, "quote": "q"}
+    sets = {
+        "ok": [{}, {"chunk_id": "k2"}], "id": [{"chunk_id": "-bad"}], "owner": [{"owner_id": "x"}], "active": [{"is_active": None}], "twice": [{}, {}], "cross": [{}, {"chunk_id": "k3", "version_id": "v2"}], "version": [{"document_id": "d2", "chunk_id": "k4", "version_id": "v1"}],
+        "chunk": [{"chunk_id": "k9"}], "empty": [{"quote": " "}], "first": [{"quote": ""}, {"owner_id": "x", "chunk_id": "k2"}],
+    }
+    rows = [(claim, i + 1, *(good | e).values()) for claim, es in sets.items() for i, e in enumerate(es)]
+    cited = spark.createDataFrame(rows, "claim_id string, position int, owner string, owner_id string, chunk_id string, document_id string, version_id string, is_active boolean, quote string")
+    versions = spark.createDataFrame([("d1", "v1"), ("d2", "v7")], "document_id string, version_id string")
+    live = spark.createDataFrame([("k1", "d1", "v1"), ("k2", "d1", "v1"), ("k4", "d2", "v1")], "chunk_id string, document_id string, version_id string")
+    got = {r.claim_id: r.reason for r in claims.identity_failures(cited, versions, live).collect()}
+    assert got == {"ok": None, "id": "EVIDENCE_IDENTITY_INVALID", "owner": "EVIDENCE_OWNER_MISMATCH", "active": "EVIDENCE_VERSION_NOT_ACTIVE", "twice": "EVIDENCE_CHUNK_ID_DUPLICATE", "cross": "EVIDENCE_SET_CROSS_VERSION", "version": "EVIDENCE_VERSION_NOT_CURRENT", "chunk": "EVIDENCE_CHUNK_IDENTITY_NOT_CURRENT", "empty": "BOUND_EVIDENCE_TEXT_EMPTY", "first": "BOUND_EVIDENCE_TEXT_EMPTY"}
 
 
 CONFIG = decompose.ComparisonConfig({"A": ("alpha net", "AlphaNet"), "B": ("betanet",)}, ("compare", "difference", "比较"), ("in contrast", "turning to"))
 PLANS = [
-    ("Compare AlphaNet vs BetaNet如何训练?", "APPLIED", {"A": "Compare AlphaNet 如何训练", "B": "Compare BetaNet如何训练"}),
-    ("Compare them. " and "Compare methods; AlphaNet uses x; BetaNet uses y", "APPLIED", {"A": "AlphaNet uses x Compare methods", "B": "BetaNet uses y Compare methods"}),
-    ("Compare the first one; in contrast AlphaNet uses x", "APPLIED", {"A": "in contrast AlphaNet uses x", "B": "Compare the first one"}),
+    ("Compare AlphaNet vs BetaNet如何训练?", None, {"A": "AlphaNet Compare 如何训练", "B": "BetaNet Compare 如何训练"}),
+    ("比较 AlphaNet 的方法和 BetaNet 的方法在训练中的差异。请详述", None, {"A": "AlphaNet 的方法 比较 在训练中的差异 请详述", "B": "BetaNet 的方法 比较 在训练中的差异 请详述"}),
+    ("Compare methods; AlphaNet uses x; BetaNet uses y", None, {"A": "AlphaNet uses x Compare methods", "B": "BetaNet uses y Compare methods"}),
+    ("Compare the first one; in contrast AlphaNet uses x", None, {"A": "in contrast AlphaNet uses x", "B": "Compare the first one"}),
+    ("Compare the first one; in contrast AlphaNet uses x; and more", None, {"A": "in contrast AlphaNet uses x and more", "B": "Compare the first one and more"}),
     ("Compare the first one; AlphaNet uses x", "BILATERAL_DECOMPOSITION_UNPROVEN", None),
-    ("Compare AlphaNet BetaNet", "BILATERAL_DECOMPOSITION_UNPROVEN", None),
+    ("Compare AlphaNet vs BetaNet", "BILATERAL_DECOMPOSITION_UNPROVEN", None),
+    ("Compare AlphaNet BetaNet如何", "BILATERAL_DECOMPOSITION_UNPROVEN", None),
     ("Compare nothing", "BILATERAL_DECOMPOSITION_UNPROVEN", None),
-    ("AlphaNet vs BetaNet", "COMPARISON_NOT_PROVEN", None),
+    ("AlphaNet vs BetaNet如何", "COMPARISON_NOT_PROVEN", None),
     ("  ", "QUESTION_BLANK", None),
 ]
 
 
-@pytest.mark.parametrize("question,status,queries", PLANS)
-def test_decompose(question, status, queries):
-    got = decompose.plan(question, ["A", "B"], CONFIG)
-    assert got[0] == status
-    assert got[1] == (queries or {"A": question, "B": question})
+@pytest.mark.parametrize("question,code,queries", PLANS)
+def test_decompose(question, code, queries):
+    assert decompose.plan(question, ["A", "B"], CONFIG) == ("FALLBACK" if code else "APPLIED", code, queries or {"A": question, "B": question})
 
 
 def test_decompose_preconditions(spark):
-    assert decompose.plan("q", ["A"], CONFIG)[0] == "ROUTE_COUNT_NOT_TWO"
-    assert decompose.plan("compare", ["A", "C"], CONFIG)[0] == "DOCUMENT_IDENTITY_UNAVAILABLE"
-    assert decompose.plan("compare", ["A", "B"], decompose.ComparisonConfig(CONFIG.aliases, CONFIG.comparison_markers, enabled=False))[0] == "SWITCH_DISABLED"
+    assert decompose.plan("q", ["A"], CONFIG)[:2] == decompose.plan("q", ["A", "A"], CONFIG)[:2] == ("FALLBACK", "ROUTE_COUNT_NOT_TWO")
+    assert decompose.plan("compare", ["A", "C"], CONFIG)[1] == "DOCUMENT_IDENTITY_UNAVAILABLE"
+    assert decompose.plan("compare", ["A", "B"], decompose.ComparisonConfig(CONFIG.aliases, CONFIG.comparison_markers, enabled=False))[:2] == ("DISABLED", "SWITCH_DISABLED")
     df = spark.createDataFrame([(PLANS[0][0], ["A", "B"]), (None, None)], "question string, document_ids array<string>")
-    assert sorted(r.status for r in decompose.decompose(df, CONFIG).collect()) == ["APPLIED", "ROUTE_COUNT_NOT_TWO"]
+    assert sorted(map(str, ((r.status, r.failure_code) for r in decompose.decompose(df, CONFIG).collect()))) == ["('APPLIED', None)", "('FALLBACK', 'ROUTE_COUNT_NOT_TWO')"]
     a = spark.createDataFrame([("A", "Net"), ("B", "net"), ("B", "other")], "document_id string, alias string")
     assert [r.alias for r in decompose.ambiguous_aliases(a).collect()] == ["net"]
 
