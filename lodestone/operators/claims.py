@@ -184,14 +184,14 @@ def adjacent_pairs(chunks: DataFrame) -> DataFrame:
 
 
 def with_adjacent(claims: DataFrame, neighbours: DataFrame) -> DataFrame:
-    """Claims verified again with one adjacent quote where that betters the verdict: PARTIALLY_SUPPORTED or INSUFFICIENT become SUPPORTED.
+    """Claims verified again with one adjacent quote where that settles the verdict: supported by the set, or in conflict.
 
     neighbours: claim_id, position (order of trial), quote. At most one neighbour is used, the first that helps.
     """
     alone = verify_set(claims).withColumn("position", F.lit(0))
     more = claims.join(neighbours, "claim_id")
     more = more.withColumn("citation_ids", F.concat("citation_ids", F.array(F.size("quotes") + 1))).withColumn("quotes", F.concat("quotes", F.array("quote"))).drop("quote")
-    tried = verify_set(more).where("status = 'SUPPORTED_BY_EVIDENCE_SET'")
+    tried = verify_set(more).where("status in ('SUPPORTED_BY_EVIDENCE_SET', 'CONFLICTING_EVIDENCE')")
     both = alone.unionByName(tried, allowMissingColumns=True)
     order = Window.partitionBy("claim_id").orderBy(F.when(F.col("status").isin("SUPPORTED_BY_EVIDENCE_SET", "CONFLICTING_EVIDENCE"), 0).otherwise(1), "position")
     return both.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n").withColumn("expanded", F.col("position") > 0).drop("position")

@@ -174,9 +174,9 @@ def test_evidence_sets(spark):
     df = spark.createDataFrame(rows, "claim_id int, text string, citation_ids array<int>, quotes array<string>")
     got = {r.claim_id: r.status for r in claims.verify_set(df).collect()}
     assert got == {1: "PARTIALLY_SUPPORTED", 2: "CONFLICTING_EVIDENCE", 3: "SUPPORTED_BY_EVIDENCE_SET", 4: "INSUFFICIENT_EVIDENCE"}
-    more = spark.createDataFrame([(1, 1, "nothing"), (1, 2, "bananas grow on trees"), (4, 1, "nothing")], "claim_id int, position int, quote string")
+    more = spark.createDataFrame([(1, 1, "nothing"), (1, 2, "bananas grow on trees"), (2, 1, "Training took 9 weeks."), (4, 1, "nothing")], "claim_id int, position int, quote string")
     got = {r.claim_id: (r.status, r.expanded) for r in claims.with_adjacent(df, more).collect()}
-    assert got[1] == ("SUPPORTED_BY_EVIDENCE_SET", True) and got[4] == ("INSUFFICIENT_EVIDENCE", False) and got[3] == ("SUPPORTED_BY_EVIDENCE_SET", False)
+    assert got[1] == ("SUPPORTED_BY_EVIDENCE_SET", True) and got[4] == ("INSUFFICIENT_EVIDENCE", False) and got[3] == ("SUPPORTED_BY_EVIDENCE_SET", False) and got[2] == ("CONFLICTING_EVIDENCE", False)
 
 
 def test_claim_payloads(spark):
