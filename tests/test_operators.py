@@ -249,6 +249,13 @@ def test_section_paths(spark):
     assert [r.section_path for r in chunking.section_paths(df).orderBy("source_start").collect()] == ["1. A", "1. A", "1. A > 1.1. B", "1. A > 1.1. B", "2. C", "2. C"]
 
 
+def test_page_ranges(spark):
+    blocks = spark.createDataFrame([("d", 0, 5, 1, "A"), ("d", 5, 9, 1, "B"), ("d", 9, 12, 2, "A"), ("d", 12, 20, 3, "C")], "document_id string, source_start int, source_end int, page_number int, section_path string")
+    c = spark.createDataFrame([("d", "k1", 0, 10), ("d", "k2", 0, 3), ("d", "k3", 10, 20)], "document_id string, chunk_id string, source_start int, source_end int")
+    got = {r.chunk_id: tuple(r)[1:] for r in chunking.page_ranges(c, blocks).collect()}
+    assert got == {"k1": (1, 2, "A -> B"), "k2": (1, 1, "A"), "k3": (2, 3, "A -> C")}
+
+
 def test_text_functions(spark):
     df = spark.createDataFrame([("Took 3 weeks, 1.5e3 x and -2% of 7 days; v2.0 ok. Next 中文测试 [2][1][2]",)], "t string")
     t = F.col("t")
