@@ -105,28 +105,34 @@ def promotion(macro: DataFrame, types: DataFrame, baseline: str, candidate: str,
 
 
 def case_failures(cases: DataFrame, observed: DataFrame, evidence: DataFrame) -> DataFrame:
-    """case_id, passed, failures (codes joined by commas).
+    """case_id, passed, failures (array of lines that say what was expected and what came).
 
     cases: case_id, http_status, answer_status, error_code, min_evidence, max_evidence, required (array of document_id, page_start,
-    page_end), forbidden (array of document_id), warnings (array). observed: case_id, http_status, answer_status, error_code, warnings.
-    evidence: case_id, document_id, page_start, page_end.
+    page_end), forbidden (array of document_id), warnings (array); a null status, code or maximum isn't checked. observed: case_id,
+    http_status, answer_status, error_code, warnings. evidence: case_id, document_id, page_start, page_end.
     """
-    o = observed.select("case_id", F.col("http_status").alias("o_http"), F.col("answer_status").alias("o_status"), F.col("error_code").alias("o_error"), F.col("warnings").alias("o_warnings"))
+    none = F.array().cast("array<string>")
+    o = observed.select("case_id", F.col("http_status").alias("o_http"), F.col("answer_status").alias("o_status"), F.col("error_code").alias("o_error"), F.coalesce("warnings", none).alias("o_warnings"))
     found = evidence.groupBy("case_id").agg(F.collect_list(F.struct("document_id", "page_start", "page_end")).alias("found"))
-    df = cases.join(o, "case_id", "left").join(found, "case_id", "left").withColumn("found", F.coalesce("found", F.array().cast("array<struct<document_id:string,page_start:int,page_end:int>>")))
+    df = cases.join(o, "case_id", "left").join(found, "case_id", "left").withColumn("found", F.coalesce("found", F.array().cast("array<struct<document_id:string,page_start:int,page_end:int>>"))).withColumn("o_warnings", F.coalesce("o_warnings", none))
     met = lambda r: F.exists("found", lambda e: (e["document_id"] == r["document_id"]) & (e["page_start"] <= r["page_end"]) & (e["page_end"] >= r["page_start"]))
-    checks = [
-        (~F.col("o_http").eqNullSafe(F.col("http_status")), "HTTP_STATUS"),
-        (~F.col("o_status").eqNullSafe(F.col("answer_status")), "ANSWER_STATUS"),
-        (~F.col("o_error").eqNullSafe(F.col("error_code")), "ERROR_CODE"),
-        (F.size("found") < F.col("min_evidence"), "TOO_LITTLE_EVIDENCE"),
-        (F.size("found") > F.col("max_evidence"), "TOO_MUCH_EVIDENCE"),
-        (~F.forall("required", met), "REQUIRED_EVIDENCE_MISSING"),
-        (F.exists("found", lambda e: F.array_contains("forbidden", e["document_id"])), "FORBIDDEN_DOCUMENT"),
-        (F.size(F.array_except("warnings", F.coalesce("o_warnings", F.array().cast("array<string>")))) > 0, "WARNING_MISSING"),
-    ]
-    codes = F.array_compact(F.array(*[F.when(F.coalesce(c, F.lit(True)), code) for c, code in checks]))
-    return df.select("case_id", (F.size(codes) == 0).alias("passed"), F.array_join(codes, ",").alias("failures"))
+    text = lambda c: F.coalesce(c.cast("string"), F.lit("None"))
+    n = F.size("found")
+    hits = F.array_sort(F.array_intersect("forbidden", F.transform("found", lambda e: e["document_id"])))
+    lacking = F.array_sort(F.array_except("warnings", "o_warnings"))
+    line = lambda cond, *parts: F.when(F.coalesce(cond, F.lit(True)), F.concat(*[F.lit(p) if isinstance(p, str) else text(p) for p in parts]))
+    differs = lambda want, got: F.col(want).isNotNull() & ~F.col(want).eqNullSafe(F.col(got))
+    lines = F.array(
+        line(differs("http_status", "o_http"), "http_status expected ", F.col("http_status"), ", got ", F.col("o_http")),
+        line(differs("answer_status", "o_status"), "answer_status expected ", F.col("answer_status"), ", got ", F.col("o_status")),
+        line(differs("error_code", "o_error"), "error_code expected ", F.col("error_code"), ", got ", F.col("o_error")),
+        line(n < F.coalesce("min_evidence", F.lit(0)), "evidence_count expected >= ", F.col("min_evidence"), ", got ", n),
+        line(F.col("max_evidence").isNotNull() & (n > F.col("max_evidence")), "evidence_count expected <= ", F.col("max_evidence"), ", got ", n),
+    )
+    missing = F.transform(F.filter("required", lambda r: ~met(r)), lambda r: F.concat(F.lit("required_evidence missing "), r["document_id"], F.lit(":"), text(r["page_start"]), F.lit("-"), text(r["page_end"])))
+    rest = F.array(line(F.size(hits) > 0, "forbidden_document_ids present: ", F.array_join(hits, ",")), line(F.size(lacking) > 0, "required_warnings missing: ", F.array_join(lacking, ",")))
+    failures = F.array_compact(F.concat(lines, missing, rest))
+    return df.select("case_id", (F.size(failures) == 0).alias("passed"), failures.alias("failures"))
 
 
 def paired_latency(control: DataFrame, treatment: DataFrame, most_more: float = 50.0) -> DataFrame:

@@ -93,7 +93,7 @@ def build_cases(items: DataFrame, warnings: dict[str, str]) -> DataFrame:
         F.when(kind == "ANSWERABLE", "COMPLETED").when(kind == "NO_EVIDENCE", "NO_EVIDENCE").alias("answer_status"),
         F.when(kind == "FORBIDDEN", "RAG_FORBIDDEN_SCOPE").alias("error_code"),
         F.when(kind == "ANSWERABLE", 1).otherwise(0).alias("min_evidence"),
-        F.when(kind == "ANSWERABLE", 1 << 30).otherwise(0).alias("max_evidence"),
+        F.when(kind != "ANSWERABLE", 0).alias("max_evidence"),
         "required",
         F.when(kind == "FORBIDDEN", F.col("expected_filters.document_ids")).otherwise(none).alias("forbidden"),
         warned.alias("warnings"),

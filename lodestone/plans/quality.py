@@ -131,8 +131,8 @@ def evl_paired_latency(spark, sf_dir):
 
 
 @query("""WITH c AS (SELECT user_id AS case_id, count(*) AS n, bool_or(event_type = 'error') AS bad, bool_or(event_type = 'purchase' AND value < 1) AS forbidden, max(CAST(value AS INTEGER)) FILTER (event_type = 'view') AS top FROM events GROUP BY user_id),
-f AS (SELECT case_id, list_filter([CASE WHEN bad AND case_id % 2 = 0 THEN 'ANSWER_STATUS' END, CASE WHEN n < 60 THEN 'TOO_LITTLE_EVIDENCE' END, CASE WHEN n > 80 THEN 'TOO_MUCH_EVIDENCE' END, CASE WHEN top IS NULL OR top < 20 THEN 'REQUIRED_EVIDENCE_MISSING' END, CASE WHEN forbidden THEN 'FORBIDDEN_DOCUMENT' END], lambda x: x IS NOT NULL) AS codes FROM c)
-SELECT case_id, len(codes) = 0 AS passed, array_to_string(codes, ',') AS failures FROM f""")
+f AS (SELECT case_id, list_filter([CASE WHEN bad AND case_id % 2 = 0 THEN 'answer_status expected COMPLETED, got DEGRADED' END, CASE WHEN n < 60 THEN 'evidence_count expected >= 60, got ' || CAST(n AS VARCHAR) END, CASE WHEN n > 80 THEN 'evidence_count expected <= 80, got ' || CAST(n AS VARCHAR) END, CASE WHEN top IS NULL OR top < 20 THEN 'required_evidence missing view:20-1073741824' END, CASE WHEN forbidden THEN 'forbidden_document_ids present: bad' END], lambda x: x IS NOT NULL) AS codes FROM c)
+SELECT case_id, len(codes) = 0 AS passed, array_to_string(codes, '; ') AS failures FROM f""")
 def evl_cases(spark, sf_dir):
     """Users as cases, their events as evidence: a view on page 20 or later is required, purchases under 1 are forbidden."""
     e = table(spark, sf_dir, "events")
@@ -143,7 +143,7 @@ def evl_cases(spark, sf_dir):
     none = F.array().cast("array<string>")
     cases = c.select("case_id", F.lit(200).alias("http_status"), F.lit("COMPLETED").alias("answer_status"), F.lit(None).cast("string").alias("error_code"), F.lit(60).alias("min_evidence"), F.lit(80).alias("max_evidence"), F.array(F.struct(F.lit("view").alias("document_id"), F.lit(20).alias("page_start"), F.lit(1 << 30).alias("page_end"))).alias("required"), F.array(F.lit("bad")).alias("forbidden"), none.alias("warnings"))
     observed = c.select("case_id", F.lit(200).alias("http_status"), F.when(F.col("bad") & (F.col("case_id") % 2 == 0), "DEGRADED").otherwise("COMPLETED").alias("answer_status"), F.lit(None).cast("string").alias("error_code"), none.alias("warnings"))
-    return evaluation.case_failures(cases, observed, evidence)
+    return evaluation.case_failures(cases, observed, evidence).withColumn("failures", F.array_join("failures", "; "))
 
 
 def _claims(spark, sf_dir):

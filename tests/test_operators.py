@@ -186,6 +186,16 @@ def test_claim_payloads(spark):
     assert [r.error for r in claims.parse_claims(df).orderBy("i").collect()] == [None, "CLAIMS_MALFORMED", "CLAIM_COUNT_INVALID", "CLAIM_COUNT_INVALID", "CLAIM_INVALID", "CLAIM_INVALID"]
 
 
+def test_cases(spark):
+    schema = "case_id string, http_status int, answer_status string, error_code string, min_evidence int, max_evidence int, required array<struct<document_id:string,page_start:int,page_end:int>>, forbidden array<string>, warnings array<string>"
+    c = spark.createDataFrame([("a", 200, None, None, 1, None, [("d", 2, 3)], ["x"], ["w"]), ("b", 403, None, "E", 0, 0, [], [], []), ("c", 200, "DONE", None, 2, None, [("d", 9, 9)], ["d"], ["w", "v"])], schema)
+    o = spark.createDataFrame([("a", 200, "ANY", "ANY", ["w"]), ("b", 403, None, "E", None), ("c", 500, "DONE", None, [])], "case_id string, http_status int, answer_status string, error_code string, warnings array<string>")
+    e = spark.createDataFrame([("a", "d", 3, 4), ("c", "d", 1, 2)], "case_id string, document_id string, page_start int, page_end int")
+    got = {r.case_id: (r.passed, r.failures) for r in evaluation.case_failures(c, o, e).collect()}
+    assert got["a"] == (True, []) and got["b"] == (True, [])
+    assert got["c"] == (False, ["http_status expected 200, got 500", "evidence_count expected >= 2, got 1", "required_evidence missing d:9-9", "forbidden_document_ids present: d", "required_warnings missing: v,w"])
+
+
 def test_metrics(spark):
     q = spark.createDataFrame([(1,), (2,)], "question_id long")
     ranking = spark.createDataFrame([("b", 1, "x", 1), ("b", 1, "y", 2), ("b", 1, "z", 3)], "backend string, question_id long, chunk_id string, rank int")
