@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from lodestone.llm.common import batches
+from lodestone.llm.common import batches, id_and_text
 
 #: Stands for the end-of-word suffix as one symbol; outside the 256 symbols of bytes.
 END = chr(0xE000)
@@ -60,7 +60,7 @@ class _Table:
 class Bpe:
     """Encoder and decoder of a BPE file with byte symbols and an end-of-word suffix."""
 
-    def __init__(self, path: str, cache: int = 300_000):
+    def __init__(self, path: str, cache: int = 150_000):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model, added = spec["model"], {t["content"]: t["id"] for t in spec["added_tokens"]}
@@ -86,11 +86,11 @@ class Bpe:
         for t, i in self.ids.items():
             self.automaton.add_word(t, (len(t), i))
         self.automaton.make_automaton()
-        self.compatible: dict[tuple[int, int], bool] = {}
+        self.compatible: dict[int, bool] = {}
         self.symbols = str.maketrans({chr(b): s for b, s in enumerate(byte_symbols())})
         self.added = added
         self.split_added = re.compile("(" + "|".join(re.escape(t) for t in sorted(added, key=len, reverse=True)) + ")") if added else None
-        self.library = Tokenizer.from_file(path)
+        self.path, self._library = path, None
         self.cache: dict[str, bytes] = {}
         self.most = cache
         top = max([*ids.values(), *added.values()]) + 1
@@ -142,11 +142,11 @@ class Bpe:
                 if alive[end]:
                     if last < 0:
                         break
-                    known = compatible.get((last, token))
+                    known = compatible.get(last << 32 | token)
                     if known is None:
-                        if len(compatible) > 250_000:
+                        if len(compatible) > 150_000:
                             compatible.clear()
-                        known = compatible[last, token] = self._stay_apart(last, token, 1 << 60)
+                        known = compatible[last << 32 | token] = self._stay_apart(last, token, 1 << 60)
                     if known:
                         break
                 token = shorter[token]
@@ -161,6 +161,13 @@ class Bpe:
                 at -= length[token]
         return taken
 
+    @property
+    def library(self) -> Tokenizer:
+        """Loaded when the first text beyond printable Latin comes."""
+        if self._library is None:
+            self._library = Tokenizer.from_file(self.path)
+        return self._library
+
     def words(self, text: str) -> list[str]:
         """Normalised words of a text without added tokens; END before those whose bytes are symbols already."""
         lower = text.lower()
@@ -266,4 +273,4 @@ def encoded_digests(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id"
 
 
 def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    return id_and_text(docs, id_col, text_col)

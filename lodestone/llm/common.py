@@ -60,7 +60,26 @@ def storage(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri)
 
 
-def batches(it: Iterator[pa.RecordBatch], column: str, most: int = 8_000_000) -> Iterator[pa.RecordBatch]:
+#: Bytes and rows of texts that Spark hands to Python at once; sessions with larger limits get these.
+BATCH_BYTES, BATCH_ROWS = 8 << 20, 2000
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Lower the session's limits of an Arrow batch where they are larger: JVM and worker each hold a batch of texts outside the heap."""
+    size = (spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) or "").rstrip("b")
+    if not size.isdigit() or int(size) > BATCH_BYTES:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", f"{BATCH_BYTES}b")
+    if not 0 < int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) <= BATCH_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
+def id_and_text(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """doc_id (long) and text (null: empty) of every row, to be streamed to Python in small batches."""
+    bound_batches(docs.sparkSession)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+
+
+def batches(it: Iterator[pa.RecordBatch], column: str, most: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of the batches whose texts together stay near `most` bytes; one longer text is a slice by itself."""
     for batch in it:
         col = batch.column(batch.schema.get_field_index(column))
@@ -76,6 +95,7 @@ def batches(it: Iterator[pa.RecordBatch], column: str, most: int = 8_000_000) ->
                 start, held = i, 0
             held += n
         yield batch.slice(start)
+    pa.default_memory_pool().release_unused()
 
 
 def n_words(text):

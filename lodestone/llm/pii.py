@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import batches, cut
+from lodestone.llm.common import batches, cut, id_and_text
 
 #: Kinds in the order of a document's spans; base kinds first.
 KINDS = ("email", "ip", "card", "phone", "secret")
@@ -241,7 +241,7 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
                 rows.append((doc_id, _join(s for s in spans if s[3]), _join(s for s in spans if not s[3]), [("*" if s[3] else "") + code_of(text, *s[:3]) for s in spans]))
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = id_and_text(docs, id_col, text_col)
     return rows.mapInArrow(run, _FOUND)
 
 

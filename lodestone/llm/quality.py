@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import batches, cut, hash_sample
+from lodestone.llm.common import batches, cut, hash_sample, id_and_text
 
 _SYMBOLS, _UPPER, _LOWER, _DIGITS, _PUNCT = b"#*$%&|<>", bytes(range(65, 91)), bytes(range(97, 123)), b"0123456789", b".,;:!?\"'()-"
 NAMES = ("log_words", "log_chars", "mean_word", "long_words", "unique", "top_word", "symbols", "bars", "bangs", "upper", "digits", "punct", "other_bytes", "windows_again", "same_next", "lines", "lines_again", "line_words", "odd_words", "stops", "char_kinds", "edge_symbols")
@@ -73,7 +73,7 @@ def with_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             stats = [statistics(t) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(stats, pa.list_(pa.float64()))], schema=schema)
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = id_and_text(docs, id_col, text_col)
     return rows.mapInArrow(run, "doc_id long, stats array<double>")
 
 

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import batches, cut
+from lodestone.llm.common import batches, cut, id_and_text
 from lodestone.llm.graph import connected_components
 
 _WORD_END = bytes.maketrans(b"\t\n\x0b\f\r" + bytes(range(65, 91)), b"     " + bytes(range(97, 123)))
@@ -56,7 +56,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             fps = np.array([fingerprint(t, width) for t in batch.column(1).to_pylist()], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps)], schema=schema)
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = id_and_text(docs, id_col, text_col)
     return rows.mapInArrow(run, "doc_id long, fp long")
 
 

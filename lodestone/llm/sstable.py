@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lodestone.llm.common import batches, cut, fresh, storage
+from lodestone.llm.common import batches, bound_batches, cut, fresh, storage
 
 MAGIC = 0x4C4F444553535431
 RESTART = 16
@@ -286,6 +286,7 @@ def write_shards(docs: DataFrame, tokenizer_path: str, end_id: int | None = 2, i
     Repeated identifiers are all kept, side by side. No rows: an empty manifest.
     """
     spark = docs.sparkSession
+    bound_batches(spark)
     out = out or fresh(spark, "sstable")
     keyed = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     keyed = keyed.withColumn("tie", F.xxhash64("text")).withColumn("at", F.monotonically_increasing_id())

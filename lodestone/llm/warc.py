@@ -19,7 +19,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import batches, cut, fresh, storage
+from lodestone.llm.common import batches, bound_batches, cut, fresh, storage
 
 SKIPPABLE = 0x184D2A5E
 SEEKABLE = 0x8F92EAB1
@@ -170,6 +170,7 @@ def write_bundles(pages: DataFrame, out: str | None = None, frame_bytes: int = 1
     A bundle's name holds the task attempt and only bundles of the index count. No rows: no bundle, an empty index.
     """
     spark = pages.sparkSession
+    bound_batches(spark)
     out = out or fresh(spark, "warc")
 
     def write(it):
