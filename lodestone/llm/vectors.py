@@ -1,9 +1,10 @@
 """Near-duplicates among embeddings: spherical k-means cells, blocked cosine products, one representative a group.
 
 Equal vectors are one row from the start. Centroids are fitted on a bounded sample, then every vector goes to its nearest cell (its
-home) and is shown to the next nearest ones too, so that pairs across a border meet. A cell's members are dealt into blocks of
-bounded size; each pair of blocks is one task's work, whose cosines are matrix products in double precision. A task returns sums
-of links a vector and a spanning forest of the links, never the pairs. A pair that meets in two cells is counted in the first.
+home) and meets the members of each other cell whose border is so near that a vector within the threshold can live behind it: no
+link is lost, and in spaces where borders are far whole cells are passed over. A cell's members are dealt into blocks of bounded
+size; each pair of blocks is one task's work, whose cosines are matrix products in double precision. A task returns sums of links a
+vector and a spanning forest of the links, never the pairs. Two vectors meet in one pair of blocks only.
 """
 
 from __future__ import annotations
@@ -74,59 +75,46 @@ _LINKS = pa.schema([("a", pa.string()), ("b", pa.string()), ("n", pa.int64())])
 
 
 def _compare(table: pa.Table, threshold: float) -> pa.Table:
-    """Links among the members of one unit: a row (key, null, linked vectors) and rows (key, key, null) that span the graph."""
+    """Links within a block, or between two (side 0 and 1): a row (key, null, linked vectors) and rows (key, key, null) that span the graph."""
     keys = table["key"].to_pylist()
-    n = table["n"].to_numpy().astype(np.int64)
+    n = table["n"].to_numpy().astype(np.float64)
     x = np.frombuffer(b"".join(table["unit"].to_pylist()), "<f8").reshape(len(keys), -1)
-    cell = table["cell"][0].as_py()
-    home_of = table["home"].to_numpy()
-    home, side = home_of == cell, table["side"].to_numpy()
-    probes = np.array(table["probes"].to_pylist())
-    linked = np.zeros((len(keys), len(keys)), bool)
-    own = np.flatnonzero(home)
-    for at in range(0, len(own), 256):
-        rows = own[at : at + 256]
-        hit = x[rows] @ x.T >= threshold
-        linked[rows] |= hit
-    linked |= linked.T
-    if side.any():  # two blocks: each was compared within itself elsewhere
-        linked &= side[:, None] != side[None, :]
-    np.fill_diagonal(linked, False)
-    some = np.flatnonzero(linked.any(1))
-    if not len(some):
-        return pa.Table.from_pylist([], schema=_LINKS)
-    linked = linked[np.ix_(some, some)]
-    # counted in another cell: the other vector's home, if that comes first and the home vector is shown there
-    at_home, where = home[some], home_of[some]
-    shown = np.zeros_like(linked)
-    for p in probes[some].T:
-        shown |= p[:, None] == where[None, :]
-    elsewhere = at_home[:, None] & ~at_home[None, :] & shown & (where[None, :] < cell)
-    counted = linked & ~elsewhere & ~elsewhere.T
-    sums = counted.astype(np.float64) @ n[some].astype(np.float64)
-    a = [keys[i] for i in some]
-    out_a, out_b, out_n = list(a), [None] * len(a), sums.astype(np.int64).tolist()
-    left = np.ones(len(some), bool)
-    for start in range(len(some)):
-        if not left[start]:
+    side = table["side"].to_numpy()
+    within = table["one"][0].as_py() == table["two"][0].as_py()
+    left, right = (np.arange(len(keys)),) * 2 if within else (np.flatnonzero(side == 0), np.flatnonzero(side == 1))
+    sums, label = np.zeros(len(keys)), np.arange(len(keys))
+    out_a, out_b = [], []
+    y = x[right]
+    for at in range(0, len(left), 256):
+        rows = left[at : at + 256]
+        hit = x[rows] @ y.T >= threshold
+        if within:
+            hit[np.arange(len(rows)), rows] = False
+        if not hit.any():
             continue
-        left[start] = False
-        front = np.array([start])
-        while len(front):
-            new = np.flatnonzero(linked[front].any(0) & left)
-            left[new] = False
-            out_a += [a[start]] * len(new)
-            out_b += [a[i] for i in new]
-            out_n += [None] * len(new)
-            front = new
-    return pa.Table.from_arrays([pa.array(out_a), pa.array(out_b, pa.string()), pa.array(out_n, pa.int64())], schema=_LINKS)
-
-
-def near_duplicates(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = 0.9, probes: int = 3, cell_size: int = 1000, most_cells: int = 4096, sample_per_cell: int = 8, block: int = 2048) -> DataFrame:
+        weights = hit.astype(np.float64)
+        sums[rows] += weights @ n[right]
+        if not within:
+            sums[right] += n[rows] @ weights
+        for i in np.flatnonzero(hit.any(1)):
+            others = right[hit[i]]
+            labels, first = np.unique(label[others], return_index=True)
+            new = labels != label[rows[i]]
+            if new.any():
+                out_a += [keys[rows[i]]] * int(new.sum())
+                out_b += [keys[j] for j in others[first[new]]]
+                label[np.isin(label, labels[new])] = label[rows[i]]
+    some = np.flatnonzero(sums)
+    counted = [keys[i] for i in some]
+    sizes = sums[some].astype(np.int64).tolist()
+    return pa.Table.from_arrays([pa.array(counted + out_a, pa.string()), pa.array([None] * len(some) + out_b, pa.string()), pa.array(sizes + [None] * len(out_a), pa.int64())], schema=_LINKS)
+
+
+def near_duplicates(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = 0.9, cell_size: int = 16384, most_cells: int = 4096, sample_per_cell: int = 8, block: int = 16384) -> DataFrame:
     """vec_id, n_links, component_id (smallest vec_id reachable), kept (the component's representative); one row a row of the input.
 
-    Links are pairs found with cosine >= threshold; none lies below. With one cell every pair is found; else pairs whose homes are
-    among each other's `probes` nearest cells. Vectors that are null, empty or zero or hold null or non-finite components have no link
+    Links are all pairs with cosine >= threshold, whatever the number of cells. Blocks have at most `block` vectors, and
+    at most 8 MB. Vectors that are null, empty or zero or hold null or non-finite components have no link
     and stay. Shorter vectors count as padded with zeros. Several rows with one vec_id are several vectors. A null vec_id names no
     component; a component of such rows only has a null id and keeps them.
     """
@@ -137,27 +125,32 @@ def near_duplicates(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "
     if not total:
         return units.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
     centres = fit_cells(distinct, total, cell_size, most_cells, sample_per_cell)
-    shown = min(probes, len(centres))
-    schema = pa.schema([("key", pa.string()), ("n", pa.int64()), ("unit", pa.binary()), ("home", pa.int32()), ("probes", pa.list_(pa.int32()))])
+    # of two linked vectors each lies within this distance of the plane between their homes' centroids
+    reach = math.sqrt(max(0.0, 1 - threshold * threshold)) if threshold > 0 else 1.0
+    schema = pa.schema([("key", pa.string()), ("n", pa.int64()), ("unit", pa.binary()), ("home", pa.int32()), ("meets", pa.list_(pa.int32()))])
 
     def assign(it):
+        apart = np.sqrt(np.maximum(0.0, np.square(centres).sum(1)[:, None] + np.square(centres).sum(1)[None, :] - 2 * centres @ centres.T))
         for batch in it:
             if not len(batch):
                 continue
             x = np.frombuffer(b"".join(batch.column(2).to_pylist()), "<f8").reshape(len(batch), -1)
-            near = np.empty((len(x), shown), np.int32)
+            homes, meets = np.empty(len(x), np.int32), []
             for at in range(0, len(x), 1024):
-                near[at : at + 1024] = np.argsort(-(x[at : at + 1024] @ centres.T), axis=1, kind="stable")[:, :shown]
-            probed = pa.ListArray.from_arrays(pa.array(np.arange(0, near.size + 1, shown, dtype=np.int32)), pa.array(near.ravel()))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(near[:, 0].copy()), probed], schema=schema)
-
-    placed = cut(distinct.select("key", "n", "unit").mapInArrow(assign, "key string, n long, unit binary, home int, probes array<int>"), "cells")
-    members = placed.select("key", "n", "unit", "home", "probes", F.explode("probes").alias("cell"))
-    sizes = placed.select(F.explode("probes").alias("cell")).groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
-    dealt = members.join(sizes, "cell").withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    work = dealt.select("*", other).select("cell", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), F.when(F.col("block") > F.col("other"), 1).otherwise(0).alias("side"), "key", "n", "unit", "home", "probes")
-    found = cut(work.groupBy("cell", "one", "two").applyInArrow(lambda t: _compare(t, threshold), "a string, b string, n long"), "vector-links")
+                near = x[at : at + 1024] @ centres.T
+                home = near.argmax(1)
+                homes[at : at + 1024] = home
+                meets += [np.flatnonzero(m).tolist() for m in near.max(1)[:, None] - near <= reach * apart[home] + 1e-9]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(homes), pa.array(meets, pa.list_(pa.int32()))], schema=schema)
+
+    placed = cut(distinct.select("key", "n", "unit").mapInArrow(assign, "key string, n long, unit binary, home int, meets array<int>"), "cells")
+    rows_a_block = max(1, min(block, (8 << 20) // (8 * max(dims, 1))))
+    sizes = placed.groupBy(F.col("home").alias("cell")).agg(F.ceil(F.count(F.lit(1)) / rows_a_block).cast("int").alias("blocks"))
+    own = placed.join(sizes.toDF("home", "own"), "home").withColumn("block", F.pmod(F.xxhash64("key"), F.col("own")).cast("int"))
+    met = own.select("key", "n", "unit", F.struct("home", "block").alias("mine"), F.explode("meets").alias("cell")).join(sizes, "cell")
+    met = met.select("key", "n", "unit", "mine", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("b"), "cell").withColumn("other", F.struct(F.col("cell").alias("home"), F.col("b").alias("block")))
+    work = met.select(F.least("mine", "other").alias("one"), F.greatest("mine", "other").alias("two"), F.when(F.col("mine") > F.col("other"), 1).otherwise(0).alias("side"), "key", "n", "unit")
+    found = cut(work.groupBy("one", "two").applyInArrow(lambda t: _compare(t, threshold), "a string, b string, n long"), "vector-links")
     linked = found.where("b is null").groupBy(F.col("a").alias("key")).agg(F.sum("n").alias("more"))
     roots = connected_components(found.where("b is not null").select("a", "b"))
     known = distinct.select("key", "least", "n").join(linked, "key", "left").join(roots.toDF("key", "root"), "key", "left")
