@@ -15,8 +15,8 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash component."""
-    return simhash.keep_one(docs)
+    """One document of each component of near copies: sets of five-word shingles with Jaccard similarity of at least 0.8."""
+    return simhash.keep_one(docs, width=5, similarity=0.8)
 
 
 def without_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -9,6 +9,9 @@ Copies share a fingerprint and are one row from the start. In a bucket of equal
 each fingerprint to the ones near it and only a spanning forest leaves the task. A bucket with more fingerprints than `split` is dealt
 out again by the exact pieces of its other segment (of three pieces one is equal, as at most two bits differ), so that no task ever
 holds more than the few fingerprints that share 42 bits.
+
+`keep_one` can also go by the similarity of the shingle sets themselves, which fingerprints of 64 bits tell too coarsely: texts that
+share four shingles in five differ in some ten bits.
 """
 
 from __future__ import annotations
@@ -192,9 +195,137 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return marked.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
+def shingle_set(text: str, width: int) -> np.ndarray:
+    """Distinct shingle hashes of a whole text, ascending; words and hashes as for `fingerprint`. No word: none."""
+    words = text.encode("utf-8", "surrogatepass").translate(_WORD_END).split()
+    if len(words) <= width:
+        return np.array([xxhash.xxh64_intdigest(b" ".join(words), 42)] if words else [], np.uint64)
+    hashed = xxhash.xxh64_intdigest
+    shingles = map(b" ".join, zip(*(words[i:] for i in range(width)), strict=False))
+    return np.unique(np.fromiter((hashed(s, 42) for s in shingles), np.uint64))
+
+
+#: Bits of a set's parity sketch, and its smallest hashes by which sets meet: of two sets of similarity s the chance to share none is (1 - s) ** _KEYS.
+_SKETCH, _KEYS = 512, 12
+
+
+def _spanning(n: int, near) -> list[tuple[int, int]]:
+    """Pairs that span the graph of 0..n-1; near(i, left) tells which of left are linked to i. Nodes found are never compared again with each other."""
+    out, left = [], np.arange(n)
+    while len(left):
+        front, left = [int(left[0])], left[1:]
+        while front and len(left):
+            i = front.pop()
+            hit = near(i, left)
+            if hit.any():
+                new = left[hit].tolist()
+                out += [(i, j) for j in new]
+                front += new
+                left = left[~hit]
+    return out
+
+
+def _links_of(a: list, b: list) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+
+def _sketch_links(rows: DataFrame, similarity: float) -> DataFrame:
+    """a, b: links that span each bucket's graph of sets whose sizes and sketches allow the similarity; rows: k, set, n, sketch.
+
+    A parity sketch differs in no more bits than the sets in shingles, so no pair of that similarity is left out.
+    """
+    share = (1 - similarity) / (1 + similarity)
+
+    def allowed(n1, s1, n2, s2):
+        apart = np.maximum(np.bitwise_count(s1 ^ s2).sum(-1, dtype=np.int64), np.abs(n1 - n2))
+        return apart <= share * (n1 + n2) + 1e-9
+
+    def links(parts, last: bool):
+        k, of, n, sketch = (np.concatenate(x) for x in zip(*parts, strict=True))
+        borders = np.concatenate([[0], np.flatnonzero(k[1:] != k[:-1]) + 1, [len(k)]])
+        done = len(borders) - 1 if last else len(borders) - 2
+        start, size = borders[:done], np.diff(borders)[:done]
+        two = start[size == 2]
+        two = two[allowed(n[two], sketch[two], n[two + 1], sketch[two + 1])]
+        a, b = of[two].tolist(), of[two + 1].tolist()
+        for at, m in zip(start[size > 2].tolist(), size[size > 2].tolist(), strict=True):
+            ns, ss = n[at : at + m], sketch[at : at + m]
+            for i, j in _spanning(m, lambda i, left, ns=ns, ss=ss: allowed(ns[i], ss[i], ns[left], ss[left])):
+                a.append(int(of[at + i]))
+                b.append(int(of[at + j]))
+        rest = borders[done]
+        return _links_of(a, b), [(k[rest:], of[rest:], n[rest:], sketch[rest:])] if rest < len(k) else []
+
+    def run(it):
+        held = []
+        for batch in it:
+            if not len(batch):
+                continue
+            k, of, n = (batch.column(i).to_numpy() for i in range(3))
+            held.append((k, of, n, np.frombuffer(b"".join(batch.column(3).to_pylist()), "<u8").reshape(len(k), -1)))
+            if held[0][0][0] != k[-1]:
+                out, held = links(held, False)
+                yield out
+        if held:
+            yield links(held, True)[0]
+
+    return rows.repartition("k").sortWithinPartitions("k").mapInArrow(run, "a long, b long")
+
+
+def _similar_links(table: pa.Table, width: int, similarity: float) -> pa.Table:
+    """Links that span the graph of a group's sets (columns set, text) with Jaccard similarity of at least `similarity`, by exact counts."""
+    of = table["set"].to_pylist()
+    sets = [shingle_set(t.as_py() or "", width) for t in table["text"]]
+    size = np.array([len(x) for x in sets])
+    ids = np.unique(np.concatenate(sets), return_inverse=True)[1].astype(np.int32)
+    starts = np.concatenate([[0], np.cumsum(size)])
+    mark, state = np.zeros(int(ids.max()) + 1, bool), {}
+
+    def near(i, left):
+        if len(state.get("left", ())) != len(left):  # what is left only shrinks
+            state["left"], state["flat"] = left, np.concatenate([ids[starts[j] : starts[j + 1]] for j in left])
+            state["at"] = np.concatenate([[0], np.cumsum(size[left])[:-1]])
+        mine = ids[starts[i] : starts[i + 1]]
+        mark[mine] = True
+        common = np.add.reduceat(mark[state["flat"]].astype(np.int64), state["at"])
+        mark[mine] = False
+        return common >= similarity * (size[i] + size[left] - common)
+
+    pairs = _spanning(len(of), near)
+    return pa.Table.from_batches([_links_of([of[i] for i, _ in pairs], [of[j] for _, j in pairs])])
+
+
+def similar_components(placed: DataFrame, at: str, text_col: str, width: int, similarity: float) -> DataFrame:
+    """doc_id, component_id: the smallest `at` (a key of the rows, in the table) reachable over links of shingle sets with Jaccard similarity >= `similarity`.
+
+    Equal sets are one row from the start and texts without a word are copies. Sets that share one of their 12 smallest hashes and
+    whose sketches allow the similarity make groups; within each the sets are compared exactly, from the whole texts.
+    """
+    schema = pa.schema([("doc_id", pa.int64()), ("set", pa.int64()), ("n", pa.int64()), ("keys", pa.list_(pa.int64())), ("sketch", pa.binary())])
+
+    def run(it):
+        for batch in batches(it, "text"):
+            sets = [shingle_set(t, width) for t in batch.column(1).to_pylist()]
+            of = np.array([xxhash.xxh64_intdigest(x.tobytes(), 42) for x in sets], np.uint64).view(np.int64)
+            sketches = [np.packbits(np.bincount((x % np.uint64(_SKETCH)).astype(np.int64), minlength=_SKETCH) & 1).tobytes() for x in sets]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(of), pa.array([len(x) for x in sets], pa.int64()), pa.array([x[:_KEYS].view(np.int64) for x in sets], pa.list_(pa.int64())), pa.array(sketches, pa.binary())], schema=schema)
+
+    marked = cut(id_and_text(placed, at, text_col).mapInArrow(run, "doc_id long, set long, n long, keys array<long>, sketch binary"), "shingle-sets")
+    one = cut(marked.groupBy("set").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch")), "distinct-sets")
+    groups = connected_components(_sketch_links(one.select(F.explode("keys").alias("k"), "set", "n", "sketch"), similarity)).toDF("set", "group")
+    members = cut(one.select("set", "least").join(groups, "set"), "set-groups").withColumnRenamed("least", at)
+    texts = placed.select(at, F.col(text_col).alias("text")).join(members, at).select("group", "set", "text")
+    roots = connected_components(texts.groupBy("group").applyInArrow(lambda t: _similar_links(t, width, similarity), "a long, b long"))
+    linked = one.select("set", "least").join(roots.toDF("set", "root"), "set", "left").select("set", "least", F.coalesce("root", "set").alias("root"))
+    least = linked.groupBy("root").agg(F.min("least").alias("component_id"))
+    named = cut(linked.join(least, "root").select("set", "component_id"), "set-components")
+    return marked.select("doc_id", "set").join(named, "set").select("doc_id", "component_id")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, similarity: float | None = None) -> DataFrame:
     """The rows of docs, columns as they are, that are the first of their component: smallest doc_id, nulls last.
 
+    Components are those of `near_duplicates`, or with a similarity those of shingle sets at least so similar (Jaccard).
     Of rows with one doc_id in one component the one with the smallest text hash stays, of equal ones the first by place; so one row
     of each component stays, whatever its columns hold. docs must give its rows in the same places when read again, as a table does.
     """
@@ -202,7 +333,11 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
     while at in docs.columns:
         at += "_"
     placed = docs.withColumn(at, F.monotonically_increasing_id())
-    keys = near_duplicates(placed.select(at, text_col), at, text_col, width).select(F.col("doc_id").alias("a"), F.col("component_id").alias("of"))
+    if similarity is None:
+        found = near_duplicates(placed.select(at, text_col), at, text_col, width)
+    else:
+        found = similar_components(placed, at, text_col, width, similarity)
+    keys = found.select(F.col("doc_id").alias("a"), F.col("component_id").alias("of"))
     ids = placed.select(F.col(at).alias("a"), F.col(id_col).cast("long").alias("i"), F.xxhash64(F.col(text_col)).alias("h"))
     order = F.struct(F.col("i").isNull().alias("n"), "i", "h", "a")
     first = ids.join(keys, "a").groupBy("of").agg(F.min(order).alias("x")).select(F.col("x.a").alias(at))

@@ -10,6 +10,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from lodestone.llm import graph, licenses, mixing, pii, quality, rules, simhash
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -71,6 +72,33 @@ def test_links_lose_no_connection(spark, split):
     assert len({(got[f], r) for f, r in zip(fps, root, strict=True) if f in got}) == len(set(got.values())) == sum(n > 1 for n in groups.values())
 
 
+def test_keep_one_by_shingle_similarity(spark):
+    """Near copies at similarities around 0.8 and a chain of them; what stays is as by brute force over all pairs."""
+    rng = random.Random(4)
+    texts = [None, "", "one two", "One  two"]
+    for base in range(40):
+        words = [f"w{rng.randrange(5000)}" for _ in range(200)]
+        texts.append(" ".join(words))
+        for _ in range(3):
+            words = list(words)
+            for at in rng.sample(range(200), 1 + base % 6):
+                words[at] = f"x{rng.randrange(10**6)}"
+            texts.append(" ".join(words))
+    grams = lambda w: {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+    sets = [grams((t or "").lower().split()) for t in texts]
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if (sets[i] == sets[j] or len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])) and root[i] != root[j]:
+                a, b = sorted((root[i], root[j]))
+                root = [a if r == b else r for r in root]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    from lodestone.llm.common import cut
+
+    assert 40 < len(set(root)) < len(texts) - 40
+    assert sorted(r.doc_id for r in corpus_pipeline.one_of_each(spark, cut(df, "texts"), "").collect()) == sorted(set(root))
+
+
 def test_forest_beyond_a_block():
     rng = np.random.default_rng(1)
     fps = np.unique(np.uint64(7) ^ (np.uint64(1) << rng.integers(0, 20, 4000).astype(np.uint64)) ^ (np.uint64(1) << rng.integers(0, 64, 4000).astype(np.uint64)) ^ (np.uint64(1) << rng.integers(0, 64, 4000).astype(np.uint64)))
