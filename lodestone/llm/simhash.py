@@ -327,12 +327,12 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
 
     Components are those of `near_duplicates`, or with a similarity those of shingle sets at least so similar (Jaccard).
     Of rows with one doc_id in one component the one with the smallest text hash stays, of equal ones the first by place; so one row
-    of each component stays, whatever its columns hold. docs must give its rows in the same places when read again, as a table does.
+    of each component stays, whatever its columns hold. Rows are numbered once, in a table of their own.
     """
     at = "_at"
     while at in docs.columns:
         at += "_"
-    placed = docs.withColumn(at, F.monotonically_increasing_id())
+    placed = cut(docs.withColumn(at, F.monotonically_increasing_id()), "numbered")  # each later job reads the same numbers
     if similarity is None:
         found = near_duplicates(placed.select(at, text_col), at, text_col, width)
     else:

@@ -99,6 +99,29 @@ def test_keep_one_by_shingle_similarity(spark):
     assert sorted(r.doc_id for r in corpus_pipeline.one_of_each(spark, cut(df, "texts"), "").collect()) == sorted(set(root))
 
 
+@pytest.mark.parametrize("similarity", [None, 0.8])
+def test_keep_one_when_splits_change(spark, tmp_path, monkeypatch, similarity):
+    """Each job plans its splits otherwise, as when executors come and go: one of each pair of copies stays, the smaller doc_id."""
+    rng = random.Random(9)
+    texts = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(60)) for _ in range(200)]
+    df = spark.createDataFrame([(i, texts[i % 200]) for i in range(400)], "doc_id long, text string")
+    df.repartition(16).write.parquet(str(tmp_path / "documents.parquet"))
+    calls, plain, key = [], simhash.cut, "spark.sql.files.maxPartitionBytes"
+
+    def moved(df, name):
+        out = plain(df, name)
+        calls.append(name)
+        spark.conf.set(key, str((5_000, 1 << 27, 30_000)[len(calls) % 3]))
+        return out
+
+    monkeypatch.setattr(simhash, "cut", moved)
+    try:
+        got = [r.doc_id for r in simhash.keep_one(spark.read.parquet(str(tmp_path / "documents.parquet")), similarity=similarity).collect()]
+    finally:
+        spark.conf.unset(key)
+    assert sorted(got) == list(range(200))
+
+
 def test_forest_beyond_a_block():
     rng = np.random.default_rng(1)
     fps = np.unique(np.uint64(7) ^ (np.uint64(1) << rng.integers(0, 20, 4000).astype(np.uint64)) ^ (np.uint64(1) << rng.integers(0, 64, 4000).astype(np.uint64)) ^ (np.uint64(1) << rng.integers(0, 64, 4000).astype(np.uint64)))
