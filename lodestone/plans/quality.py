@@ -219,7 +219,7 @@ def clm_adjacent(spark, sf_dir):
 @query()
 def clm_parse(spark, sf_dir):
     c = table(spark, sf_dir, "conversations")
-    payload = F.to_json(F.struct(F.array(F.struct(F.substring("text", 1, 2500).alias("text"), F.array((F.col("turn") % 4).cast("int")).alias("citation_ids"))).alias("claims")))
+    payload = F.to_json(F.struct(F.array(F.struct(F.col("text"), F.array((F.col("turn") % 4).cast("int")).alias("citation_ids"))).alias("claims")))
     return claims.parse_claims(c.select("conv_id", "turn", payload.alias("payload"), F.lit(3).alias("evidence_count"))).select("conv_id", "turn", "error")
 
 

@@ -395,3 +395,18 @@ def test_publish_all_or_none(spark, tmp_path):
         sinks.publish_all({str(tmp_path / "a"): df, str(tmp_path / "b"): df}, fail)
     assert not (tmp_path / "a").exists() and not (tmp_path / "b").exists()
     assert sinks.publish_all({str(tmp_path / "a"): df, str(tmp_path / "b"): df})[str(tmp_path / "a")].count() == 3
+
+
+def test_clm_parse_takes_whole_texts(spark, tmp_path):
+    """Spaces to 2,600 characters, then a word: the end of a turn counts."""
+    from lodestone.plans import quality
+
+    spark.createDataFrame([(1, 0, " " * 2600 + "word")], "conv_id long, turn int, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    seen = []
+    plain = quality.claims.parse_claims
+    quality.claims.parse_claims = lambda df, *a: seen.extend(df.collect()) or plain(df, *a)
+    try:
+        quality.clm_parse(spark, str(tmp_path)).collect()
+    finally:
+        quality.claims.parse_claims = plain
+    assert seen[0].payload.count(" ") == 2600 and "word" in seen[0].payload
