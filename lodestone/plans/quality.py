@@ -322,7 +322,7 @@ def cor_lineage(spark, sf_dir):
 @query("SELECT count(*) AS n_items, count(DISTINCT lang) AS n_groups, round(avg(CASE WHEN doc_id % 8 = 0 THEN 1.0 ELSE 0.0 END), 6) AS audit_ratio, 2::BIGINT AS n_blockers, false AS engineering_ready, false AS lock_ready FROM documents")
 def cor_readiness(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select(F.col("lang").alias("leakage_group_id"), (F.col("doc_id") % 8 == 0).alias("human_audited"))
-    return corpus.readiness(d, cor_ratio_blockers(spark, sf_dir).where("blocked").limit(2))
+    return corpus.readiness(d, cor_ratio_blockers(spark, sf_dir).where("blocked"))
 
 
 @query("SELECT round(quantile_cont(q, 0.5), 6) AS p50, round(quantile_cont(q, 0.99), 6) AS p99, round(max(q), 6) AS top FROM pairs".replace("SELECT", f"WITH {_PAIRS} SELECT", 1))

@@ -410,3 +410,11 @@ def test_clm_parse_takes_whole_texts(spark, tmp_path):
     finally:
         quality.claims.parse_claims = plain
     assert seen[0].payload.count(" ") == 2600 and "word" in seen[0].payload
+
+
+def test_cor_readiness_counts_all_blockers(spark, tmp_path):
+    """All documents in English: en, de, fr and es are out of their ranges."""
+    from lodestone.plans import quality
+
+    spark.createDataFrame([(i, "en") for i in range(16)], "doc_id long, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    assert quality.cor_readiness(spark, str(tmp_path)).head().n_blockers == 4
