@@ -49,6 +49,22 @@ def short_id(prefix: str, text: Column, length: int) -> Column:
     return F.concat(F.lit(prefix), F.substring(F.sha2(text, 256), 1, length))
 
 
+def iso_date(text: Column) -> Column:
+    """The date of `year-month-day` in digits; null for any other text and for days that don't exist."""
+    return F.when(text.rlike(r"^\d{4}-\d{1,2}-\d{1,2}$"), F.try_to_date(text, "y-M-d"))
+
+
+def has_zone(text: Column) -> Column:
+    """Whether a time in ISO form names its zone, as Z or an offset."""
+    return F.coalesce(text.rlike(r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}(:\d{2}(\.\d+)?)?(Z|[+-]\d{2}:?\d{2})$"), F.lit(False))
+
+
+def enum_place(value: Column, names: tuple[str, ...]) -> Column:
+    """Place of a value among the names, from 1; values that aren't named come last."""
+    place = F.array_position(F.array(*[F.lit(n) for n in names]), value)
+    return F.when(place > 0, place).otherwise(F.lit(len(names) + 1))
+
+
 def is_contract_id(value: Column) -> Column:
     return F.coalesce(value.rlike(r"^[A-Za-z0-9][A-Za-z0-9._:-]{0,127}$"), F.lit(False))
 

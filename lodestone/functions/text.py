@@ -27,6 +27,11 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
 
 
+def n_tokens(text: Column) -> Column:
+    """How many tokens a text has, without making them."""
+    return F.regexp_count(F.lower(text), F.lit(r"[\p{L}\p{N}]+"))
+
+
 def without(values: Column, words: tuple[str, ...]) -> Column:
     return F.array_except(values, F.array(*[F.lit(w) for w in words]))
 
@@ -51,10 +56,15 @@ def clauses(text: Column) -> Column:
     return F.filter(parts, lambda c: c != "")
 
 
+def six_digits(number: Column) -> Column:
+    """A number rounded to six significant digits: numbers that agree so far are one."""
+    return F.format_string("%.5e", number.cast("double")).cast("double")
+
+
 def numbers(text: Column) -> Column:
-    """Distinct numbers of a text as doubles; a percent sign is dropped."""
+    """Distinct numbers of a text as doubles of six significant digits; a percent sign is dropped."""
     found = F.regexp_extract_all(text, F.lit(NUMBER), F.lit(0))
-    return F.array_distinct(F.transform(found, lambda n: F.regexp_replace(n, "[%]$", "").cast("double")))
+    return F.array_distinct(F.transform(found, lambda n: six_digits(F.regexp_replace(n, "[%]$", ""))))
 
 
 def unit(name: Column) -> Column:
@@ -65,9 +75,9 @@ def unit(name: Column) -> Column:
 
 
 def unit_facts(text: Column) -> Column:
-    """Distinct (unit, value) of a text."""
+    """Distinct (unit, value) of a text, values of six significant digits."""
     values, units = (F.regexp_extract_all(text, F.lit(NUMBER_WITH_UNIT), F.lit(g)) for g in (1, 2))
-    return F.array_distinct(F.zip_with(values, units, lambda v, u: F.struct(unit(u).alias("unit"), v.cast("double").alias("value"))))
+    return F.array_distinct(F.zip_with(values, units, lambda v, u: F.struct(unit(u).alias("unit"), six_digits(v).alias("value"))))
 
 
 def latin_tokens(text: Column, content_only: bool) -> Column:

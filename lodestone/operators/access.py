@@ -66,6 +66,41 @@ def authorized(chunk: str = "chunk", scope: str = "scope", strict: bool = False)
     return F.coalesce(c("is_active") & well_formed_chunk(chunk) & well_formed_scope(scope, strict) & rule, F.lit(False))
 
 
+def granted(chunks: DataFrame, scopes: DataFrame, keep: list[str] = ("chunk_id", "document_id", "visibility"), strict: bool = False) -> DataFrame:
+    """scope_id and the named columns of every chunk that the scope may see: the pairs that `authorized` accepts, by equality joins alone.
+
+    A scope without selectors reaches its tenant's shared chunks and, if it includes them, the public ones: one join on the circle
+    a chunk stands in. A scope with selectors reaches what its documents and libraries name: a join on each. Chunk identifiers are
+    unique; a pair found twice counts once.
+    """
+    good = chunks.where(F.coalesce("is_active", F.lit(False))).select(F.struct(*chunks.columns).alias("chunk")).where(F.coalesce(well_formed_chunk(), F.lit(False)))
+    asked = scopes.select("scope_id", F.struct(*[c for c in scopes.columns if c != "scope_id"]).alias("scope")).where(F.coalesce(well_formed_scope("scope", strict), F.lit(False)))
+    c = good.select(*[F.col(f"chunk.{x}").alias(x) for x in dict.fromkeys([*keep, "chunk_id", "document_id", "tenant_id", "visibility", "library_scope_ids"])])
+    tenant, public = F.col("scope.tenant_id"), F.col("scope.include_public")
+    open_ = asked.where(~has_selectors()).select("scope_id", F.explode(F.array_compact(F.array(F.concat(F.lit("tenant:"), tenant), F.when(public, "public")))).alias("circle"))
+    circle = F.when(F.col("visibility") == "public", "public").when(F.col("visibility") == "tenant", F.concat(F.lit("tenant:"), F.col("tenant_id")))
+    by_circle = c.withColumn("circle", circle).join(open_, "circle").select("scope_id", *keep)
+    some = asked.where(has_selectors()).select("scope_id", tenant.alias("s_tenant"), public.alias("s_public"), "scope")
+    listed = some.select("scope_id", "s_tenant", "s_public", F.explode(F.array_distinct(_ids(F.col("scope.document_ids"), False))).alias("document_id"))
+    shelved = some.select("scope_id", "s_tenant", "s_public", F.explode(F.array_distinct(_ids(F.col("scope.library_ids"), False))).alias("library_id"))
+    seen = F.when(F.col("visibility") == "public", F.col("s_public")).when(F.col("visibility").isin("tenant", "private"), F.col("tenant_id") == F.col("s_tenant")).otherwise(False)
+    named = c.join(listed, "document_id").where(seen).select("scope_id", *dict.fromkeys(["chunk_id", *keep]))
+    held = c.withColumn("library_id", F.explode("library_scope_ids")).join(shelved, "library_id").where(seen).select("scope_id", *dict.fromkeys(["chunk_id", *keep]))
+    both = named.union(held).dropDuplicates(["scope_id", "chunk_id"])
+    return by_circle.union(both.select("scope_id", *keep))
+
+
+def selected_counts(chunks: DataFrame, scopes: DataFrame) -> DataFrame:
+    """scope_id, n_selected, selective: chunks that a scope's documents or libraries name, whatever else access asks; by equality joins."""
+    s = scopes.select("scope_id", F.struct(*[c for c in scopes.columns if c != "scope_id"]).alias("scope"))
+    listed = s.select("scope_id", F.explode(F.array_distinct(_ids(F.col("scope.document_ids"), False))).alias("document_id"))
+    shelved = s.select("scope_id", F.explode(F.array_distinct(_ids(F.col("scope.library_ids"), False))).alias("library_id"))
+    c = chunks.select("chunk_id", "document_id", "library_scope_ids")
+    pairs = c.join(listed, "document_id").select("scope_id", "chunk_id").union(c.withColumn("library_id", F.explode("library_scope_ids")).join(shelved, "library_id").select("scope_id", "chunk_id"))
+    counted = pairs.distinct().groupBy("scope_id").agg(F.count(F.lit(1)).alias("n"))
+    return s.join(counted, "scope_id", "left").select("scope_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_selected"), has_selectors().alias("selective"))
+
+
 def narrowed(scope: DataFrame, requested: str = "requested_document_ids") -> DataFrame:
     """Scopes whose request names documents list just these, without libraries and folders."""
     named = F.coalesce(F.size(requested) > 0, F.lit(False))

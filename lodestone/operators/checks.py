@@ -97,6 +97,12 @@ def contained_ranges(ranges: DataFrame, accepted: DataFrame, key: str) -> DataFr
     return ranges.join(acc, (F.col(key) == F.col("_k")) & (F.col("_a") <= F.col("page_start")) & (F.col("_b") >= F.col("page_end")), "left_anti")
 
 
+def containing(points: DataFrame, intervals: DataFrame, by: str, point: str = "offset", low: str = "low", high: str = "high") -> DataFrame:
+    """Points with the interval of their key that holds them (low <= point < high); intervals of a key don't overlap, points outside all drop out."""
+    i = intervals.select(F.col(by).alias("_k"), *[c for c in intervals.columns if c != by])
+    return points.join(i, (F.col(by) == F.col("_k")) & (F.col(low) <= F.col(point)) & (F.col(point) < F.col(high))).drop("_k")
+
+
 def numbered(df: DataFrame, by: list[str], order: list) -> DataFrame:
     return df.withColumn("position", F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
 

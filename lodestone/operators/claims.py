@@ -144,10 +144,20 @@ def verify_set(claims: DataFrame) -> DataFrame:
 
 
 def report(verified: DataFrame, by: str = "answer_id") -> DataFrame:
-    """Per answer: claims, share with citations, share unsupported, whether some but not all claims hold."""
+    """Per answer: claims, share with citations, share unsupported, and whether it is partial: some claim is unsupported, some other is kept."""
     cited = F.avg(F.when(F.size("citation_ids") > 0, 1.0).otherwise(0.0))
-    held = F.col("status").isin("SUPPORTED", "CONFLICTING_EVIDENCE")
-    return verified.groupBy(by).agg(F.count(F.lit(1)).alias("n_claims"), F.round(cited, 6).alias("citation_completeness"), F.round(F.avg(F.when(F.col("status") == "UNSUPPORTED", 1.0).otherwise(0.0)), 6).alias("unsupported_rate"), (F.bool_or(held) & ~F.bool_and(held)).alias("partial"))
+    dropped = F.col("status") == "UNSUPPORTED"
+    return verified.groupBy(by).agg(F.count(F.lit(1)).alias("n_claims"), F.round(cited, 6).alias("citation_completeness"), F.round(F.avg(F.when(F.col("status") == "UNSUPPORTED", 1.0).otherwise(0.0)), 6).alias("unsupported_rate"), (F.bool_or(dropped) & ~F.bool_and(dropped)).alias("partial"))
+
+
+def set_report(verified: DataFrame, by: str = "answer_id") -> DataFrame:
+    """Per answer: claims, has_conflict, and partial: a claim is partially supported, or one is supported while another lacks evidence.
+
+    verified: rows of verify_set or with_adjacent.
+    """
+    some = lambda *names: F.bool_or(F.col("status").isin(*names))
+    partial = some("PARTIALLY_SUPPORTED") | (some("SUPPORTED_BY_EVIDENCE_SET") & some("INSUFFICIENT_EVIDENCE"))
+    return verified.groupBy(by).agg(F.count(F.lit(1)).alias("n_claims"), some("CONFLICTING_EVIDENCE").alias("has_conflict"), partial.alias("partial"))
 
 
 def identity_failures(cited: DataFrame, versions: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -186,15 +196,17 @@ def adjacent_pairs(chunks: DataFrame) -> DataFrame:
 def with_adjacent(claims: DataFrame, neighbours: DataFrame) -> DataFrame:
     """Claims verified again with one adjacent quote where that settles the verdict: supported by the set, or in conflict.
 
-    neighbours: claim_id, position (order of trial), quote. At most one neighbour is used, the first that helps.
+    neighbours: claim_id, position (order of trial), quote. At most one neighbour is used, the first that helps; no score changes.
+    Adds expanded and reason_codes, which tell of the neighbour.
     """
     alone = verify_set(claims).withColumn("position", F.lit(0))
     more = claims.join(neighbours, "claim_id")
     more = more.withColumn("citation_ids", F.concat("citation_ids", F.array(F.size("quotes") + 1))).withColumn("quotes", F.concat("quotes", F.array("quote"))).drop("quote")
     tried = verify_set(more).where("status in ('SUPPORTED_BY_EVIDENCE_SET', 'CONFLICTING_EVIDENCE')")
     both = alone.unionByName(tried, allowMissingColumns=True)
+    codes = F.when(F.col("expanded"), F.array("reason", F.lit("SAME_DOCUMENT_VERSION_ADJACENT_EVIDENCE_ADDED"), F.lit("RETRIEVAL_SCORE_UNCHANGED"))).otherwise(F.array("reason"))
     order = Window.partitionBy("claim_id").orderBy(F.when(F.col("status").isin("SUPPORTED_BY_EVIDENCE_SET", "CONFLICTING_EVIDENCE"), 0).otherwise(1), "position")
-    return both.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n").withColumn("expanded", F.col("position") > 0).drop("position")
+    return both.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n").withColumn("expanded", F.col("position") > 0).drop("position").withColumn("reason_codes", codes)
 
 
 def parse_claims(payloads: DataFrame, json_col: str = "payload", count_col: str = "evidence_count") -> DataFrame:

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from collections import defaultdict
-
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lodestone.functions.scalars import stable_key
+from lodestone.functions.scalars import has_zone, stable_key
 
 # Thresholds of the four pair rules, and the targets of the splits in order of priority.
 Q_ALONE, A_SHARED_DOCUMENT, Q_SHARED_CHUNK, Q_AND_A = 0.88, 0.92, 0.82, (0.76, 0.88)
@@ -54,34 +53,109 @@ def group_ids(members: DataFrame, length: int = 20) -> DataFrame:
 
 
 def assign_splits(groups: list[tuple[str, list[tuple[str, str]]]], targets: dict[str, int] = SPLIT_TARGETS) -> dict[str, str]:
-    """Split by member, groups kept whole; groups: (key, [(member, former split)]). Sequential by nature, so on a group summary only.
+    """Split by member, groups kept whole; groups: (key, [(member, former split)]). On a group summary only, as each choice depends on the room left.
 
-    Groups of several go first, the largest first; each to the split with room for it that holds most of its members already, then
-    has most room, then comes first. Single members stay where they were while there is room. Targets must be met exactly.
+    The rule is one table: a row of figures for each group and split, of which the group takes the best split that has room. Groups
+    of several come first, the largest first, and look at their members there already, then the share of room left; single members
+    only ask whether they were there, then for the most room. Ties go by the order of the splits. Targets must be met exactly.
     """
-    if sum(targets.values()) != sum(len(m) for _, m in groups):
+    names, sizes = list(targets), np.array(list(targets.values()))
+    members = [sorted(m) for _, m in groups]
+    if sizes.sum() != sum(map(len, members)):
         raise ValueError("targets and members differ in number")
-    room, order, out = dict(targets), list(targets), {}
-    many = sorted((m for _, m in groups if len(m) > 1), key=lambda m: (-len(m), min(x for x, _ in m)))
-    for members in many:
-        fits = [s for s in order if room[s] >= len(members)]
-        if not fits:
-            raise ValueError("no split has room for a group")
-        were = defaultdict(int)
-        for _, s in members:
-            were[s] += 1
-        best = max(fits, key=lambda s: (were[s], room[s] / targets[s], -order.index(s)))
-        room[best] -= len(members)
-        out |= {x: best for x, _ in members}
-    for member, former in sorted(m[0] for _, m in groups if len(m) == 1):
-        best = former if room.get(former, 0) > 0 else max(order, key=lambda s: (room[s], -order.index(s)))
-        if room[best] <= 0:
-            raise ValueError("no split has room left")
-        room[best] -= 1
-        out[member] = best
+    queue = sorted(members, key=lambda m: (-len(m), m[0]) if len(m) > 1 else (0, m[0]))
+    held = np.array([[sum(was == s for _, was in m) for s in names] for m in queue]).reshape(len(queue), len(names))
+    room, out = sizes.copy(), {}
+    for m, here in zip(queue, held, strict=True):
+        fits = room >= len(m)
+        if not fits.any():
+            raise ValueError("no split has room for a group" if len(m) > 1 else "no split has room left")
+        second = room / np.maximum(sizes, 1) if len(m) > 1 else room
+        best = np.lexsort((-np.arange(len(names)), second, here, fits))[-1]
+        room[best] -= len(m)
+        out.update((x, names[best]) for x, _ in m)
     return out
 
 
+def expanded_quota(quotas: DataFrame, total: int) -> DataFrame:
+    """position, value: each value as often as its quota says, positions from 0; quotas: place (order), value, n. Other totals are an error."""
+    before = F.coalesce(F.sum("n").over(Window.orderBy("place").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # one row a value
+    got = quotas.agg(F.sum("n"), F.min("n")).first()
+    if got[0] != total or got[1] < 0:
+        raise ValueError("quotas must not be negative and must sum to the total")
+    rows = quotas.withColumn("_at", before).where("n > 0")
+    each = rows.select("_at", "value", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n").cast("long") - 1)).alias("_i"))
+    return each.select((F.col("_at") + F.col("_i")).cast("long").alias("position"), "value")
+
+
+def shuffled_quota(quotas: DataFrame, total: int, seed: str) -> DataFrame:
+    """position, value of the expanded quota in an order by hash of seed and position: reproducible in any engine."""
+    df = expanded_quota(quotas, total).withColumn("_key", stable_key(seed, F.col("position")))
+    return df.select((F.row_number().over(Window.orderBy("_key")) - 1).cast("long").alias("position"), "value")  # one row a slot of an evaluation set
+
+
+def constrained_assignment(slots: DataFrame, fixed: dict[str, str], ranked: list[tuple[tuple[str, ...] | None, str, int]], rest: str) -> DataFrame:
+    """position, kind, value: kinds in `fixed` get their value; of the others the first n by position of each listed kind (None: any) get that value; what is left gets `rest`."""
+    df = slots.withColumn("value", F.element_at(F.create_map(*[F.lit(x) for kv in fixed.items() for x in kv]), F.col("kind")))
+    for kinds, value, n in ranked:
+        free = F.col("value").isNull() & (F.lit(True) if kinds is None else F.col("kind").isin(*kinds))
+        place = F.sum(free.cast("int")).over(Window.orderBy("position").rowsBetween(Window.unboundedPreceding, 0))
+        df = df.withColumn("value", F.when(free & (place <= n), value).otherwise(F.col("value")))
+    return df.withColumn("value", F.coalesce("value", F.lit(rest)))
+
+
+def decision_errors(decisions: DataFrame, queue: DataFrame) -> DataFrame:
+    """question_id, code: the first rule that a pre-review decision breaks against its queue entry, none where all hold.
+
+    decisions: question_id, review_id, labels_sha256, outcome, checks (map), corrected, reviewer_id, reviewed_at (text), judged
+    (array of chunk_id, document_id, page_start, page_end, supports_claims), claim_ids, citations. queue: question_id, review_id,
+    labels_sha256, check_names, proposal, evidence (array of chunk_id, document_id, page_start, page_end).
+    """
+    q = queue.select("question_id", F.struct("review_id", "labels_sha256", "check_names", "proposal", "evidence").alias("_q"))
+    results = F.map_values("checks")
+    failed = F.array_contains(results, "FAIL")
+    pick = lambda j: F.struct(j["chunk_id"].alias("chunk_id"), j["document_id"].alias("document_id"), j["page_start"].alias("page_start"), j["page_end"].alias("page_end"))
+    known = F.transform("_q.evidence", lambda e: e["chunk_id"])
+    same = F.transform("_q.evidence", pick)
+    edited = ~F.col("corrected").eqNullSafe(F.col("_q.proposal"))
+    rules = (
+        (F.col("_q").isNull(), "QUEUE_ENTRY_MISSING"),
+        (~F.col("review_id").eqNullSafe(F.col("_q.review_id")), "REVIEW_ID_DRIFT"),
+        (~F.col("labels_sha256").eqNullSafe(F.col("_q.labels_sha256")), "PROPOSAL_HASH_DRIFT"),
+        (~F.coalesce(F.col("outcome").isin("APPROVE_AS_IS", "EDIT_LABELS"), F.lit(False)), "OUTCOME_INCOMPLETE"),
+        (F.array_sort(F.map_keys("checks")) != F.array_sort("_q.check_names"), "CHECK_IDENTITY_DRIFT"),
+        (F.exists(results, lambda r: ~F.coalesce(r.isin("PASS", "FAIL", "NOT_APPLICABLE"), F.lit(False))), "CHECK_PENDING"),
+        ((F.col("outcome") == "APPROVE_AS_IS") & edited, "APPROVED_LABELS_DIFFER"),
+        ((F.col("outcome") == "APPROVE_AS_IS") & failed, "APPROVED_WITH_FAILED_CHECK"),
+        ((F.col("outcome") == "EDIT_LABELS") & ~edited, "EDIT_WITHOUT_CHANGE"),
+        ((F.col("outcome") == "EDIT_LABELS") & ~failed, "EDIT_WITHOUT_FAILED_CHECK"),
+        (F.coalesce(F.length("reviewer_id"), F.lit(0)) == 0, "REVIEWER_MISSING"),
+        (~has_zone(F.col("reviewed_at")), "REVIEW_TIME_WITHOUT_ZONE"),
+        (F.exists("judged", lambda j: ~F.array_contains(known, j["chunk_id"])), "JUDGMENT_OF_UNKNOWN_CHUNK"),
+        (F.exists("judged", lambda j: ~F.array_contains(same, pick(j))), "CHUNK_IDENTITY_DRIFT"),
+        (F.exists("judged", lambda j: F.size(F.array_except(j["supports_claims"], F.col("claim_ids"))) > 0), "UNKNOWN_CLAIM"),
+        (F.size(F.array_except("citations", known)) > 0, "CITATION_OUTSIDE_EVIDENCE"),
+    )
+    code = F.coalesce(*[F.when(F.coalesce(broken, F.lit(True)), name) for broken, name in rules])
+    return decisions.join(q, "question_id", "left").select("question_id", code.alias("code")).where("code is not null")
+
+
+def frozen_input_errors(rows: DataFrame, split: str, n: int, required: DataFrame, categories: dict[str, int]) -> DataFrame:
+    """code, detail of what differs from a frozen input: ROW_COUNT, SPLIT, REQUIRED_MISSING, CATEGORY_COUNT; none where all is as frozen.
+
+    rows: question_id, split, category; required: question_id; categories: number of rows of each.
+    """
+    spark = rows.sparkSession
+    text = lambda code, detail: (F.lit(code).alias("code"), detail.cast("string").alias("detail"))
+    count = rows.agg(F.count(F.lit(1)).alias("n")).where(F.col("n") != n).select(*text("ROW_COUNT", F.col("n")))
+    other = rows.where(~F.col("split").eqNullSafe(F.lit(split))).select("split").distinct().select(*text("SPLIT", F.coalesce("split", F.lit("null"))))
+    lacking = required.join(rows, "question_id", "left_anti").select(*text("REQUIRED_MISSING", F.col("question_id")))
+    want = spark.createDataFrame(list(categories.items()), "category string, want long")
+    have = rows.groupBy("category").agg(F.count(F.lit(1)).alias("have"))
+    differs = want.join(have, "category", "full_outer").where("coalesce(want, 0) <> coalesce(have, 0)")
+    return count.union(other).union(lacking).union(differs.select(*text("CATEGORY_COUNT", F.coalesce("category", F.lit("null")))))
+
+
 def leaking_groups(items: DataFrame, group: str = "leakage_group_id", split: str = "split") -> DataFrame:
     """Groups whose members stand in more than one split."""
     return items.groupBy(group).agg(F.count_distinct(split).alias("n_splits"), F.count(F.lit(1)).alias("n_items")).where("n_splits > 1")

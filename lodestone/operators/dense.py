@@ -67,6 +67,72 @@ def cosine_top_k(queries: DataFrame, vectors: DataFrame, k: int, min_score: floa
     return top_k(near, k, ["question_id"])
 
 
+def fit_cells(vectors: DataFrame, cells: int, sample: int, id_col: str, vector_col: str, rounds: int = 8) -> np.ndarray:
+    """Unit centroids of spherical k-means over at most `sample` unit vectors, drawn by hash of the identifier."""
+    rows = vectors.select(F.xxhash64(id_col).alias("h"), normalized(F.col(vector_col)).alias("v")).where("v is not null").orderBy("h", "v").limit(sample).toArrow()
+    x = np.array(rows.column(1).to_pylist(), float).reshape(len(rows), -1)
+    centres = x[: max(1, min(cells, len(x)))]
+    for _ in range(rounds if len(x) else 0):
+        near = (x @ centres.T).argmax(1)
+        sums = np.zeros_like(centres)
+        np.add.at(sums, near, x)
+        length = np.sqrt((sums * sums).sum(1, keepdims=True))
+        centres = np.where(length > 0, sums / np.maximum(length, 1e-300), centres)
+    return centres
+
+
+def ann_top_k(queries: DataFrame, vectors: DataFrame, k: int, min_score: float = 0.5, cell_size: int = 4096, probes: int = 16, sample_per_cell: int = 32, most_cells: int = 16_384, id_col: str = "vec_id", vector_col: str = "embedding", scope_col: str | None = None, visible_col: str | None = None, same: bool = True) -> DataFrame:
+    """question_id, chunk_id, score (6 places), rank: about the k nearest by cosine >= min_score, looked for in the query's `probes` nearest cells.
+
+    Cells are fitted on a bounded sample; every vector is in one, and only pairs that share a cell are multiplied. With as many
+    probes as cells the answer is exact. With scope_col (of queries) and visible_col (of vectors, an array of scopes) a vector that a
+    scope may not see is left out before the k best are taken. same=False leaves out a query's own identifier.
+    """
+    n = vectors.count()
+    centres = fit_cells(vectors, min(most_cells, -(-n // cell_size)), min(most_cells, -(-n // cell_size)) * sample_per_cell, id_col, vector_col)
+    many = max(1, min(probes, len(centres)))
+
+    def placed(df: DataFrame, most: int, extra) -> DataFrame:
+        good = df.select(F.col(id_col).cast("long").alias("id"), normalized(F.col(vector_col)).alias("v"), extra.alias("s")).where("v is not null")
+
+        def run(it):
+            for batch in it:
+                if len(batch):
+                    x = batch.column(1).flatten().to_numpy().reshape(len(batch), -1)
+                    order = np.argsort(-(x @ centres.T), axis=1, kind="stable")[:, :most]
+                    yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(order.astype(np.int32).tolist(), pa.list_(pa.int32()))], names=["id", "v", "s", "cells"])
+
+        kind = good.schema["s"].dataType.simpleString()
+        return good.mapInArrow(run, f"id long, v array<double>, s {kind}, cells array<int>").withColumn("cell", F.explode("cells")).drop("cells")
+
+    asked = placed(queries, many, F.col(scope_col) if scope_col else F.lit(None).cast("string"))
+    held = placed(vectors, 1, F.col(visible_col) if visible_col else F.lit(None).cast("array<string>"))
+    pairs = asked.groupBy("cell").agg(F.collect_list(F.struct("id", "v", "s")).alias("q"))  # a stated query set
+    blocks = held.groupBy("cell", F.pmod(F.xxhash64("id"), F.lit(max(1, n // (2048 * max(1, len(centres)))))).alias("block")).agg(F.collect_list(F.struct("id", "v", "s")).alias("c"))
+    schema = pa.schema([("question_id", pa.int64()), ("chunk_id", pa.int64()), ("score", pa.float64())])
+
+    def compare(it):
+        for batch in it:
+            for row in range(len(batch)):
+                qs, cs = (batch.column(i)[row].values for i in range(2))
+                (q, qv, qscope), (c, cv, cscope) = ([x.field(i) for i in range(3)] for x in (qs, cs))
+                q, c = q.to_numpy(), c.to_numpy()
+                scores = np.round(qv.flatten().to_numpy().reshape(len(q), -1) @ cv.flatten().to_numpy().reshape(len(c), -1).T, 6)
+                if not same:
+                    scores[q[:, None] == c[None, :]] = -2
+                if visible_col:
+                    sees = [set(x or ()) for x in cscope.to_pylist()]
+                    for i, scope in enumerate(qscope.to_pylist()):
+                        scores[i, [scope not in s for s in sees]] = -2
+                order = np.lexsort((np.broadcast_to(c, scores.shape), -scores), axis=1)[:, :k]
+                best = np.take_along_axis(scores, order, 1)
+                i, j = np.nonzero(best >= min_score)
+                yield pa.RecordBatch.from_arrays([pa.array(q[i]), pa.array(c[order[i, j]]), pa.array(best[i, j])], schema=schema)
+
+    near = blocks.join(pairs, "cell").select("q", "c").mapInArrow(compare, "question_id long, chunk_id long, score double")
+    return top_k(near, k, ["question_id"])
+
+
 def embed(texts: DataFrame, provider, text_col: str = "text", dims: int = 64, batch: int = 16) -> DataFrame:
     """Adds vector: provider(list of texts) -> list of vectors, called in batches of `batch`; a wrong length or size is an error."""
     fields = texts.schema

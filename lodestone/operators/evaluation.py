@@ -61,10 +61,88 @@ def refusal_metrics(results: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def by_question_type(per_question: DataFrame, items: DataFrame, k: int = max(KS)) -> DataFrame:
-    """backend, question_type, n, recall, ndcg at k; items: question_id, question_types (array)."""
+    """backend, question_type, n, recall, ndcg at k over the eligible questions of each type; a type without any has n 0 and nulls.
+
+    items: question_id, answerability, question_types (array).
+    """
     top = per_question.where(F.col("k") == k)
-    types = items.select("question_id", F.explode("question_types").alias("question_type"))
-    return top.join(types, "question_id").groupBy("backend", "question_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("recall"), 6).alias("recall"), F.round(F.avg("ndcg"), 6).alias("ndcg"))
+    counts = F.col("answerability").isin(*ELIGIBLE)
+    types = items.select("question_id", counts.alias("counts"), F.explode(F.array_distinct("question_types")).alias("question_type"))
+    mean = lambda m: F.round(F.avg(F.when(F.col("counts"), F.col(m))), 6).alias(m)
+    return top.join(types, "question_id").groupBy("backend", "question_type").agg(F.count_if("counts").alias("n"), mean("recall"), mean("ndcg"))
+
+
+def metrics_report(macro: DataFrame, refusal: DataFrame, results: DataFrame) -> DataFrame:
+    """backend, metric, value of every metric of a run: recall@k and the like, the rates of refusal, latency_ms_p50 and _p95.
+
+    results: backend, question_id, latency_ms.
+    """
+    ranked = macro.unpivot(["backend", "k"], ["recall", "precision", "mrr", "ndcg"], "m", "value").select("backend", F.concat_ws("@", "m", F.col("k").cast("string")).alias("metric"), "value")
+    rates = refusal.unpivot(["backend"], ["no_answer_recall", "refusal_precision", "wrong_refusal_rate", "forbidden_block_rate"], "metric", "value")
+    p = lambda q: F.round(F.percentile("latency_ms", F.lit(q)), 6)
+    times = results.groupBy("backend").agg(p(0.5).alias("latency_ms_p50"), p(0.95).alias("latency_ms_p95")).unpivot(["backend"], ["latency_ms_p50", "latency_ms_p95"], "metric", "value")
+    return ranked.union(rates).union(times)
+
+
+def comparisons(report: DataFrame) -> DataFrame:
+    """candidate, baseline, metric, delta (candidate - baseline, 6 places) for every ordered pair of runs and metric that both have."""
+    known = report.where("value is not null")
+    a, b = known.toDF("candidate", "metric", "va"), known.toDF("baseline", "metric", "vb")
+    return a.join(b, "metric").where("candidate <> baseline").select("candidate", "baseline", "metric", F.round(F.col("va") - F.col("vb"), 6).alias("delta"))
+
+
+def report_errors(report: DataFrame, limits: dict[str, tuple[float, float]], gains: dict[str, tuple[str, str]]) -> DataFrame:
+    """key, code of paired reports that can't pass: report has a key and numeric columns.
+
+    limits: column -> (least, most), VALUE_OUT_OF_RANGE beyond or where it is missing or no finite number. gains: column ->
+    (treatment, control), GAIN_ARITHMETIC where it isn't their difference within 1e-9.
+    """
+    key, rest = report.columns[0], report.columns[1:]
+    sound = lambda c: F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double")) & (F.abs(F.col(c).cast("double")) < float("inf"))
+    range_ = [F.when(~F.coalesce(sound(c) & F.col(c).between(*limits[c]), F.lit(False)), F.concat(F.lit("VALUE_OUT_OF_RANGE:"), F.lit(c))) for c in rest if c in limits]
+    differs = lambda g, t, c: ~F.coalesce(F.abs(F.col(g) - (F.col(t) - F.col(c))) <= 1e-9, F.lit(False))
+    arithmetic = [F.when(differs(g, t, c), F.concat(F.lit("GAIN_ARITHMETIC:"), F.lit(g))) for g, (t, c) in gains.items()]
+    return report.select(F.col(key).alias("key"), F.explode(F.array_compact(F.array(*range_, *arithmetic))).alias("code"))
+
+
+def location_gate(evidence: DataFrame, required: DataFrame) -> DataFrame:
+    """case_id, code: null, EVIDENCE_IDENTITY_FAILED (evidence of another document or version) or LOCATION_GATE_FAILED (a required range that no evidence overlaps).
+
+    required: case_id, document_id, version_id, page_start, page_end (one row a range); evidence: case_id, document_id, version_id,
+    page_start, page_end.
+    """
+    asked = required.select("case_id", "document_id", "version_id").distinct()
+    e = evidence.select("case_id", F.col("document_id").alias("_d"), F.col("version_id").alias("_v"), F.col("page_start").alias("_a"), F.col("page_end").alias("_b"))
+    foreign = asked.join(e, "case_id").where(~(F.col("_d").eqNullSafe(F.col("document_id")) & F.col("_v").eqNullSafe(F.col("version_id")))).select("case_id", F.lit(True).alias("_foreign")).distinct()
+    overlap = (e["case_id"] == required["case_id"]) & (F.col("_a") <= F.col("page_end")) & (F.col("_b") >= F.col("page_start"))
+    unmet = required.join(e, overlap, "left_anti").select("case_id", F.lit(True).alias("_unmet")).distinct()
+    df = asked.select("case_id").distinct().join(foreign, "case_id", "left").join(unmet, "case_id", "left")
+    return df.select("case_id", F.when(F.col("_foreign"), "EVIDENCE_IDENTITY_FAILED").when(F.col("_unmet"), "LOCATION_GATE_FAILED").alias("code"))
+
+
+def model_selection(attempts: DataFrame, baseline: str, candidate: str, replays: int = 2) -> DataFrame:
+    """One row: decision KEEP, PROMOTE or EXECUTION_INCOMPLETE, and how many cases pass all hard gates a model.
+
+    attempts: model, case_id, attempt, error, identity_ok, citations_ok, terms_ok, forbidden_absent. A case passes if all its replays
+    ended without error and every gate holds in each. Execution is complete if that number of replays ended for every case of both.
+    """
+    ended = F.col("error").isNull()
+    gates = F.lit(True)
+    for c in ("identity_ok", "citations_ok", "terms_ok", "forbidden_absent"):
+        gates = gates & F.coalesce(F.col(c), F.lit(False))
+    cases = attempts.groupBy("model", "case_id").agg((F.count_if(ended) == replays).alias("complete"), F.bool_and(ended & gates).alias("good"))
+    mine = lambda m: F.col("model") == m
+    passed = lambda m: F.count_if(mine(m) & F.col("complete") & F.col("good"))
+    of = lambda m: F.count_if(mine(m))
+    whole = F.coalesce(F.bool_and("complete"), F.lit(False)) & (of(baseline) > 0) & (of(baseline) == of(candidate))
+    df = cases.where(F.col("model").isin(baseline, candidate)).agg(whole.alias("_whole"), passed(baseline).alias("baseline_passed"), passed(candidate).alias("candidate_passed"), of(candidate).alias("n_cases"))
+    decision = F.when(~F.col("_whole"), "EXECUTION_INCOMPLETE").when(F.col("candidate_passed") == F.col("n_cases"), "PROMOTE").otherwise("KEEP")
+    return df.select(decision.alias("decision"), "baseline_passed", "candidate_passed", "n_cases")
+
+
+def route_work(samples: DataFrame, stages: list[str], by: str = "request_id") -> DataFrame:
+    """request, n_routes and each stage's time summed over the request's routes."""
+    return samples.groupBy(by).agg(F.count(F.lit(1)).alias("n_routes"), *[F.sum(s).alias(s) for s in stages])
 
 
 def deltas(macro: DataFrame, metrics: tuple[str, ...] = ("recall", "precision", "mrr", "ndcg")) -> DataFrame:
@@ -74,14 +152,21 @@ def deltas(macro: DataFrame, metrics: tuple[str, ...] = ("recall", "precision",
     return a.join(b, ["k", "metric"]).where("backend_a < backend_b").select("backend_a", "backend_b", "k", "metric", F.round(F.col("vb") - F.col("va"), 6).alias("delta"))
 
 
-def coverage_errors(items: DataFrame, results: DataFrame, most_k: int) -> DataFrame:
-    """code, backend, question_id: missing and extra questions, more than one run or too small a top_k in a backend."""
+def coverage_errors(items: DataFrame, results: DataFrame, most_k: int, dataset_version: str | None = None) -> DataFrame:
+    """code, backend, question_id: missing and extra questions, more than one run or too small a top_k in a backend.
+
+    With a dataset_version, results of another one are DATASET_VERSION; results with a run_label other than their backend are LABEL.
+    """
     want = items.select("question_id").crossJoin(results.select("backend").distinct())
     missing = want.join(results, ["backend", "question_id"], "left_anti").select(F.lit("MISSING").alias("code"), "backend", "question_id")
     extra = results.join(items, "question_id", "left_anti").select(F.lit("EXTRA").alias("code"), "backend", "question_id")
     runs = results.groupBy("backend").agg(F.count_distinct("run_id").alias("runs"), F.min("top_k").alias("top"))
     bad = lambda cond, code: runs.where(cond).select(F.lit(code).alias("code"), "backend", F.lit(None).cast("string").alias("question_id"))
-    return missing.union(extra).union(bad("runs > 1", "MORE_RUNS")).union(bad(F.col("top") < most_k, "TOP_K_TOO_SMALL"))
+    out = missing.union(extra).union(bad("runs > 1", "MORE_RUNS")).union(bad(F.col("top") < most_k, "TOP_K_TOO_SMALL"))
+    rows = lambda cond, code: results.where(cond).select(F.lit(code).alias("code"), "backend", "question_id")
+    if dataset_version is not None:
+        out = out.union(rows(~F.col("dataset_version").eqNullSafe(F.lit(dataset_version)), "DATASET_VERSION"))
+    return out.union(rows(~F.col("run_label").eqNullSafe(F.col("backend")), "LABEL")) if "run_label" in results.columns else out
 
 
 def two_sided(ranking: DataFrame, judgments: DataFrame, k: int = 3) -> DataFrame:
@@ -158,10 +243,20 @@ def nli_retention(scores: DataFrame, pairs: DataFrame, least: float = 0.85) -> D
     return df.withColumn("rate", F.round(F.col("retained") / F.col("n"), 6)).withColumn("passed", F.col("rate") >= least)
 
 
-def plan_determinism(plans: DataFrame, most_p95: float = 5.0) -> DataFrame:
-    """case_id, repetitions, stable, p95_ms, passed; plans: case_id, plan_hash, elapsed_ms."""
+def plan_determinism(plans: DataFrame, most_p95: float = 5.0, repetitions: tuple[int, int] | None = None) -> DataFrame:
+    """case_id, repetitions, stable, p95_ms, passed; plans: case_id, plan_hash, elapsed_ms.
+
+    With bounds of the number of repetitions a case outside them fails. Where plans have arm, status, query and question, a control
+    that isn't the question as it is and a treatment that isn't APPLIED fail too.
+    """
     df = plans.groupBy("case_id").agg(F.count(F.lit(1)).alias("repetitions"), (F.count_distinct("plan_hash") == 1).alias("stable"), F.round(F.percentile("elapsed_ms", F.lit(0.95)), 6).alias("p95_ms"))
-    return df.withColumn("passed", F.col("stable") & (F.col("p95_ms") <= most_p95))
+    df = df.withColumn("passed", F.col("stable") & (F.col("p95_ms") <= most_p95))
+    if repetitions is not None:
+        df = df.withColumn("passed", F.col("passed") & F.col("repetitions").between(*repetitions))
+    if {"arm", "status", "query", "question"} <= set(plans.columns):
+        kept = F.when(F.col("arm") == "control", F.col("query").eqNullSafe(F.col("question"))).otherwise(F.col("status").eqNullSafe(F.lit("APPLIED")))
+        df = df.join(plans.groupBy("case_id").agg(F.bool_and(kept).alias("_kept")), "case_id").withColumn("passed", F.col("passed") & F.col("_kept")).drop("_kept")
+    return df
 
 
 def no_evidence_regressions(items: DataFrame, control: DataFrame, treatment: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lodestone.functions.text import QUERY_STOP_WORDS, STOP_WORDS, query_tokens, tokens
+from lodestone.functions.text import QUERY_STOP_WORDS, STOP_WORDS, n_tokens, query_tokens, tokens
 
 
 def top_k(scored: DataFrame, k: int | None, by: list[str], score: str = "score", tie: str = "chunk_id") -> DataFrame:
@@ -15,6 +15,11 @@ def top_k(scored: DataFrame, k: int | None, by: list[str], score: str = "score",
     return ranked if k is None else ranked.where(F.col("rank") <= k)
 
 
+def blank_questions(questions: DataFrame, id_col: str = "question_id", text_col: str = "question") -> DataFrame:
+    """Questions without a sign, which are errors; one of stop words only is none and merely finds nothing."""
+    return questions.where(F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), r"\s+", "") == "").select(id_col)
+
+
 def question_terms(questions: DataFrame, stop: tuple[str, ...] = STOP_WORDS, id_col: str = "question_id", text_col: str = "question", tokenizer=None) -> DataFrame:
     """question_id, token: distinct tokens but the stop words; a question without any has no row.
 
@@ -26,6 +31,38 @@ def question_terms(questions: DataFrame, stop: tuple[str, ...] = STOP_WORDS, id_
     return questions.select(F.col(id_col).alias("question_id"), F.explode(kept).alias("token"))
 
 
+def asked_postings(terms: list[DataFrame], chunks: DataFrame, fields: dict[str, Column]) -> DataFrame:
+    """token, chunk_id, length, tf_<field> of the tokens that any of the question terms asks for, in one pass over the chunks.
+
+    To be written once where several rankings of one batch of questions read it. Tokens that no question asks for drop out before
+    anything is shuffled. length counts the tokens of all fields.
+    """
+    asked = terms[0].select("token")
+    for t in terms[1:]:
+        asked = asked.union(t.select("token"))
+    named = lambda n: lambda t: F.struct(t.alias("token"), F.lit(n).alias("field"))
+    marked = [F.transform(tokens(F.coalesce(c, F.lit(""))), named(n)) for n, c in fields.items()]
+    rows = chunks.select("chunk_id", F.concat(*marked).alias("_x")).select("chunk_id", F.size("_x").alias("length"), F.explode("_x").alias("_x")).select("chunk_id", "length", "_x.token", "_x.field")
+    return rows.join(asked.distinct(), "token").groupBy("token", "chunk_id", "length").agg(*[F.count_if(F.col("field") == n).alias(f"tf_{n}") for n in fields])
+
+
+def collection(chunks: DataFrame, fields: dict[str, Column]) -> DataFrame:
+    """One row (n_chunks, mean_length) over all chunks with a token; counts tokens without making them."""
+    length = sum((F.coalesce(n_tokens(c), F.lit(0)) for c in fields.values()), F.lit(0)).cast("long")
+    return chunks.select(length.alias("length")).where("length > 0").agg(F.count(F.lit(1)).alias("n_chunks"), F.avg("length").alias("mean_length"))
+
+
+def overlap_of(postings: DataFrame, terms: DataFrame) -> DataFrame:
+    """question_id, chunk_id, score > 0 from postings that hold every asked token: distinct question tokens in any field."""
+    return postings.join(terms, "token").groupBy("question_id", "chunk_id").agg(F.count(F.lit(1)).alias("score"))
+
+
+def bm25_of(postings: DataFrame, terms: DataFrame, corpus: DataFrame, weights: dict[str, float], k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """question_id, chunk_id, score as bm25_scores, from postings that hold every asked token and the collection's one row."""
+    dfs = postings.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+    return _scored(postings.join(terms, "token").join(dfs, "token").crossJoin(F.broadcast(corpus)), weights, k1, b)  # corpus is one row
+
+
 def overlap_scores(questions: DataFrame, chunks: DataFrame, passage: Column) -> DataFrame:
     """question_id, chunk_id, score > 0: distinct question tokens that the passage holds.
 
@@ -47,6 +84,28 @@ def postings(chunks: DataFrame, fields: dict[str, Column], tokenizer=tokens) ->
     return rows.groupBy(F.col("x.token").alias("token"), "chunk_id", "length").agg(*[F.count_if(F.col("x.field") == n).alias(f"tf_{n}") for n in fields])
 
 
+def write_index(index: DataFrame, path: str, identity: str) -> None:
+    """Postings below path, published with the number of rows, chunks and a digest that `open_index` holds them to."""
+    from lodestone.sources.sinks import publish
+
+    stored = publish(index, f"{path}/postings")
+    publish(_index_facts(stored).withColumn("identity", F.lit(identity)), f"{path}/metadata")
+
+
+def open_index(spark, path: str, identity: str) -> DataFrame:
+    """The stored postings; an error if they belong to another corpus or aren't what was written."""
+    index, facts = spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/metadata").first().asDict()
+    if facts.pop("identity") != identity:
+        raise ValueError("the index was built for another corpus")
+    if _index_facts(index).first().asDict() != facts:
+        raise ValueError("the index isn't what was written")
+    return index
+
+
+def _index_facts(index: DataFrame) -> DataFrame:
+    return index.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("chunk_id").alias("n_chunks"), F.sum(F.xxhash64(*sorted(index.columns)).cast("decimal(38,0)")).cast("string").alias("digest"))
+
+
 def corpus_statistics(index: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(token, df) and the one-row (n_chunks, mean_length), over the whole corpus, before any access rule."""
     per_chunk = index.select("chunk_id", "length").distinct()
@@ -81,15 +140,7 @@ def bm25_scan(questions: DataFrame, chunks: DataFrame, fields: dict[str, Column]
     the corpus; lengths and their mean need no shuffle at all.
     """
     terms = question_terms(questions, stop)
-    listed = chunks.select("chunk_id", *[tokens(F.coalesce(c, F.lit(""))).alias(n) for n, c in fields.items()])
-    length = sum((F.size(n) for n in fields), F.lit(0))
-    corpus = listed.select(length.alias("length")).where("length > 0").agg(F.count(F.lit(1)).alias("n_chunks"), F.avg("length").alias("mean_length"))
-    mark = lambda n: F.transform(F.col(n), lambda t: F.struct(t.alias("token"), F.lit(n).alias("field")))
-    rows = listed.select("chunk_id", length.alias("length"), F.explode(F.concat(*[mark(n) for n in fields])).alias("x")).select("chunk_id", "length", "x.token", "x.field")
-    asked = rows.join(terms.select("token").distinct(), "token")
-    found = asked.groupBy("token", "chunk_id", "length").agg(*[F.count_if(F.col("field") == n).alias(f"tf_{n}") for n in fields])
-    dfs = found.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-    return _scored(found.join(terms, "token").join(dfs, "token").crossJoin(F.broadcast(corpus)), weights, k1, b)
+    return bm25_of(asked_postings([terms], chunks, fields), terms, collection(chunks, fields), weights, k1, b)
 
 
 def best_field_scores(questions: DataFrame, chunks: DataFrame, fields: dict[str, Column], weights: dict[str, float]) -> DataFrame:

@@ -93,6 +93,57 @@ def queue_state(events: DataFrame, most_attempts: int = 5, base: int = 30, cap:
     return df.select("job_id", "attempts", status.alias("status"), due.alias("next_attempt_at"))
 
 
+def fenced(events: DataFrame) -> DataFrame:
+    """events without the reports of stale workers: a COMPLETED or FAILED counts only with the token of the job's latest claim, once.
+
+    events: job_id, ts, event_id (order of equal times), kind, lease_token. What is left can be folded by queue_state.
+    """
+    so_far = Window.partitionBy("job_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
+    ends = F.col("kind").isin("COMPLETED", "FAILED")
+    df = events.withColumn("_claim", F.last(F.when(F.col("kind") == "CLAIMED", F.struct("ts", "event_id", "lease_token")), ignorenulls=True).over(so_far))
+    df = df.withColumn("_valid", ends & F.coalesce(F.col("lease_token") == F.col("_claim.lease_token"), F.lit(False)))
+    earlier = Window.partitionBy("job_id", "_claim").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, -1)
+    df = df.withColumn("_again", F.coalesce(F.max(F.col("_valid").cast("int")).over(earlier), F.lit(0)) == 1)
+    return df.where(~ends | (F.col("_valid") & ~F.col("_again"))).drop("_claim", "_valid", "_again")
+
+
+def revalidated(routes: DataFrame, versions: DataFrame) -> DataFrame:
+    """owner_id, unchanged: whether an owner's READY, active versions after retrieval are exactly the routes that were searched.
+
+    routes: owner_id, document_id, version_id; versions: the same with lifecycle_status and is_active, read anew. Answers of an owner
+    whose versions changed must not be given.
+    """
+    own = ["owner_id", "document_id", "version_id"]
+    now = versions.where((F.col("lifecycle_status") == "READY") & F.coalesce("is_active", F.lit(False))).select(*own)
+    changed = drift(routes.select(*own), now).select("owner_id", F.lit(True).alias("_changed")).distinct()
+    return routes.select("owner_id").distinct().join(changed, "owner_id", "left").select("owner_id", F.col("_changed").isNull().alias("unchanged"))
+
+
+def online_chunks(chunks: DataFrame, versions: DataFrame, owner: str) -> DataFrame:
+    """An owner's chunks of READY, active versions without an end, joined on version, owner and document."""
+    live = versions.where((F.col("owner_id") == owner) & (F.col("lifecycle_status") == "READY") & F.coalesce("is_active", F.lit(False)) & F.col("deleted_at").isNull() & F.col("expired_at").isNull())
+    return chunks.join(live.select("version_id", "owner_id", "document_id").distinct(), ["version_id", "owner_id", "document_id"], "left_semi")
+
+
+def migration_plan(wanted: DataFrame, applied: DataFrame) -> DataFrame:
+    """migration_id, action: APPLY for what isn't applied, SKIP for the same checksum, DRIFT for another one, which is an error; frames: migration_id, sha256."""
+    df = wanted.join(applied.select("migration_id", F.col("sha256").alias("_had")), "migration_id", "left")
+    return df.select("migration_id", F.when(F.col("_had").isNull(), "APPLY").when(F.col("_had") == F.col("sha256"), "SKIP").otherwise("DRIFT").alias("action"))
+
+
+def ingestion_outcomes(steps: DataFrame, order: tuple[str, ...] = ("REGISTER", "PARSE", "EMBED", "INDEX", "VERIFY")) -> DataFrame:
+    """version_id, status, failure_code, failed_step of ingestions whose steps run in order and stop at the first failure.
+
+    steps: version_id, step, ok, failure_code. All steps done: READY. A step failed: FAILED with its code (UNEXPECTED_FAILURE where it
+    has none), whatever later steps say. Otherwise PROCESSING.
+    """
+    place = F.array_position(F.array(*[F.lit(s) for s in order]), F.col("step"))
+    failed = F.when(~F.coalesce("ok", F.lit(False)), F.struct(place.alias("p"), "step", F.coalesce("failure_code", F.lit("UNEXPECTED_FAILURE")).alias("code")))
+    df = steps.where(place > 0).groupBy("version_id").agg(F.min(failed).alias("f"), F.count_distinct(F.when(F.col("ok"), F.col("step"))).alias("done"))
+    status = F.when(F.col("f").isNotNull(), "FAILED").when(F.col("done") == len(order), "READY").otherwise("PROCESSING")
+    return df.select("version_id", status.alias("status"), F.col("f.code").alias("failure_code"), F.col("f.step").alias("failed_step"))
+
+
 def recovered(jobs: DataFrame, now) -> DataFrame:
     """Jobs with leases that ended by `now` put back to RETRY, or FAILED once their attempts are used up."""
     ended = (F.col("status") == "RUNNING") & (F.col("lease_expires_at") <= now)
@@ -101,9 +152,9 @@ def recovered(jobs: DataFrame, now) -> DataFrame:
 
 
 def due_jobs(jobs: DataFrame, now, by: list[str], n: int = 1) -> DataFrame:
-    """The first n due jobs of each group, by next attempt, then id."""
+    """The first n due jobs of each group, by next attempt, then time of creation, then id."""
     due = jobs.where(F.col("status").isin("PENDING", "RETRY") & (F.col("next_attempt_at") <= now))
-    return due.withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy("next_attempt_at", "job_id"))).where(F.col("_n") <= n).drop("_n")
+    return due.withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy("next_attempt_at", "created_at", "job_id"))).where(F.col("_n") <= n).drop("_n")
 
 
 def reconcile(requested: DataFrame, ready: DataFrame, routes: dict[str, DataFrame], key: str = "document_id") -> DataFrame:

@@ -16,6 +16,12 @@ def nearest_rank_percentile(value: str, p: float) -> Column:
     return F.expr(f"percentile_disc({p}) within group (order by {value})")
 
 
+def scoped_counts(rows: DataFrame, columns: list[str], owner, ended: tuple[str, ...] = ("SUCCEEDED", "FAILED"), owner_col: str = "owner_id", status_col: str = "status") -> DataFrame:
+    """reach, columns, n: an owner's rows (OWNER) and all rows that haven't ended (GLOBAL_OPEN), counted alike."""
+    mine = status_counts(rows.where(F.col(owner_col) == owner), columns).select(F.lit("OWNER").alias("reach"), *columns, "n")
+    return mine.union(status_counts(rows.where(~F.col(status_col).isin(*ended)), columns).select(F.lit("GLOBAL_OPEN").alias("reach"), *columns, "n"))
+
+
 def status_counts(df: DataFrame, by: list[str]) -> DataFrame:
     return df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
 

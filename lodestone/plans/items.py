@@ -13,8 +13,7 @@ from lodestone.plans import retrieval as R
 from lodestone.plans.frames import ITEMS, table
 from lodestone.plans.frames import chunks, questions
 from lodestone.plans.frames import items as base_items
-from lodestone.plans.quality import _with_checkpoints
-from lodestone.plans.registry import query
+from lodestone.plans.registry import query, with_checkpoints
 from lodestone.sources import readers, sinks
 
 
@@ -126,7 +125,7 @@ def evl_canary_differences(spark, sf_dir):
 
 
 def _shared(spark, name):
-    _with_checkpoints(spark)
+    with_checkpoints(spark)
     return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{name}-{uuid.uuid4().hex}"
 
 
@@ -243,10 +242,11 @@ def agg_fingerprint(spark, sf_dir):
     return summaries.ordered_fingerprint(table(spark, sf_dir, "benchmark").withColumn("n", F.length("text")), "item_id", ["item_id", "n"], 16)
 
 
-@query()
+@query(f"SELECT item_id AS question_id, {R._COUNTED} FROM benchmark")
 def vec_embed_cached(spark, sf_dir):
     """Twice over one cache: the second time nothing is asked of the provider."""
     at = _shared(spark, "vectors")
     q = questions(spark, sf_dir)
-    dense.embed_cached(q, at, dense.hashed_embedding, "question")
-    return dense.embed_cached(q, at, lambda texts: 1 // 0, "question").select("question_id", F.size("vector").alias("dims"))
+    dense.embed_cached(q, at, R.counted, "question", 3)
+    v = F.col("vector")
+    return dense.embed_cached(q, at, lambda texts: 1 // 0, "question", 3).select("question_id", v[0].alias("a"), v[1].alias("b"), v[2].alias("c"))

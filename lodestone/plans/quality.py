@@ -10,7 +10,7 @@ from lodestone.functions import text as X
 from lodestone.operators import answers, checks, claims, corpus, evaluation, lexical
 from lodestone.plans import retrieval as R
 from lodestone.plans.frames import ITEMS, JUDGMENTS, chunks, items, judgments, questions, table
-from lodestone.plans.registry import query
+from lodestone.plans.registry import query, with_checkpoints
 
 _BASE = f"{R._RANKS}, {JUDGMENTS}, {ITEMS}"
 
@@ -19,10 +19,15 @@ def _judged(spark, sf_dir, overlap=None):
     return judgments(R._overlap(spark, sf_dir) if overlap is None else overlap, lexical.question_terms(questions(spark, sf_dir)))
 
 
-def _per_question(spark, sf_dir):
-    overlap = R._overlap(_with_checkpoints(spark), sf_dir).checkpoint()  # asked by the ranking and by the judgments
-    ranked = R.two_rankings(spark, sf_dir, overlap=overlap).select("backend", "question_id", "chunk_id", "rank")
-    return evaluation.question_metrics(questions(spark, sf_dir), ranked, _judged(spark, sf_dir, overlap), backends=("overlap", "bm25"))
+def _ranked_and_judged(spark, sf_dir):
+    """Rankings, written once, and judgments, both from one table of postings."""
+    scores = R.asked_scores(spark, sf_dir)
+    return R.two_rankings(spark, sf_dir, scores=scores).checkpoint(), _judged(spark, sf_dir, scores[0])
+
+
+def _per_question(spark, sf_dir, both=None):
+    ranked, judged = both or _ranked_and_judged(spark, sf_dir)
+    return evaluation.question_metrics(questions(spark, sf_dir), ranked.select("backend", "question_id", "chunk_id", "rank"), judged, backends=("overlap", "bm25"))
 
 
 _METRICS = f"""{_BASE},
@@ -36,7 +41,8 @@ metrics AS (SELECT question_id, backend, k, CASE WHEN relevant > 0 THEN coalesce
   CASE WHEN ideal > 0 THEN coalesce(dcg / ideal, 0.0) ELSE 0.0 END AS ndcg FROM cuts LEFT JOIN got USING (question_id, backend, k) LEFT JOIN best USING (question_id, k)),
 macro AS (SELECT backend, k, count(*) AS n, round(avg(recall), 6) AS recall, round(avg("precision"), 6) AS "precision", round(avg(mrr), 6) AS mrr, round(avg(ndcg), 6) AS ndcg
   FROM metrics JOIN items USING (question_id) WHERE answerability IN ('ANSWERABLE', 'PARTIALLY_ANSWERABLE', 'CONFLICTING_EVIDENCE') GROUP BY ALL),
-types AS (SELECT backend, question_type, count(*) AS n, round(avg(recall), 6) AS recall, round(avg(ndcg), 6) AS ndcg FROM metrics JOIN (SELECT question_id, unnest(question_types) AS question_type FROM items) USING (question_id) WHERE k = 50 GROUP BY ALL)"""
+typed AS (SELECT question_id, unnest(question_types) AS question_type, answerability IN ('ANSWERABLE', 'PARTIALLY_ANSWERABLE', 'CONFLICTING_EVIDENCE') AS eligible FROM items),
+types AS (SELECT backend, question_type, count(*) FILTER (eligible) AS n, round(avg(recall) FILTER (eligible), 6) AS recall, round(avg(ndcg) FILTER (eligible), 6) AS ndcg FROM metrics JOIN typed USING (question_id) WHERE k = 50 GROUP BY ALL)"""
 
 _SIX = ", ".join(f'round({m}, 6) AS {m}' for m in ("recall", '"precision"', "mrr", "ndcg"))
 
@@ -63,8 +69,8 @@ def evl_deltas(spark, sf_dir):
     return evaluation.deltas(evaluation.macro_metrics(_per_question(spark, sf_dir), items(spark, sf_dir)))
 
 
-def _results(spark, sf_dir):
-    ranked = R.two_rankings(spark, sf_dir)
+def _results(spark, sf_dir, ranked=None):
+    ranked = R.two_rankings(spark, sf_dir) if ranked is None else ranked
     asked = questions(spark, sf_dir).select("question_id").crossJoin(ranked.select("backend").distinct())
     top = ranked.where("rank = 1").select("backend", "question_id", "score")
     found = F.coalesce(F.col("score") >= F.when(F.col("backend") == "bm25", 60.0).otherwise(20.0), F.lit(False))
@@ -89,7 +95,7 @@ def evl_refusal(spark, sf_dir):
 got AS (SELECT r.question_id, r.backend, list_sort(list(DISTINCT j.document_id)) AS got FROM both_ranks r JOIN judgments j USING (question_id, chunk_id) WHERE r.rank <= 3 AND j.relevance >= 2 GROUP BY ALL)
 SELECT w.question_id, b.backend, coalesce(len(want) = 2 AND got = want, false) AS strict FROM want w CROSS JOIN (SELECT DISTINCT backend FROM both_ranks) b LEFT JOIN got g ON g.question_id = w.question_id AND g.backend = b.backend""")
 def evl_two_sided(spark, sf_dir):
-    return evaluation.two_sided(R.two_rankings(spark, sf_dir), _judged(spark, sf_dir))
+    return evaluation.two_sided(*_ranked_and_judged(spark, sf_dir))
 
 
 @query(f"""WITH {_METRICS}, base AS (SELECT * FROM macro WHERE backend = 'overlap' AND k = 10), cand AS (SELECT * FROM macro WHERE backend = 'bm25' AND k = 10),
@@ -97,7 +103,7 @@ w AS (SELECT round(min(y.ndcg - x.ndcg), 6) AS worst_type_change FROM types x JO
 r AS (SELECT round((cand.ndcg - base.ndcg) / base.ndcg, 6) AS relative_gain, round(cand."precision" - base."precision", 6) AS precision_change, worst_type_change FROM base, cand, w)
 SELECT *, relative_gain >= 0.08 AND precision_change >= 0 AND coalesce(worst_type_change, 0) >= -0.02 AS promoted FROM r""")
 def evl_promotion(spark, sf_dir):
-    _with_checkpoints(spark)
+    with_checkpoints(spark)
     per = _per_question(spark, sf_dir).checkpoint()  # asked four times
     it = items(spark, sf_dir)
     return evaluation.promotion(evaluation.macro_metrics(per, it), evaluation.by_question_type(per, it), "overlap", "bm25", ("comparison", "number"))
@@ -178,10 +184,13 @@ def clm_numeric_conflict(spark, sf_dir):
     return claims.numeric_conflicts(e.select(F.col("event_type").alias("claim_id"), F.col("event_id").alias("quote_id"), F.concat(F.lit("It took "), F.expr("cast(rint(value) as int)").cast("string"), F.lit(" days.")).alias("quote")))
 
 
-@query("SELECT conv_id AS claim_id, CAST(turn AS BIGINT) AS turn, regexp_matches(text, '[0-9]') AS has_number FROM conversations")
-def clm_has_number(spark, sf_dir):
+@query("SELECT conv_id AS claim_id, CAST(turn AS BIGINT) AS turn, NOT regexp_matches(text, '(^|[^A-Za-z_])[0-9]') AND turn % 2 = 0 AS limited FROM (SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN 'It took 4 days' ELSE 'It' END AS text FROM conversations)")
+def clm_limitation(spark, sf_dir):
+    """Turns as claims: a number makes a limitation unsafe, and a clause that says nothing of missing evidence too."""
     c = table(spark, sf_dir, "conversations")
-    return c.select(F.col("conv_id").alias("claim_id"), F.col("turn").cast("bigint").alias("turn"), F.col("text").rlike("[0-9]").alias("has_number"))
+    start = F.when(F.col("turn") % 3 == 0, "It took 4 days").otherwise("It")
+    text = F.concat(start, F.lit(" was not reported"), F.when(F.col("turn") % 2 == 1, ", it works").otherwise(""))
+    return c.select(F.col("conv_id").alias("claim_id"), F.col("turn").cast("bigint").alias("turn"), claims.is_safe_limitation(text).alias("limited"))
 
 
 @query("""WITH c AS (SELECT conv_id, turn, 'Turn ' || CAST(turn AS VARCHAR) AS text FROM conversations)
@@ -216,7 +225,7 @@ def clm_adjacent(spark, sf_dir):
     return claims.adjacent_pairs(linked.withColumns({"owner_id": F.lit("u"), "version_id": F.col("conv_id").cast("string")}))
 
 
-@query()
+@query("SELECT conv_id, turn, CASE WHEN trim(text, ' ') <> '' AND length(text) <= 2000 AND NOT regexp_matches(text, '\\[\\d+\\]') AND turn % 4 BETWEEN 1 AND 3 THEN NULL ELSE 'CLAIM_INVALID' END AS error FROM conversations")
 def clm_parse(spark, sf_dir):
     c = table(spark, sf_dir, "conversations")
     payload = F.to_json(F.struct(F.array(F.struct(F.col("text"), F.array((F.col("turn") % 4).cast("int")).alias("citation_ids"))).alias("claims")))
@@ -252,25 +261,14 @@ def _components(spark, sf_dir):
     return corpus.components(nodes, corpus.pair_reasons(_pairs(spark, sf_dir)).select("a", "b"), lambda df: df.checkpoint())
 
 
-def _with_checkpoints(spark):
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        if not named:
-            import tempfile
-
-            named = "file://" + tempfile.mkdtemp(prefix="lodestone-")
-        spark.sparkContext.setCheckpointDir(named)
-    return spark
-
-
 @query(f"WITH RECURSIVE {_GROUPS} SELECT id, component FROM comp")
 def cor_components(spark, sf_dir):
-    return _components(_with_checkpoints(spark), sf_dir)
+    return _components(with_checkpoints(spark), sf_dir)
 
 
 @query(f"WITH RECURSIVE {_GROUPS} SELECT component, substr(sha256(string_agg(CAST(id AS VARCHAR), chr(10) ORDER BY CAST(id AS VARCHAR))), 1, 20) AS group_id, count(*) AS n_members FROM comp GROUP BY component")
 def cor_group_ids(spark, sf_dir):
-    return corpus.group_ids(_components(_with_checkpoints(spark), sf_dir))
+    return corpus.group_ids(_components(with_checkpoints(spark), sf_dir))
 
 
 @query("SELECT label AS leakage_group_id, count(DISTINCT vec_id % 3) AS n_splits, count(*) AS n_items FROM embeddings GROUP BY label HAVING count(DISTINCT vec_id % 3) > 1")
@@ -319,12 +317,25 @@ def cor_lineage(spark, sf_dir):
     return corpus.lineage_errors(a)
 
 
-@query("SELECT count(*) AS n_items, count(DISTINCT lang) AS n_groups, round(avg(CASE WHEN doc_id % 8 = 0 THEN 1.0 ELSE 0.0 END), 6) AS audit_ratio, 2::BIGINT AS n_blockers, false AS engineering_ready, false AS lock_ready FROM documents")
+_RATIOS = """t AS (SELECT unnest(['en', 'de', 'fr', 'es', 'zh']) AS value, unnest([0.5, 0.1, 0.1, 0.2, 0.0]) AS lo, unnest([0.7, 0.3, 0.12, 0.3, 1.0]) AS hi),
+blockers AS (SELECT value FROM t LEFT JOIN (SELECT lang AS value, count(*) AS n FROM documents GROUP BY lang) USING (value) WHERE round(coalesce(n, 0) / (SELECT count(*) FROM documents), 6) NOT BETWEEN lo AND hi)"""
+
+
+@query(f"""WITH {_RATIOS}, i AS (SELECT count(*) AS n_items, count(DISTINCT lang) AS n_groups, round(avg(CASE WHEN doc_id % 8 = 0 THEN 1.0 ELSE 0.0 END), 6) AS audit_ratio, (SELECT count(*) FROM blockers) AS n_blockers FROM documents)
+SELECT *, n_blockers = 0 AS engineering_ready, n_blockers = 0 AND audit_ratio >= 0.10 AS lock_ready FROM i""")
 def cor_readiness(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select(F.col("lang").alias("leakage_group_id"), (F.col("doc_id") % 8 == 0).alias("human_audited"))
     return corpus.readiness(d, cor_ratio_blockers(spark, sf_dir).where("blocked"))
 
 
+@query(f"""WITH {_RATIOS}, i AS (SELECT count(*) AS n_items, count(DISTINCT source) AS n_groups, round(avg(CASE WHEN doc_id % 9 = 0 THEN 1.0 ELSE 0.0 END), 6) AS audit_ratio, (SELECT count(*) FROM blockers WHERE value = 'zh') AS n_blockers FROM documents)
+SELECT *, n_blockers = 0 AS engineering_ready, n_blockers = 0 AND audit_ratio >= 0.10 AS lock_ready FROM i""")
+def cor_readiness_unblocked(spark, sf_dir):
+    """Only one language is looked at, whose share may be anything: ready, if enough is audited."""
+    d = table(spark, sf_dir, "documents").select(F.col("source").alias("leakage_group_id"), (F.col("doc_id") % 9 == 0).alias("human_audited"))
+    return corpus.readiness(d, cor_ratio_blockers(spark, sf_dir).where("blocked and value = 'zh'"))
+
+
 @query("SELECT round(quantile_cont(q, 0.5), 6) AS p50, round(quantile_cont(q, 0.99), 6) AS p99, round(max(q), 6) AS top FROM pairs".replace("SELECT", f"WITH {_PAIRS} SELECT", 1))
 def cor_similarity_quantiles(spark, sf_dir):
     return _pairs(spark, sf_dir).agg(F.round(F.percentile("q", F.lit(0.5)), 6).alias("p50"), F.round(F.percentile("q", F.lit(0.99)), 6).alias("p99"), F.round(F.max("q"), 6).alias("top"))
@@ -377,7 +388,14 @@ def fn_citations_and_terms(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.array_join(X.citation_positions(t, F.lit(3)), ",").alias("positions"), X.term_groups_pass(t, groups, F.array(F.lit("zzz"))).alias("passes"))
 
 
-@query()
+_SIX = "printf('%.5e', CAST({} AS DOUBLE))"
+
+
+@query(f"""WITH v AS (SELECT event_id, {_SIX.format("round(value, 3)")} AS d, {_SIX.format("event_id")} AS e, {_SIX.format("user_id * 10 + 2")} AS w, {_SIX.format("-350")} AS m, {_SIX.format("7")} AS s FROM events)
+SELECT event_id, CAST(len(list_distinct([d, e, w, m, s])) AS INTEGER) AS n_numbers, CAST(len(list_distinct(['days ' || d, '% ' || e, '% ' || s])) AS INTEGER) AS n_units, 3 AS n_bigrams FROM v""")
 def fn_numbers_and_units(spark, sf_dir):
-    t = F.col("text")
-    return table(spark, sf_dir, "documents").select("doc_id", F.size(X.numbers(t)).alias("n_numbers"), F.size(X.unit_facts(t)).alias("n_units"), F.size(X.cjk_bigrams(t)).alias("n_bigrams"))
+    """Sentences with numbers of known values: signs, exponents, units in both languages, letters before digits."""
+    word = lambda c: c.cast("string")
+    parts = (F.lit("它用了 "), F.format_string("%.3f", F.round("value", 3)), F.lit(" days and "), word(F.col("event_id")), F.lit("% of a_1 at -3.5e2 七 7％ ("), word(F.col("user_id") * 10 + 2), F.lit(")"))
+    t = F.concat(*parts)
+    return table(spark, sf_dir, "events").select("event_id", F.size(X.numbers(t)).alias("n_numbers"), F.size(X.unit_facts(t)).alias("n_units"), F.size(X.cjk_bigrams(t)).alias("n_bigrams"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,3 +21,14 @@ def query(sql: str | None = None):
         return f
 
     return add
+
+
+def with_checkpoints(spark: SparkSession) -> SparkSession:
+    """The session with a checkpoint folder: spark.checkpoint.dir, or on a local master, where none is named, a temporary one."""
+    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        master = spark.sparkContext.master
+        if not named and (not master.startswith("local") or master.startswith("local-cluster")):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        spark.sparkContext.setCheckpointDir(named or "file://" + tempfile.mkdtemp(prefix="lodestone-"))
+    return spark

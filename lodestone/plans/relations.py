@@ -9,7 +9,7 @@ from lodestone.functions import scalars as S
 from lodestone.functions import text as X
 from lodestone.operators import checks, chunking, corpus, lifecycle, summaries
 from lodestone.plans.frames import CHUNKS, EVENTS, JOBS, chunks, job_events, table, version_events
-from lodestone.plans.registry import query
+from lodestone.plans.registry import query, with_checkpoints
 from lodestone.sources.readers import html_text
 
 _WINDOWS = """win AS (SELECT doc_id, length(text) AS n, text, unnest(range(CAST(greatest(ceil((length(text) - 200) / 824), 1) AS BIGINT))) AS ordinal FROM documents WHERE length(text) > 0),
@@ -79,7 +79,11 @@ def prj_chunk_pages(spark, sf_dir):
     return chunking.page_ranges(w, _blocks(spark, sf_dir), "doc_id").select("chunk_id.doc_id", "chunk_id.ordinal", "page_start", "page_end", "section")
 
 
-@query("SELECT doc_id, len(string_split(text, chr(10))) AS n_pages, CAST(len(list_filter(string_split(text, chr(10)), lambda x: trim(x) = '')) AS BIGINT) AS n_empty, CASE WHEN len(list_filter(string_split(text, chr(10)), lambda x: trim(x) = '')) = 0 THEN 'PASS' WHEN trim(replace(text, chr(10), '')) = '' THEN 'FAILED' ELSE 'REVIEW' END AS status FROM documents")
+@query("""WITH p AS (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents WHERE text IS NOT NULL),
+n AS (SELECT doc_id, len(parts) AS n_pages, CAST(len(list_filter(parts, lambda x: trim(x, ' ') = '')) AS BIGINT) AS n_empty, list_sum(list_transform(parts, lambda x: length(x))) AS chars, list_sum(list_transform(parts, lambda x: octet_length(encode(x)) + 2)) - 2 AS bytes FROM p)
+SELECT doc_id, n_pages, n_empty, CASE WHEN n_empty = n_pages THEN 'FAILED' WHEN n_empty > 0 OR chars < 80 THEN 'REVIEW' ELSE 'PASS' END AS status,
+  CASE WHEN n_empty = n_pages THEN 'NO_EXTRACTABLE_TEXT' WHEN n_empty > 0 THEN 'EMPTY_TEXT_PAGE_DETECTED' WHEN chars < 80 THEN 'EXTRACTED_TEXT_TOO_SHORT' END AS warning,
+  CASE WHEN n_pages > 2000 THEN 'PAGE_LIMIT_EXCEEDED' WHEN bytes > 5242880 THEN 'CLEAN_TEXT_TOO_LARGE' END AS error FROM n""")
 def prj_parse_status(spark, sf_dir):
     return chunking.parse_status(_pages(spark, sf_dir), "doc_id")
 
@@ -104,17 +108,63 @@ def prj_chunk_section(spark, sf_dir):
     return _chunked(spark, sf_dir, chunking.STRATEGIES[2])
 
 
-@query()
+_VISIBLE = "regexp_replace(regexp_replace(html, '(?is)<script\\b.*?</script\\s*>|<style\\b.*?</style\\s*>', ' ', 'g'), '(?s)<!--.*?-->|<[^>]*>', ' ', 'g')"
+for _entity, _sign in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&nbsp;", " "), ("&amp;", "&")):
+    _VISIBLE = f"replace({_VISIBLE}, '{_entity}', '{_sign}')"
+
+
+@query(f"""WITH l AS (SELECT page_id, html, list_transform(string_split(regexp_replace(replace(replace(html, chr(13) || chr(10), chr(10)), chr(13), chr(10)), '[\\x00-\\x08\\x0B-\\x1F\\x7F-\\x{{9F}}]', '', 'g'), chr(10)), lambda x: trim(regexp_replace(x, '[\\t ]+', ' ', 'g'), ' ')) AS lines FROM pages)
+SELECT page_id, md5(array_to_string(list_filter(lines, lambda x: x <> ''), chr(10))) AS page_digest, CAST(length(trim(regexp_replace({_VISIBLE}, '[\\s\\x0b]+', ' ', 'g'), ' ')) AS INTEGER) AS n_visible FROM l""")
 def prj_page_text(spark, sf_dir):
     p = table(spark, sf_dir, "pages")
     return p.select("page_id", F.md5(X.page_text(F.col("html"))).alias("page_digest"), F.length(html_text(F.col("html"))).alias("n_visible"))
 
 
-@query()
+@query("""WITH RECURSIVE o AS (SELECT l_orderkey AS d, l_quantity > 20 AS h, 1 + (l_orderkey + 3 * l_linenumber) % 9 AS lv, l_linenumber AS n, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS i FROM (SELECT l_orderkey, l_linenumber, max(l_quantity) AS l_quantity FROM lineitem GROUP BY ALL)),
+w AS (SELECT d, n, i, CASE WHEN NOT h THEN ['Document'] WHEN lv = 1 THEN ['h' || n] ELSE ['Document', 'h' || n] END AS p FROM o WHERE i = 1
+  UNION ALL SELECT o.d, o.n, o.i, CASE WHEN NOT h THEN w.p WHEN lv = 1 THEN ['h' || o.n] ELSE list_slice(w.p, 1, CAST(lv - 1 AS BIGINT)) || ['h' || o.n] END FROM w JOIN o ON o.d = w.d AND o.i = w.i + 1)
+SELECT d AS document_id, n AS source_start, array_to_string(p, ' > ') AS section_path FROM w""")
 def prj_section_paths(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("source_start", "text"))
-    b = d.withColumns({"is_heading": X.is_heading(F.col("text")), "level": X.heading_level(F.col("text"))})
-    return chunking.section_paths(b, "doc_id").groupBy("doc_id").agg(F.count_if("is_heading").alias("n_headings"), F.max("section_path").alias("last_path"))
+    """Lines of orders as blocks, some of them headings of levels 1 to 9 that skip levels."""
+    rows = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("document_id"), F.col("l_linenumber").alias("source_start")).agg(F.max("l_quantity").alias("q"))
+    level = (1 + (F.col("document_id") + 3 * F.col("source_start")) % 9).cast("int")
+    b = rows.select("document_id", "source_start", (F.col("q") > 20).alias("is_heading"), level.alias("level"), F.concat(F.lit("h"), F.col("source_start").cast("string")).alias("text"))
+    return chunking.section_paths(b).select("document_id", "source_start", "section_path")
+
+
+_SPLIT = "c AS (SELECT c_custkey AS document_id, CAST(c_custkey % {} AS BIGINT) AS n FROM customer)"
+
+
+def _made(spark, sf_dir, most, part, between):
+    """Customers as documents of so many equal parts."""
+    n = (F.col("c_custkey") % most).cast("int")
+    return table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("document_id"), F.array_join(F.transform(F.sequence(F.lit(0), n), lambda i: F.when(i < n, part(i))), between).alias("text"))
+
+
+def _cut(docs, strategy):
+    c = chunking.chunked(docs, strategy)
+    return c.select(F.col("document_id").cast("long").alias("document_id"), "ordinal", "source_start", "source_end", "section", "parent", F.length("text").alias("n"))
+
+
+_SPAN = "CAST(k AS INTEGER) AS ordinal, CAST(a AS INTEGER) AS source_start, CAST(b AS INTEGER) AS source_end"
+
+
+@query(f"WITH {_SPLIT.format(40)}, k AS (SELECT document_id, n, unnest(range(1 + greatest(0, CAST(ceil((n - 10) / 8) AS BIGINT)))) AS k FROM c WHERE n > 0), s AS (SELECT *, 800 * k AS a, least(800 * k + 999, 100 * n - 1) AS b FROM k) SELECT document_id, {_SPAN}, NULL::VARCHAR AS section, NULL::VARCHAR AS parent, CAST(b - a AS INTEGER) AS n FROM s")
+def prj_chunk_boundary_made(spark, sf_dir):
+    """Sentences of 99 characters: ten fill a chunk, two are shared with the next."""
+    return _cut(_made(spark, sf_dir, 40, lambda i: F.lit("S" + "x" * 97 + "."), " "), chunking.STRATEGIES[0])
+
+
+@query(f"WITH {_SPLIT.format(13)}, k AS (SELECT document_id, n, unnest(range(1 + greatest(0, CAST(ceil((n - 3) / 2) AS BIGINT)))) AS k FROM c WHERE n > 0), s AS (SELECT *, 604 * k AS a, CASE WHEN 2 * k + 3 >= n THEN 302 * n - 2 ELSE 302 * (2 * k + 3) END AS b FROM k) SELECT document_id, {_SPAN}, NULL::VARCHAR AS section, NULL::VARCHAR AS parent, CAST(b - a AS INTEGER) AS n FROM s")
+def prj_chunk_paragraph_made(spark, sf_dir):
+    """Paragraphs of 300 characters: three come nearest to the target, one is shared."""
+    return _cut(_made(spark, sf_dir, 13, lambda i: F.lit("p" + "x" * 298 + "."), "\n\n"), chunking.STRATEGIES[1])
+
+
+@query(f"WITH {_SPLIT.format(9)}, k AS (SELECT document_id, n, unnest(range(n)) AS k FROM c WHERE n > 0), s AS (SELECT *, 309 * k AS a, CASE WHEN k = n - 1 THEN 309 * n - 1 ELSE 309 * (k + 1) END AS b FROM k) SELECT document_id, {_SPAN}, CAST(k + 1 AS VARCHAR) || '. Part' AS section, 'parent-00' || CAST(k + 1 AS VARCHAR) AS parent, CAST(b - a AS INTEGER) AS n FROM s")
+def prj_chunk_section_made(spark, sf_dir):
+    """Numbered sections with one paragraph each: a chunk a section, whose section is its parent."""
+    return _cut(_made(spark, sf_dir, 9, lambda i: F.concat((i + 1).cast("string"), F.lit(". Part\n" + "x" * 300)), "\n"), chunking.STRATEGIES[2])
 
 
 @query(f"WITH {CHUNKS} SELECT chunk_id FROM chunks c WHERE EXISTS (SELECT 1 FROM labels l WHERE l.quality = 1 AND 'c' || lpad(CAST(l.doc_id AS VARCHAR), 10, '0') = c.chunk_id)")
@@ -230,10 +280,10 @@ def win_topk_total_order(spark, sf_dir):
     return top_k(table(spark, sf_dir, "events"), 5, ["user_id"], "value", "event_id").select("event_id", "user_id", "rank")
 
 
-@query("SELECT user_id, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events WHERE event_type IN ('signup', 'view') AND ts <= TIMESTAMP '2024-01-20 00:00:00') WHERE n = 1")
+@query("SELECT user_id, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY date_trunc('day', ts), ts, event_id) AS n FROM events WHERE event_type IN ('signup', 'view') AND date_trunc('day', ts) <= TIMESTAMP '2024-01-20 00:00:00') WHERE n = 1")
 def win_due_job(spark, sf_dir):
     e = table(spark, sf_dir, "events").where("event_type in ('signup', 'view')")
-    jobs = e.select("user_id", F.col("event_id").alias("job_id"), F.when(F.col("event_type") == "signup", "PENDING").otherwise("RETRY").alias("status"), F.col("ts").cast("timestamp").alias("next_attempt_at"))
+    jobs = e.select("user_id", F.col("event_id").alias("job_id"), F.when(F.col("event_type") == "signup", "PENDING").otherwise("RETRY").alias("status"), F.date_trunc("day", F.col("ts").cast("timestamp")).alias("next_attempt_at"), F.col("ts").alias("created_at"))
     return lifecycle.due_jobs(jobs, F.to_timestamp(F.lit("2024-01-20 00:00:00")), ["user_id"]).select("user_id", F.col("job_id").alias("event_id"))
 
 
@@ -380,10 +430,9 @@ def lif_stream_state(spark, sf_dir):
     """The state machine as a stream over files, run to the end of what is there."""
     import uuid
 
-    from lodestone.plans.quality import _with_checkpoints
     from lodestone.streaming.states import drain, version_states
 
-    _with_checkpoints(spark)
+    with_checkpoints(spark)
     at = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/stream-{uuid.uuid4().hex}"
     events = version_events(spark, sf_dir).select("version_id", "sequence", "status", "revision")
     events.write.parquet(f"{at}/in")

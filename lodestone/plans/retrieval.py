@@ -2,30 +2,39 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as X
 from lodestone.operators import access, answers, dense, fusion, lexical
 from lodestone.plans.frames import CHUNKS, EVENTS, OVERLAP, SCOPES, SELECTED, UNSELECTIVE, VISIBLE, chunks, questions, scopes, table, version_events
-from lodestone.plans.registry import query
-
-
-def _scoped(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Chunks beside the scopes, which are a few rows a source."""
-    c = chunks(spark, sf_dir)
-    s = scopes(spark, sf_dir)
-    return c.select(F.struct(*c.columns).alias("chunk")).crossJoin(s.select("scope_id", F.struct(*[x for x in s.columns if x != "scope_id"]).alias("scope")))
+from lodestone.plans.registry import query, with_checkpoints
 
 
 @query(f"WITH {CHUNKS}, {SCOPES} SELECT s.scope_id, c.visibility, count(*) AS n FROM chunks c, scopes s WHERE {VISIBLE} GROUP BY ALL")
 def flt_acl_authorized(spark, sf_dir):
-    return _scoped(spark, sf_dir).where(access.authorized()).groupBy("scope_id", F.col("chunk.visibility").alias("visibility")).agg(F.count(F.lit(1)).alias("n"))
+    return access.granted(chunks(spark, sf_dir), scopes(spark, sf_dir)).groupBy("scope_id", "visibility").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(f"WITH {CHUNKS}, {SCOPES} SELECT s.scope_id, CAST(sum(CASE WHEN {SELECTED} THEN 1 ELSE 0 END) AS BIGINT) AS n_selected, bool_or(NOT {UNSELECTIVE}) AS selective FROM chunks c, scopes s GROUP BY ALL")
 def flt_selected(spark, sf_dir):
-    return _scoped(spark, sf_dir).groupBy("scope_id").agg(F.count_if(access.selected()).alias("n_selected"), F.bool_or(access.has_selectors()).alias("selective"))
+    return access.selected_counts(chunks(spark, sf_dir), scopes(spark, sf_dir))
+
+
+@query(f"""WITH {CHUNKS}, {SCOPES}, odd AS (SELECT s.*, CASE WHEN scope_id LIKE 'src1%' THEN ['en', ''] ELSE library_ids END AS listed FROM scopes s)
+SELECT scope_id, count(*) AS n FROM chunks c, odd s WHERE scope_id NOT LIKE 'src1%' AND {VISIBLE} GROUP BY scope_id""")
+def flt_acl_strict(spark, sf_dir):
+    """Scopes with an unusable member of a list see nothing in the strict form."""
+    s = scopes(spark, sf_dir)
+    odd = s.withColumn("library_ids", F.when(F.col("scope_id").startswith("src1"), F.array(F.lit("en"), F.lit(""))).otherwise(F.col("library_ids")))
+    return access.granted(chunks(spark, sf_dir), odd, strict=True).groupBy("scope_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"WITH {CHUNKS}, {SCOPES} SELECT s.scope_id, count(*) AS n FROM chunks c, scopes s WHERE {VISIBLE} AND s.scope_id LIKE 'src2%' GROUP BY ALL")
+def flt_acl_expression(spark, sf_dir):
+    """The boolean expression itself, for the few scopes of some sources, beside every chunk."""
+    c, s = chunks(spark, sf_dir), scopes(spark, sf_dir).where("scope_id like 'src2%'")
+    pairs = c.select(F.struct(*c.columns).alias("chunk")).join(s.select("scope_id", F.struct(*[x for x in s.columns if x != "scope_id"]).alias("scope")), access.authorized())
+    return pairs.groupBy("scope_id").agg(F.count(F.lit(1)).alias("n"))
 
 
 _REQUESTS = "requests AS (SELECT source || ':open' AS scope_id, min(doc_id) AS a, max(doc_id) AS b FROM documents GROUP BY source)"
@@ -48,8 +57,9 @@ granted AS (SELECT s.scope_id, c.document_id FROM chunks c, scopes s WHERE {VISI
 SELECT scope_id, count(DISTINCT document_id) AS n_forbidden FROM asked a WHERE NOT EXISTS (SELECT 1 FROM granted g WHERE g.scope_id = a.scope_id AND g.document_id = a.document_id) GROUP BY scope_id""")
 def flt_forbidden_scope(spark, sf_dir):
     asked = _requests(spark, sf_dir).select("scope_id", F.explode("requested_document_ids").alias("document_id"))
-    granted = _scoped(spark, sf_dir).where(access.authorized()).select("scope_id", F.col("chunk.document_id").alias("document_id"))
-    return access.forbidden_requests(asked, granted, ["scope_id"])
+    few = chunks(spark, sf_dir).join(asked.select("document_id").distinct(), "document_id", "left_semi")  # only what is asked for can be granted
+    granted = access.granted(few, scopes(spark, sf_dir).join(asked.select("scope_id").distinct(), "scope_id", "left_semi"))
+    return access.forbidden_requests(asked, granted.select("scope_id", "document_id"), ["scope_id"])
 
 
 @query(f"WITH {EVENTS}, last AS (SELECT version_id, arg_max(status, sequence) AS status FROM version_events GROUP BY version_id) SELECT version_id FROM last WHERE status = 'READY'")
@@ -169,14 +179,26 @@ def vec_dims(spark, sf_dir):
     return table(spark, sf_dir, "embeddings").groupBy(F.size("embedding").cast("long").alias("dims")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query()
+@query("""SELECT count(*) AS n, CAST(sum(('0x' || substr(sha256('{"id":' || CAST(vec_id AS VARCHAR) || ',"v":[' || CAST(label AS VARCHAR) || ',' || CAST(vec_id % 1000 AS VARCHAR) || ']}'), 1, 15))::BIGINT::HUGEINT) AS VARCHAR) AS digest FROM embeddings""")
 def vec_fingerprint(spark, sf_dir):
-    return dense.fingerprint(table(spark, sf_dir, "embeddings"))
+    """Over vectors of whole numbers, whose text is the same everywhere."""
+    e = table(spark, sf_dir, "embeddings").select("vec_id", F.array(F.col("label").cast("long"), F.col("vec_id") % 1000).alias("v"))
+    return dense.fingerprint(e, vector_col="v")
 
 
-@query()
+def counted(texts: list[str]) -> list[list[float]]:
+    """A provider that any engine can follow: length, letters e, blanks."""
+    return [[float(len(t or "")), float((t or "").count("e")), float((t or "").count(" "))] for t in texts]
+
+
+_COUNTED = "CAST(length(text) AS DOUBLE) AS a, CAST(length(text) - length(replace(text, 'e', '')) AS DOUBLE) AS b, CAST(length(text) - length(replace(text, ' ', '')) AS DOUBLE) AS c"
+
+
+@query(f"SELECT item_id AS question_id, {_COUNTED} FROM benchmark")
 def vec_embed(spark, sf_dir):
-    return dense.embed(questions(spark, sf_dir), dense.hashed_embedding, "question").select("question_id", F.array_join(F.transform("vector", lambda x: x.cast("string")), ",").alias("vector"))
+    """Through a provider, in batches."""
+    v = F.col("vector")
+    return dense.embed(questions(spark, sf_dir), counted, "question", 3).select("question_id", v[0].alias("a"), v[1].alias("b"), v[2].alias("c"))
 
 
 _RANKS = f"""{_POSTINGS},
@@ -187,12 +209,20 @@ fused AS (SELECT question_id, chunk_id, round(sum(1.0::DOUBLE / (60 + rank)), 12
 rrf AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, best_rank, chunk_id) AS rank FROM fused)"""
 
 
-def two_rankings(spark, sf_dir, depth=20, overlap=None):
-    """backend, question_id, chunk_id, score, rank of token overlap (given where known already) and BM25."""
-    shared = _overlap(spark, sf_dir) if overlap is None else overlap
-    a = lexical.top_k(shared.withColumn("score", F.col("score").cast("double")), depth, ["question_id"]).withColumn("backend", F.lit("overlap"))
-    b = lexical.top_k(_bm25(spark, sf_dir), depth, ["question_id"]).withColumn("backend", F.lit("bm25"))
-    return a.unionByName(b)
+def asked_scores(spark, sf_dir):
+    """Token overlap and BM25 of every question, both from one table of the asked tokens' postings, written to shared storage."""
+    with_checkpoints(spark)
+    c, q = chunks(spark, sf_dir), questions(spark, sf_dir)
+    few, full = lexical.question_terms(q), lexical.question_terms(q, X.QUERY_STOP_WORDS)
+    held = lexical.asked_postings([few, full], c, _fields()).checkpoint()
+    return lexical.overlap_of(held, few), lexical.bm25_of(held, full, lexical.collection(c, _fields()), {"body": 1.0, "section": 2.0})
+
+
+def two_rankings(spark, sf_dir, depth=20, scores=None):
+    """backend, question_id, chunk_id, score, rank of token overlap and BM25 (given where known already)."""
+    overlap, bm25 = scores or asked_scores(spark, sf_dir)
+    a = lexical.top_k(overlap.withColumn("score", F.col("score").cast("double")), depth, ["question_id"]).withColumn("backend", F.lit("overlap"))
+    return a.unionByName(lexical.top_k(bm25, depth, ["question_id"]).withColumn("backend", F.lit("bm25")))
 
 
 @query(f"WITH {_RANKS} SELECT question_id, chunk_id, score, CAST(best_rank AS INTEGER) AS best_rank, CAST(rank AS INTEGER) AS rank FROM rrf WHERE rank <= 10")
@@ -220,14 +250,17 @@ p AS (SELECT *, CASE WHEN bool_or(s IS NULL) OVER (PARTITION BY question_id) THE
 SELECT question_id, chunk_id, CAST(former_rank AS INTEGER) AS former_rank, status, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY CASE WHEN status = 'APPLIED' THEN s END DESC NULLS LAST, former_rank) AS rank FROM p) WHERE rank <= 10""")
 def fus_rerank_topk(spark, sf_dir):
     """A stand-in score (pages by overlap), missing where token overlap has none, so that some questions fall back."""
-    pool = fusion.rrf(two_rankings(spark, sf_dir), top=20).select("question_id", "chunk_id", "rank")
+    scores = asked_scores(spark, sf_dir)
+    pool = fusion.rrf(two_rankings(spark, sf_dir, scores=scores), top=20).select("question_id", "chunk_id", "rank")
     c = chunks(spark, sf_dir).select("chunk_id", "page_end")
-    o = _overlap(spark, sf_dir).withColumnRenamed("score", "shared")
+    o = scores[0].withColumnRenamed("score", "shared")
     scored = pool.join(c, "chunk_id").join(o, ["question_id", "chunk_id"], "left").withColumn("pair_score", F.round(F.col("page_end").cast("double") / (1 + F.col("shared")), 6))
     return fusion.rerank(scored, 10).select("question_id", "chunk_id", "former_rank", "status", "rank")
 
 
-@query()
+@query(f"""WITH {_RANKS}, words AS (SELECT item_id AS question_id, list_distinct(list_filter(regexp_split_to_array(text, '[\\s\\x0b]+'), lambda w: w <> '')) AS w FROM benchmark),
+pool AS (SELECT r.question_id, r.chunk_id, r.rank AS former_rank, CAST(len(list_intersect(w, list_filter(regexp_split_to_array(c.text, '[\\s\\x0b]+'), lambda x: x <> ''))) AS DOUBLE) / greatest(len(w), 1) AS s FROM rrf r JOIN chunks c USING (chunk_id) JOIN words USING (question_id) WHERE r.rank <= 20)
+SELECT question_id, chunk_id, CAST(former_rank AS INTEGER) AS former_rank, 'APPLIED' AS status, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY s DESC, former_rank) AS rank FROM pool) WHERE rank <= 10""")
 def fus_rerank_provider(spark, sf_dir):
     """The same through a scorer of text pairs: the share of question words in the passage."""
     pool = fusion.rrf(two_rankings(spark, sf_dir), top=20).select("question_id", "chunk_id", "rank")
@@ -264,13 +297,20 @@ def fus_decision(spark, sf_dir):
     return fusion.decisions(asked, _cosine(spark, sf_dir), asked.where("question_id % 100 = 0"))
 
 
-@query()
+_ASKED = "trim(regexp_replace(regexp_replace(text, '[。！？!?；;，,]', '', 'g'), '\\s+', ' ', 'g'))"
+
+
+@query(f"""SELECT item_id AS question_id, CASE WHEN item_id % 3 = 0 THEN 'FALLBACK' ELSE 'APPLIED' END AS status, CASE WHEN item_id % 3 = 0 THEN 'COMPARISON_NOT_PROVEN' END AS failure_code,
+  CASE WHEN item_id % 3 = 0 THEN 'Tell the first report vs the second report在 ' || {_ASKED} ELSE 'first report Compare the 在 ' || {_ASKED} END AS left_query,
+  CASE WHEN item_id % 3 = 0 THEN 'Tell the first report vs the second report在 ' || {_ASKED} ELSE 'second report Compare the 在 ' || {_ASKED} END AS right_query FROM benchmark""")
 def fus_decompose(spark, sf_dir):
-    """Questions put together from pairs of benchmark items, parted again by their aliases."""
+    """Questions put together from benchmark items, parted again by their aliases; a third of them don't say that they compare."""
     from lodestone.operators.decompose import ComparisonConfig, decompose
 
     config = ComparisonConfig({"even": ("first report",), "odd": ("second report",)}, ("compare",), ("then",))
-    q = questions(spark, sf_dir).select("question_id", F.concat(F.lit("Compare the first report vs the second report在 "), X.squeeze(F.col("question"))).alias("question"), F.array(F.lit("even"), F.lit("odd")).alias("document_ids"))
+    plain = X.squeeze(F.regexp_replace("question", "[。！？!?；;，,]", ""))
+    verb = F.when(F.col("question_id") % 3 == 0, "Tell the ").otherwise("Compare the ")
+    q = questions(spark, sf_dir).select("question_id", F.concat(verb, F.lit("first report vs the second report在 "), plain).alias("question"), F.array(F.lit("even"), F.lit("odd")).alias("document_ids"))
     return decompose(q, config).select("question_id", "status", "failure_code", F.col("queries")["even"].alias("left_query"), F.col("queries")["odd"].alias("right_query"))
 
 

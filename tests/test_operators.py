@@ -248,9 +248,113 @@ LINES = [("Introduction", True), ("1. Setup", True), ("1.2 Deep part", True), ("
 def test_headings(spark):
     df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(LINES)], "i int, t string")
     got = [r.h for r in df.select("i", text.is_heading(F.col("t")).alias("h")).orderBy("i").collect()]
-    assert got == [x for _, x in LINES] == [chunking.is_heading(t) for t, _ in LINES]
+    assert got == [x for _, x in LINES]
     assert [r[0] for r in spark.createDataFrame([("1.2.3 x",), ("x",), ("4 y",)], "t string").select(text.heading_level(F.col("t"))).collect()] == [3, 1, 1]
-    assert chunking.block_spans("A line.\nNext line\n1. Head\nbody") == [(0, 7), (8, 17), (18, 25), (26, 30)]
+
+
+def test_blocks(spark):
+    texts = ["A line.\nNext line\n1. Head\nbody", "", None, "\n \n", "x" * 900 + "\n" + "x" * 899 + "\n" + "x" * 5 + "\nIntroduction"]
+    df = spark.createDataFrame(list(enumerate(texts)), "page int, text string")
+    rows = sorted((r.page, r.source_start, r.source_end, r.is_heading) for r in chunking.blocks(df, ["page"]).collect())
+    assert rows == [(0, 0, 7, False), (0, 8, 17, False), (0, 18, 25, True), (0, 26, 30, False), (4, 0, 1800, False), (4, 1801, 1806, False), (4, 1807, 1819, True)]
+    assert all(r.text == texts[r.page][r.source_start : r.source_end] for r in chunking.blocks(df, ["page"]).collect())
+
+
+def test_section_paths_keep_parts_by_position(spark):
+    """A level skipped leaves a shorter path; levels have no end; what stands before the first heading is under the document."""
+    rows = [("d", 0, False, 1, "x"), ("d", 1, True, 1, "1 A"), ("d", 2, True, 3, "1.2.3 C"), ("d", 3, True, 3, "1.2.4 D"), ("d", 4, True, 9, "deep"), ("e", 0, True, 2, "2.1 E"), ("f", 0, False, 1, "y")]
+    df = spark.createDataFrame(rows, "document_id string, source_start int, is_heading boolean, level int, text string")
+    got = [r.section_path for r in chunking.section_paths(df).orderBy("document_id", "source_start").collect()]
+    assert got == ["Document", "1 A", "1 A > 1.2.3 C", "1 A > 1.2.3 C > 1.2.4 D", "1 A > 1.2.3 C > 1.2.4 D > deep", "Document > 2.1 E", "Document"]
+
+
+def test_parse_status(spark):
+    pages = [(1, "x" * 100), (1, "y"), (2, "x"), (3, ""), (3, "x" * 99), (4, ""), (4, None), (5, "é" * 3_000_000)]
+    got = {r.document_id: tuple(r)[3:] for r in chunking.parse_status(spark.createDataFrame(pages, "document_id int, text string")).collect()}
+    assert got == {1: ("PASS", None, None), 2: ("REVIEW", "EXTRACTED_TEXT_TOO_SHORT", None), 3: ("REVIEW", "EMPTY_TEXT_PAGE_DETECTED", None), 4: ("FAILED", "NO_EXTRACTABLE_TEXT", None), 5: ("PASS", None, "CLEAN_TEXT_TOO_LARGE")}
+
+
+def test_partial_answers(spark):
+    rows = [("a", "SUPPORTED"), ("a", "INSUFFICIENT_EVIDENCE"), ("b", "INSUFFICIENT_EVIDENCE"), ("b", "UNSUPPORTED"), ("c", "UNSUPPORTED")]
+    df = spark.createDataFrame(rows, "answer_id string, status string").withColumn("citation_ids", F.array(F.lit(1)))
+    assert {r.answer_id: r.partial for r in claims.report(df).collect()} == {"a": False, "b": True, "c": False}
+
+
+def test_types_count_eligible_questions_only(spark):
+    per = spark.createDataFrame([(1, "x", 50, 1.0, 1.0), (2, "x", 50, None, 0.0)], "question_id int, backend string, k int, recall double, ndcg double")
+    its = spark.createDataFrame([(1, "ANSWERABLE", ["t"]), (2, "NO_EVIDENCE", ["t", "u"])], "question_id int, answerability string, question_types array<string>")
+    assert {r.question_type: (r.n, r.ndcg) for r in evaluation.by_question_type(per, its).collect()} == {"t": (1, 1.0), "u": (0, None)}
+
+
+def test_numbers_agree_to_six_digits(spark):
+    df = spark.createDataFrame([("12345678 and 12345679 and 1.2345678e7, 0.5 and .5",)], "t string")
+    assert len(df.select(text.numbers(F.col("t")).alias("n")).head().n) == 3
+
+
+def runs_by_rule(tiles, target=1024, most=1280, overlap=200):
+    """The rule of grouping said over all possible ends and starts, not walked."""
+    out, first = [], 0
+    while True:
+        low = tiles[first][0]
+        size = [b - low for _, b in tiles]
+        inside = [j for j in range(first, len(tiles)) if size[j] <= target]
+        last = max(inside, default=first)
+        after = last + 1
+        if after < len(tiles) and size[after] <= most and size[after] - target <= abs(size[last] - target):
+            last = after
+        out.append((low, tiles[last][1]))
+        if last == len(tiles) - 1:
+            return out
+        if tiles[last + 1][1] - tiles[last + 1][0] + overlap > most:
+            first = last + 1
+        else:
+            far = [j for j in range(first + 1, last + 1) if tiles[last][1] - tiles[j][0] >= overlap]
+            first = max(far, default=first + 1)
+
+
+def test_grouping_follows_the_rule():
+    rng = random.Random(3)
+    for _ in range(300):
+        ends, at = [], 0
+        for _ in range(rng.randrange(1, 30)):
+            at += rng.choice([5, 40, 150, 199, 200, 300, 512, 900, 1024, 1280])
+            ends.append(at)
+        tiles = list(zip([0, *ends], ends, strict=False))
+        assert chunking.grouped(tiles) == runs_by_rule(tiles)
+
+
+def test_granted_pairs_are_those_of_the_expression(spark):
+    rng = random.Random(5)
+    pick = lambda *xs: rng.choice(xs)
+    c = [(f"k{i}", f"d{i % 7}", pick("v", ""), pick("t", "t", None), 1, 1, pick("t1", "t2"), pick("public", "tenant", "private", "odd"), pick(["a"], ["a", "b"], [], None), pick(True, True, None)) for i in range(80)]
+    s = [(f"s{i}", "u", pick("t1", "t2", ""), "1", pick([], ["a"], ["b", ""], ["a", "b"]), pick([], ["f"]), pick([], ["d1", "d2"], [None, "d3"]), pick(True, False)) for i in range(30)]
+    cd = spark.createDataFrame(c, "chunk_id string, document_id string, version_id string, text string, page_start int, page_end int, tenant_id string, visibility string, library_scope_ids array<string>, is_active boolean")
+    sd = spark.createDataFrame(s, "scope_id string, user_id string, tenant_id string, acl_version string, library_ids array<string>, folder_ids array<string>, document_ids array<string>, include_public boolean")
+    for strict in (False, True):
+        both = cd.select(F.struct(*cd.columns).alias("chunk")).crossJoin(sd.select("scope_id", F.struct(*sd.columns[1:]).alias("scope")))
+        want = {(r.scope_id, r.k) for r in both.where(access.authorized(strict=strict)).select("scope_id", F.col("chunk.chunk_id").alias("k")).collect()}
+        got = [(r.scope_id, r.chunk_id) for r in access.granted(cd, sd, strict=strict).collect()]
+        assert len(got) == len(set(got)) and set(got) == want and want
+
+
+def test_cells_find_most_neighbours(spark):
+    """Few probes of many cells against brute force, on vectors with clusters."""
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    centre = rng.normal(size=(40, 16))
+    x = centre[rng.integers(0, 40, 2000)] + 0.35 * rng.normal(size=(2000, 16))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    asked = df.where("vec_id % 20 = 0")
+    got = {(r.question_id, r.chunk_id) for r in dense.ann_top_k(asked, df, 5, 0.5, cell_size=40, probes=6, same=False).collect()}
+    want = {(r.question_id, r.chunk_id) for r in dense.cosine_top_k(asked, df, 5, 0.5, same=False).collect()}
+    assert len(got & want) >= 0.9 * len(want)
+
+
+def test_leases_fence_stale_workers(spark):
+    rows = [("j", 1, "CLAIMED", "a"), ("j", 2, "CLAIMED", "b"), ("j", 3, "COMPLETED", "a"), ("k", 1, "CLAIMED", "a"), ("k", 2, "COMPLETED", "a"), ("k", 3, "COMPLETED", "a"), ("m", 1, "COMPLETED", None)]
+    df = spark.createDataFrame(rows, "job_id string, event_id long, kind string, lease_token string").withColumn("ts", F.timestamp_seconds("event_id"))
+    assert {(r.job_id, r.event_id) for r in lifecycle.fenced(df).where("kind = 'COMPLETED'").collect()} == {("k", 2)}
 
 
 def test_section_paths(spark):
@@ -289,7 +393,7 @@ def test_splits():
 
 def test_components(spark):
     nodes = spark.range(1, 40).withColumnRenamed("id", "id")
-    links = spark.createDataFrame([(i, i + 1) for i in range(1, 20)] + [(30, 31)], "a long, b long")
+    links = spark.createDataFrame([*((i, i + 1) for i in range(1, 20)), (30, 31)], "a long, b long")
     got = {r.id: r.component for r in corpus.components(nodes, links, lambda df: df.checkpoint()).collect()}
     assert all(got[i] == 1 for i in range(1, 21)) and got[31] == 30 and got[25] == 25
 
