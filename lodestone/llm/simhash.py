@@ -11,13 +11,12 @@ out again by the exact pieces of its other segment (of three pieces one is equal
 holds more than the few fingerprints that share 42 bits.
 
 `keep_one` can also go by the similarity of the shingle sets themselves, which fingerprints of 64 bits tell too coarsely: texts that
-share four shingles in five differ in some ten bits.
+share four shingles in five differ in some ten bits. Fingerprints then are one source of candidates, bands of smallest hashes the
+other, and every candidate is decided by the exact similarity of its whole texts.
 """
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -30,24 +29,31 @@ from lodestone.llm.graph import connected_components
 _WORD_END = bytes.maketrans(b"\t\n\x0b\f\r" + bytes(range(65, 91)), b"     " + bytes(range(97, 123)))
 
 
-def fingerprint(text: str, width: int = 3) -> int:
-    """Of a whole text: A-Z lower-cased, words `[^\\x20\\x09-\\x0D]+`, shingles of `width` words with repeats, XXH64 with seed 42.
+def shingle_hashes(text: str, width: int) -> np.ndarray:
+    """XXH64 with seed 42 of the shingles of a whole text, repeats included: A-Z lower-cased, words `[^\\x20\\x09-\\x0D]+`, `width` words each.
 
-    A text of fewer words has one shingle, all its words; without a word the fingerprint is zero.
+    A text of fewer words has one shingle, all its words; a text without a word has none.
     """
     words = text.encode("utf-8", "surrogatepass").translate(_WORD_END).split()
-    if not words:
-        return 0
     if len(words) <= width:
-        return xxhash.xxh64_intdigest(b" ".join(words), 42)
-    votes, n = np.zeros(64, np.int64), len(words) - width + 1
+        return np.array([xxhash.xxh64_intdigest(b" ".join(words), 42)] if words else [], "<u8")
     hashed = xxhash.xxh64_intdigest
-    for at in range(0, n, 1 << 16):
-        part = words[at : at + (1 << 16) + width - 1]
-        shingles = map(b" ".join, zip(*(part[i:] for i in range(width)), strict=False))
-        h = np.fromiter((hashed(s, 42) for s in shingles), dtype="<u8")
-        votes += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int.from_bytes(np.packbits(votes * 2 > n, bitorder="little").tobytes(), "little")
+    shingles = map(b" ".join, zip(*(words[i:] for i in range(width)), strict=False))
+    return np.fromiter((hashed(s, 42) for s in shingles), "<u8", len(words) - width + 1)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits set in over half the hashes; zero without any."""
+    votes = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), 1 << 16):
+        part = hashes[at : at + (1 << 16)]
+        votes += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int.from_bytes(np.packbits(votes * 2 > len(hashes), bitorder="little").tobytes(), "little")
+
+
+def fingerprint(text: str, width: int = 3) -> int:
+    """The majority of a whole text's shingle hashes."""
+    return majority(shingle_hashes(text, width))
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
@@ -85,8 +91,9 @@ def _union(parent: np.ndarray, i: int, j: int) -> bool:
 def forest(fps: np.ndarray, bits: int, exact: int = 512) -> list[tuple[int, int]]:
     """Pairs of indices that span the graph of fingerprints within `bits` (1 or 2) differing bits; fps are distinct.
 
-    Up to `exact` of them are compared in one block; more of them by binary search of all their one-bit neighbours: those at two
-    bits have a one-bit neighbour in common, so equal neighbours link their owners. Linear in their number but for the sort.
+    Up to `exact` of them are compared in one block; more of them by sorting them among all their one-bit neighbours: those at two
+    bits have a one-bit neighbour in common, so equal neighbours link their owners; those at one bit are the neighbour itself.
+    Linear in their number but for the sort.
     """
     n, parent, out = len(fps), np.arange(len(fps)), []
     if n <= exact:
@@ -104,6 +111,11 @@ def forest(fps: np.ndarray, bits: int, exact: int = 512) -> list[tuple[int, int]
         at, of = at[order], of[order]
         same = np.flatnonzero(at[1:] == at[:-1])
         a, b = of[same], of[same + 1]
+        if bits == 1:  # of equal neighbours only the fingerprint that stands there itself, which the stable sort puts first, is one bit off
+            first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+            start = first[np.searchsorted(first, same, side="right") - 1]
+            own = order[start] < n
+            a, b = of[start[own]], b[own]
     for i, j in zip(a.tolist(), b.tolist(), strict=True):
         if _union(parent, i, j):
             out.append((i, j))
@@ -196,32 +208,65 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def shingle_set(text: str, width: int) -> np.ndarray:
-    """Distinct shingle hashes of a whole text, ascending; words and hashes as for `fingerprint`. No word: none."""
-    words = text.encode("utf-8", "surrogatepass").translate(_WORD_END).split()
-    if len(words) <= width:
-        return np.array([xxhash.xxh64_intdigest(b" ".join(words), 42)] if words else [], np.uint64)
-    hashed = xxhash.xxh64_intdigest
-    shingles = map(b" ".join, zip(*(words[i:] for i in range(width)), strict=False))
-    return np.unique(np.fromiter((hashed(s, 42) for s in shingles), np.uint64))
+    """Distinct shingle hashes of a whole text, ascending. No word: none."""
+    return np.unique(shingle_hashes(text, width))
+
+
+#: Smallest hashes of a set under so many orders, and how many of them make a band. Sets of similarity s share one of the 16 bands but
+#: for a chance of (1 - s ** 4) ** 16, at 0.8 of 0.0002.
+_ORDERS, _BAND = 64, 4
+_FACTORS = np.random.default_rng(42).integers(1 << 62, (1 << 63) - 1, _ORDERS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: Equal halves of a byte, by the exclusive or of two bytes.
+_EQUAL_HALVES = np.array([(x < 16) + (x % 16 == 0) for x in range(256)], np.uint8)
+
+
+def smallest_hashes(shingles: np.ndarray) -> np.ndarray:
+    """The smallest hash of a set under each of the orders; a set without members has the largest number everywhere."""
+    out = np.full(_ORDERS, ~np.uint64(0))
+    for at in range(0, len(shingles), 2048):
+        np.minimum(out, (_FACTORS[:, None] * shingles[None, at : at + 2048]).min(1), out=out)
+    return out
+
+
+def bands(smallest: np.ndarray) -> list[int]:
+    """A signed long for each band, equal for equal bands only (but for a chance of 2 ** -64)."""
+    return [int(np.uint64(xxhash.xxh64_intdigest(smallest[i : i + _BAND].tobytes(), i)).view(np.int64)) for i in range(0, _ORDERS, _BAND)]
 
 
-#: Bits of a set's parity sketch, and its smallest hashes by which sets meet: of two sets of similarity s the chance to share none is (1 - s) ** _KEYS.
-_SKETCH, _KEYS = 512, 12
+def sketch_of(smallest: np.ndarray) -> bytes:
+    """Four bits of each of the smallest hashes, two to a byte."""
+    high = (smallest >> np.uint64(60)).astype(np.uint8)
+    return (high[::2] << 4 | high[1::2]).tobytes()
 
 
-def _spanning(n: int, near) -> list[tuple[int, int]]:
-    """Pairs that span the graph of 0..n-1; near(i, left) tells which of left are linked to i. Nodes found are never compared again with each other."""
-    out, left = [], np.arange(n)
+def least_equal(similarity: float) -> int:
+    """Of 64 four-bit hashes so many are equal at least in sets of that similarity, five standard deviations being allowed for."""
+    p = similarity + (1 - similarity) / 16
+    return max(0, int(_ORDERS * p - 5 * (_ORDERS * p * (1 - p)) ** 0.5))
+
+
+def _alike(n: np.ndarray, sketch: np.ndarray, similarity: float, i, j) -> np.ndarray:
+    """Whether sets i and j may be so similar, by size (exact) and sketch."""
+    equal = _EQUAL_HALVES[sketch[i] ^ sketch[j]].sum(-1, dtype=np.int64)
+    return (equal >= least_equal(similarity)) & (np.minimum(n[i], n[j]) >= similarity * np.maximum(n[i], n[j]) - 1e-9)
+
+
+def _spanning(side: np.ndarray, near) -> list[tuple[int, int]]:
+    """Pairs that span the graph of the nodes; near(i, some) tells which of some are linked to i. Nodes found are not compared again.
+
+    Only nodes of unlike sides are compared, or all where the sides are negative: then the nodes are one block.
+    """
+    out, left = [], np.arange(len(side))
     while len(left):
         front, left = [int(left[0])], left[1:]
         while front and len(left):
             i = front.pop()
-            hit = near(i, left)
-            if hit.any():
-                new = left[hit].tolist()
-                out += [(i, j) for j in new]
-                front += new
-                left = left[~hit]
+            open_ = np.flatnonzero(side[left] != side[i]) if side[i] >= 0 else np.arange(len(left))
+            hit = open_[near(i, left[open_])]
+            new = left[hit].tolist()
+            out += [(i, j) for j in new]
+            front += new
+            left = np.delete(left, hit)
     return out
 
 
@@ -229,103 +274,144 @@ def _links_of(a: list, b: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
-def _sketch_links(rows: DataFrame, similarity: float) -> DataFrame:
-    """a, b: links that span each bucket's graph of sets whose sizes and sketches allow the similarity; rows: k, set, n, sketch.
+def _in_blocks(rows: DataFrame, key: str, blocks, member: str = "set") -> DataFrame:
+    """Rows once for each pair of blocks of their key that theirs is one of, with `work` (which pair) and `side` (-1 within a block, else 0 or 1).
 
-    A parity sketch differs in no more bits than the sets in shingles, so no pair of that similarity is left out.
+    A key of one block is as it was. Every two members of a key meet in one pair of blocks (or in their own block).
     """
-    share = (1 - similarity) / (1 + similarity)
+    df = rows.withColumn("_blocks", blocks).withColumn("_mine", F.pmod(F.xxhash64(member), F.col("_blocks")).cast("int"))
+    df = df.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+    work = F.when(F.col("_blocks") == 1, F.col(key)).otherwise(F.xxhash64(key, F.least("_mine", "_other"), F.greatest("_mine", "_other")))
+    side = F.when(F.col("_mine") == F.col("_other"), -1).otherwise((F.col("_mine") > F.col("_other")).cast("int"))
+    return df.withColumns({"work": work, "side": side}).drop("_blocks", "_mine", "_other")
+
 
-    def allowed(n1, s1, n2, s2):
-        apart = np.maximum(np.bitwise_count(s1 ^ s2).sum(-1, dtype=np.int64), np.abs(n1 - n2))
-        return apart <= share * (n1 + n2) + 1e-9
+def _band_links(one: DataFrame, similarity: float, split: int) -> DataFrame:
+    """a, b: links that span each band's graph of sets whose sizes and sketches allow the similarity; one: set, n, keys, sketch.
+
+    Bands that very many sets share are found on a sample of the sets before anything is shuffled (one in 64, so any band of `split`
+    sets shows; at most one in split / 128 of the sampled rows is such a band, which bounds what is broadcast) and are dealt out in
+    blocks, each pair of which is a task's work.
+    """
+    keyed = one.select(F.explode("keys").alias("k"), "set", "n", "sketch")
+    rare = max(2, split // 128)
+    hot = one.where(F.col("set").bitwiseAND(63) == 0).select(F.explode("keys").alias("k")).groupBy("k").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") >= rare)
+    hot = cut(hot.select("k", F.ceil(F.col("m") * 128 / split).cast("int").alias("blocks")), "hot-bands")
+    rows = _in_blocks(keyed.join(F.broadcast(hot), "k", "left"), "k", F.coalesce("blocks", F.lit(1))).select("work", "set", "n", "sketch", "side")
 
     def links(parts, last: bool):
-        k, of, n, sketch = (np.concatenate(x) for x in zip(*parts, strict=True))
+        k, of, n, sketch, side = (np.concatenate(x) for x in zip(*parts, strict=True))
         borders = np.concatenate([[0], np.flatnonzero(k[1:] != k[:-1]) + 1, [len(k)]])
         done = len(borders) - 1 if last else len(borders) - 2
         start, size = borders[:done], np.diff(borders)[:done]
         two = start[size == 2]
-        two = two[allowed(n[two], sketch[two], n[two + 1], sketch[two + 1])]
+        two = two[((side[two] < 0) | (side[two] != side[two + 1])) & _alike(n, sketch, similarity, two, two + 1)]
         a, b = of[two].tolist(), of[two + 1].tolist()
         for at, m in zip(start[size > 2].tolist(), size[size > 2].tolist(), strict=True):
-            ns, ss = n[at : at + m], sketch[at : at + m]
-            for i, j in _spanning(m, lambda i, left, ns=ns, ss=ss: allowed(ns[i], ss[i], ns[left], ss[left])):
+            for i, j in _spanning(side[at : at + m], lambda i, some, at=at: _alike(n, sketch, similarity, at + i, at + some)):
                 a.append(int(of[at + i]))
                 b.append(int(of[at + j]))
         rest = borders[done]
-        return _links_of(a, b), [(k[rest:], of[rest:], n[rest:], sketch[rest:])] if rest < len(k) else []
+        return _links_of(a, b), [tuple(x[rest:] for x in (k, of, n, sketch, side))] if rest < len(k) else []
 
     def run(it):
         held = []
         for batch in it:
             if not len(batch):
                 continue
-            k, of, n = (batch.column(i).to_numpy() for i in range(3))
-            held.append((k, of, n, np.frombuffer(b"".join(batch.column(3).to_pylist()), "<u8").reshape(len(k), -1)))
+            k, of, n, side = (batch.column(i).to_numpy() for i in (0, 1, 2, 4))
+            held.append((k, of, n, np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint8).reshape(len(k), -1), side))
             if held[0][0][0] != k[-1]:
                 out, held = links(held, False)
                 yield out
         if held:
             yield links(held, True)[0]
 
-    return rows.repartition("k").sortWithinPartitions("k").mapInArrow(run, "a long, b long")
+    return rows.repartition("work").sortWithinPartitions("work").mapInArrow(run, "a long, b long")
+
+
+def _fingerprint_candidates(one: DataFrame) -> DataFrame:
+    """a, b: sets with one fingerprint, each with the smallest, and sets whose fingerprints deletion variants link."""
+    first = cut(one.groupBy("fp").agg(F.min("set").alias("first")), "fingerprint-sets")
+    same = one.select("fp", "set").join(first, "fp").where("set <> first").select(F.col("set").alias("a"), F.col("first").alias("b"))
+    near = fingerprint_links(first.select("fp"))
+    named = near.join(first.toDF("a", "sa"), "a").join(first.toDF("b", "sb"), "b").select(F.col("sa").alias("a"), F.col("sb").alias("b"))
+    return same.union(named)
 
 
 def _similar_links(table: pa.Table, width: int, similarity: float) -> pa.Table:
-    """Links that span the graph of a group's sets (columns set, text) with Jaccard similarity of at least `similarity`, by exact counts."""
-    of = table["set"].to_pylist()
+    """Links that span the graph of a piece of work's sets (columns set, text, n, sketch, side) with at least that similarity, by exact counts."""
+    of, n, side = (table[c].to_numpy() for c in ("set", "n", "side"))
+    sketch = np.frombuffer(b"".join(table["sketch"].to_pylist()), np.uint8).reshape(len(of), -1)
     sets = [shingle_set(t.as_py() or "", width) for t in table["text"]]
-    size = np.array([len(x) for x in sets])
-    ids = np.unique(np.concatenate(sets), return_inverse=True)[1].astype(np.int32)
-    starts = np.concatenate([[0], np.cumsum(size)])
-    mark, state = np.zeros(int(ids.max()) + 1, bool), {}
-
-    def near(i, left):
-        if len(state.get("left", ())) != len(left):  # what is left only shrinks
-            state["left"], state["flat"] = left, np.concatenate([ids[starts[j] : starts[j + 1]] for j in left])
-            state["at"] = np.concatenate([[0], np.cumsum(size[left])[:-1]])
-        mine = ids[starts[i] : starts[i + 1]]
-        mark[mine] = True
-        common = np.add.reduceat(mark[state["flat"]].astype(np.int64), state["at"])
-        mark[mine] = False
-        return common >= similarity * (size[i] + size[left] - common)
-
-    pairs = _spanning(len(of), near)
-    return pa.Table.from_batches([_links_of([of[i] for i, _ in pairs], [of[j] for _, j in pairs])])
-
-
-def similar_components(placed: DataFrame, at: str, text_col: str, width: int, similarity: float) -> DataFrame:
+
+    def near(i, some):
+        hit = np.zeros(len(some), bool)
+        for at in np.flatnonzero(_alike(n, sketch, similarity, i, some)):
+            mine, other = sets[i], sets[some[at]]
+            place = np.searchsorted(mine, other)
+            common = int((mine[np.minimum(place, len(mine) - 1)] == other).sum())
+            hit[at] = common >= similarity * (len(mine) + len(other) - common)
+        return hit
+
+    pairs = _spanning(side, near)
+    return pa.Table.from_batches([_links_of([int(of[i]) for i, _ in pairs], [int(of[j]) for _, j in pairs])])
+
+
+#: Identifiers (longs) that are broadcast at most, some 40 MB in an executor; more of them meet the texts by a shuffle.
+MOST_BROADCAST = 1 << 20
+
+
+def _of_ids(texts: DataFrame, ids: DataFrame, n: int, at: str, how: str) -> DataFrame:
+    """Rows of texts (semi) with one of n distinct ids, or (anti) without; texts are shuffled only where the ids are too many to broadcast."""
+    return texts.join(F.broadcast(ids) if n <= MOST_BROADCAST else ids.hint("shuffle_hash"), at, how)
+
+
+def similar_components(placed: DataFrame, at: str, text_col: str, width: int, similarity: float, split: int = 20_000, block: int = 1024, block_words: int = 1 << 20) -> DataFrame:
     """doc_id, component_id: the smallest `at` (a key of the rows, in the table) reachable over links of shingle sets with Jaccard similarity >= `similarity`.
 
-    Equal sets are one row from the start and texts without a word are copies. Sets that share one of their 12 smallest hashes and
-    whose sketches allow the similarity make groups; within each the sets are compared exactly, from the whole texts.
+    Equal sets are one row from the start and texts without a word are copies. Sets whose fingerprints lie within two bits, and sets
+    that share a band of smallest hashes and whose sizes and sketches allow the similarity, make groups; within each the sets are
+    compared exactly, from the whole texts. A group is dealt out in blocks of about `block` sets and `block_words` words, each pair
+    of which is a task's work, so that no task holds more, however large the group.
     """
-    schema = pa.schema([("doc_id", pa.int64()), ("set", pa.int64()), ("n", pa.int64()), ("keys", pa.list_(pa.int64())), ("sketch", pa.binary())])
+    schema = pa.schema([("doc_id", pa.int64()), ("set", pa.int64()), ("n", pa.int64()), ("fp", pa.int64()), ("keys", pa.list_(pa.int64())), ("sketch", pa.binary())])
 
     def run(it):
         for batch in batches(it, "text"):
-            sets = [shingle_set(t, width) for t in batch.column(1).to_pylist()]
-            of = np.array([xxhash.xxh64_intdigest(x.tobytes(), 42) for x in sets], np.uint64).view(np.int64)
-            sketches = [np.packbits(np.bincount((x % np.uint64(_SKETCH)).astype(np.int64), minlength=_SKETCH) & 1).tobytes() for x in sets]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(of), pa.array([len(x) for x in sets], pa.int64()), pa.array([x[:_KEYS].view(np.int64) for x in sets], pa.list_(pa.int64())), pa.array(sketches, pa.binary())], schema=schema)
-
-    marked = cut(id_and_text(placed, at, text_col).mapInArrow(run, "doc_id long, set long, n long, keys array<long>, sketch binary"), "shingle-sets")
-    one = cut(marked.groupBy("set").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch")), "distinct-sets")
-    groups = connected_components(_sketch_links(one.select(F.explode("keys").alias("k"), "set", "n", "sketch"), similarity)).toDF("set", "group")
-    members = cut(one.select("set", "least").join(groups, "set"), "set-groups").withColumnRenamed("least", at)
-    texts = placed.select(at, F.col(text_col).alias("text")).join(members, at).select("group", "set", "text")
-    roots = connected_components(texts.groupBy("group").applyInArrow(lambda t: _similar_links(t, width, similarity), "a long, b long"))
+            of, n, fps, keys, sketches = [], [], [], [], []
+            for text in batch.column(1).to_pylist():
+                hashes = shingle_hashes(text, width)
+                shingles = np.unique(hashes)
+                smallest = smallest_hashes(shingles)
+                of.append(xxhash.xxh64_intdigest(shingles.tobytes(), 42))
+                n.append(len(shingles))
+                fps.append(majority(hashes))
+                keys.append(bands(smallest))
+                sketches.append(sketch_of(smallest))
+            signed = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (of, fps)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), signed[0], pa.array(n, pa.int64()), signed[1], pa.array(keys, pa.list_(pa.int64())), pa.array(sketches, pa.binary())], schema=schema)
+
+    marked = cut(id_and_text(placed, at, text_col).mapInArrow(run, "doc_id long, set long, n long, fp long, keys array<long>, sketch binary"), "shingle-sets")
+    one = cut(marked.groupBy("set").agg(*[F.min(c).alias(a) for c, a in (("doc_id", "least"), ("fp", "fp"))], *[F.first(c).alias(c) for c in ("n", "keys", "sketch")]), "distinct-sets")
+    groups = connected_components(_band_links(one, similarity, split).union(_fingerprint_candidates(one))).toDF("set", "group")
+    members = cut(one.select("set", "least", "n", "sketch").join(groups, "set"), "set-groups")
+    sizes = members.groupBy("group").agg(F.ceil(F.greatest(F.count(F.lit(1)) / block, F.sum("n") / block_words)).cast("int").alias("blocks"))
+    several = members.join(sizes, "group").withColumnRenamed("least", at)
+    texts = _of_ids(placed.select(at, F.col(text_col).alias("text")), several.select(at), members.count(), at, "left_semi").join(several, at)
+    work = _in_blocks(texts, "group", F.col("blocks")).select("work", "set", "n", "sketch", "side", "text")
+    roots = connected_components(work.groupBy("work").applyInArrow(lambda t: _similar_links(t, width, similarity), "a long, b long"))
     linked = one.select("set", "least").join(roots.toDF("set", "root"), "set", "left").select("set", "least", F.coalesce("root", "set").alias("root"))
     least = linked.groupBy("root").agg(F.min("least").alias("component_id"))
     named = cut(linked.join(least, "root").select("set", "component_id"), "set-components")
     return marked.select("doc_id", "set").join(named, "set").select("doc_id", "component_id")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, similarity: float | None = None) -> DataFrame:
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, similarity: float | None = None, **limits) -> DataFrame:
     """The rows of docs, columns as they are, that are the first of their component: smallest doc_id, nulls last.
 
-    Components are those of `near_duplicates`, or with a similarity those of shingle sets at least so similar (Jaccard).
+    Components are those of `near_duplicates`, or with a similarity those of shingle sets at least so similar (Jaccard), with the
+    limits of `similar_components`.
     Of rows with one doc_id in one component the one with the smallest text hash stays, of equal ones the first by place; so one row
     of each component stays, whatever its columns hold. Rows are numbered once, in a table of their own.
     """
@@ -336,10 +422,12 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
     if similarity is None:
         found = near_duplicates(placed.select(at, text_col), at, text_col, width)
     else:
-        found = similar_components(placed, at, text_col, width, similarity)
+        found = similar_components(placed, at, text_col, width, similarity, **limits)
     keys = found.select(F.col("doc_id").alias("a"), F.col("component_id").alias("of"))
     ids = placed.select(F.col(at).alias("a"), F.col(id_col).cast("long").alias("i"), F.xxhash64(F.col(text_col)).alias("h"))
     order = F.struct(F.col("i").isNull().alias("n"), "i", "h", "a")
     first = ids.join(keys, "a").groupBy("of").agg(F.min(order).alias("x")).select(F.col("x.a").alias(at))
-    kept = cut(first, "first-copies").hint("shuffle_hash")  # as many ids as documents: texts are dealt out once, never sorted
-    return placed.join(kept, at, "left_semi").drop(at).select(*[f"`{c}`" for c in docs.columns])
+    kept = cut(first, "first-copies")
+    dropped = cut(ids.select(F.col("a").alias(at)).join(kept, at, "left_anti"), "other-copies")
+    out = _of_ids(placed, dropped, dropped.count(), at, "left_anti")
+    return out.drop(at).select(*[f"`{c}`" for c in docs.columns])
