@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import batches, cut, hash_sample, id_and_text
+from lodestone.llm.common import batches, bound_batches, cut, hash_sample, id_and_text
 
 _SYMBOLS, _UPPER, _LOWER, _DIGITS, _PUNCT = b"#*$%&|<>", bytes(range(65, 91)), bytes(range(97, 123)), b"0123456789", b".,;:!?\"'()-"
 NAMES = ("log_words", "log_chars", "mean_word", "long_words", "unique", "top_word", "symbols", "bars", "bangs", "upper", "digits", "punct", "other_bytes", "windows_again", "same_next", "lines", "lines_again", "line_words", "odd_words", "stops", "char_kinds", "edge_symbols")
@@ -155,13 +155,22 @@ def remainder(doc_id, parts: int = 4):
     return F.crc32(doc_id.cast("string").cast("binary")) % parts
 
 
-def train(stats: DataFrame, labels: DataFrame, held_out: int = 2, sample: int = 30_000, label_col: str = "quality", id_col: str = "doc_id") -> Trees:
-    """Fit on at most `sample` labelled rows drawn by hash, none of whose identifiers has the held-out remainder."""
+def training_rows(docs: DataFrame, labels: DataFrame, held_out: int = 2, sample: int = 30_000, label_col: str = "quality", id_col: str = "doc_id", doc_col: str = "doc_id") -> DataFrame:
+    """key (doc_id), y: at most `sample` pairs of a row of docs and its label, drawn by hash of both; no identifier with the held-out remainder."""
     known = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("y")).where("doc_id is not null and y in (0, 1)")
     known = known.where(remainder(F.col("doc_id")) != held_out)
-    rows = stats.join(known, "doc_id").withColumn("key", F.struct("doc_id", "y"))
-    got = hash_sample(rows, "key", sample, known.count()).select("stats", "y").toArrow()
-    x = np.array(got.column(0).to_pylist(), float).reshape(len(got), len(NAMES))
+    rows = docs.select(F.col(doc_col).cast("long").alias("doc_id")).join(known, "doc_id").select(F.struct("doc_id", "y").alias("key"))
+    return hash_sample(rows, "key", sample, known.count()).select(F.col("key.doc_id").alias("doc_id"), F.col("key.y").alias("y"))
+
+
+def train(stats: DataFrame, chosen: DataFrame, sample: int = 30_000) -> Trees:
+    """Fit on the statistics of the chosen training rows, at most `sample` of them where rows repeat a doc_id.
+
+    No chosen rows: a model that scores 0.5.
+    """
+    rows = stats.join(F.broadcast(chosen.distinct()), "doc_id").select("doc_id", "y", "stats")  # the chosen are at most `sample` rows
+    got = rows.orderBy(F.xxhash64("doc_id", "y"), "doc_id", "y", "stats").limit(sample).toArrow()
+    x = np.array(got.column(2).to_pylist(), float).reshape(len(got), len(NAMES))
     return fit(x, got.column(1).to_numpy().astype(float))
 
 
@@ -179,19 +188,26 @@ def score(stats: DataFrame, model: Trees) -> DataFrame:
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, id_col: str = "doc_id", text_col: str = "text", **training) -> DataFrame:
-    """doc_id, held_out, score, predicted; one row a row of docs.
+    """doc_id, held_out, score, predicted; one row a row of docs, repeated rows repeated, none for an empty table.
 
-    Empty and null texts get the score of all-zero statistics. A null doc_id is never trained on and not held out.
+    Empty and null texts get the score of all-zero statistics. A null doc_id is never trained on and not held out. Without labels
+    every score is 0.5. Other columns of docs, whatever their names, play no part.
     """
     stats = cut(with_statistics(docs, id_col, text_col), "statistics")
-    scored = score(stats, train(stats, labels, **training))
+    scored = score(stats, train(stats, training_rows(stats, labels, **training), training.get("sample", 30_000)))
     held = F.coalesce(remainder(F.col("doc_id")) == training.get("held_out", 2), F.lit(False))
     return scored.select("doc_id", held.alias("held_out"), "score", F.when(F.col("score") >= threshold, 1).otherwise(0).alias("predicted"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, id_col: str = "doc_id", text_col: str = "text", **training) -> DataFrame:
-    """The rows of docs, columns as they are, whose score reaches the threshold."""
-    model = train(cut(with_statistics(docs, id_col, text_col), "statistics"), labels, **training)
+    """The rows of docs, columns as they are, whose score reaches the threshold.
+
+    Statistics for training are taken of the chosen labelled rows only, then once of every row. Null and empty texts score as
+    all-zero statistics; rows with a null doc_id are scored like any other. Repeated rows stay or go together.
+    """
+    chosen = cut(training_rows(docs, labels, doc_col=id_col, **training), "training-rows")
+    some = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(chosen.select("doc_id").distinct()), "doc_id", "left_semi")
+    model = train(with_statistics(some), chosen, training.get("sample", 30_000))
 
     def run(it):
         for batch in it:
@@ -200,4 +216,5 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, id_col
                     stats = [statistics(t or "") for t in part.column(part.schema.get_field_index(text_col)).to_pylist()]
                     yield part.filter(pa.array(model.score(np.array(stats)) >= threshold))
 
+    bound_batches(docs.sparkSession)
     return docs.mapInArrow(run, docs.schema)
