@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import batches, cut, id_and_text
+from lodestone.llm.common import batches, bound_batches, cut, id_and_text
 
 #: Kinds in the order of a document's spans; base kinds first.
 KINDS = ("email", "ip", "card", "phone", "secret")
@@ -34,7 +34,7 @@ _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _SPOKEN_EMAIL = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64} ?[\[(](?:at|AT)[\])] ?[A-Za-z0-9-]{1,63}(?: ?[\[(](?:dot|DOT)[\])] ?[A-Za-z0-9-]{1,63}|\.[A-Za-z0-9-]{1,63})+")
 _SIX = re.compile(r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])")
 _LOCAL_PHONE = re.compile(r"(?<![0-9+().-])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9-])")
-_SECRET = re.compile(r"(?i)\b(?:token|secret|password|passwd|api[_-]?key|access[_-]?key)\b[\"']?[ \t]{0,3}[=:][ \t]{0,3}[\"']?([A-Za-z0-9+/_=-]{16,512})")
+_SECRET = re.compile(r"(?i)\b(?:token|secret|password|passwd|api[_-]?key|access[_-]?key)\b[\"']?[ \t]{0,3}[=:][ \t]{0,3}[\"']?([A-Za-z0-9+/_=-]{16,})")
 
 #: Gazetteers and words of context.
 _ENDINGS = frozenset("com org net edu gov info io de fr es it uk nl pl eu us ca ch at be se no fi dk jp cn in br ru".split())
@@ -288,27 +288,45 @@ def scan_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:
     """docs with every span of its texts replaced by its kind in angle brackets; overlapping spans become one, named by the first.
 
-    The label model is learned from all rows first; the second pass finds each text's spans anew, so that rows need no key. Null
-    texts stay null; other columns stay as they are.
+    One pass finds the candidates of every row and writes them beside it, the label model is learned from all of them, and a second
+    pass replaces what it accepts. Null texts stay null; other columns, whatever their names, stay as they are; repeated rows are
+    redacted alike. No rows: no rows.
     """
-    good = {c for c, p in learn(find(docs, id_col, text_col)).items() if p >= threshold}
+    bound_batches(docs.sparkSession)
+    own = "_codes"
+    while own in docs.columns:
+        own += "_"
     at = docs.columns.index(text_col)
 
-    def clean(text: str | None) -> str | None:
-        if not text:
-            return text
-        spans = sorted((a, b, k) for k, a, b, base in candidates(text) if base or code_of(text, k, a, b) in good)
+    def mark(it):
+        for batch in it:
+            for part in batches(iter([batch]), text_col):
+                codes, places = [], []
+                for text in part.column(at).to_pylist():
+                    spans = candidates(text) if text else []
+                    codes.append([("*" if s[3] else "") + code_of(text, *s[:3]) for s in spans])
+                    places.append([x for s in spans for x in s[1:3]])
+                extra = [pa.array(codes, pa.list_(pa.string())), pa.array(places, pa.list_(pa.int32()))]
+                yield pa.RecordBatch.from_arrays([*part.columns, *extra], names=[*part.schema.names, own, own + "at"])
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    marked = cut(docs.mapInArrow(mark, f"{schema}, `{own}` array<string>, `{own}at` array<int>"), "pii-marked")
+    good = {c for c, p in learn(marked.select(F.col(own).alias("codes"))).items() if p >= threshold}
+
+    def clean(text: str, codes: list[str], places: list[int]) -> str:
         out, done = [], 0
-        for a, b, kind in spans:
-            if a >= done:
-                out += [text[done:a], f"<{kind}>"]
-            done = max(done, b)
+        for a, b, code in sorted(zip(places[::2], places[1::2], codes, strict=True), key=lambda s: (*s[:2], s[2].lstrip("*"))):
+            if code[0] == "*" or code in good:
+                if a >= done:
+                    out += [text[done:a], f"<{code.lstrip('*').partition(':')[0]}>"]
+                done = max(done, b)
         return "".join([*out, text[done:]]) if out else text
 
     def run(it):
         for batch in it:
             for part in batches(iter([batch]), text_col):
-                cleaned = pa.array([clean(t) for t in part.column(at).to_pylist()], part.schema.field(at).type)
-                yield pa.RecordBatch.from_arrays([cleaned if i == at else c for i, c in enumerate(part.columns)], schema=part.schema)
+                rows = zip(*(c.to_pylist() for c in (part.column(at), *part.columns[-2:])), strict=True)
+                cleaned = pa.array([clean(*r) if r[1] else r[0] for r in rows], part.schema.field(at).type)
+                yield pa.RecordBatch.from_arrays([cleaned if i == at else c for i, c in enumerate(part.columns[:-2])], names=part.schema.names[:-2])
 
-    return docs.mapInArrow(run, docs.schema)
+    return marked.mapInArrow(run, docs.schema)
