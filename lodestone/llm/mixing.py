@@ -1,12 +1,16 @@
 """Mixing sources to target weights by entropy balancing.
 
-Of all rates r >= 0 that give each group its target tokens, with no rate above `cap`, those nearest to one in relative entropy (each
-token of the corpus weighing the same) are r = min(cap, exp(sum of the multipliers of the document's groups)). The multipliers
-minimise a convex dual; Newton steps with a line search find them, each step's gradient and Hessian being sums that Spark takes over
-the token counts of the groups' combinations. One column of groups gives a diagonal Hessian, more columns (source and language,
-say) a full one. Rates then become whole copies: the whole part, and one more for the documents that come first in an order by
-hash, as many as bring each source nearest to its target; four classes of length, one after the other, leave but a short document's error, which a few single
-exchanges then mend.
+Of all rates r >= 0 that give each group its target tokens, with no rate above `cap`, those nearest to one in relative entropy, a
+document of s tokens weighing s + half, are r = min(cap, exp(lambda * s / (s + half))): tilted exponentially by the document's own
+size, lambda being the sum of the multipliers of the document's groups. Short documents stay near rate one and long ones approach
+exp(lambda), so that no document is driven out by its length alone; `half` is the corpus's mean size unless given. The multipliers
+minimise a convex dual; Newton steps with a line search find them, each step's gradient and Hessian being sums that Spark takes
+over the token counts by group and size. One column of groups gives a diagonal Hessian, more columns (source and language, say) a
+full one. Sums are of decimals, so that their order doesn't matter and reruns agree.
+
+Rates then become whole copies: the whole part, and one more for the documents that come first in an order by hash, as many as
+bring each source nearest to its target; four classes of length, one after the other, leave but a short document's error, which a
+few single exchanges then mend.
 """
 
 from __future__ import annotations
@@ -14,7 +18,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -64,57 +68,79 @@ def _null_safe(left: DataFrame, right: DataFrame, column: str) -> DataFrame:
     return left.join(renamed, left[column].eqNullSafe(renamed["_group"]), "left").drop("_group")
 
 
-def solve(sized: DataFrame, targets: dict[str, dict], cap: float = 3.0, tolerance: float = 1e-9, most_steps: int = 60) -> dict[str, dict]:
+def half_size(sized: DataFrame) -> float:
+    """Mean size of the documents with a word; 1 without any."""
+    n, words = sized.where("size > 0").agg(F.count(F.lit(1)), F.sum("size")).first()
+    return max(1.0, words / n) if n else 1.0
+
+
+def _exact(col: Column) -> Column:
+    """A sum of a column's values that doesn't depend on their order."""
+    return F.sum(col.cast("decimal(30,9)")).cast("double")
+
+
+#: Multiplier of a group whose target is the cap itself: every rate reaches the cap.
+_AT_CAP = 1e6
+
+
+def solve(sized: DataFrame, targets: dict[str, dict], cap: float = 3.0, half: float | None = None, tolerance: float = 1e-9, most_steps: int = 60) -> dict[str, dict]:
     """Multipliers by column and group for rates that meet the targets; groups without tokens get zero.
 
     Targets of several columns must agree (the same total, reachable under the cap); what cannot be met is met as nearly as the
     last step came.
     """
     spark, columns = sized.sparkSession, list(targets)
-    cells = cut(sized.groupBy(*columns).agg(F.sum("size").cast("double").alias("tokens")).where("tokens > 0"), "mix-cells")
+    half = half_size(sized) if half is None else half
+    tilt = F.col("size") / (F.col("size") + half)
+    cells = cut(sized.where("size > 0").groupBy(*columns, "size").agg(F.sum("size").cast("double").alias("tokens")).withColumn("u", tilt), "mix-cells")
     names = [(c, g) for c in columns for g in targets[c]]
     at = {x: i for i, x in enumerate(names)}
     goal = np.array([targets[c][g] for c, g in names], float)
     scale = max(goal.sum() / max(len(columns), 1), 1.0)
 
-    def sums(lam: np.ndarray, hessian: bool):
-        """Dual value, tokens by group and, by pairs of groups, tokens whose rate can move."""
+    def sums(lam: np.ndarray):
+        """Dual value, tokens by group and, by pairs of groups, how fast they grow with the multipliers."""
         df = cells
         for c in columns:
             df = _null_safe(df, _table(spark, c, {g: lam[at[c, g]] for g in targets[c]}, f"lam_{c}"), c)
-        eta = sum((F.coalesce(F.col(f"lam_{c}"), F.lit(0.0)) for c in columns), F.lit(0.0))
+        eta = sum((F.coalesce(F.col(f"lam_{c}"), F.lit(0.0)) for c in columns), F.lit(0.0)) * F.col("u")
         top = F.lit(math.log(cap))
         rate = F.exp(F.least(eta, top))
-        df = df.select(*columns, (F.col("tokens") * rate).alias("taken"), F.when(eta < top, F.col("tokens") * rate).otherwise(0.0).alias("moves"), (F.col("tokens") * (rate + cap * F.greatest(eta - top, F.lit(0.0)))).alias("value"))
-        value = 0.0
-        taken, h = np.zeros(len(names)), np.zeros((len(names),) * 2) if hessian and len(columns) > 1 else np.zeros(len(names))
+        value = F.col("tokens") / F.col("u") * (rate + cap * F.greatest(eta - top, F.lit(0.0)))
+        df = df.select(*columns, (F.col("tokens") * rate).alias("taken"), F.when(eta < top, F.col("tokens") * F.col("u") * rate).otherwise(0.0).alias("moves"), value.alias("value"))
+        total, taken = 0.0, np.zeros(len(names))
+        h = np.zeros((len(names),) * 2 if len(columns) > 1 else len(names))
         for i, c in enumerate(columns):
-            for r in df.groupBy(c).agg(F.sum("taken"), F.sum("moves"), F.sum("value")).collect():
+            for r in df.groupBy(c).agg(_exact(F.col("taken")), _exact(F.col("moves")), _exact(F.col("value"))).collect():
                 k = at[c, r[0]]
                 taken[k] = r[1]
-                if h.ndim == 1:
-                    h[k] = r[2]
-                else:
-                    h[k, k] = r[2]
-                value += r[3] if i == 0 else 0.0
+                h[(k, k) if h.ndim == 2 else k] = r[2]
+                total += r[3] if i == 0 else 0.0
             for d in columns[:i] if h.ndim == 2 else []:
-                for r in df.groupBy(c, d).agg(F.sum("moves")).collect():
+                for r in df.groupBy(c, d).agg(_exact(F.col("moves"))).collect():
                     h[at[c, r[0]], at[d, r[1]]] = h[at[d, r[1]], at[c, r[0]]] = r[2]
-        return value - lam @ goal, taken, h
-
-    lam = np.zeros(len(names))
-    value, taken, h = sums(lam, True)
+        return total - lam @ goal, taken, h
+
+    lam, open_ = np.zeros(len(names)), np.ones(len(names), bool)
+    value, taken, h = sums(lam)
+    if len(columns) == 1:  # groups are independent: start from the answer for a group of equal documents, leave out those at the cap
+        open_ = (taken > 0) & (goal < cap * taken * (1 - 1e-9))
+        some = open_ & (goal > 0)
+        lam[some] = np.log(goal[some] / taken[some]) * taken[some] / h[some]
+        lam[(taken > 0) & ~open_] = _AT_CAP
+        value, taken, h = sums(lam)
     for _ in range(most_steps):
-        slope = taken - goal
+        slope = np.where(open_, taken - goal, 0.0)
         if np.abs(slope).max(initial=0.0) <= tolerance * scale:
             break
         ridge = 1e-12 * scale + 1e-9 * np.abs(slope)
         step = -slope / (h + ridge) if h.ndim == 1 else -np.linalg.solve(h + np.diag(ridge), slope)
-        step = np.clip(step, -4.0, 4.0)
+        pace = np.maximum(taken / np.maximum(h if h.ndim == 1 else np.diag(h), 1e-9 * scale), 1.0)  # 1 / tilt of a group's typical document
+        step = np.where(open_, np.clip(step, -2.0 * pace, 2.0 * pace), 0.0)
         size = 1.0
         while True:
             new = lam + size * step
-            v, t, k = sums(new, True)
+            v, t, k = sums(new)
             if v <= value + 1e-4 * size * (slope @ step) + 1e-12 * abs(value) or size < 1e-6:
                 break
             size /= 2
@@ -133,7 +159,7 @@ def sized_rows(docs: DataFrame, columns: list[str], id_col: str = "doc_id", text
     return docs.select(*[F.col(c) for c in keep], *groups, n_words(F.col(text_col)).alias("size"), high.alias("_hash"), low.alias("_tie"))
 
 
-def with_rates(sized: DataFrame, lam: dict[str, dict], cap: float) -> DataFrame:
+def with_rates(sized: DataFrame, lam: dict[str, dict], cap: float, half: float) -> DataFrame:
     """Adds rate, whole copies and key: documents are given one copy more in ascending key while their source lacks tokens.
 
     The key rises with hash / fraction, so that a document's chance is its rate's fraction; without a fraction it is null.
@@ -142,6 +168,7 @@ def with_rates(sized: DataFrame, lam: dict[str, dict], cap: float) -> DataFrame:
     for c, values in lam.items():
         df = _null_safe(df, _table(spark, c, values, f"lam_{c}"), c)
     eta = sum((F.coalesce(F.col(f"lam_{c}"), F.lit(0.0)) for c in lam), F.lit(0.0))
+    eta = eta * F.col("size") / (F.col("size") + half)  # a document without a word keeps rate one
     df = df.withColumn("rate", F.least(F.exp(F.least(eta, F.lit(math.log(cap)))), F.lit(float(cap)))).drop(*[f"lam_{c}" for c in lam])
     df = df.withColumn("whole", F.floor(F.col("rate") + 1e-9))
     part = F.col("rate") - F.col("whole")
@@ -180,14 +207,15 @@ def cut_keys(rows: DataFrame, column: str, need: dict, residue: int = 1_000) ->
 class Mix:
     """A solved mix: targets, multipliers and cut keys; apply() gives every row its copies."""
 
-    def __init__(self, docs: DataFrame, column: str = "source", weights: tuple[float, ...] = (5, 2, 1), cap: float = 3.0, id_col: str = "doc_id", text_col: str = "text", most_groups: int = 100_000):
+    def __init__(self, docs: DataFrame, column: str = "source", weights: tuple[float, ...] = (5, 2, 1), cap: float = 3.0, id_col: str = "doc_id", text_col: str = "text", most_groups: int = 1_000_000, half: float | None = None):
         self.column, self.cap, self.id_col, self.text_col = column, cap, id_col, text_col
         self.sized = cut(sized_rows(docs.withColumn("_id", F.col(id_col)), [column], id_col, text_col, keep=["_id"]), "mix-sizes")
         self.sizes = group_sizes(self.sized, column, most_groups)
         self.targets = weight_targets(self.sizes, weights, cap)
-        self.lam = solve(self.sized, {column: self.targets}, cap)
-        rated = cut(with_rates(self.sized, self.lam, cap).select(column, "key", "size", "whole", self._tier().alias("tier"), (F.col("rate") - F.col("whole")).alias("part")), "mix-keys")
-        rounded = {(r[0], r[1]): r[2] for r in rated.where("key is not null").groupBy(column, "tier").agg(F.sum(F.col("size") * F.col("part"))).collect()}
+        self.half = half_size(self.sized) if half is None else half
+        self.lam = solve(self.sized, {column: self.targets}, cap, self.half)
+        rated = cut(with_rates(self.sized, self.lam, cap, self.half).select(column, "key", "size", "whole", self._tier().alias("tier"), (F.col("rate") - F.col("whole")).alias("part")), "mix-keys")
+        rounded = {(r[0], r[1]): r[2] for r in rated.where("key is not null").groupBy(column, "tier").agg(_exact(F.col("size") * F.col("part"))).collect()}
         self.cuts: list[dict] = []
         over = dict.fromkeys(self.targets, 0.0)
         for tier in range(len(TIERS) + 1):
@@ -225,7 +253,7 @@ class Mix:
         tiers = range(len(TIERS) + 1)
         rows = [(g, float(self.targets[g]), int(self.sizes[g]), *(self.cuts[t][g] for t in tiers), self.flips[g]) for g in self.targets]
         cuts = sized.sparkSession.createDataFrame(rows, f"`{self.column}` string, target double, source_size long, " + ", ".join(f"_cut{t} long" for t in tiers) + ", _flips array<long>")
-        rated = _null_safe(with_rates(sized, self.lam, self.cap), cuts, self.column)
+        rated = _null_safe(with_rates(sized, self.lam, self.cap, self.half), cuts, self.column)
         given = (F.col("key") <= F.get(F.array(*[f"_cut{t}" for t in tiers]), self._tier())) != F.array_contains("_flips", F.col("key"))
         more = F.when(given, 1).otherwise(0)
         return rated.withColumn("copies", (F.col("whole") + more).cast("int")).drop("key", "whole", "_flips", *[f"_cut{t}" for t in tiers])
