@@ -90,6 +90,8 @@ class BundleWriter:
         self.held, self.table = 0, []
 
     def add(self, record: bytes) -> tuple[int, int, int]:
+        if len(record) >= 1 << 32:
+            raise ValueError("a record of 4 GB or more doesn't fit the seek table")
         if self.held and self.held + len(record) > self.frame_bytes:
             self._flush()
         place = (len(self.table), self.held, len(record))
@@ -145,17 +147,23 @@ class BundleReader:
         self.file.close()
 
 
-def with_referrals(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least: int = 0) -> DataFrame:
+def with_referrals(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least: int = 0, most_broadcast: int = 200_000) -> DataFrame:
     """page_id, url, payload (binary), refers_to: the smallest page_id with an equal payload where that is another page's.
 
-    Only (digest, smallest id) of payloads that stand on more than one row meets the pages again, so the texts are shuffled only if
-    that table is too large for Spark to broadcast; a payload on very many rows is then split by the skew join. Payloads are equal
-    if their SHA-256 are. Payloads under `least` bytes never refer. Null html is an empty payload; a null page_id refers to the
-    smallest id of its group but is never referred to; if an id stands on several rows, all of them are responses or all revisits.
+    Only (digest, smallest id) of payloads that stand on more than one row meets the pages again. That table is written, its rows
+    are counted, and up to `most_broadcast` of them are broadcast, so that no text is shuffled; beyond, Spark joins by shuffle and
+    splits a payload on very many rows by the skew join. Payloads are equal if their SHA-256 are. Payloads under `least` bytes
+    never refer. Null html is an empty payload; a null page_id refers to the smallest id of its group but is never referred to; if
+    an id stands on several rows, all of them are responses or all revisits, and their records share the id.
     """
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.encode(F.coalesce(F.col(html_col), F.lit("")), "UTF-8").alias("payload"))
-    keyed = rows.withColumn("digest", F.when(F.octet_length("payload") >= least, F.sha2("payload", 256)))
-    first = keyed.where(F.col("digest").isNotNull()).groupBy("digest").agg(F.min("page_id").alias("first_id"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    large = F.octet_length("payload") >= least
+    digest = F.unhex(F.sha2("payload", 256))
+    keyed = rows.withColumn("digest", F.when(large, digest).otherwise(F.encode(F.xxhash64("page_id", "payload").cast("string"), "UTF-8")))  # shorter than any digest
+    several = rows.where(large).groupBy(digest.alias("digest")).agg(F.min("page_id").alias("first_id"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    first = cut(several, "warc-first")
+    if first.count() <= most_broadcast:
+        first = F.broadcast(first)
     refers = F.when(F.col("first_id").isNotNull() & ~F.col("first_id").eqNullSafe(F.col("page_id")), F.col("first_id"))
     return keyed.join(first, "digest", "left").select("page_id", "url", "payload", refers.alias("refers_to"))
 
