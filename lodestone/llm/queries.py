@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lodestone.llm import bpe, licenses, mixing, pii, quality, rules, simhash, sstable, vectors, warc
 
@@ -61,8 +62,21 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encoded_digests(table(spark, sf_dir, "documents"), vocabulary(WORD_BPE))
 
 
+def llm_rules_loose(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rules of op2 at bounds that the small tables' few holdouts can certify: 10 % a share at 80 %."""
+    return rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), alpha=0.1, delta=0.2)
+
+
+def llm_vector_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op8 over every vector and a copy without its first components (as many as its id modulo 20): cosines from under 0.9 to 1."""
+    e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    less = F.transform("embedding", lambda x, i: F.when(i < F.col("vec_id") % 20, F.lit(0.0).cast("float")).otherwise(x))
+    return vectors.near_duplicates(e.union(e.select(F.col("vec_id") + F.lit(1000000000000), less)))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_sstable, op2_rules, op3_quality, op4_pii, op5_simhash, op6_mixing, op7_warc, op8_vectors, op9_licenses, op10_bpe)}
+    ops = (op1_sstable, op2_rules, op3_quality, op4_pii, op5_simhash, op6_mixing, op7_warc, op8_vectors, op9_licenses, op10_bpe)
+    return {f.__name__: f for f in (*ops, llm_rules_loose, llm_vector_copies)}
 
 
 #: Five hex digits of the SHA-1 are four letters of its base32 form.
@@ -91,11 +105,17 @@ SELECT c.vec_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_links, c.component_id, c.
 FROM c LEFT JOIN n ON c.vec_id = n.vec_id
 """
 
+#: The same over every vector and its copy.
+COPIES_SQL = OP8_SQL.replace("embeddings", "copies").replace("WITH RECURSIVE v AS", """WITH RECURSIVE copies AS (SELECT vec_id, embedding FROM embeddings
+  UNION ALL SELECT vec_id + 1000000000000, list_transform(embedding, lambda x, i: CASE WHEN i <= vec_id % 20 THEN 0 ELSE x END) FROM embeddings),
+v AS""")
+
 
 _LEVELS = "[" + ", ".join(f"{c}::DOUBLE" for c in rules.LEVELS) + "]"
-_ALPHA, _DELTA = 0.01, 0.05
 
-OP2_SQL = rf"""
+
+def _rules_sql(alpha: float, delta: float) -> str:
+    return rf"""
 WITH t AS (SELECT row_number() OVER () AS r, doc_id, lang AS stratum, coalesce(text, '') AS text FROM documents),
 s AS (SELECT r, doc_id, stratum, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM t),
 g AS (SELECT r, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS gram FROM (SELECT r, w, unnest(range(1, len(w) - 1)) AS i FROM s)),
@@ -104,16 +124,18 @@ covered AS (SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest([i, i + 1, i
 m AS (SELECT r, doc_id, stratum, len(w) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars, length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols,
     len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(c.n, 0) AS n_repeat_words, len(lines) AS n_lines, length(text) - length(regexp_replace(text, '[A-Z]', '', 'g')) AS n_capitals, length(text) - length(replace(text, '!', '')) AS n_bangs
   FROM s LEFT JOIN covered c USING (r)),
-b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, coalesce(n_symbols / nullif(word_chars, 0), 0) AS symbols, coalesce(n_dup_lines / nullif(n_lines, 0), 0) AS lines_again,
-    coalesce(n_repeat_words / nullif(n_words, 0), 0) AS words_again, coalesce(n_capitals / nullif(word_chars, 0), 0) AS capitals, coalesce(n_bangs / nullif(word_chars, 0), 0) AS bangs FROM m),
+b AS (SELECT m.*, s.text, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, coalesce(n_symbols / nullif(word_chars, 0), 0) AS symbols, coalesce(n_dup_lines / nullif(n_lines, 0), 0) AS lines_again,
+    coalesce(n_repeat_words / nullif(n_words, 0), 0) AS words_again, coalesce(n_capitals / nullif(word_chars, 0), 0) AS capitals, coalesce(n_bangs / nullif(word_chars, 0), 0) AS bangs FROM m JOIN s USING (r)),
 long AS (UNPIVOT (SELECT r, doc_id, stratum, base_failed, symbols, lines_again, words_again, capitals, bangs FROM b) ON symbols, lines_again, words_again, capitals, bangs INTO NAME share VALUE v),
-held AS (SELECT stratum, share, l.quality AS y, len(list_filter({_LEVELS}, lambda c: v > c)) AS passes FROM long JOIN labels l USING (doc_id) WHERE NOT base_failed AND l.quality IN (0, 1)),
+known AS (SELECT doc_id, min(quality) AS y FROM labels WHERE quality IN (0, 1) GROUP BY doc_id HAVING min(quality) = max(quality)),
+trial AS (SELECT min(r) AS r, min(y) AS y FROM b JOIN known USING (doc_id) WHERE NOT base_failed GROUP BY stratum, text HAVING min(y) = max(y)),
+held AS (SELECT stratum, share, t.y, len(list_filter({_LEVELS}, lambda c: v > c)) AS passes FROM long JOIN trial t USING (r)),
 size AS (SELECT stratum, share, sum(y) AS n, sum(1 - y) AS n_bad FROM held GROUP BY ALL),
 level AS (SELECT s.*, j AS level, (SELECT count(DISTINCT coalesce(stratum, chr(0))) FROM held) AS strata,
     (SELECT count(*) FROM held h WHERE h.stratum IS NOT DISTINCT FROM s.stratum AND h.share = s.share AND h.y = 1 AND h.passes > j) AS k, (SELECT count(*) FROM held h WHERE h.stratum IS NOT DISTINCT FROM s.stratum AND h.share = s.share AND h.y = 0 AND h.passes > j) AS hit
   FROM size s, range({len(rules.LEVELS)}) x(j)),
-tail AS (SELECT *, CASE WHEN k > n * {_ALPHA} THEN 1.0 ELSE list_sum(list_transform(range(k + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({_ALPHA}) + (n - i) * ln(1 - {_ALPHA})))) END AS p FROM level),
-best AS (SELECT stratum, share, arg_max(level, (round(hit / greatest(n_bad, 1) - k / n, 9), level)) AS level FROM tail WHERE p <= {_DELTA} / (strata * {len(rules.SHARES)}) AND hit / greatest(n_bad, 1) - k / n > 0 GROUP BY ALL),
+tail AS (SELECT *, CASE WHEN k > n * {alpha} THEN 1.0 ELSE list_sum(list_transform(range(k + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({alpha}) + (n - i) * ln(1 - {alpha})))) END AS p FROM level),
+best AS (SELECT stratum, share, arg_max(level, (round(hit / greatest(n_bad, 1) - k / n, 9), level)) AS level FROM tail WHERE p <= {delta} / (strata * {len(rules.SHARES)}) AND hit / greatest(n_bad, 1) - k / n > 0 GROUP BY ALL),
 over AS (SELECT DISTINCT r FROM long JOIN best ON best.stratum IS NOT DISTINCT FROM long.stratum AND best.share = long.share WHERE v > {_LEVELS}[best.level + 1])
 SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed,
   NOT base_failed AND r NOT IN (SELECT r FROM over) AS kept FROM b
@@ -121,4 +143,4 @@ SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, word_chars, CAST(n_symbols AS
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_rules": OP2_SQL, "op7_warc": OP7_SQL, "op8_vectors": OP8_SQL}
+    return {"op2_rules": _rules_sql(0.01, 0.05), "op7_warc": OP7_SQL, "op8_vectors": OP8_SQL, "llm_rules_loose": _rules_sql(0.1, 0.2), "llm_vector_copies": COPIES_SQL}

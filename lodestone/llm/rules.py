@@ -6,7 +6,10 @@ test rejects "more than alpha of the good documents lie above it" at delta / (nu
 tests go from the loosest level to stricter ones and stop at the first failure, so the grid itself costs no correction. With
 probability 1 - delta, then, every admissible cutoff of every stratum loses at most alpha of its good documents a share. Among
 the admissible levels the one that best parts bad from good holdouts is taken, on ties the loosest; where none is admissible (too
-few holdouts) or none rejects more bad than good ones, nothing is rejected by that share.
+few holdouts) or none rejects more bad than good ones, nothing is rejected by that share: the bound comes first.
+
+The test's trials must be independent, so a text counts once in its stratum however many rows hold it, and a document or a text
+whose labels contradict each other is no trial.
 """
 
 from __future__ import annotations
@@ -56,7 +59,7 @@ def _repeat_words(words: Column) -> Column:
 
 
 def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang") -> DataFrame:
-    """doc_id, stratum, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, the shares and base_failed of every row."""
+    """doc_id, stratum, text_hash, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, the shares and base_failed of every row."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     count = lambda signs: (F.char_length("text") - F.char_length(F.translate("text", signs, ""))).cast("long")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(stratum_col).cast("string").alias("stratum"), text.alias("text"))
@@ -69,12 +72,13 @@ def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", st
         "stratum",
         both.alias("w"),
         lined.alias("l"),
+        F.xxhash64("text").alias("text_hash"),
         F.char_length(F.translate("text", SPACE, "")).cast("long").alias("word_chars"),
         count(_SIGNS).alias("n_symbols"),
         count("ABCDEFGHIJKLMNOPQRSTUVWXYZ").alias("n_capitals"),
         count("!").alias("n_bangs"),
     )
-    df = df.select("doc_id", "stratum", F.col("w.n").alias("n_words"), "word_chars", "n_symbols", F.col("l.again").alias("n_dup_lines"), F.col("w.again").alias("n_repeat_words"), F.col("l.n").alias("n_lines"), "n_capitals", "n_bangs")
+    df = df.select("doc_id", "stratum", "text_hash", F.col("w.n").alias("n_words"), "word_chars", "n_symbols", F.col("l.again").alias("n_dup_lines"), F.col("w.again").alias("n_repeat_words"), F.col("l.n").alias("n_lines"), "n_capitals", "n_bangs")
     share = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(0.0)
     df = df.withColumns({"symbols": share("n_symbols", "word_chars"), "lines_again": share("n_dup_lines", "n_lines"), "words_again": share("n_repeat_words", "n_words"), "capitals": share("n_capitals", "word_chars"), "bangs": share("n_bangs", "word_chars")})
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
@@ -98,9 +102,15 @@ def binomial_tail(n: Column, k: Column, p: float) -> Column:
 
 
 def cutoffs(measured: DataFrame, labels: DataFrame, alpha: float = 0.01, delta: float = 0.05, id_col: str = "doc_id", label_col: str = "quality") -> DataFrame:
-    """stratum and for each share its cutoff (null: none), from all labelled rows that the base rules keep."""
+    """stratum and for each share its cutoff (null: none), from all labelled texts that the base rules keep, each once.
+
+    Labels that contradict each other, on a doc_id or on a text of one stratum, make no trial; repeated labels make one.
+    """
+    agreed = F.min("y") == F.max("y")
     known = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("y")).where("y in (0, 1)")
-    held = measured.where(~F.col("base_failed")).select("doc_id", "stratum", *SHARES).join(known, "doc_id")
+    known = known.groupBy("doc_id").agg(F.min("y").alias("least"), agreed.alias("agreed")).where("agreed").select("doc_id", F.col("least").alias("y"))
+    held = measured.where(~F.col("base_failed")).select("doc_id", "stratum", "text_hash", *SHARES).join(known, "doc_id")
+    held = held.groupBy("stratum", "text_hash").agg(F.min("y").alias("least"), agreed.alias("agreed"), *[F.min(s).alias(s) for s in SHARES]).where("agreed").withColumnRenamed("least", "y")
     above = [F.struct(F.lit(s).alias("share"), sum((F.when(F.col(s) > c, 1).otherwise(0) for c in LEVELS), F.lit(0)).alias("passes")) for s in SHARES]
     counts = held.select("stratum", "y", F.explode(F.array(*above)).alias("x")).groupBy("stratum", "x.share", "x.passes").agg(F.sum("y").alias("good"), F.sum(1 - F.col("y")).alias("bad"))
     # documents above level j are those that pass more than j levels
@@ -121,7 +131,7 @@ def cutoffs(measured: DataFrame, labels: DataFrame, alpha: float = 0.01, delta:
 def judge(docs: DataFrame, labels: DataFrame, alpha: float = 0.01, delta: float = 0.05, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang") -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept; one row a row of docs.
 
-    Null and empty texts have no words and so fail the base rules. A null stratum is a stratum. Without labels only the base rules
+    Null and empty texts have no words and so fail the base rules. Repeated rows give repeated rows and no rows none. A null stratum is a stratum. Without labels only the base rules
     reject. Windows count as equal if their 64-bit hashes are, within one text.
     """
     measured = cut(measures(docs, id_col, text_col, stratum_col), "rule-measures")
