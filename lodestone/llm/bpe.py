@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import os
 import re
 
 import ahocorasick
@@ -89,6 +90,9 @@ class Bpe:
         self.compatible: dict[int, bool] = {}
         self.symbols = str.maketrans({chr(b): s for b, s in enumerate(byte_symbols())})
         self.added = added
+        #: Added tokens that strip, ask for word borders or meet normalised text are left to the library, texts whole.
+        self.by_library = any(t.get(k) for t in spec["added_tokens"] for k in ("lstrip", "rstrip", "single_word", "normalized"))
+        self.added_start = os.path.commonprefix(list(added))
         self.split_added = re.compile("(" + "|".join(re.escape(t) for t in sorted(added, key=len, reverse=True)) + ")") if added else None
         self.path, self._library = path, None
         self.cache: dict[str, bytes] = {}
@@ -166,6 +170,8 @@ class Bpe:
         """Loaded when the first text beyond printable Latin comes."""
         if self._library is None:
             self._library = Tokenizer.from_file(self.path)
+            self._library.no_truncation()
+            self._library.no_padding()
         return self._library
 
     def words(self, text: str) -> list[str]:
@@ -176,7 +182,9 @@ class Bpe:
         return [END + w for w, _ in self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(text))]
 
     def encode(self, text: str) -> np.ndarray:
-        pieces = self.split_added.split(text) if self.split_added and "<|" in text else (text,)
+        if self.by_library:
+            return np.array(self.library.encode(text, add_special_tokens=False).ids, self.dtype)
+        pieces = self.split_added.split(text) if self.split_added and self.added_start in text else (text,)
         out = []
         for piece in pieces:
             if piece in self.added:
@@ -261,7 +269,10 @@ def decode_documents(encoded: DataFrame, tokenizer_path: str, id_col: str = "doc
 
 
 def encoded_digests(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every whole text, encoded and decoded in one pass. Null text: empty."""
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every whole text, encoded and decoded in one pass.
+
+    Null text: empty. Repeated rows give repeated rows; no rows, no rows. Other columns play no part.
+    """
     schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
 
     def run(it):

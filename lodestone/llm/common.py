@@ -19,13 +19,16 @@ SPACE = " \t\n\x0b\f\r"
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors and the driver see: spark.checkpoint.dir of the session.
 
-    Only where the cluster names none (tests on one machine) a temporary folder is made and set.
+    Only where none is named and master is local (tests on one machine) a temporary folder is made and set; elsewhere that is an
+    error, as executors wouldn't see each other's files.
     """
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if not named:
         own = sc._jsc.sc().getCheckpointDir()
         named = own.get() if own.isDefined() else None
+    if not named and (not sc.master.startswith("local") or sc.master.startswith("local-cluster")):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     if not named:
         named = "file://" + tempfile.mkdtemp(prefix="lodestone-")
         sc.setCheckpointDir(named)

@@ -146,7 +146,7 @@ def scan_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """Per row: words, places of the base phrases, first and last of them, labels, and score: the freedom of the least free finding.
 
     Words are `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+` of the text with A-Z lower-cased. Null text: empty. Without any finding the labels are
-    empty and the score is 0, as nothing permits use.
+    empty and the score is 0, as nothing permits use. Repeated rows give repeated rows; no rows, no rows. Other columns play no part.
     """
 
     def run(it):

@@ -343,7 +343,10 @@ def read_shards(manifest: DataFrame) -> DataFrame:
 
 
 def lookup(manifest: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Ids of the asked identifiers only: each is joined to the shards whose range holds it, then found by binary search."""
+    """Ids of the asked identifiers only: each is joined to the shards whose range holds it, then found by binary search.
+
+    The manifest has one row a shard, so some hundred bytes for every shard's file, and is broadcast.
+    """
     asked = ids.select(F.col(id_col).cast("long").alias("asked")).distinct()
     low = F.coalesce(F.col("first_id"), F.lit(-(1 << 63)))
     hit = asked.join(F.broadcast(manifest), (F.col("asked") >= low) & (F.col("asked") <= F.col("last_id")) | F.col("asked").isNull() & F.col("first_id").isNull())
