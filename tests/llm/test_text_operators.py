@@ -84,14 +84,7 @@ def test_keep_one_by_shingle_similarity(spark):
             for at in rng.sample(range(200), 1 + base % 6):
                 words[at] = f"x{rng.randrange(10**6)}"
             texts.append(" ".join(words))
-    grams = lambda w: {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
-    sets = [grams((t or "").lower().split()) for t in texts]
-    root = list(range(len(texts)))
-    for i in range(len(texts)):
-        for j in range(i):
-            if (sets[i] == sets[j] or len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])) and root[i] != root[j]:
-                a, b = sorted((root[i], root[j]))
-                root = [a if r == b else r for r in root]
+    root = similar_by_brute_force(texts)
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
     from lodestone.llm.common import cut
 
@@ -167,16 +160,43 @@ def test_mixing_meets_targets(spark):
         assert abs(got[n] - mix.targets[g]) <= max(40, 0.01 * mix.targets[g]), g
 
 
+def tilted(size, lam, half, cap=3.0):
+    return min(cap, np.exp(min(lam * size / (size + half), 50.0)))
+
+
+def test_rates_solve_the_dual(spark):
+    """Multipliers and rates equal those that bisection finds over the documents; taken tokens come within 1 % of the targets."""
+    rng = random.Random(8)
+    rows = [(i, "w " * rng.choice([3, 30, 200, 900, 4000]), None if i % 11 == 0 else f"s{i * i % 7}") for i in range(1200)]
+    mix = mixing.Mix(spark.createDataFrame(rows, "doc_id long, text string, source string"))
+    sizes = {i: len(t.split()) for i, t, _ in rows}
+    half = sum(sizes.values()) / len(sizes)
+    assert mix.half == pytest.approx(half)
+    taken, rates = Counter(), {r.doc_id: r for r in mix.table().collect()}
+    for g, goal in mix.targets.items():
+        mine = [sizes[i] for i, _, s in rows if s == g]
+        low, high = -1e6, 1e6
+        for _ in range(200):
+            mid = (low + high) / 2
+            low, high = (mid, high) if sum(s * tilted(s, mid, half) for s in mine) < goal else (low, mid)
+        for i, _, s in rows:
+            if s == g:
+                assert rates[i].rate == pytest.approx(tilted(sizes[i], low, half), rel=1e-6), g
+                taken[g] += rates[i].taken
+        assert taken[g] == pytest.approx(goal, rel=0.01)
+    assert len({round(r.rate, 6) for r in rates.values()}) > len(mix.targets)
+
+
 def test_two_columns_of_groups(spark):
     rows = [(f"s{i % 4}", f"l{i % 3}", 10 + i % 7) for i in range(600)]
     df = spark.createDataFrame(rows, "source string, lang string, size long")
     sizes = {c: mixing.group_sizes(df, c, 100) for c in ("source", "lang")}
     total = sum(sizes["source"].values())
     targets = {"source": {g: total * w for g, w in zip(sorted(sizes["source"]), (0.4, 0.3, 0.2, 0.1), strict=True)}, "lang": {g: total * w for g, w in zip(sorted(sizes["lang"]), (0.5, 0.3, 0.2), strict=True)}}
-    lam = mixing.solve(df, targets, cap=50)
+    lam = mixing.solve(df, targets, cap=50, half=5.0)
     got = {"source": Counter(), "lang": Counter()}
     for s, lang, n in rows:
-        rate = np.exp(lam["source"][s] + lam["lang"][lang])
+        rate = tilted(n, lam["source"][s] + lam["lang"][lang], 5.0, 50)
         got["source"][s] += n * rate
         got["lang"][lang] += n * rate
     for c in targets:
@@ -343,7 +363,182 @@ def test_cutoffs_part_good_from_bad(spark):
     """The cutoff rejects the bad holdouts and keeps its bound on fresh good documents; a stratum with few holdouts has none."""
     rng = np.random.default_rng(1)
     rows = [(i, "big" if i < 4000 else "small", float(abs(rng.normal(0, 0.004)) if i % 8 else 0.2)) for i in range(4200)]
-    m = spark.createDataFrame(rows, "doc_id long, stratum string, symbols double").withColumns({"lines_again": F.lit(0.0), "words_again": F.lit(0.0), "capitals": F.lit(0.0), "bangs": F.lit(0.0), "base_failed": F.lit(False)})
+    m = spark.createDataFrame(rows, "doc_id long, stratum string, symbols double").withColumns({"lines_again": F.lit(0.0), "words_again": F.lit(0.0), "capitals": F.lit(0.0), "bangs": F.lit(0.0), "base_failed": F.lit(False), "text_hash": F.col("doc_id")})
     got = {r.stratum: r for r in rules.cutoffs(m, m.select("doc_id", (F.col("doc_id") % 8 != 0).cast("int").alias("quality"))).collect()}
     assert set(got) == {"big"} and 0.01 < got["big"].cut_symbols < 0.2 and got["big"].cut_bangs is None
     assert np.mean(np.abs(rng.normal(0, 0.004, 100_000)) > got["big"].cut_symbols) <= 0.01
+
+
+def test_forest_of_one_bit():
+    rng = np.random.default_rng(3)
+    fps = np.unique(np.uint64(1 << 40) ^ (np.uint64(1) << rng.integers(0, 16, 900).astype(np.uint64)) ^ (np.uint64(1) << rng.integers(0, 16, 900).astype(np.uint64)) ^ rng.integers(0, 40, 900).astype(np.uint64))
+    assert len(simhash.forest(fps, 1, exact=10)) == len(simhash.forest(fps, 1, exact=10**6))
+    assert simhash.forest(np.array([1, 7, 8, 11], np.uint64), 1, exact=1) == []
+
+
+def test_sketches_tell_similar_sets():
+    rng = np.random.default_rng(5)
+    found = passed = 0
+    for _ in range(300):
+        both, own = rng.integers(0, 1 << 63, 200, dtype=np.uint64), rng.integers(0, 1 << 63, (2, 25), dtype=np.uint64)
+        a, b = (simhash.smallest_hashes(np.concatenate([both, x])) for x in own)  # similarity 0.8
+        found += bool(set(simhash.bands(a)) & set(simhash.bands(b)))
+        sketch = np.frombuffer(simhash.sketch_of(a) + simhash.sketch_of(b), np.uint8).reshape(2, -1)
+        passed += bool(simhash._alike(np.array([225, 225]), sketch, 0.8, 0, 1))
+    assert found >= 299 and passed == 300
+
+
+def similar_by_brute_force(texts, similarity=0.8):
+    grams = lambda w: {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+    sets = [grams((t or "").lower().split()) for t in texts]
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if (sets[i] == sets[j] or len(sets[i] & sets[j]) >= similarity * len(sets[i] | sets[j])) and root[i] != root[j]:
+                a, b = sorted((root[i], root[j]))
+                root = [a if r == b else r for r in root]
+    return root
+
+
+def test_large_groups_are_dealt_out(spark):
+    """A group far larger than a block, a band far larger than its limit: what stays is as by brute force."""
+    rng = random.Random(6)
+    base = [f"w{i}" for i in range(300)]
+    texts = []
+    for i in range(400):
+        words = list(base)
+        for at in rng.sample(range(300), i % 14):
+            words[at] = f"x{rng.randrange(10**6)}"
+        texts.append(" ".join(words))
+    texts += [" ".join(base[:150] + [f"y{i}_{j}" for j in range(150)]) for i in range(60)]
+    from lodestone.llm.common import cut
+
+    docs = cut(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3), "texts")
+    root = similar_by_brute_force(texts)
+    assert len(set(root)) > 60
+    for limits in ({}, {"split": 40, "block": 60}, {"block_words": 3000}):
+        assert sorted(r.doc_id for r in simhash.keep_one(docs, width=5, similarity=0.8, **limits).collect()) == sorted(set(root)), limits
+
+
+def test_long_secrets_are_redacted_whole(spark):
+    secret = "aB3" * 300
+    docs = spark.createDataFrame([(i, f"the api_key = {secret} is set, token: {secret[:40]} too", "x") for i in range(30)], "doc_id long, text string, _codes string")
+    out = pii.redact(docs)
+    assert out.columns == docs.columns
+    assert {r.text for r in out.collect()} == {"the api_key = <secret> is set, token: <secret> too"}
+
+
+def plain_em(rows, rounds=100):
+    """The label model candidate by candidate, in plain Python."""
+    p = [min(0.95, max(0.05, 0.5 + sum(r) / (2 * max(1, sum(map(abs, r)))))) for r in rows]
+    k = len(rows[0])
+    for _ in range(rounds):
+        rate = [[[sum((w if c else 1 - w) for w, r in zip(p, rows) if r[j] == v) + (2 if v == (1 if c else -1) else 1) for v in (-1, 0, 1)] for j in range(k)] for c in (0, 1)]
+        rate = [[[x / sum(vs) for x in vs] for vs in js] for js in rate]
+        yes = (sum(p) + 1) / (len(p) + 2)
+        new = []
+        for r in rows:
+            a, b = yes, 1 - yes
+            for j, v in enumerate(r):
+                a, b = a * rate[1][j][v + 1], b * rate[0][j][v + 1]
+            new.append(a / (a + b))
+        p = new
+    return p
+
+
+def test_em_and_spans_equal_plain_versions(spark):
+    rng = random.Random(3)
+    rows = [tuple(rng.choice((-1, 0, 1) if rng.random() < 0.3 else ((1, 1, 0) if i % 3 else (-1, -1, 0))) for _ in range(5)) for i in range(60)]
+    kinds = sorted(set(rows))
+    p, _ = pii.em(np.array(kinds), np.array([rows.count(k) for k in kinds], float))
+    want = dict(zip(rows, plain_em(rows), strict=True))
+    assert all(p[i] == pytest.approx(want[k], abs=1e-4) for i, k in enumerate(kinds))
+    texts = [f"call {100 + i}-555-{1000 + i} or write x{i} [at] host [dot] org, card 4111 1111 1111 111{i % 10}, 10.0.0.{i} password={'ab' * i}Z9" for i in range(40)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    codes = Counter(pii.code_of(t, *s[:3]) for t in texts for s in pii.candidates(t))
+    chance = pii.decide(dict(codes))
+    for r in pii.scan_documents(docs).collect():
+        spans = [s for s in pii.candidates(texts[r.doc_id]) if s[3] or chance[pii.code_of(texts[r.doc_id], *s[:3])] >= 0.5]
+        assert r.spans == ",".join(f"{k}:{a}:{b}" for k, a, b, _ in spans)
+
+
+def plain_statistics(text):
+    """The statistics by characters and lists, as far as they differ from counting bytes."""
+    words = text.split()
+    n = len(words)
+    if not n:
+        return {}
+    grams = [tuple(words[i : i + 3]) for i in range(n - 2)]
+    lines = [x for x in text.split("\n") if x.strip()]
+    size = len(text.encode())
+    return {
+        "log_words": np.log(1 + n), "log_chars": np.log(1 + size), "mean_word": sum(len(w.encode()) for w in words) / n, "long_words": sum(len(w.encode()) > 14 for w in words) / n,
+        "unique": len(set(words)) / n, "top_word": max(words.count(w) for w in set(words)) / n, "symbols": sum(c in "#*$%&|<>" for c in text) / size, "upper": sum("A" <= c <= "Z" for c in text) / size,
+        "digits": sum(c in "0123456789" for c in text) / size, "windows_again": 1 - len(set(grams)) / len(grams) if grams else 0.0, "same_next": sum(a == b for a, b in zip(words, words[1:])) / n,
+        "lines_again": 1 - len(set(lines)) / len(lines), "line_words": n / len(lines), "stops": text.count(".") / n, "bars": text.count("|") / size, "bangs": text.count("!") / size,
+    }
+
+
+def test_statistics_and_trees_equal_plain_versions():
+    rng = random.Random(1)
+    some = ["", "one", "a a a\n\na b!", *(" ".join(rng.choice(["the", "Fox", "é", "9%", "|x|", "supercalifragilistic", "end.\n"]) for _ in range(rng.randrange(1, 80))) for _ in range(60))]
+    for t in some:
+        got = dict(zip(quality.NAMES, quality.statistics(t), strict=True))
+        for k, v in plain_statistics(t).items():
+            assert got[k] == pytest.approx(v), (k, t)
+    g = np.random.default_rng(2)
+    x = g.random((500, 4))
+    model = quality.fit(x, (x[:, 0] + x[:, 1] > 1).astype(float), trees=7, depth=3)
+    for row, score in zip(x, model.score(x), strict=True):
+        total = model.base
+        for f, t, v in zip(model.feature, model.threshold, model.value, strict=True):
+            node = 0
+            for _ in range(3):
+                node = 2 * node + (2 if row[f[node]] > t[node] else 1)
+            total += v[node - 7]
+        assert score == pytest.approx(1 / (1 + np.exp(-total)))
+
+
+def test_classifier_equals_plain_training(spark, sf):
+    """The query's scores are those of trees fitted to the statistics of exactly the labelled rows that aren't held out."""
+    import zlib
+
+    d, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    texts = {r.doc_id: r.text or "" for r in d.collect()}
+    known = sorted(((r.doc_id, r.quality) for r in labels.collect() if r.doc_id in texts and r.quality in (0, 1) and zlib.crc32(str(r.doc_id).encode()) % 4 != 2))
+    by_hash = {r.doc_id: r.h for r in spark.createDataFrame(known, "doc_id long, y int").select("doc_id", F.xxhash64("doc_id", "y").alias("h")).collect()}
+    known.sort(key=lambda k: by_hash[k[0]])
+    model = quality.fit(np.array([quality.statistics(texts[i]) for i, _ in known]), np.array([float(y) for _, y in known]))
+    for r in quality.classify(d, labels).collect():
+        assert r.score == pytest.approx(float(model.score(np.array([quality.statistics(texts[r.doc_id])]))[0]), abs=1e-9)
+
+
+def test_holdouts_are_independent(spark):
+    """Copies of a text and repeated labels are one trial, contradicting labels none: too few are left to certify a cutoff."""
+    shares = {"lines_again": F.lit(0.0), "words_again": F.lit(0.0), "capitals": F.lit(0.0), "bangs": F.lit(0.0), "base_failed": F.lit(False)}
+    rows = [(i, "x", 0.2 if i % 8 == 0 else 0.0, i) for i in range(4000)]
+    labels = spark.createDataFrame([(i, int(i % 8 != 0)) for i in range(4000)], "doc_id long, quality int")
+    m = spark.createDataFrame(rows, "doc_id long, stratum string, symbols double, text_hash long").withColumns(shares)
+    assert rules.cutoffs(m, labels.union(labels)).count() == 1
+    assert rules.cutoffs(m.withColumn("text_hash", F.col("doc_id") % 300), labels).count() == 0
+    assert rules.cutoffs(m, labels.union(labels.withColumn("quality", 1 - F.col("quality")))).count() == 0
+
+
+def test_false_rejections_stay_under_the_bound():
+    """Over many draws of holdouts the cutoff that the tests admit loses more than alpha of the good documents in at most delta of them."""
+    rng = np.random.default_rng(0)
+    alpha, delta, n = 0.05, 0.1, 400
+    from math import comb
+
+    bad = 0
+    for _ in range(300):
+        good = rng.exponential(0.01, n)
+        cutoff = None
+        for level in reversed(rules.LEVELS):
+            k = int((good > level).sum())
+            tail = 1.0 if k > n * alpha else sum(comb(n, i) * alpha**i * (1 - alpha) ** (n - i) for i in range(k + 1))
+            if tail > delta:
+                break
+            cutoff = level
+        bad += cutoff is not None and np.exp(-cutoff / 0.01) > alpha
+    assert bad <= 300 * delta + 3 * (300 * delta * (1 - delta)) ** 0.5
