@@ -340,10 +340,11 @@ def _fingerprint_candidates(one: DataFrame) -> DataFrame:
 
 
 def _similar_links(table: pa.Table, width: int, similarity: float) -> pa.Table:
-    """Links that span the graph of a piece of work's sets (columns set, text, n, sketch, side) with at least that similarity, by exact counts."""
-    of, n, side = (table[c].to_numpy() for c in ("set", "n", "side"))
-    sketch = np.frombuffer(b"".join(table["sketch"].to_pylist()), np.uint8).reshape(len(of), -1)
+    """Links that span the graph of a piece of work's sets (columns set, text, side) with at least that similarity, by exact counts."""
+    of, side = (table[c].to_numpy() for c in ("set", "side"))
     sets = [shingle_set(t.as_py() or "", width) for t in table["text"]]
+    n = np.array([len(x) for x in sets], np.int64)
+    sketch = np.frombuffer(b"".join(sketch_of(smallest_hashes(x)) for x in sets), np.uint8).reshape(len(of), -1)
 
     def near(i, some):
         hit = np.zeros(len(some), bool)
@@ -358,19 +359,19 @@ def _similar_links(table: pa.Table, width: int, similarity: float) -> pa.Table:
     return pa.Table.from_batches([_links_of([int(of[i]) for i, _ in pairs], [int(of[j]) for _, j in pairs])])
 
 
-#: Identifiers (longs) that are broadcast at most, some 40 MB in an executor; more of them meet the texts by a shuffle.
-MOST_BROADCAST = 1 << 20
+#: Rows of a few numbers that are broadcast at most, some 50 MB in an executor; more of them meet the texts by a shuffle.
+MOST_BROADCAST = 1 << 19
 
 
-def _of_ids(texts: DataFrame, ids: DataFrame, n: int, at: str, how: str) -> DataFrame:
-    """Rows of texts (semi) with one of n distinct ids, or (anti) without; texts are shuffled only where the ids are too many to broadcast."""
-    return texts.join(F.broadcast(ids) if n <= MOST_BROADCAST else ids.hint("shuffle_hash"), at, how)
+def _few(rows: DataFrame, n: int) -> DataFrame:
+    """n rows to be joined to texts, which are shuffled only where the rows are too many to broadcast."""
+    return F.broadcast(rows) if n <= MOST_BROADCAST else rows.hint("shuffle_hash")
 
 
 def similar_components(placed: DataFrame, at: str, text_col: str, width: int, similarity: float, split: int = 20_000, block: int = 1024, block_words: int = 1 << 20) -> DataFrame:
-    """doc_id, component_id: the smallest `at` (a key of the rows, in the table) reachable over links of shingle sets with Jaccard similarity >= `similarity`.
+    """doc_id, component_id: the smallest `at` reachable over links of shingle sets with Jaccard similarity >= `similarity`.
 
-    Equal sets are one row from the start and texts without a word are copies. Sets whose fingerprints lie within two bits, and sets
+    `at` is a key of the rows; rows with one key have one text. Equal sets are one row from the start and texts without a word are copies. Sets whose fingerprints lie within two bits, and sets
     that share a band of smallest hashes and whose sizes and sketches allow the similarity, make groups; within each the sets are
     compared exactly, from the whole texts. A group is dealt out in blocks of about `block` sets and `block_words` words, each pair
     of which is a task's work, so that no task holds more, however large the group.
@@ -395,11 +396,13 @@ def similar_components(placed: DataFrame, at: str, text_col: str, width: int, si
     marked = cut(id_and_text(placed, at, text_col).mapInArrow(run, "doc_id long, set long, n long, fp long, keys array<long>, sketch binary"), "shingle-sets")
     one = cut(marked.groupBy("set").agg(*[F.min(c).alias(a) for c, a in (("doc_id", "least"), ("fp", "fp"))], *[F.first(c).alias(c) for c in ("n", "keys", "sketch")]), "distinct-sets")
     groups = connected_components(_band_links(one, similarity, split).union(_fingerprint_candidates(one))).toDF("set", "group")
-    members = cut(one.select("set", "least", "n", "sketch").join(groups, "set"), "set-groups")
+    members = cut(one.select("set", "least", "n").join(groups, "set"), "set-groups")
     sizes = members.groupBy("group").agg(F.ceil(F.greatest(F.count(F.lit(1)) / block, F.sum("n") / block_words)).cast("int").alias("blocks"))
-    several = members.join(sizes, "group").withColumnRenamed("least", at)
-    texts = _of_ids(placed.select(at, F.col(text_col).alias("text")), several.select(at), members.count(), at, "left_semi").join(several, at)
-    work = _in_blocks(texts, "group", F.col("blocks")).select("work", "set", "n", "sketch", "side", "text")
+    several = members.join(sizes, "group").select(F.col("least").alias(at), "set", "group", "blocks")
+    texts = placed.select(at, F.col(text_col).alias("text")).join(_few(several, members.count()), at)
+    if marked.count() > marked.select("doc_id").distinct().count():
+        texts = texts.dropDuplicates([at])
+    work = _in_blocks(texts, "group", F.col("blocks")).select("work", "set", "side", "text")
     roots = connected_components(work.groupBy("work").applyInArrow(lambda t: _similar_links(t, width, similarity), "a long, b long"))
     linked = one.select("set", "least").join(roots.toDF("set", "root"), "set", "left").select("set", "least", F.coalesce("root", "set").alias("root"))
     least = linked.groupBy("root").agg(F.min("least").alias("component_id"))
@@ -407,27 +410,39 @@ def similar_components(placed: DataFrame, at: str, text_col: str, width: int, si
     return marked.select("doc_id", "set").join(named, "set").select("doc_id", "component_id")
 
 
+def row_key(docs: DataFrame):
+    """A 64-bit hash of a row's columns: the same for equal rows wherever they lie. Of 10^9 unlike rows some 0.03 pairs share one."""
+    plain = [F.to_json(F.struct(F.col(f"`{f.name}`"))) if "map" in f.dataType.simpleString() else F.col(f"`{f.name}`") for f in docs.schema]
+    places = [F.when(F.col(f"`{f.name}`").isNull(), i).otherwise(-1) for i, f in enumerate(docs.schema)]  # a null by itself leaves a hash as it is
+    return F.xxhash64(*plain, *places)
+
+
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, similarity: float | None = None, **limits) -> DataFrame:
     """The rows of docs, columns as they are, that are the first of their component: smallest doc_id, nulls last.
 
     Components are those of `near_duplicates`, or with a similarity those of shingle sets at least so similar (Jaccard), with the
-    limits of `similar_components`.
-    Of rows with one doc_id in one component the one with the smallest text hash stays, of equal ones the first by place; so one row
-    of each component stays, whatever its columns hold. Rows are numbered once, in a table of their own.
+    limits of `similar_components`. Of rows with one doc_id in one component the one with the smallest text hash stays, then with the
+    smallest hash of all columns; of equal rows one stays. Rows are known by their contents alone, so that it doesn't matter in what
+    places each job reads them and nothing is numbered. Null and empty texts are copies of each other; no rows give no rows.
     """
     at = "_at"
     while at in docs.columns:
         at += "_"
-    placed = cut(docs.withColumn(at, F.monotonically_increasing_id()), "numbered")  # each later job reads the same numbers
+    keyed = docs.withColumn(at, row_key(docs))
     if similarity is None:
-        found = near_duplicates(placed.select(at, text_col), at, text_col, width)
+        found = near_duplicates(keyed.select(at, text_col), at, text_col, width)
     else:
-        found = similar_components(placed, at, text_col, width, similarity, **limits)
-    keys = found.select(F.col("doc_id").alias("a"), F.col("component_id").alias("of"))
-    ids = placed.select(F.col(at).alias("a"), F.col(id_col).cast("long").alias("i"), F.xxhash64(F.col(text_col)).alias("h"))
-    order = F.struct(F.col("i").isNull().alias("n"), "i", "h", "a")
-    first = ids.join(keys, "a").groupBy("of").agg(F.min(order).alias("x")).select(F.col("x.a").alias(at))
-    kept = cut(first, "first-copies")
-    dropped = cut(ids.select(F.col("a").alias(at)).join(kept, at, "left_anti"), "other-copies")
-    out = _of_ids(placed, dropped, dropped.count(), at, "left_anti")
+        found = similar_components(keyed.select(at, text_col), at, text_col, width, similarity, **limits)
+    keys = found.groupBy(F.col("doc_id").alias("a")).agg(F.min("component_id").alias("of"))
+    ids = keyed.select(F.col(at).alias("a"), F.col(id_col).cast("long").alias("i"), F.xxhash64(F.col(text_col)).alias("h"))
+    ids = ids.groupBy("a").agg(F.min("i").alias("i"), F.min("h").alias("h"), F.count(F.lit(1)).alias("m"))
+    placed = cut(ids.join(keys, "a"), "row-components")
+    order = F.struct(F.col("i").isNull().alias("n"), "i", "h", "a", "m")
+    first = cut(placed.groupBy("of").agg(F.min(order).alias("x")).select("x.a", "x.m"), "first-copies")
+    dropped = cut(placed.select("a").join(first.select("a"), "a", "left_anti").withColumnRenamed("a", at), "other-copies")
+    out = keyed.join(_few(dropped, dropped.count()), at, "left_anti")
+    again = first.where("m > 1").select(F.col("a").alias(at))
+    if n := again.count():  # equal rows: each of them is as good as the others
+        again = _few(again, n)
+        out = out.join(again, at, "left_anti").unionByName(out.join(again, at, "left_semi").dropDuplicates([at]))
     return out.drop(at).select(*[f"`{c}`" for c in docs.columns])

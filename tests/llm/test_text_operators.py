@@ -542,3 +542,13 @@ def test_false_rejections_stay_under_the_bound():
             cutoff = level
         bad += cutoff is not None and np.exp(-cutoff / 0.01) > alpha
     assert bad <= 300 * delta + 3 * (300 * delta * (1 - delta)) ** 0.5
+
+
+def test_row_keys_tell_rows_apart(spark):
+    rows = [(1, None, "x", {"a": 1}), (1, "x", None, {"a": 1}), (1, None, "x", {"a": 2}), (1, None, "x", {"a": 1}), (None, "1", "x", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, `odd name` string, more map<string,int>")
+    keys = [r[0] for r in df.select(simhash.row_key(df)).collect()]
+    assert len(set(keys)) == 4
+    many = spark.range(400).select((F.col("id") % 4).alias("doc_id"), F.lit("one two three four five six").alias("text"))
+    for similarity in (None, 0.8):
+        assert [tuple(r) for r in simhash.keep_one(many, similarity=similarity).collect()] == [(0, "one two three four five six")]
