@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import bpe, licenses, mixing, pii, quality, rules, simhash, sstable, vectors, warc
+from lodestone.llm import bpe, divergence, licenses, mixing, pii, quality, rules, simhash, spelling, sstable, vectors, warc, winnowing
 
 #: The tokenizer's vocabulary files stay outside the repository; operators take their paths as parameters.
 BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
@@ -62,6 +62,18 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encoded_digests(table(spark, sf_dir, "documents"), vocabulary(WORD_BPE))
 
 
+def op11_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return winnowing.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
 def llm_rules_loose(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rules of op2 at bounds that the small tables' few holdouts can certify: 10 % a share at 80 %."""
     return rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), alpha=0.1, delta=0.2)
@@ -75,7 +87,7 @@ def llm_vector_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    ops = (op1_sstable, op2_rules, op3_quality, op4_pii, op5_simhash, op6_mixing, op7_warc, op8_vectors, op9_licenses, op10_bpe)
+    ops = (op1_sstable, op2_rules, op3_quality, op4_pii, op5_simhash, op6_mixing, op7_warc, op8_vectors, op9_licenses, op10_bpe, op11_winnowing, op12_divergence, op13_spelling)
     return {f.__name__: f for f in (*ops, llm_rules_loose, llm_vector_copies)}
 
 
@@ -142,5 +154,68 @@ SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, word_chars, CAST(n_symbols AS
 """
 
 
+_LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+OP11_SQL = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({_LOWERED}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (SELECT coalesce(CAST(item_id AS VARCHAR), '') AS item, regexp_extract_all({_LOWERED}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+win AS (SELECT DISTINCT item, n, array_to_string(w[i : i + n - 1], ' ') AS gram
+  FROM (SELECT item, w, least(10, len(w)) AS n, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS i FROM b WHERE len(w) > 0)),
+place AS (SELECT r, n, i, array_to_string(w[i : i + n - 1], ' ') AS gram
+  FROM (SELECT r, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, (SELECT DISTINCT n FROM win) WHERE len(w) >= n)),
+hit AS (SELECT r, place.n, i, item FROM place JOIN win ON place.n = win.n AND place.gram = win.gram),
+covered AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(i, i + n)) AS p FROM hit) GROUP BY r),
+found AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS ids FROM (SELECT DISTINCT r, item FROM hit) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+FROM d LEFT JOIN covered USING (r) LEFT JOIN found USING (r)
+"""
+
+OP12_SQL = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all({_LOWERED}, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+t AS (SELECT r, lang, source, unnest(w) AS term FROM d),
+kept AS (SELECT lang, term FROM t GROUP BY ALL HAVING count(DISTINCT r) >= 30),
+v AS (SELECT l.lang, count(term) AS v FROM (SELECT DISTINCT lang FROM d) l LEFT JOIN kept ON kept.lang = l.lang GROUP BY l.lang),
+g AS (SELECT DISTINCT lang, source FROM d),
+c AS (SELECT lang, source, term, count(*) AS n FROM t JOIN kept USING (lang, term) GROUP BY ALL),
+cell AS (SELECT g.lang, g.source, kept.term, coalesce(c.n, 0) AS n FROM g JOIN kept ON g.lang = kept.lang LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = kept.term),
+p AS (SELECT lang, source, term, n, 1 + (1000000000::HUGEINT * (n + 5)) // (sum(n) OVER (PARTITION BY lang, source) + 5 * v) AS p FROM cell JOIN v USING (lang)),
+q AS (SELECT lang, term, 1 + (1000000000::HUGEINT * (n + 5)) // (sum(n) OVER (PARTITION BY lang) + 5 * v) AS q FROM (SELECT lang, term, sum(n) AS n FROM cell GROUP BY ALL) JOIN v USING (lang)),
+far AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+pair AS (SELECT a.lang, a.source, b.source AS item, coalesce(value, 0) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN far ON far.lang = a.lang AND far.source = a.source AND far.item = b.source),
+own AS (SELECT lang, source, term AS item, p - q AS value FROM p JOIN q USING (lang, term) WHERE n > 0 AND p > q),
+ranked AS (SELECT 'pair' AS part, *, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) AS rank FROM pair
+  UNION ALL SELECT 'term', *, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) FROM own)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank FROM ranked WHERE part = 'pair' OR rank <= 50
+"""
+
+
+def _crc_table() -> list[int]:
+    """What the CRC-32 of reversed polynomial 0xEDB88320 makes of each byte."""
+    out = []
+    for c in range(256):
+        for _ in range(8):
+            c = c >> 1 ^ 0xEDB88320 * (c & 1)
+        out.append(c)
+    return out
+
+
+OP13_SQL = rf"""
+WITH RECURSIVE crc AS (SELECT {_crc_table()}::BIGINT[] AS t),
+run AS (SELECT doc_id, run, count(*) AS k FROM (SELECT doc_id, unnest(regexp_extract_all({_LOWERED}, '[a-z\x{{C0}}-\x{{FF}}]+')) AS run FROM documents) GROUP BY ALL),
+bytes AS (SELECT run, k, list_transform(string_split(coalesce(CAST(doc_id AS VARCHAR), '') || ':', ''), lambda x: CAST(ord(x) AS BIGINT))
+    || flatten(list_transform(string_split(run, ''), lambda x: CASE WHEN ord(x) < 128 THEN [CAST(ord(x) AS BIGINT)] ELSE [195, CAST(ord(x) AS BIGINT) - 64] END)) AS b FROM run),
+h AS (SELECT run, k, xor(list_reduce([4294967295] || b, lambda c, x: xor(c >> 8, t[CAST(xor(c, x) & 255 AS INTEGER) + 1])), 4294967295) AS h FROM bytes, crc),
+occ AS (SELECT k, CASE WHEN h % 97 = 0 THEN left(run, CAST(h % length(run) AS INTEGER)) || substr(run, CAST(h % length(run) AS INTEGER) + 2) ELSE run END AS word FROM h),
+dict AS (SELECT word, CAST(sum(k) AS BIGINT) AS n FROM occ WHERE length(word) >= 5 GROUP BY word HAVING sum(k) >= 3),
+gap AS (SELECT word, left(word, i - 1) || '*' || substr(word, i + 1) AS hole, left(word, i - 1) || substr(word, i + 1) AS less FROM (SELECT word, CAST(unnest(range(1, length(word) + 1)) AS INTEGER) AS i FROM dict)),
+near AS (SELECT a.word AS a, b.word AS b FROM gap a JOIN gap b ON a.hole = b.hole AND a.word <> b.word
+  UNION SELECT word, less FROM gap WHERE less IN (SELECT word FROM dict) UNION SELECT less, word FROM gap WHERE less IN (SELECT word FROM dict)),
+best AS (SELECT a AS word, count(*) AS n_near, arg_min(b, (-n, b)) AS near, max(n) AS near_n FROM near JOIN dict ON dict.word = near.b GROUP BY a),
+form AS (SELECT dict.word, n, coalesce(n_near, 0) AS n_near, CASE WHEN near_n >= 2 * n THEN near END AS form, CASE WHEN near_n >= 2 * n THEN near_n END AS form_n FROM dict LEFT JOIN best ON best.word = dict.word),
+walk AS (SELECT word, word AS top, 0 AS step FROM form UNION ALL SELECT walk.word, form.form, step + 1 FROM walk JOIN form ON form.word = walk.top WHERE form.form IS NOT NULL)
+SELECT word, form, root, n, n_near, form_n FROM form JOIN (SELECT word, arg_max(top, step) AS root FROM walk GROUP BY word) USING (word)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_rules": _rules_sql(0.01, 0.05), "op7_warc": OP7_SQL, "op8_vectors": OP8_SQL, "llm_rules_loose": _rules_sql(0.1, 0.2), "llm_vector_copies": COPIES_SQL}
+    return {"op2_rules": _rules_sql(0.01, 0.05), "op7_warc": OP7_SQL, "op8_vectors": OP8_SQL, "op11_winnowing": OP11_SQL, "op12_divergence": OP12_SQL, "op13_spelling": OP13_SQL, "llm_rules_loose": _rules_sql(0.1, 0.2), "llm_vector_copies": COPIES_SQL}
