@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import functools
+import sys
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -10,11 +14,13 @@ STOP_WORDS = ("a", "an", "and", "are", "before", "does", "for", "how", "in", "is
 QUERY_STOP_WORDS = ("a", "an", "and", "are", "before", "does", "each", "for", "how", "in", "is", "of", "or", "the", "to", "what")
 # Stop words of claims.
 CLAIM_STOP_WORDS = ("a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "in", "is", "it", "evidence", "of", "on", "or", "paper", "report", "reported", "reports", "result", "results", "study", "that", "the", "this", "to", "was", "were", "with")
+#: White space and digits of all of Unicode, as classes of a pattern.
+BLANK, DIGIT = r"[\s\x1c-\x1f\x85\p{Z}]", r"\p{Nd}"
 # Number, number with unit, Latin token and clause border.
-NUMBER = r"(?i)(?<![A-Za-z_])[-+]?\d+(?:\.\d+)?(?:e[-+]?\d+)?%?"
-NUMBER_WITH_UNIT = r"(?i)(?<![A-Za-z_])([-+]?\d+(?:\.\d+)?)\s*-?\s*(%|％|周|星期|天|日|月|年|小时|分钟|秒|weeks?|days?|months?|years?|hours?|minutes?|seconds?)(?![A-Za-z])"
+NUMBER = rf"(?i)(?<![A-Za-z_])[-+]?{DIGIT}+(?:\.{DIGIT}+)?(?:e[-+]?{DIGIT}+)?%?"
+NUMBER_WITH_UNIT = rf"(?i)(?<![A-Za-z_])([-+]?{DIGIT}+(?:\.{DIGIT}+)?){BLANK}*-?{BLANK}*(%|％|周|星期|天|日|月|年|小时|分钟|秒|weeks?|days?|months?|years?|hours?|minutes?|seconds?)(?![A-Za-z])"
 LATIN_TOKEN = r"[A-Za-zΑ-Ωα-ω][A-Za-z0-9_Α-Ωα-ω+./-]*"
-CLAUSE_BORDER = r"[。！？!?；;，,]\s*|\.(?!\d)\s+"
+CLAUSE_BORDER = rf"[。！？!?；;，,]{BLANK}*|\.(?!{DIGIT}){BLANK}+"
 
 
 def let(value: Column, use) -> Column:
@@ -22,6 +28,27 @@ def let(value: Column, use) -> Column:
     return F.transform(F.array(value), use)[0]
 
 
+def strip(text: Column) -> Column:
+    """Without white space of any kind at either end."""
+    return F.regexp_replace(text, rf"^{BLANK}+|{BLANK}+\z", "")
+
+
+def is_blank(text: Column) -> Column:
+    """Null, empty or nothing but white space."""
+    return F.coalesce(strip(text), F.lit("")) == ""
+
+
+@functools.cache
+def _digits() -> tuple[str, str]:
+    """Every decimal digit beyond ASCII, and the ASCII digit of its value."""
+    all_ = [c for c in map(chr, range(128, sys.maxunicode + 1)) if unicodedata.category(c) == "Nd"]
+    return "".join(all_), "".join(str(unicodedata.decimal(c)) for c in all_)
+
+
+def ascii_digits(number: Column) -> Column:
+    return F.when(number.rlike("[^\\x00-\\x7F]"), F.translate(number, *_digits())).otherwise(number)
+
+
 def tokens(text: Column) -> Column:
     """Lower-cased runs of letters and digits, in order, with repeats."""
     return F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
@@ -47,7 +74,7 @@ def query_expression(text: Column) -> Column:
 
 
 def squeeze(text: Column) -> Column:
-    return F.btrim(F.regexp_replace(text, r"\s+", " "))
+    return F.btrim(F.regexp_replace(text, rf"{BLANK}+", " "))
 
 
 def clauses(text: Column) -> Column:
@@ -58,7 +85,7 @@ def clauses(text: Column) -> Column:
 
 def six_digits(number: Column) -> Column:
     """A number rounded to six significant digits: numbers that agree so far are one."""
-    return F.format_string("%.5e", number.cast("double")).cast("double")
+    return F.format_string("%.5e", ascii_digits(number).cast("double")).cast("double")
 
 
 def numbers(text: Column) -> Column:
@@ -112,8 +139,8 @@ def citation_positions(answer: Column, evidence_count: Column) -> Column:
 
 def term_groups_pass(answer: Column, groups: Column, forbidden: Column) -> Column:
     """Whether each group has a term in the answer and no forbidden term is there, white space and case left aside."""
-    plain = F.regexp_replace(F.lower(answer), r"\s+", "")
-    inside = lambda t: F.contains(plain, F.regexp_replace(F.lower(t), r"\s+", ""))
+    plain = F.regexp_replace(F.lower(answer), rf"{BLANK}+", "")
+    inside = lambda t: F.contains(plain, F.regexp_replace(F.lower(t), rf"{BLANK}+", ""))
     return F.forall(groups, lambda g: F.exists(g, inside)) & ~F.exists(forbidden, inside)
 
 
@@ -131,12 +158,12 @@ def upper_ratio(text: Column) -> Column:
 def page_text(text: Column) -> Column:
     """Normalised page text: line ends as \\n, control characters but tab dropped, blanks squeezed, empty lines dropped."""
     plain = F.regexp_replace(F.replace(F.replace(text, F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n")), r"[\p{Cc}&&[^\n\t]]", "")
-    lines = F.transform(F.split(plain, "\n"), lambda x: F.btrim(F.regexp_replace(x, r"[\t ]+", " ")))
+    lines = F.transform(F.split(plain, "\n"), lambda x: strip(F.regexp_replace(x, r"[\t ]+", " ")))
     return F.array_join(F.filter(lines, lambda x: x != ""), "\n")
 
 
 def heading_level(text: Column) -> Column:
-    number = F.regexp_extract(F.btrim(text), r"^(\d+(?:\.\d+)*)", 1)
+    number = F.regexp_extract(strip(text), rf"^({DIGIT}+(?:\.{DIGIT}+)*)", 1)
     return F.when(number == "", F.lit(1)).otherwise(F.length(number) - F.length(F.replace(number, F.lit("."), F.lit(""))) + 1)
 
 
@@ -147,10 +174,10 @@ _SENTENCE = r"\b(?:is|are|was|were|has|have|shows|denotes|contains)\b"
 
 def is_heading(line: Column) -> Column:
     """A named section, a roman number with a mostly upper-case title, or a number from 1 to 20 with a capitalised title."""
-    v = F.btrim(line)
-    roman = F.regexp_extract(v, r"(?i)^[IVXLCDM]+\.\s+(.+)$", 1)
-    number = F.regexp_extract(v, r"^(\d+)(?:\.\d+)*[.)]?\s+.+$", 1)
-    title = F.btrim(F.regexp_extract(v, r"^\d+(?:\.\d+)*[.)]?\s+(.+)$", 1))
+    v = strip(line)
+    roman = strip(F.regexp_extract(v, rf"(?i)^[IVXLCDM]+\.{BLANK}+(.+)$", 1))
+    number = ascii_digits(F.regexp_extract(v, rf"^({DIGIT}+)(?:\.{DIGIT}+)*[.)]?{BLANK}+.+$", 1))
+    title = strip(F.regexp_extract(v, rf"^{DIGIT}+(?:\.{DIGIT}+)*[.)]?{BLANK}+(.+)$", 1))
     numbered = (number != "") & (F.length(number) <= 9) & number.cast("long").between(1, 20) & title.rlike(r"^\p{Lu}") & ~title.rlike(_SENTENCE)
     body = F.when(v.rlike(_NAMED), True).when(roman != "", upper_ratio(roman) >= 0.7).otherwise(F.coalesce(numbered, F.lit(False)))
     return (F.length(v) <= 160) & ~F.contains(v, F.lit("\n")) & body

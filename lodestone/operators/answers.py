@@ -39,21 +39,33 @@ def user_prompt(questions: DataFrame, evidence: DataFrame) -> DataFrame:
 
 
 def rendered_claims(claims: Column, most: int = 8000) -> Column:
-    """Claims with their markers, joined by spaces; null if longer than `most`."""
+    """Claims with their markers, one a line; null if longer than `most`."""
     one = lambda c: F.concat(c["text"], F.lit(" "), F.array_join(F.transform(c["citation_ids"], lambda p: F.concat(F.lit("["), p.cast("string"), F.lit("]"))), ""))
-    text = F.array_join(F.transform(claims, one), " ")
+    text = F.array_join(F.transform(claims, one), "\n")
     return F.when(F.length(text) <= most, text)
 
 
-def enforced(verified: DataFrame, enforce: bool = True) -> DataFrame:
-    """answer_id, status, answer, n_dropped: unsupported claims dropped (enforce) or only counted; DEGRADED when none is left.
+# Fixed value: what stands in place of a text that did not pass.
+DEGRADED_ANSWER = "真实生成模型未通过本次门禁；已保留经过授权和版本校验的证据卡。"
 
-    verified: answer_id, position, text, citation_ids, status.
+
+def enforced(verified: DataFrame, enforce: bool = True, boundary: str = "LOCAL", keep: list[str] = ()) -> DataFrame:
+    """answer_id, status, answer, n_dropped, warning: unsupported claims dropped (enforce) or only counted; DEGRADED when none is left or the text is too long.
+
+    verified: answer_id, position, text, citation_ids, status. The warning says, after the name of the boundary, how the claims fared.
     """
-    bad = F.col("status") == "UNSUPPORTED"
+    is_ = lambda *names: F.col("status").isin(*names)
+    bad = is_("UNSUPPORTED")
     kept = F.array_sort(F.collect_list(F.when(~bad if enforce else F.lit(True), F.struct("position", "text", "citation_ids"))))
-    df = verified.groupBy("answer_id").agg(kept.alias("claims"), F.count_if(bad).alias("n_dropped"))
-    return df.select("answer_id", F.when(F.size("claims") > 0, "COMPLETED").otherwise("DEGRADED").alias("status"), F.when(F.size("claims") > 0, rendered_claims(F.col("claims"))).alias("answer"), "n_dropped")
+    facts = [F.count_if(bad).alias("n_dropped"), F.bool_or(is_("CONFLICTING_EVIDENCE")).alias("_clash"), F.bool_and(is_("INSUFFICIENT_EVIDENCE")).alias("_limited")]
+    df = verified.groupBy("answer_id", *keep).agg(kept.alias("claims"), *facts).withColumn("answer", F.when(F.size("claims") > 0, rendered_claims(F.col("claims"))))
+    if enforce:
+        told = F.when(F.col("n_dropped") > 0, "PARTIAL_ANSWER_UNSUPPORTED_DROPPED").when(F.col("_clash"), "CONFLICT_DISCLOSED").when(F.col("_limited"), "SAFE_LIMITATION").otherwise("VALIDATED")
+        told = F.concat(F.lit("CITATION_IDS_VALIDATED_CLAIM_EVIDENCE_"), told)
+    else:
+        told = F.concat(F.lit("CITATION_IDS_VALIDATED_CLAIM_EVIDENCE_AUDIT_"), F.when(F.col("n_dropped") > 0, "FAILED").otherwise("PASS"), F.lit("_NOT_ENFORCED"))
+    told = F.when(F.size("claims") == 0, "CLAIM_EVIDENCE_FAILED_CLOSED_EVIDENCE_ONLY").when(F.col("answer").isNull(), "FAILED_CLOSED_EVIDENCE_ONLY").otherwise(told)
+    return df.select("answer_id", *keep, F.when(F.col("answer").isNotNull(), "COMPLETED").otherwise("DEGRADED").alias("status"), "answer", "n_dropped", F.concat(F.lit(f"{boundary}_"), told).alias("warning"))
 
 
 def passage(chunk_text: Column, section_path: Column) -> Column:

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lodestone.operators import intervals as binned
+
 
 def violations(df: DataFrame, key: str, rules: dict[str, Column]) -> DataFrame:
     """A row for each rule that a row breaks; a rule that comes out null counts as broken."""
@@ -93,14 +95,15 @@ def identity_changes(old: DataFrame, new: DataFrame, keys: list[str], fixed: lis
 
 def contained_ranges(ranges: DataFrame, accepted: DataFrame, key: str) -> DataFrame:
     """Source page ranges (key, page_start, page_end) that lie in no accepted range of their key."""
-    acc = accepted.select(F.col(key).alias("_k"), F.col("page_start").alias("_a"), F.col("page_end").alias("_b"))
-    return ranges.join(acc, (F.col(key) == F.col("_k")) & (F.col("_a") <= F.col("page_start")) & (F.col("_b") >= F.col("page_end")), "left_anti")
+    acc = accepted.select(key, F.col("page_start").alias("_a"), F.col("page_end").alias("_b"))
+    asked = ranges.select(key, "page_start", "page_end").distinct()
+    held = binned.overlapping(asked, acc, [key], ("page_start", "page_end"), ("_a", "_b"), 16, touching=True).where("_a <= page_start and _b >= page_end")
+    return ranges.join(held.select(key, "page_start", "page_end").distinct(), [key, "page_start", "page_end"], "left_anti")
 
 
 def containing(points: DataFrame, intervals: DataFrame, by: str, point: str = "offset", low: str = "low", high: str = "high") -> DataFrame:
     """Points with the interval of their key that holds them (low <= point < high); intervals of a key don't overlap, points outside all drop out."""
-    i = intervals.select(F.col(by).alias("_k"), *[c for c in intervals.columns if c != by])
-    return points.join(i, (F.col(by) == F.col("_k")) & (F.col(low) <= F.col(point)) & (F.col(point) < F.col(high))).drop("_k")
+    return binned.containing(points, intervals, [by], point, low, high)
 
 
 def numbered(df: DataFrame, by: list[str], order: list) -> DataFrame:

@@ -95,14 +95,14 @@ def citation_failure(citations: Column, quotes: Column) -> Column:
         F.when(F.coalesce(F.size(citations), F.lit(0)) <= 0, "CLAIM_CITATION_MISSING")
         .when(F.exists(citations, lambda p: p.isNull()) | (sorted_ != citations), "CLAIM_CITATION_SET_INVALID")
         .when(F.exists(citations, lambda p: (p < 1) | (p > F.size(quotes))), "CLAIM_CITATION_OUT_OF_RANGE")
-        .when(F.exists(cited, lambda q: F.coalesce(F.btrim(q), F.lit("")) == ""), "BOUND_EVIDENCE_TEXT_EMPTY")
+        .when(F.exists(cited, lambda q: X.is_blank(q)), "BOUND_EVIDENCE_TEXT_EMPTY")
     )
 
 
 def verify(claims: DataFrame) -> DataFrame:
     """Adds status and reason to claims: claim_id, text, citation_ids (array<int>), quotes (array<string>, all evidence in order)."""
-    cited = F.transform("citation_ids", lambda p: F.btrim(F.get(F.col("quotes"), p - 1)))
-    bad = F.when(F.coalesce(F.btrim("text"), F.lit("")) == "", "CLAIM_TEXT_EMPTY").otherwise(citation_failure(F.col("citation_ids"), F.col("quotes")))
+    cited = F.transform("citation_ids", lambda p: X.strip(F.get(F.col("quotes"), p - 1)))
+    bad = F.when(X.is_blank(F.col("text")), "CLAIM_TEXT_EMPTY").otherwise(citation_failure(F.col("citation_ids"), F.col("quotes")))
     df = claims.withColumn("_bad", bad).withColumn("_cited", F.when(F.col("_bad").isNull(), cited))
     df = df.withColumn("_evidence", F.lower(F.array_join("_cited", "\n"))).withColumn("_conflicts", conflicts(F.col("_cited"))).withColumn("_facts", X.unit_facts(F.col("text")))
     df = df.withColumn("_failure", X.let(evidence_facts(F.col("_evidence")), lambda e: support_failure(F.col("text"), e)))
@@ -124,7 +124,7 @@ def verify(claims: DataFrame) -> DataFrame:
 
 def verify_set(claims: DataFrame) -> DataFrame:
     """Verdict on a whole evidence set, clause by clause where the claim as a whole fails; claims as for verify, citations valid."""
-    cited = F.transform("citation_ids", lambda p: F.btrim(F.get(F.col("quotes"), p - 1)))
+    cited = F.transform("citation_ids", lambda p: X.strip(F.get(F.col("quotes"), p - 1)))
     df = claims.withColumn("_cited", cited).withColumn("_evidence", F.lower(F.array_join("_cited", "\n"))).withColumn("_clash", F.size(conflicts(F.col("_cited"))) > 0)
     parts = lambda e: F.size(F.filter(X.clauses(F.col("text")), lambda p: support_failure(p, e).isNull()))
     both = X.let(evidence_facts(F.col("_evidence")), lambda e: F.struct(support_failure(F.col("text"), e).alias("whole"), parts(e).alias("good")))
@@ -180,7 +180,7 @@ def identity_failures(cited: DataFrame, versions: DataFrame, chunks: DataFrame)
         .when(first != F.col("version_id"), "EVIDENCE_SET_CROSS_VERSION")
         .when(~F.col("version_id").eqNullSafe(F.col("_version")), "EVIDENCE_VERSION_NOT_CURRENT")
         .when(~F.struct("document_id", "version_id").eqNullSafe(F.col("_chunk")), "EVIDENCE_CHUNK_IDENTITY_NOT_CURRENT")
-        .when(F.coalesce(F.btrim("quote"), F.lit("")) == "", "BOUND_EVIDENCE_TEXT_EMPTY")
+        .when(X.is_blank(F.col("quote")), "BOUND_EVIDENCE_TEXT_EMPTY")
     )
     marked = df.withColumn("_code", code)
     return marked.groupBy("claim_id").agg(F.min_by("_code", F.when(F.col("_code").isNotNull(), F.col("position"))).alias("reason"))
@@ -209,10 +209,23 @@ def with_adjacent(claims: DataFrame, neighbours: DataFrame) -> DataFrame:
     return both.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n").withColumn("expanded", F.col("position") > 0).drop("position").withColumn("reason_codes", codes)
 
 
+_CLAIMS = "OBJECT<claims: ARRAY<OBJECT<citation_ids: ARRAY<BIGINT>, text: STRING>>>"
+
+
 def parse_claims(payloads: DataFrame, json_col: str = "payload", count_col: str = "evidence_count") -> DataFrame:
-    """Adds claims (array of text and citation_ids) and error: null for 1 to 8 claims of at most 2,000 characters with citations in range and no inline markers."""
-    parsed = F.from_json(F.col(json_col), "struct<claims:array<struct<text:string,citation_ids:array<int>>>>")
-    df = payloads.withColumn("claims", parsed["claims"])
-    good = F.forall("claims", lambda c: (F.length(F.btrim(c["text"])) > 0) & (F.length(c["text"]) <= 2000) & ~c["text"].rlike(r"\[\d+\]") & (F.size(c["citation_ids"]) > 0) & F.forall(c["citation_ids"], lambda p: (p >= 1) & (p <= F.col(count_col))))
-    error = F.when(F.col("claims").isNull(), "CLAIMS_MALFORMED").when(~F.size("claims").between(1, 8), "CLAIM_COUNT_INVALID").when(~F.coalesce(good, F.lit(False)), "CLAIM_INVALID")
-    return df.withColumn("error", error)
+    """Adds claims (array of text, stripped, and citation_ids, distinct and ascending) and error.
+
+    CLAIMS_MALFORMED: no JSON object whose only key is `claims`, an array; CLAIM_COUNT_INVALID: not 1 to 8 of them; CLAIM_INVALID: a claim with
+    other keys than text and citation_ids, another type than text and whole numbers, a blank text or one of more than 2,000 characters
+    between its blanks, an inline marker, no citation or one out of range. Else null.
+    """
+    outer = F.json_object_keys(json_col)
+    shape = F.schema_of_variant(F.try_parse_json(json_col))
+    parsed = F.from_json(F.col(json_col), "struct<claims:array<struct<text:string,citation_ids:array<bigint>>>>")["claims"]
+    tidy = F.transform(parsed, lambda c: F.struct(X.strip(c["text"]).alias("text"), F.array_sort(F.array_distinct(c["citation_ids"])).cast("array<int>").alias("citation_ids")))
+    whole = F.coalesce((outer == F.array(F.lit("claims"))) & F.startswith(shape, F.lit("OBJECT<claims: ARRAY<")), F.lit(False))
+    df = payloads.withColumn("_n", F.when(whole, F.size(F.from_json(F.col(json_col), "struct<claims:array<string>>")["claims"]))).withColumn("claims", F.when(F.try_parse_json(json_col).isNotNull(), F.when(shape == _CLAIMS, tidy)))
+    in_range = lambda c: (F.size(c["citation_ids"]) > 0) & F.forall(c["citation_ids"], lambda p: p.between(1, F.col(count_col)))
+    good = F.forall("claims", lambda c: (F.length(c["text"]) > 0) & (F.length(c["text"]) <= 2000) & ~c["text"].rlike(rf"\[{X.DIGIT}+\]") & in_range(c))
+    error = F.when(F.col("_n").isNull(), "CLAIMS_MALFORMED").when(~F.col("_n").between(1, 8), "CLAIM_COUNT_INVALID").when(~F.coalesce(good, F.lit(False)), "CLAIM_INVALID")
+    return df.withColumn("error", error).drop("_n")

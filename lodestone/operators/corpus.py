@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lodestone.functions.scalars import has_zone, stable_key
+from lodestone.operators.ordering import numbered, running_sum
 
 # Thresholds of the four pair rules, and the targets of the splits in order of priority.
 Q_ALONE, A_SHARED_DOCUMENT, Q_SHARED_CHUNK, Q_AND_A = 0.88, 0.92, 0.82, (0.76, 0.88)
@@ -26,7 +27,7 @@ def pair_reasons(pairs: DataFrame) -> DataFrame:
     return pairs.withColumn("reason", reason).where("reason is not null")
 
 
-def components(nodes: DataFrame, links: DataFrame, checkpoint, most_rounds: int = 100) -> DataFrame:
+def components(nodes: DataFrame, links: DataFrame, checkpoint) -> DataFrame:
     """id, component (smallest id reachable); nodes: id, links: a, b. checkpoint(df) cuts the lineage, on shared storage on a cluster.
 
     Every node takes the smallest label among itself and its neighbours, then the label of that label, until nothing changes; the
@@ -34,7 +35,7 @@ def components(nodes: DataFrame, links: DataFrame, checkpoint, most_rounds: int
     """
     both = links.select("a", "b").union(links.select("b", "a")).distinct()
     label = nodes.select("id", F.col("id").alias("component"))
-    for _ in range(most_rounds):
+    while True:
         near = both.join(label, both.b == label.id).groupBy(F.col("a").alias("id")).agg(F.min("component").alias("near"))
         least = label.join(near, "id", "left").select("id", F.least("component", "near").alias("component"))
         jump = least.select(F.col("id").alias("component"), F.col("component").alias("root"))
@@ -43,7 +44,6 @@ def components(nodes: DataFrame, links: DataFrame, checkpoint, most_rounds: int
         label = new
         if changed:
             return label
-    raise RuntimeError("components did not converge")
 
 
 def group_ids(members: DataFrame, length: int = 20) -> DataFrame:
@@ -91,7 +91,7 @@ def expanded_quota(quotas: DataFrame, total: int) -> DataFrame:
 def shuffled_quota(quotas: DataFrame, total: int, seed: str) -> DataFrame:
     """position, value of the expanded quota in an order by hash of seed and position: reproducible in any engine."""
     df = expanded_quota(quotas, total).withColumn("_key", stable_key(seed, F.col("position")))
-    return df.select((F.row_number().over(Window.orderBy("_key")) - 1).cast("long").alias("position"), "value")  # one row a slot of an evaluation set
+    return numbered(df.withColumnRenamed("position", "_was"), ["_key", "_was"]).select("position", "value")
 
 
 def constrained_assignment(slots: DataFrame, fixed: dict[str, str], ranked: list[tuple[tuple[str, ...] | None, str, int]], rest: str) -> DataFrame:
@@ -99,8 +99,8 @@ def constrained_assignment(slots: DataFrame, fixed: dict[str, str], ranked: list
     df = slots.withColumn("value", F.element_at(F.create_map(*[F.lit(x) for kv in fixed.items() for x in kv]), F.col("kind")))
     for kinds, value, n in ranked:
         free = F.col("value").isNull() & (F.lit(True) if kinds is None else F.col("kind").isin(*kinds))
-        place = F.sum(free.cast("int")).over(Window.orderBy("position").rowsBetween(Window.unboundedPreceding, 0))
-        df = df.withColumn("value", F.when(free & (place <= n), value).otherwise(F.col("value")))
+        placed = running_sum(df, free.cast("int"), ["position"], "_place")
+        df = placed.withColumn("value", F.when(free & (F.col("_place") <= n), value).otherwise(F.col("value"))).drop("_place")
     return df.withColumn("value", F.coalesce("value", F.lit(rest)))
 
 
@@ -209,16 +209,14 @@ def quota_sample(items: DataFrame, quotas: list[tuple[str, str, int]], seed: str
 
 def dealt_round_robin(units: DataFrame, pool: DataFrame, unit: str, takes: str, member: str) -> DataFrame:
     """unit, member: each unit takes its number of members from the ordered pool, going on where the one before stopped, around the end."""
-    before = F.coalesce(F.sum(takes).over(Window.orderBy(unit).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     n = pool.count()
-    wanted = units.withColumn("_at", before).where(F.col(takes) > 0).select(unit, F.explode(F.transform(F.sequence(F.lit(0), F.least(F.col(takes), F.lit(n)) - 1), lambda i: ((F.col("_at") + i) % n).cast("int"))).alias("_i"))
-    numbered = pool.select(member, (F.row_number().over(Window.orderBy(member)) - 1).alias("_i"))
-    return wanted.join(numbered, "_i").select(unit, member)
+    wanted = running_sum(units, F.col(takes), [unit], "_at").withColumn("_at", F.col("_at") - F.col(takes)).where(F.col(takes) > 0).select(unit, F.explode(F.transform(F.sequence(F.lit(0), F.least(F.col(takes), F.lit(n)) - 1), lambda i: ((F.col("_at") + i) % n).cast("int"))).alias("_i"))
+    return wanted.join(numbered(pool.select(member), [member], "_i"), "_i").select(unit, member)
 
 
 def batches(requests: DataFrame, order: str, size: int = 10) -> DataFrame:
     """Adds batch: requests in order, `size` to a batch; for a partitioned sink."""
-    return requests.withColumn("batch", F.floor((F.row_number().over(Window.orderBy(order)) - 1) / size))
+    return numbered(requests, [order], "batch").withColumn("batch", F.floor(F.col("batch") / size))
 
 
 def formal_records(rows: DataFrame, groups: DataFrame, splits: DataFrame) -> DataFrame:

@@ -30,40 +30,77 @@ def as_float32(v: Column) -> Column:
     return v.cast("array<float>")
 
 
-def _blocks(vectors: DataFrame, id_col: str, vector_col: str, rows: int, names: tuple[str, str]) -> DataFrame:
-    """Arrays of about `rows` (id, unit vector) each, dealt by hash of the identifier."""
-    good = vectors.select(F.col(id_col).alias("id"), normalized(F.col(vector_col)).alias("v")).where("v is not null")
+def _blocks(vectors: DataFrame, id_col: str, vector_col: str, rows: int, names: tuple[str, str, str], extra: Column) -> DataFrame:
+    """Arrays of about `rows` (id, unit vector, extra) each, dealt by hash of the identifier."""
+    good = vectors.select(F.col(id_col).alias("id"), normalized(F.col(vector_col)).alias("v"), extra.alias("s")).where("v is not null")
     n = good.count()
     parts = max(1, -(-n // rows))
     dealt = good.groupBy(F.pmod(F.xxhash64("id"), F.lit(parts)).alias("block"))
-    return dealt.agg(F.collect_list(F.struct("id", "v")).alias("rows")).select(F.col("rows.id").alias(names[0]), F.col("rows.v").alias(names[1]))
+    return dealt.agg(F.collect_list(F.struct("id", "v", "s")).alias("rows")).select(*[F.col(f"rows.{f}").alias(n) for f, n in zip(("id", "v", "s"), names, strict=True)])
 
 
-def cosine_top_k(queries: DataFrame, vectors: DataFrame, k: int, min_score: float = 0.5, id_col: str = "vec_id", vector_col: str = "embedding", same: bool = True, block: int = 2048) -> DataFrame:
+def _matrix(vectors: pa.Array, rows: int) -> np.ndarray:
+    return vectors.flatten().to_numpy(zero_copy_only=False).reshape(rows, -1)
+
+
+def _hidden(asked: list, seen: list) -> np.ndarray:
+    """Which vectors (columns) a query's scope (rows) isn't among the visible scopes of."""
+    rows: dict = {}
+    for i, scope in enumerate(asked):
+        rows.setdefault(scope, []).append(i)
+    out = np.ones((len(asked), len(seen)), bool)
+    for j, scopes in enumerate(seen):
+        for scope in () if scopes is None else scopes:
+            out[rows.get(scope, []), j] = False
+    return out
+
+
+def _nearest(q: pa.Array, qv: pa.Array, qs: pa.Array, c: pa.Array, cv: pa.Array, cs: pa.Array, k: int, min_score: float, same: bool, scoped: bool, schema: pa.Schema) -> pa.RecordBatch:
+    """At most k (query, vector, score) a query of two blocks: one matrix product, then the best by score and identifier."""
+    ids, others = (x.to_numpy(zero_copy_only=False) for x in (q, c))
+    scores = np.round(_matrix(qv, len(q)) @ _matrix(cv, len(c)).T, 6)
+    if not same:
+        scores[ids[:, None] == others[None, :]] = -2
+    if scoped:
+        scores[_hidden(qs.to_pylist(), cs.to_pylist())] = -2
+    place = np.empty(len(others), np.int64)
+    place[np.argsort(others, kind="stable")] = np.arange(len(others))
+    order = np.lexsort((np.broadcast_to(place, scores.shape), -scores), axis=1)[:, :k]
+    best = np.take_along_axis(scores, order, 1)
+    i, j = np.nonzero(best >= min_score)
+    return pa.RecordBatch.from_arrays([q.take(pa.array(i)), c.take(pa.array(order[i, j])), pa.array(best[i, j])], schema=schema)
+
+
+def _scored_schema(queries: DataFrame, vectors: DataFrame, id_col: str, query_id: str) -> tuple[pa.Schema, str]:
+    """Arrow and SQL schema of question_id, chunk_id, score, with the identifiers' own types."""
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    kinds = [queries.schema[query_id].dataType, vectors.schema[id_col].dataType]
+    arrow = pa.schema([("question_id", to_arrow_type(kinds[0])), ("chunk_id", to_arrow_type(kinds[1])), ("score", pa.float64())])
+    return arrow, f"question_id {kinds[0].simpleString()}, chunk_id {kinds[1].simpleString()}, score double"
+
+
+def cosine_top_k(queries: DataFrame, vectors: DataFrame, k: int, min_score: float = 0.5, id_col: str = "vec_id", vector_col: str = "embedding", same: bool = True, block: int = 2048, query_id: str | None = None, scope_col: str | None = None, visible_col: str | None = None) -> DataFrame:
     """question_id, chunk_id, score (6 places), rank: the k nearest by cosine >= min_score, ties by chunk_id.
 
     A stated query set meets all rows block by block: each pair of blocks is one matrix product that gives at most k rows a query,
-    so no pair is ever shuffled. same=False leaves out a query's own identifier. Invalid vectors are in no block.
+    so no pair is ever shuffled. Identifiers may be numbers or strings; same=False leaves out a query's own identifier. With scope_col (of
+    queries) and visible_col (of vectors, an array of scopes) a vector that a scope may not see is left out before the k best are taken.
+    Invalid vectors are in no block.
     """
-    asked = _blocks(queries, id_col, vector_col, block, ("q", "qv"))
-    held = _blocks(vectors, id_col, vector_col, block, ("c", "cv"))
-    schema = pa.schema([("question_id", pa.int64()), ("chunk_id", pa.int64()), ("score", pa.float64())])
+    query_id, scoped = query_id or id_col, bool(scope_col and visible_col)
+    none = F.lit(None).cast("string")
+    asked = _blocks(queries, query_id, vector_col, block, ("q", "qv", "qs"), F.col(scope_col) if scoped else none)
+    held = _blocks(vectors, id_col, vector_col, block, ("c", "cv", "cs"), F.col(visible_col) if scoped else none)
+    schema, fields = _scored_schema(queries, vectors, id_col, query_id)
 
     def run(it):
         for batch in it:
             for row in range(len(batch)):
-                q, qv, c, cv = (batch.column(i)[row].values for i in range(4))
-                q, c = q.to_numpy(), c.to_numpy()
-                x, y = qv.flatten().to_numpy().reshape(len(q), -1), cv.flatten().to_numpy().reshape(len(c), -1)
-                scores = np.round(x @ y.T, 6)
-                if not same:
-                    scores[q[:, None] == c[None, :]] = -2
-                order = np.lexsort((np.broadcast_to(c, scores.shape), -scores), axis=1)[:, :k]
-                best = np.take_along_axis(scores, order, 1)
-                i, j = np.nonzero(best >= min_score)
-                yield pa.RecordBatch.from_arrays([pa.array(q[i]), pa.array(c[order[i, j]]), pa.array(best[i, j])], schema=schema)
+                q, qv, qs, c, cv, cs = (batch.column(i)[row].values for i in range(6))
+                yield _nearest(q, qv, qs, c, cv, cs, k, min_score, same, scoped, schema)
 
-    near = asked.crossJoin(held).mapInArrow(run, "question_id long, chunk_id long, score double")
+    near = asked.crossJoin(held).mapInArrow(run, fields)
     return top_k(near, k, ["question_id"])
 
 

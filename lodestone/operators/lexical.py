@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lodestone.functions.text import QUERY_STOP_WORDS, STOP_WORDS, n_tokens, query_tokens, tokens
+from lodestone.functions.text import QUERY_STOP_WORDS, STOP_WORDS, is_blank, n_tokens, query_tokens, tokens
 
 
 def top_k(scored: DataFrame, k: int | None, by: list[str], score: str = "score", tie: str = "chunk_id") -> DataFrame:
@@ -17,7 +17,7 @@ def top_k(scored: DataFrame, k: int | None, by: list[str], score: str = "score",
 
 def blank_questions(questions: DataFrame, id_col: str = "question_id", text_col: str = "question") -> DataFrame:
     """Questions without a sign, which are errors; one of stop words only is none and merely finds nothing."""
-    return questions.where(F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), r"\s+", "") == "").select(id_col)
+    return questions.where(is_blank(F.col(text_col))).select(id_col)
 
 
 def question_terms(questions: DataFrame, stop: tuple[str, ...] = STOP_WORDS, id_col: str = "question_id", text_col: str = "question", tokenizer=None) -> DataFrame:

@@ -40,6 +40,10 @@ _CASES = (
     ("Alpha is the first drug", ["Alpha is a drug"], [1], "UNSUPPORTED", "NOVELTY_OR_SUPERLATIVE_NOT_ESTABLISHED", "INSUFFICIENT_EVIDENCE", "NOVELTY_OR_SUPERLATIVE_NOT_ESTABLISHED"),
     ("At least two trial arms", ["The trial had two arms"], [1], "UNSUPPORTED", "QUALIFYING_CONDITION_NOT_ESTABLISHED", "INSUFFICIENT_EVIDENCE", "QUALIFYING_CONDITION_NOT_ESTABLISHED"),
     ("Zebra stripes", ["The trial took {m} days"], [1], "UNSUPPORTED", "CORE_LEXICAL_OVERLAP_NOT_ESTABLISHED", "INSUFFICIENT_EVIDENCE", "CORE_LEXICAL_OVERLAP_NOT_ESTABLISHED"),
+    ("\t\n\u3000\u00a0", ["The trial took {m} days"], [1], "UNSUPPORTED", "CLAIM_TEXT_EMPTY", None, None),
+    ("The trial took {m} days", ["\n\u3000\u2003\r\n"], [1], "UNSUPPORTED", "BOUND_EVIDENCE_TEXT_EMPTY", None, None),
+    ("The trial took \uff17 days", ["The trial took {m} days"], [1], "UNSUPPORTED", "NUMERIC_ANCHOR_MISSING_FROM_EVIDENCE", "INSUFFICIENT_EVIDENCE", "NUMERIC_ANCHOR_MISSING_FROM_EVIDENCE"),
+    ("The trial took \uff17\u3000days", ["The trial took 7 days"], [1], "SUPPORTED", "DETERMINISTIC_ANCHORS_AND_CORE_OVERLAP_PASS", "SUPPORTED_BY_EVIDENCE_SET", "DETERMINISTIC_EVIDENCE_SET_PASS"),
     ("The trial took {m} days, zebra stripes", ["The trial took {m} days"], [1], "UNSUPPORTED", "CORE_LEXICAL_OVERLAP_NOT_ESTABLISHED", "PARTIALLY_SUPPORTED", "CORE_LEXICAL_OVERLAP_NOT_ESTABLISHED"),
 )
 _VALID = [i for i, c in enumerate(_CASES) if c[5] is not None]
@@ -108,14 +112,14 @@ def clm_expanded(spark, sf_dir):
     return claims.with_adjacent(c, near).select("claim_id", "status", "expanded", F.array_join("reason_codes", ",").alias("codes"))
 
 
-_PAGES = ["A line.\nNext line\n1. Head\nbody", "x" * 1000 + "\n" + "y" * 1000 + "\nz", "  \nonly.\nOne\n\ntwo.\nand three"]
-_PAGE_BLOCKS = [(0, 0, 7, False), (0, 8, 17, False), (0, 18, 25, True), (0, 26, 30, False), (1, 0, 2001, False), (1, 2002, 2003, False), (2, 3, 8, False), (2, 9, 28, False)]
+_PAGES = ["A line.\nNext line\n1. Head\nbody", "\u3000Introduction\nText one.\u00a0\n\u00a0\n\u00a0\uff11. Setup\u3000\nmore", "x" * 1000 + "\n" + "y" * 1000 + "\nz", "  \nonly.\nOne\n\ntwo.\nand three"]
+_PAGE_BLOCKS = [(0, 0, 7, False), (0, 8, 17, False), (0, 18, 25, True), (0, 26, 30, False), (1, 0, 13, True), (1, 14, 24, False), (1, 27, 37, True), (1, 38, 42, False), (2, 0, 2001, False), (2, 2002, 2003, False), (3, 3, 8, False), (3, 9, 28, False)]
 
 
-@query("WITH b AS (SELECT * FROM (VALUES " + ", ".join(f"({k}, {a}, {b}, {h})" for k, a, b, h in _PAGE_BLOCKS) + ") AS t(kind, a, b, h)) SELECT n_nationkey, a AS source_start, b AS source_end, h AS is_heading, b - a AS n FROM nation JOIN b ON b.kind = n_nationkey % 3")
+@query("WITH b AS (SELECT * FROM (VALUES " + ", ".join(f"({k}, {a}, {b}, {h})" for k, a, b, h in _PAGE_BLOCKS) + ") AS t(kind, a, b, h)) SELECT n_nationkey, a AS source_start, b AS source_end, h AS is_heading, b - a AS n FROM nation JOIN b ON b.kind = n_nationkey % 4")
 def prj_blocks(spark, sf_dir):
-    """Three pages whose blocks were found by hand: marks of headings and sentences, a long block, blank lines."""
-    p = table(spark, sf_dir, "nation").select("n_nationkey", F.element_at(F.array(*[F.lit(x) for x in _PAGES]), (F.col("n_nationkey") % 3 + 1).cast("int")).alias("text"))
+    """Four pages whose blocks were found by hand: marks of headings and sentences, blanks and digits beyond ASCII, a long block, blank lines."""
+    p = table(spark, sf_dir, "nation").select("n_nationkey", F.element_at(F.array(*[F.lit(x) for x in _PAGES]), (F.col("n_nationkey") % 4 + 1).cast("int")).alias("text"))
     b = chunking.blocks(p, ["n_nationkey"])
     return b.select("n_nationkey", F.col("source_start").cast("int").alias("source_start"), F.col("source_end").cast("int").alias("source_end"), "is_heading", F.length("text").alias("n"))
 
@@ -309,6 +313,7 @@ def cor_quota(spark, sf_dir):
 
 @query(f"WITH {_QUOTA} SELECT row_number() OVER (ORDER BY sha256('seed:' || CAST(position AS VARCHAR))) - 1 AS position, value FROM quota")
 def cor_shuffled_quota(spark, sf_dir):
+    with_checkpoints(spark)
     q = _quotas(spark, sf_dir)
     return corpus.shuffled_quota(q, q.agg(F.sum("n")).first()[0], "seed")
 
@@ -318,6 +323,7 @@ a AS (SELECT *, CASE kind WHEN 'security' THEN 'FORBIDDEN' WHEN 'none' THEN 'NO_
 b AS (SELECT position, kind, CASE WHEN v IS NULL AND kind IN ('multi_hop', 'comparison') AND count(*) FILTER (v IS NULL AND kind IN ('multi_hop', 'comparison')) OVER (ORDER BY position) <= 6 THEN 'CONFLICTING_EVIDENCE' ELSE v END AS v FROM a),
 c AS (SELECT position, kind, CASE WHEN v IS NULL AND count(*) FILTER (v IS NULL) OVER (ORDER BY position) <= 5 THEN 'PARTIALLY_ANSWERABLE' ELSE v END AS v FROM b) SELECT position, kind, coalesce(v, 'ANSWERABLE') AS value FROM c""")
 def cor_assignment(spark, sf_dir):
+    with_checkpoints(spark)
     kind = F.element_at(F.array(*[F.lit(x) for x in ("security", "none", "multi_hop", "comparison", "fact")]), (F.col("item_id") % 5 + 1).cast("int"))
     slots = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("position"), kind.alias("kind"))
     return corpus.constrained_assignment(slots, {"security": "FORBIDDEN", "none": "NO_EVIDENCE"}, [(("multi_hop", "comparison"), "CONFLICTING_EVIDENCE", 6), (None, "PARTIALLY_ANSWERABLE", 5)], "ANSWERABLE")
@@ -544,7 +550,7 @@ def src_binary(spark, sf_dir):
 _ACTIVE = CHUNKS.replace("chunks AS (", "all_chunks AS (", 1) + ", chunks AS (SELECT * FROM all_chunks WHERE is_active)"
 
 
-@query(f"""WITH {R._POSTINGS.replace(CHUNKS, _ACTIVE)}, {SCOPES}, numbered AS (SELECT *, row_number() OVER (ORDER BY scope_id) - 1 AS i, count(*) OVER () AS many FROM scopes),
+_ANSWERED = f"""WITH {R._POSTINGS.replace(CHUNKS, _ACTIVE)}, {SCOPES}, numbered AS (SELECT *, row_number() OVER (ORDER BY scope_id) - 1 AS i, count(*) OVER () AS many FROM scopes),
 first_doc AS (SELECT source AS tenant_id, 'd' || lpad(CAST(min(doc_id) AS VARCHAR), 10, '0') AS d FROM documents GROUP BY source),
 base AS (SELECT b.item_id AS question_id, b.item_id % 4 = 0 AS named, f.d, n.* FROM benchmark b JOIN numbered n ON n.i = b.item_id % n.many JOIN first_doc f USING (tenant_id)),
 refused AS (SELECT question_id FROM base s WHERE named AND NOT EXISTS (SELECT 1 FROM chunks c WHERE c.document_id = s.d AND {VISIBLE})),
@@ -556,9 +562,18 @@ fused AS (SELECT question_id, chunk_id, round(sum(1.0::DOUBLE / (60 + rank)), 12
 top AS (SELECT question_id, chunk_id, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, best_rank, chunk_id) AS rank FROM fused),
 told AS (SELECT question_id, md5(string_agg(c.text || ' [' || CAST(rank AS VARCHAR) || ']', ' ' ORDER BY rank)) AS answer_digest, count(*) AS n, string_agg(chunk_id, ',' ORDER BY rank) AS cited FROM top JOIN chunks c USING (chunk_id) WHERE rank <= 3 GROUP BY question_id)
 SELECT i.item_id AS question_id, CASE WHEN r.question_id IS NOT NULL THEN 'FAILED' WHEN t.n > 0 THEN 'COMPLETED' ELSE 'NO_EVIDENCE' END AS status, CASE WHEN r.question_id IS NOT NULL THEN 'RAG_FORBIDDEN_SCOPE' END AS error_code, t.answer_digest, coalesce(t.n, 0) AS n_evidence, t.cited
-FROM benchmark i LEFT JOIN refused r ON r.question_id = i.item_id LEFT JOIN told t ON t.question_id = i.item_id""")
+FROM benchmark i LEFT JOIN refused r ON r.question_id = i.item_id LEFT JOIN told t ON t.question_id = i.item_id"""
+
+
+@query(_ANSWERED)
 def ans_batch(spark, sf_dir):
     """The answer to every benchmark item in one call: each under some scope, every fourth naming a document, which some scopes don't reach."""
+    asked, s = _asked(spark, sf_dir)
+    return _told(answer(spark, asked, s, chunks(spark, sf_dir)))
+
+
+def _asked(spark, sf_dir):
+    """Questions each under some scope, every fourth naming a document; and the scopes."""
     from pyspark.sql.window import Window
 
     with_checkpoints(spark)
@@ -567,5 +582,37 @@ def ans_batch(spark, sf_dir):
     first = table(spark, sf_dir, "documents").groupBy(F.col("source").alias("tenant_id")).agg(F.format_string("d%010d", F.min("doc_id")).alias("d"))
     q = questions(spark, sf_dir).withColumn("i", F.col("question_id") % many).join(s.select("i", "scope_id", "tenant_id"), "i").join(first, "tenant_id")
     asked = q.select("question_id", "question", "scope_id", F.when(F.col("question_id") % 4 == 0, F.array("d")).alias("requested_document_ids"))
-    out = answer(spark, asked, s.drop("i"), chunks(spark, sf_dir))
+    return asked, s.drop("i")
+
+
+def _told(out):
     return out.select("question_id", "status", "error_code", F.md5("answer").alias("answer_digest"), "n_evidence", F.array_join(F.transform("evidence", lambda e: e["chunk_id"]), ",").alias("cited"))
+
+
+_LETTERS = "aeinrst"
+_COUNTS = "[" + ", ".join(f"CAST(length(text) - length(replace(text, '{x}', '')) AS DOUBLE)" for x in _LETTERS) + "]"
+_DENSE = f"""qv AS (SELECT item_id AS question_id, {_COUNTS} AS v FROM benchmark), cv AS (SELECT chunk_id, {_COUNTS} AS v FROM chunks),
+near AS (SELECT question_id, chunk_id, round(list_cosine_similarity(qv.v, cv.v), 6) AS score FROM qv JOIN seen USING (question_id) JOIN cv USING (chunk_id) WHERE list_sum(cv.v) > 0 AND list_sum(qv.v) > 0),
+o AS (SELECT question_id, chunk_id, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, chunk_id) AS rank FROM near WHERE score >= 0.5),"""
+_OVERLAP_RANK = "o AS (SELECT question_id, chunk_id, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, chunk_id) AS rank FROM overlap JOIN seen USING (question_id, chunk_id)),"
+_HYBRID = _ANSWERED.replace(_OVERLAP_RANK, _DENSE)
+
+
+def _vectors(spark, sf_dir):
+    """Letters counted, as vectors that any engine can follow: of questions and of chunks."""
+    counts = lambda c: F.array(*[(F.length(c) - F.length(F.replace(F.col(c), F.lit(x), F.lit("")))).cast("double") for x in _LETTERS]).alias("vector")
+    return questions(spark, sf_dir).select("question_id", counts("question")), chunks(spark, sf_dir).select("chunk_id", counts("text"))
+
+
+@query(_HYBRID)
+def ans_hybrid(spark, sf_dir):
+    """The same by BM25 and vectors fused."""
+    asked, s = _asked(spark, sf_dir)
+    return _told(answer(spark, asked, s, chunks(spark, sf_dir), vectors=_vectors(spark, sf_dir)))
+
+
+@query(_HYBRID.replace("SELECT * FROM o WHERE rank <= 20 UNION ALL SELECT * FROM b WHERE rank <= 20", "SELECT * FROM o WHERE rank <= 20"))
+def ans_vector(spark, sf_dir):
+    """The same by vectors alone."""
+    asked, s = _asked(spark, sf_dir)
+    return _told(answer(spark, asked, s, chunks(spark, sf_dir), "vector", vectors=_vectors(spark, sf_dir)))

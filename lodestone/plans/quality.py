@@ -7,10 +7,10 @@ from pyspark.sql.window import Window
 
 from lodestone.functions import scalars as S
 from lodestone.functions import text as X
-from lodestone.operators import answers, checks, claims, corpus, evaluation, lexical
+from lodestone.operators import answers, blockmax, checks, claims, corpus, evaluation, lexical
 from lodestone.plans import retrieval as R
 from lodestone.plans.frames import ITEMS, JUDGMENTS, chunks, items, judgments, questions, table
-from lodestone.plans.registry import query, with_checkpoints
+from lodestone.plans.registry import query, stored, with_checkpoints
 
 _BASE = f"{R._RANKS}, {JUDGMENTS}, {ITEMS}"
 
@@ -21,8 +21,11 @@ def _judged(spark, sf_dir, overlap=None):
 
 def _ranked_and_judged(spark, sf_dir):
     """Rankings, written once, and judgments, both from one table of postings."""
-    scores = R.asked_scores(spark, sf_dir)
-    return R.two_rankings(spark, sf_dir, scores=scores).checkpoint(), _judged(spark, sf_dir, scores[0])
+    held = R.held_blocks(spark, sf_dir)
+    plain, asked = held[1]
+    n = lexical.question_terms(questions(spark, sf_dir)).groupBy("question_id").agg((F.count(F.lit(1)) / 4).alias("theta"))
+    # a judgment needs a quarter of the question's tokens
+    return stored(R.two_rankings(spark, sf_dir, held=held), "rankings"), _judged(spark, sf_dir, blockmax.at_least(plain, asked, n))
 
 
 def _per_question(spark, sf_dir, both=None):
@@ -194,8 +197,9 @@ def clm_limitation(spark, sf_dir):
 
 
 @query("""WITH c AS (SELECT conv_id, turn, 'Turn ' || CAST(turn AS VARCHAR) AS text FROM conversations)
-SELECT CAST(conv_id AS VARCHAR) AS answer_id, 'COMPLETED' AS status, string_agg(text || ' [' || CAST(turn + 1 AS VARCHAR) || ']', ' ' ORDER BY turn) FILTER (turn % 2 = 0) AS answer, count(*) FILTER (turn % 2 = 1) AS n_dropped FROM c GROUP BY conv_id HAVING count(*) FILTER (turn % 2 = 0) > 0
-UNION ALL SELECT CAST(conv_id AS VARCHAR), 'DEGRADED', NULL, count(*) FROM c GROUP BY conv_id HAVING count(*) FILTER (turn % 2 = 0) = 0""")
+SELECT CAST(conv_id AS VARCHAR) AS answer_id, 'COMPLETED' AS status, string_agg(text || ' [' || CAST(turn + 1 AS VARCHAR) || ']', chr(10) ORDER BY turn) FILTER (turn % 2 = 0) AS answer, count(*) FILTER (turn % 2 = 1) AS n_dropped,
+  'LOCAL_CITATION_IDS_VALIDATED_CLAIM_EVIDENCE_' || CASE WHEN count(*) FILTER (turn % 2 = 1) > 0 THEN 'PARTIAL_ANSWER_UNSUPPORTED_DROPPED' ELSE 'VALIDATED' END AS warning FROM c GROUP BY conv_id HAVING count(*) FILTER (turn % 2 = 0) > 0
+UNION ALL SELECT CAST(conv_id AS VARCHAR), 'DEGRADED', NULL, count(*), 'LOCAL_CLAIM_EVIDENCE_FAILED_CLOSED_EVIDENCE_ONLY' FROM c GROUP BY conv_id HAVING count(*) FILTER (turn % 2 = 0) = 0""")
 def clm_enforced(spark, sf_dir):
     c = table(spark, sf_dir, "conversations")
     v = c.select(F.col("conv_id").cast("string").alias("answer_id"), F.col("turn").alias("position"), F.concat(F.lit("Turn "), F.col("turn").cast("string")).alias("text"), F.array((F.col("turn") + 1).cast("int")).alias("citation_ids"), F.when(F.col("turn") % 2 == 1, "UNSUPPORTED").otherwise("SUPPORTED").alias("status"))
@@ -232,6 +236,44 @@ def clm_parse(spark, sf_dir):
     return claims.parse_claims(c.select("conv_id", "turn", payload.alias("payload"), F.lit(3).alias("evidence_count"))).select("conv_id", "turn", "error")
 
 
+_LONG = "x" * 1990
+#: Payloads by what they may hold (%s is the key of an order), the error, and what the first claim becomes.
+_PAYLOADS = (
+    ('{"claims":[{"text":"\\u3000 claim %s\\n","citation_ids":[2,1,2]}]}', None, "claim %s", "1,2"),
+    ('{"claims":[{"citation_ids":[3],"text":"a"},{"text":"b %s","citation_ids":[1,1]}]}', None, "a", "3"),
+    ('{"claims":[{"text":"%s","citation_ids":[1],"more":1}]}', "CLAIM_INVALID", None, None),
+    ('{"claims":[{"text":"%s","citation_ids":[1]}],"model":"m"}', "CLAIMS_MALFORMED", None, None),
+    ('{"claims":[{"text":"\\n","citation_ids":[1]},{"text":"%s","citation_ids":[1]}]}', "CLAIM_INVALID", "", "1"),
+    ('{"claims":[{"text":"%s","citation_ids":[1.0]}]}', "CLAIM_INVALID", None, None),
+    ('{"claims":[{"text":"%s","citation_ids":[true]}]}', "CLAIM_INVALID", None, None),
+    ('{"claims":[{"text":%s,"citation_ids":[1]}]}', "CLAIM_INVALID", None, None),
+    ('{"claims":[{"text":"%s [\uff11]","citation_ids":[1]}]}', "CLAIM_INVALID", "%s [\uff11]", "1"),
+    ('{"claims":[{"text":"%s","citation_ids":[0]}]}', "CLAIM_INVALID", "%s", "0"),
+    ('{"claims":[{"text":"%s"}]}', "CLAIM_INVALID", None, None),
+    ('{"claims":[]}', "CLAIM_COUNT_INVALID", None, None),
+    ('{"claims":[' + ",".join(['{"text":"%s","citation_ids":[1]}'] * 9) + "]}", "CLAIM_COUNT_INVALID", "%s", "1"),
+    ('{"claims":{"text":"%s"}}', "CLAIMS_MALFORMED", None, None),
+    ("[%s]", "CLAIMS_MALFORMED", None, None),
+    ("not %s", "CLAIMS_MALFORMED", None, None),
+    ('{"claims":[{"text":"' + " " * 20 + _LONG + '","citation_ids":[1]}]}', None, _LONG, "1"),
+    ('{"claims":[{"text":"' + _LONG + 'yyyyyyyyyyy","citation_ids":[1]}]}', "CLAIM_INVALID", _LONG + "yyyyyyyyyyy", "1"),
+)
+
+
+def _payload_case(column: int) -> str:
+    return "[" + ", ".join("NULL" if c[column] is None else "'" + c[column] + "'" for c in _PAYLOADS) + f"][o_orderkey % {len(_PAYLOADS)} + 1]"
+
+
+@query(f"""SELECT o_orderkey AS claim_id, {_payload_case(1)} AS error, replace({_payload_case(2)}, '%s', CAST(o_orderkey AS VARCHAR)) AS first_text, {_payload_case(3)} AS first_ids FROM orders""")
+def clm_parse_rules(spark, sf_dir):
+    """Payloads that keep or break each rule of the claims' form, in turn."""
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("claim_id"), F.lit(3).alias("evidence_count"))
+    kinds = F.array(*[F.lit(c[0]) for c in _PAYLOADS])
+    payload = F.replace(F.element_at(kinds, (F.col("claim_id") % len(_PAYLOADS) + 1).cast("int")), F.lit("%s"), F.col("claim_id").cast("string"))
+    first = F.get("claims", F.lit(0))
+    return claims.parse_claims(o.withColumn("payload", payload)).select("claim_id", "error", first["text"].alias("first_text"), F.array_join(first["citation_ids"], ",").alias("first_ids"))
+
+
 def _pairs(spark, sf_dir):
     """Vectors of one label as candidate pairs; the other cosine is that of the halves."""
     e = table(spark, sf_dir, "embeddings").select("vec_id", "label", F.col("embedding").alias("v"))
@@ -391,11 +433,11 @@ def fn_citations_and_terms(spark, sf_dir):
 _SIX = "printf('%.5e', CAST({} AS DOUBLE))"
 
 
-@query(f"""WITH v AS (SELECT event_id, {_SIX.format("round(value, 3)")} AS d, {_SIX.format("event_id")} AS e, {_SIX.format("user_id * 10 + 2")} AS w, {_SIX.format("-350")} AS m, {_SIX.format("7")} AS s FROM events)
-SELECT event_id, CAST(len(list_distinct([d, e, w, m, s])) AS INTEGER) AS n_numbers, CAST(len(list_distinct(['days ' || d, '% ' || e, '% ' || s])) AS INTEGER) AS n_units, 3 AS n_bigrams FROM v""")
+@query(f"""WITH v AS (SELECT event_id, {_SIX.format("round(value, 3)")} AS d, {_SIX.format("event_id")} AS e, {_SIX.format("user_id * 10 + 2")} AS w, {_SIX.format("-350")} AS m, {_SIX.format("7")} AS s, {_SIX.format("365")} AS f FROM events)
+SELECT event_id, CAST(len(list_distinct([d, e, w, m, s, f])) AS INTEGER) AS n_numbers, CAST(len(list_distinct(['days ' || d, '% ' || e, '% ' || s, 'days ' || f])) AS INTEGER) AS n_units, 3 AS n_bigrams FROM v""")
 def fn_numbers_and_units(spark, sf_dir):
     """Sentences with numbers of known values: signs, exponents, units in both languages, letters before digits."""
     word = lambda c: c.cast("string")
-    parts = (F.lit("它用了 "), F.format_string("%.3f", F.round("value", 3)), F.lit(" days and "), word(F.col("event_id")), F.lit("% of a_1 at -3.5e2 七 7％ ("), word(F.col("user_id") * 10 + 2), F.lit(")"))
+    parts = (F.lit("它用了 "), F.format_string("%.3f", F.round("value", 3)), F.lit(" days and "), word(F.col("event_id")), F.lit("% of a_1 at -3.5e2 七 7％ ("), word(F.col("user_id") * 10 + 2), F.lit(") \uff13\uff16\uff15\u3000days"))
     t = F.concat(*parts)
     return table(spark, sf_dir, "events").select("event_id", F.size(X.numbers(t)).alias("n_numbers"), F.size(X.unit_facts(t)).alias("n_units"), F.size(X.cjk_bigrams(t)).alias("n_bigrams"))

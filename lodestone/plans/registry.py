@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -32,3 +33,11 @@ def with_checkpoints(spark: SparkSession) -> SparkSession:
             raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         spark.sparkContext.setCheckpointDir(named or "file://" + tempfile.mkdtemp(prefix="lodestone-"))
     return spark
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """The frame written once as Parquet in the checkpoint folder and read again, so that several readers share it and columns are pruned."""
+    spark = with_checkpoints(df.sparkSession)
+    at = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(at)
+    return spark.read.schema(df.schema).parquet(at)

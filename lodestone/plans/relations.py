@@ -7,7 +7,7 @@ from pyspark.sql.window import Window
 
 from lodestone.functions import scalars as S
 from lodestone.functions import text as X
-from lodestone.operators import checks, chunking, corpus, lifecycle, summaries
+from lodestone.operators import checks, chunking, corpus, lifecycle, ordering, summaries
 from lodestone.plans.frames import CHUNKS, EVENTS, JOBS, chunks, job_events, table, version_events
 from lodestone.plans.registry import query, with_checkpoints
 from lodestone.sources.readers import html_text
@@ -116,8 +116,10 @@ for _entity, _sign in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;",
 @query(f"""WITH l AS (SELECT page_id, html, list_transform(string_split(regexp_replace(replace(replace(html, chr(13) || chr(10), chr(10)), chr(13), chr(10)), '[\\x00-\\x08\\x0B-\\x1F\\x7F-\\x{{9F}}]', '', 'g'), chr(10)), lambda x: trim(regexp_replace(x, '[\\t ]+', ' ', 'g'), ' ')) AS lines FROM pages)
 SELECT page_id, md5(array_to_string(list_filter(lines, lambda x: x <> ''), chr(10))) AS page_digest, CAST(length(trim(regexp_replace({_VISIBLE}, '[\\s\\x0b]+', ' ', 'g'), ' ')) AS INTEGER) AS n_visible FROM l""")
 def prj_page_text(spark, sf_dir):
+    """Pages with blanks of other kinds around them and in a line of their own, which change nothing."""
     p = table(spark, sf_dir, "pages")
-    return p.select("page_id", F.md5(X.page_text(F.col("html"))).alias("page_digest"), F.length(html_text(F.col("html"))).alias("n_visible"))
+    around = F.concat(F.lit("\u3000\u00a0"), "html", F.lit("\u2003\n\u00a0\u3000\n\u2028"))
+    return p.select("page_id", F.md5(X.page_text(around)).alias("page_digest"), F.length(html_text(F.col("html"))).alias("n_visible"))
 
 
 @query("""WITH RECURSIVE o AS (SELECT l_orderkey AS d, l_quantity > 20 AS h, 1 + (l_orderkey + 3 * l_linenumber) % 9 AS lv, l_linenumber AS n, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS i FROM (SELECT l_orderkey, l_linenumber, max(l_quantity) AS l_quantity FROM lineitem GROUP BY ALL)),
@@ -211,6 +213,22 @@ def agg_percentiles(spark, sf_dir):
     return table(spark, sf_dir, "events").groupBy("event_type").agg(F.round(summaries.interpolated_percentile("value", 0.5), 6).alias("p50"), F.round(summaries.interpolated_percentile("value", 0.95), 6).alias("p95"), F.round(summaries.nearest_rank_percentile("value", 0.95), 6).alias("nearest_p95"))
 
 
+@query("SELECT event_type, count(*) AS n, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95, round(quantile_cont(value, 0.999), 6) AS p999 FROM events GROUP BY event_type")
+def agg_percentiles_refined(spark, sf_dir):
+    """Exact percentiles by refined counts, whatever a group's size."""
+    with_checkpoints(spark)
+    got = ordering.percentiles(table(spark, sf_dir, "events"), ["event_type"], "value", {"p50": 0.5, "p95": 0.95, "p999": 0.999})
+    return got.select("event_type", "n", *[F.round(c, 6).alias(c) for c in ("p50", "p95", "p999")])
+
+
+@query("SELECT l_orderkey, l_linenumber, l_partkey, row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice) - 1 AS place FROM lineitem")
+def win_global_number(spark, sf_dir):
+    """Every line's place among all lines, without a task that holds them all."""
+    with_checkpoints(spark)
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+    return ordering.numbered(rows, rows.columns, "place").select("l_orderkey", "l_linenumber", "l_partkey", "place")
+
+
 @query("SELECT source, count(*) AS n, min(length(text)) AS min_chars, quantile_cont(length(text), 0.5) AS median_chars, round(avg(length(text)), 6) AS mean_chars, quantile_disc(length(text), 0.95) AS p95_chars, max(length(text)) AS max_chars FROM documents GROUP BY source")
 def agg_chunk_lengths(spark, sf_dir):
     return summaries.length_summary(table(spark, sf_dir, "documents"), ["source"])
@@ -296,12 +314,14 @@ def win_hash_order(spark, sf_dir):
 @query("""WITH u AS (SELECT n_nationkey AS u, n_nationkey % 4 AS t, coalesce(sum(n_nationkey % 4) OVER (ORDER BY n_nationkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM nation),
 p AS (SELECT r_name, row_number() OVER (ORDER BY r_name) - 1 AS i, count(*) OVER () AS n FROM region), w AS (SELECT u, unnest(range(CAST(t AS BIGINT))) AS k, b FROM u WHERE t > 0) SELECT CAST(u AS INTEGER) AS n_nationkey, r_name FROM w JOIN p ON p.i = (w.b + w.k) % p.n""")
 def win_round_robin(spark, sf_dir):
+    with_checkpoints(spark)
     units = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("int").alias("n_nationkey"), (F.col("n_nationkey") % 4).cast("int").alias("takes"))
     return corpus.dealt_round_robin(units, table(spark, sf_dir, "region"), "n_nationkey", "takes", "r_name")
 
 
 @query("SELECT item_id, CAST((row_number() OVER (ORDER BY item_id) - 1) // 10 AS BIGINT) AS batch FROM benchmark")
 def win_batches(spark, sf_dir):
+    with_checkpoints(spark)
     return corpus.batches(table(spark, sf_dir, "benchmark"), "item_id").select("item_id", F.col("batch").cast("bigint").alias("batch"))
 
 

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as X
-from lodestone.operators import access, answers, dense, fusion, lexical
+from lodestone.operators import access, answers, blockmax, cells, dense, fusion, lexical
 from lodestone.plans.frames import CHUNKS, EVENTS, OVERLAP, SCOPES, SELECTED, UNSELECTIVE, VISIBLE, chunks, questions, scopes, table, version_events
-from lodestone.plans.registry import query, with_checkpoints
+from lodestone.plans.registry import query, stored, with_checkpoints
 
 
 @query(f"WITH {CHUNKS}, {SCOPES} SELECT s.scope_id, c.visibility, count(*) AS n FROM chunks c, scopes s WHERE {VISIBLE} GROUP BY ALL")
@@ -96,26 +98,33 @@ def _fields():
     return {"body": F.col("text"), "section": F.col("section_path")}
 
 
-def _bm25(spark, sf_dir):
-    return lexical.bm25_scan(questions(spark, sf_dir), chunks(spark, sf_dir), _fields(), {"body": 1.0, "section": 2.0})
+_WEIGHTS = {"body": 1.0, "section": 2.0}
+
+
+def held_blocks(spark, sf_dir):
+    """(blocks, terms) of BM25 and of token overlap for every question, written to shared storage."""
+    return blockmax.batch(questions(spark, sf_dir), chunks(spark, sf_dir), _fields(), _WEIGHTS, stored)
 
 
 @query(f"WITH {_POSTINGS} SELECT question_id, chunk_id, score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, chunk_id) AS rank FROM bm25) WHERE rank <= 10")
 def lex_bm25_topk(spark, sf_dir):
-    return lexical.top_k(_bm25(spark, sf_dir), 10, ["question_id"])
+    return blockmax.best(*held_blocks(spark, sf_dir)[0], 10)
 
 
 @query(f"WITH {_POSTINGS} SELECT question_id, chunk_id, score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, chunk_id) AS rank FROM bm25) WHERE rank <= 10")
 def lex_bm25_index(spark, sf_dir):
-    """The same over postings."""
-    return lexical.top_k(lexical.bm25_scores(questions(spark, sf_dir), lexical.postings(chunks(spark, sf_dir), _fields()), {"body": 1.0, "section": 2.0}), 10, ["question_id"])
+    """The same over a stored index."""
+    with_checkpoints(spark)
+    at = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/index-{uuid.uuid4().hex}"
+    blockmax.write(chunks(spark, sf_dir), _fields(), _WEIGHTS, at, "documents")
+    return blockmax.open_index(spark, at, "documents").top_k(questions(spark, sf_dir), 10)
 
 
 @query(f"WITH {_POSTINGS}, scored AS (SELECT question_id, chunk_id, score FROM bm25 JOIN chunks c USING (chunk_id) WHERE is_active AND visibility = 'public') SELECT question_id, chunk_id, score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, chunk_id) AS rank FROM scored) WHERE rank <= 5")
 def lex_bm25_authorized(spark, sf_dir):
     """Corpus statistics from all chunks, access applied after scoring and before the cut."""
     c = chunks(spark, sf_dir).where("is_active and visibility = 'public'").select("chunk_id")
-    return lexical.top_k(_bm25(spark, sf_dir).join(c, "chunk_id", "left_semi"), 5, ["question_id"])
+    return blockmax.best(*held_blocks(spark, sf_dir)[0], 5, c)
 
 
 @query(f"WITH {_POSTINGS} SELECT token, chunk_id, CAST(length AS INTEGER) AS length, CAST(tf_body AS BIGINT) AS tf_body, CAST(tf_section AS BIGINT) AS tf_section FROM postings JOIN lens USING (chunk_id)")
@@ -174,6 +183,23 @@ def vec_cosine_topk(spark, sf_dir):
     return _cosine(spark, sf_dir)
 
 
+_NAMED = _COSINE.replace("a.vec_id AS question_id, b.vec_id AS chunk_id", "a.vec_id AS question_id, 'v' || CAST(b.vec_id AS VARCHAR) AS chunk_id")
+
+
+@query(f"WITH {_NAMED.replace('AND a.vec_id <> b.vec_id', 'AND a.vec_id % 4 = b.vec_id % 4')} SELECT question_id, chunk_id, score, CAST(rank AS INTEGER) AS rank FROM dense WHERE rank <= 10")
+def vec_index_topk(spark, sf_dir):
+    """The same from a stored index of cells by names, all cells searched, each query seeing a quarter of the vectors."""
+    with_checkpoints(spark)
+    at = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/cells-{uuid.uuid4().hex}"
+    e = table(spark, sf_dir, "embeddings")
+    quarter = F.concat(F.lit("scope "), (F.col("vec_id") % 4).cast("string"))
+    named = e.select(F.concat(F.lit("v"), F.col("vec_id").cast("string")).alias("chunk_id"), F.col("embedding").alias("vector"), F.array(quarter).alias("visible"))
+    cells.write(named, at, "embeddings", cell_size=128, visible_col="visible")
+    index = cells.open_index(spark, at, "embeddings")
+    asked = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("question_id"), F.col("embedding").alias("vector"), quarter.alias("scope"))
+    return index.top_k(asked, 10, 0.2, probes=len(index.centres), scope_col="scope")
+
+
 @query("SELECT len(embedding) AS dims, count(*) AS n FROM embeddings GROUP BY ALL")
 def vec_dims(spark, sf_dir):
     return table(spark, sf_dir, "embeddings").groupBy(F.size("embedding").cast("long").alias("dims")).agg(F.count(F.lit(1)).alias("n"))
@@ -209,20 +235,11 @@ fused AS (SELECT question_id, chunk_id, round(sum(1.0::DOUBLE / (60 + rank)), 12
 rrf AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, best_rank, chunk_id) AS rank FROM fused)"""
 
 
-def asked_scores(spark, sf_dir):
-    """Token overlap and BM25 of every question, both from one table of the asked tokens' postings, written to shared storage."""
-    with_checkpoints(spark)
-    c, q = chunks(spark, sf_dir), questions(spark, sf_dir)
-    few, full = lexical.question_terms(q), lexical.question_terms(q, X.QUERY_STOP_WORDS)
-    held = lexical.asked_postings([few, full], c, _fields()).checkpoint()
-    return lexical.overlap_of(held, few), lexical.bm25_of(held, full, lexical.collection(c, _fields()), {"body": 1.0, "section": 2.0})
-
-
-def two_rankings(spark, sf_dir, depth=20, scores=None):
-    """backend, question_id, chunk_id, score, rank of token overlap and BM25 (given where known already)."""
-    overlap, bm25 = scores or asked_scores(spark, sf_dir)
-    a = lexical.top_k(overlap.withColumn("score", F.col("score").cast("double")), depth, ["question_id"]).withColumn("backend", F.lit("overlap"))
-    return a.unionByName(lexical.top_k(bm25, depth, ["question_id"]).withColumn("backend", F.lit("bm25")))
+def two_rankings(spark, sf_dir, depth=20, held=None):
+    """backend, question_id, chunk_id, score, rank of token overlap and BM25 (from blocks that are known already where given)."""
+    full, few = held or held_blocks(spark, sf_dir)
+    a = blockmax.best(*few, depth).withColumn("backend", F.lit("overlap"))
+    return a.unionByName(blockmax.best(*full, depth).withColumn("backend", F.lit("bm25")))
 
 
 @query(f"WITH {_RANKS} SELECT question_id, chunk_id, score, CAST(best_rank AS INTEGER) AS best_rank, CAST(rank AS INTEGER) AS rank FROM rrf WHERE rank <= 10")
@@ -250,10 +267,10 @@ p AS (SELECT *, CASE WHEN bool_or(s IS NULL) OVER (PARTITION BY question_id) THE
 SELECT question_id, chunk_id, CAST(former_rank AS INTEGER) AS former_rank, status, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY CASE WHEN status = 'APPLIED' THEN s END DESC NULLS LAST, former_rank) AS rank FROM p) WHERE rank <= 10""")
 def fus_rerank_topk(spark, sf_dir):
     """A stand-in score (pages by overlap), missing where token overlap has none, so that some questions fall back."""
-    scores = asked_scores(spark, sf_dir)
-    pool = fusion.rrf(two_rankings(spark, sf_dir, scores=scores), top=20).select("question_id", "chunk_id", "rank")
+    held = held_blocks(spark, sf_dir)
+    pool = stored(fusion.rrf(two_rankings(spark, sf_dir, held=held), top=20).select("question_id", "chunk_id", "rank"), "pool")
     c = chunks(spark, sf_dir).select("chunk_id", "page_end")
-    o = scores[0].withColumnRenamed("score", "shared")
+    o = blockmax.exact(pool, held[1][1], held[1][0]).withColumnRenamed("score", "shared")
     scored = pool.join(c, "chunk_id").join(o, ["question_id", "chunk_id"], "left").withColumn("pair_score", F.round(F.col("page_end").cast("double") / (1 + F.col("shared")), 6))
     return fusion.rerank(scored, 10).select("question_id", "chunk_id", "former_rank", "status", "rank")
 
