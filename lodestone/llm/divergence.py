@@ -34,7 +34,7 @@ from lodestone.llm.common import batches, bound_batches, cut
 #: Bytes of UTF-8 that belong to terms stay, A-Z lower-cased; all others become blanks.
 _TERM_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 #: Counts that a task holds before it hands them on.
-HELD = 200_000
+HELD = 300_000
 PARTS, ADDED = 1_000_000_000, 5
 
 
@@ -45,27 +45,29 @@ def terms(text: str) -> list[bytes]:
 
 
 def _counted(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    n, docs = Counter(), Counter()
-
-    def out() -> pa.RecordBatch:
-        keys = list(n)
-        cols = [pa.array([k[j] for k in keys], pa.string()) for j in (0, 1)]
-        named = [pa.array([k[2].decode() for k in keys], pa.string()), pa.array([n[k] for k in keys], pa.int64()), pa.array([docs[k] for k in keys], pa.int64())]
-        batch = pa.RecordBatch.from_arrays([*cols, *named], ["lang", "source", "term", "n", "docs"])
+    n: dict[tuple, tuple[Counter, Counter]] = {}
+
+    def out() -> Iterator[pa.RecordBatch]:
+        for (lang, source), (count, docs) in n.items():
+            size = len(count)
+            named = [pa.array([x], pa.string()).take(pa.array(np.zeros(size, np.int64))) for x in (lang, source)]
+            terms_ = pa.array(list(count), pa.binary()).cast(pa.string())
+            yield pa.RecordBatch.from_arrays([*named, terms_, pa.array(list(count.values()), pa.int64()), pa.array([docs[t] for t in count], pa.int64())], ["lang", "source", "term", "n", "docs"])
         n.clear()
-        docs.clear()
-        return batch
 
+    held = 0
     for batch in batches(it, "text"):
         for lang, source, text in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("lang", "source", "text")), strict=True):
-            for term, k in Counter(terms(text)).items():
-                key = (lang, source, term)
-                n[key] += k
-                docs[key] += 1
-            if len(n) > HELD:
-                yield out()
-    if n:
-        yield out()
+            if found := terms(text):
+                count, docs = n.setdefault((lang, source), (Counter(), Counter()))
+                held -= len(count)
+                count.update(found)
+                docs.update(set(found))
+                held += len(count)
+        if held > HELD:
+            yield from out()
+            held = 0
+    yield from out()
 
 
 def _shares(counts: DataFrame, groups: DataFrame, least_docs: int, tile_terms: int, tile_groups: int) -> tuple[DataFrame, DataFrame]:
