@@ -8,13 +8,13 @@ from pyspark.sql import functions as F
 from lodestone.llm.common import cut
 
 
-def connected_components(links: DataFrame, a: str = "a", b: str = "b", most_rounds: int = 60) -> DataFrame:
+def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """node, root: a row for each node that has a link; nodes have equal roots if and only if links connect them.
 
     In each round every node steps to the neighbour (or stays) that comes first in an order drawn anew by hashing, and the links
     are redrawn between the steps' ends, without loops and repeats. The order being random, the nodes left shrink by a constant
     factor a round, on long chains too. Rounds end when no link is left; then the steps are put together from the last back to the
-    first. Every table is written to the shared folder, so lineage stays short. Nulls and loops don't link; repeated links are one.
+    first. Each round loses at least one node of every component left, so rounds end. Every table is written to the shared folder, so lineage stays short. Nulls and loops don't link; repeated links are one.
     """
     spark = links.sparkSession
     kind = dict(links.dtypes)[a]
@@ -22,8 +22,6 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b", most_roun
     edges = cut(both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")
     steps: list[DataFrame] = []
     while not edges.isEmpty():
-        if len(steps) == most_rounds:
-            raise RuntimeError("components did not converge")
         salt = F.lit(len(steps))
         ends = edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).toDF("node", "next")
         order = lambda c: F.struct(F.xxhash64(salt, F.col(c)).alias("h"), F.col(c).alias("id"))

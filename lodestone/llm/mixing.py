@@ -16,6 +16,7 @@ few single exchanges then mend.
 from __future__ import annotations
 
 import math
+import warnings
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -87,7 +88,7 @@ def solve(sized: DataFrame, targets: dict[str, dict], cap: float = 3.0, half: fl
     """Multipliers by column and group for rates that meet the targets; groups without tokens get zero.
 
     Targets of several columns must agree (the same total, reachable under the cap); what cannot be met is met as nearly as the
-    last step came.
+    last step came, with a warning where `most_steps` ended the search.
     """
     spark, columns = sized.sparkSession, list(targets)
     half = half_size(sized) if half is None else half
@@ -147,6 +148,8 @@ def solve(sized: DataFrame, targets: dict[str, dict], cap: float = 3.0, half: fl
         if np.array_equal(new, lam):
             break
         lam, value, taken, h = new, v, t, k
+    else:
+        warnings.warn(f"the mix is off its targets by up to {np.abs(np.where(open_, taken - goal, 0.0)).max(initial=0.0):.6g} tokens after {most_steps} steps", stacklevel=2)
     return {c: {g: float(lam[at[c, g]]) for g in targets[c]} for c in columns}
 
 
@@ -207,9 +210,12 @@ def cut_keys(rows: DataFrame, column: str, need: dict, residue: int = 1_000) ->
 class Mix:
     """A solved mix: targets, multipliers and cut keys; apply() gives every row its copies."""
 
-    def __init__(self, docs: DataFrame, column: str = "source", weights: tuple[float, ...] = (5, 2, 1), cap: float = 3.0, id_col: str = "doc_id", text_col: str = "text", most_groups: int = 1_000_000, half: float | None = None):
-        self.column, self.cap, self.id_col, self.text_col = column, cap, id_col, text_col
-        self.sized = cut(sized_rows(docs.withColumn("_id", F.col(id_col)), [column], id_col, text_col, keep=["_id"]), "mix-sizes")
+    def __init__(self, docs: DataFrame, column: str = "source", weights: tuple[float, ...] = (5, 2, 1), cap: float = 3.0, id_col: str = "doc_id", text_col: str = "text", most_groups: int = 1_000_000, half: float | None = None, whole_rows: bool = False):
+        """With `whole_rows` the rows are written as they are beside their key, for documents(); else identifier and size only, for table()."""
+        self.column, self.cap, self.own = column, cap, docs.columns
+        kept = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row") if whole_rows else F.col(id_col).alias("_id")
+        # written once with its key: whatever splits a later job reads, each of equal rows keeps its own place in the order of rounding
+        self.sized = cut(sized_rows(docs.select(kept, *dict.fromkeys((id_col, column, text_col))), [column], id_col, text_col, keep=["_row" if whole_rows else "_id"]), "mix-rows")
         self.sizes = group_sizes(self.sized, column, most_groups)
         self.targets = weight_targets(self.sizes, weights, cap)
         self.half = half_size(self.sized) if half is None else half
@@ -263,10 +269,7 @@ class Mix:
         cols = [F.col("_id").alias("doc_id"), "size", "source_size", "target", (F.col("copies") * F.col("size")).cast("long").alias("taken"), "rate", "copies"]
         return self.copies(self.sized).select(*cols)
 
-    def documents(self, docs: DataFrame) -> DataFrame:
-        """Every row as often as it has copies, with its columns as they are; needs the rows that the mix was solved on."""
-        own = docs.columns
-        inner = docs.select(F.struct(*[F.col(f"`{c}`") for c in own]).alias("_row"), F.col(self.id_col), F.col(self.column), F.col(self.text_col))
-        sized = sized_rows(inner, [self.column], self.id_col, self.text_col, keep=["_row"])
-        many = self.copies(sized).where("copies > 0").select(F.explode(F.array_repeat("_row", F.col("copies"))).alias("_row"))
+    def documents(self) -> DataFrame:
+        """Every row as often as it has copies, with its columns as they are; of a mix made with `whole_rows`."""
+        many = self.copies(self.sized).where("copies > 0").select(F.explode(F.array_repeat("_row", F.col("copies"))).alias("_row"))
         return many.select("_row.*")

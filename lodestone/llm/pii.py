@@ -249,8 +249,8 @@ def _join(spans) -> str:
     return ",".join(f"{s[0]}:{s[1]}:{s[2]}" for s in spans)
 
 
-def learn(found: DataFrame, most_codes: int = 200_000) -> dict[str, float]:
-    """Probability by code from the counts of all candidates. Codes are bounded by construction; more than `most_codes` is an error."""
+def learn(found: DataFrame, most_codes: int = 5 * 3**6 * 4**4) -> dict[str, float]:
+    """Probability by code from the counts of all candidates. The bound is the number of codes that there are: 5 kinds, 6 votes of 3, 4 features of 4."""
     rows = found.select(F.explode("codes").alias("code")).select(F.ltrim(F.col("code"), F.lit("*")).alias("code")).groupBy("code").agg(F.count(F.lit(1)).alias("n")).limit(most_codes + 1).collect()
     if len(rows) > most_codes:
         raise ValueError("too many codes of votes and features")

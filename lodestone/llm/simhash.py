@@ -368,7 +368,17 @@ def _few(rows: DataFrame, n: int) -> DataFrame:
     return F.broadcast(rows) if n <= MOST_BROADCAST else rows.hint("shuffle_hash")
 
 
-def similar_components(placed: DataFrame, at: str, text_col: str, width: int, similarity: float, split: int = 20_000, block: int = 1024, block_words: int = 1 << 20) -> DataFrame:
+def set_key(shingles: np.ndarray) -> int:
+    """A 64-bit key of a shingle set; sets that share one are told apart by a second hash."""
+    return xxhash.xxh64_intdigest(shingles.tobytes(), 42)
+
+
+def _distinct_sets(marked: DataFrame) -> DataFrame:
+    unlike = (F.min("other") != F.max("other")).alias("unlike")
+    return marked.groupBy("set").agg(*[F.min(c).alias(a) for c, a in (("doc_id", "least"), ("fp", "fp"))], *[F.first(c).alias(c) for c in ("n", "keys", "sketch")], unlike)
+
+
+def similar_components(placed: DataFrame, at: str, text_col: str, width: int, similarity: float, split: int = 20_000, block: int = 1024, block_words: int = 1 << 20, key_of=set_key) -> DataFrame:
     """doc_id, component_id: the smallest `at` reachable over links of shingle sets with Jaccard similarity >= `similarity`.
 
     `at` is a key of the rows; rows with one key have one text. Equal sets are one row from the start and texts without a word are copies. Sets whose fingerprints lie within two bits, and sets
@@ -376,25 +386,31 @@ def similar_components(placed: DataFrame, at: str, text_col: str, width: int, si
     compared exactly, from the whole texts. A group is dealt out in blocks of about `block` sets and `block_words` words, each pair
     of which is a task's work, so that no task holds more, however large the group.
     """
-    schema = pa.schema([("doc_id", pa.int64()), ("set", pa.int64()), ("n", pa.int64()), ("fp", pa.int64()), ("keys", pa.list_(pa.int64())), ("sketch", pa.binary())])
+    schema = pa.schema([("doc_id", pa.int64()), ("set", pa.int64()), ("other", pa.int64()), ("n", pa.int64()), ("fp", pa.int64()), ("keys", pa.list_(pa.int64())), ("sketch", pa.binary())])
 
     def run(it):
         for batch in batches(it, "text"):
-            of, n, fps, keys, sketches = [], [], [], [], []
+            of, other, n, fps, keys, sketches = [], [], [], [], [], []
             for text in batch.column(1).to_pylist():
                 hashes = shingle_hashes(text, width)
                 shingles = np.unique(hashes)
                 smallest = smallest_hashes(shingles)
-                of.append(xxhash.xxh64_intdigest(shingles.tobytes(), 42))
+                of.append(key_of(shingles))
+                other.append(xxhash.xxh64_intdigest(shingles.tobytes(), 43))
                 n.append(len(shingles))
                 fps.append(majority(hashes))
                 keys.append(bands(smallest))
                 sketches.append(sketch_of(smallest))
-            signed = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (of, fps)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), signed[0], pa.array(n, pa.int64()), signed[1], pa.array(keys, pa.list_(pa.int64())), pa.array(sketches, pa.binary())], schema=schema)
-
-    marked = cut(id_and_text(placed, at, text_col).mapInArrow(run, "doc_id long, set long, n long, fp long, keys array<long>, sketch binary"), "shingle-sets")
-    one = cut(marked.groupBy("set").agg(*[F.min(c).alias(a) for c, a in (("doc_id", "least"), ("fp", "fp"))], *[F.first(c).alias(c) for c in ("n", "keys", "sketch")]), "distinct-sets")
+            signed = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (of, other, fps)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), signed[0], signed[1], pa.array(n, pa.int64()), signed[2], pa.array(keys, pa.list_(pa.int64())), pa.array(sketches, pa.binary())], schema=schema)
+
+    marked = cut(id_and_text(placed, at, text_col).mapInArrow(run, "doc_id long, set long, other long, n long, fp long, keys array<long>, sketch binary"), "shingle-sets")
+    one = cut(_distinct_sets(marked), "distinct-sets")
+    shared = cut(one.where("unlike").select("set"), "shared-keys")
+    if n := shared.count():  # unlike sets with one key get keys of both their hashes
+        own = marked.join(_few(shared.withColumn("twice", F.lit(True)), n), "set", "left")
+        marked = cut(own.withColumn("set", F.when(F.col("twice"), F.xxhash64("set", "other")).otherwise(F.col("set"))).drop("twice"), "shingle-sets")
+        one = cut(_distinct_sets(marked), "distinct-sets")
     groups = connected_components(_band_links(one, similarity, split).union(_fingerprint_candidates(one))).toDF("set", "group")
     members = cut(one.select("set", "least", "n").join(groups, "set"), "set-groups")
     sizes = members.groupBy("group").agg(F.ceil(F.greatest(F.count(F.lit(1)) / block, F.sum("n") / block_words)).cast("int").alias("blocks"))
@@ -410,11 +426,34 @@ def similar_components(placed: DataFrame, at: str, text_col: str, width: int, si
     return marked.select("doc_id", "set").join(named, "set").select("doc_id", "component_id")
 
 
-def row_key(docs: DataFrame):
-    """A 64-bit hash of a row's columns: the same for equal rows wherever they lie. Of 10^9 unlike rows some 0.03 pairs share one."""
+def row_key(docs: DataFrame, order: int = 0):
+    """A 64-bit hash of a row's columns, the same for equal rows wherever they lie; another one for each order."""
     plain = [F.to_json(F.struct(F.col(f"`{f.name}`"))) if "map" in f.dataType.simpleString() else F.col(f"`{f.name}`") for f in docs.schema]
     places = [F.when(F.col(f"`{f.name}`").isNull(), i).otherwise(-1) for i, f in enumerate(docs.schema)]  # a null by itself leaves a hash as it is
-    return F.xxhash64(*plain, *places)
+    return F.xxhash64(*[F.lit(order)] * (order > 0), *plain, *places)
+
+
+def _keyed(docs: DataFrame, at: str, other: str, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """docs with a key, and a: i, h, m (least identifier, least text hash, rows) of every key. Unlike rows have unlike keys.
+
+    Two hashes are taken of each row. Rows that share the first but not the second, few if any among 10^11, are known by a hash of both
+    instead; what then still goes wrong has a chance of about 10^-17 in all at 10^11 rows.
+    """
+
+    def facts(rows: DataFrame) -> DataFrame:
+        ids = rows.select(F.col(at).alias("a"), F.col(other).alias("o"), F.col(id_col).cast("long").alias("i"), F.xxhash64(F.col(text_col)).alias("h"))
+        return cut(ids.groupBy("a").agg(F.min("i").alias("i"), F.min("h").alias("h"), F.count(F.lit(1)).alias("m"), (F.min("o") != F.max("o")).alias("unlike")), "row-keys")
+
+    keyed = docs.withColumns({at: row_key(docs), other: row_key(docs, 1)})
+    ids = facts(keyed)
+    shared = cut(ids.where("unlike").select(F.col("a").alias(at)), "shared-keys")
+    if n := shared.count():
+        flag = other + "_"
+        while flag in docs.columns:
+            flag += "_"
+        keyed = keyed.join(_few(shared.withColumn(flag, F.lit(True)), n), at, "left").withColumn(at, F.when(F.col(flag), F.xxhash64(at, other)).otherwise(F.col(at)))
+        ids = facts(keyed)
+    return keyed, ids
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, similarity: float | None = None, **limits) -> DataFrame:
@@ -422,20 +461,21 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
 
     Components are those of `near_duplicates`, or with a similarity those of shingle sets at least so similar (Jaccard), with the
     limits of `similar_components`. Of rows with one doc_id in one component the one with the smallest text hash stays, then with the
-    smallest hash of all columns; of equal rows one stays. Rows are known by their contents alone, so that it doesn't matter in what
+    smallest hash of all columns; of equal rows one stays. Rows are known by 128 bits of their contents alone, so that it doesn't matter in what
     places each job reads them and nothing is numbered. Null and empty texts are copies of each other; no rows give no rows.
     """
     at = "_at"
     while at in docs.columns:
         at += "_"
-    keyed = docs.withColumn(at, row_key(docs))
+    other = at + "other"
+    while other in docs.columns:
+        other += "_"
+    keyed, ids = _keyed(docs, at, other, id_col, text_col)
     if similarity is None:
         found = near_duplicates(keyed.select(at, text_col), at, text_col, width)
     else:
         found = similar_components(keyed.select(at, text_col), at, text_col, width, similarity, **limits)
     keys = found.groupBy(F.col("doc_id").alias("a")).agg(F.min("component_id").alias("of"))
-    ids = keyed.select(F.col(at).alias("a"), F.col(id_col).cast("long").alias("i"), F.xxhash64(F.col(text_col)).alias("h"))
-    ids = ids.groupBy("a").agg(F.min("i").alias("i"), F.min("h").alias("h"), F.count(F.lit(1)).alias("m"))
     placed = cut(ids.join(keys, "a"), "row-components")
     order = F.struct(F.col("i").isNull().alias("n"), "i", "h", "a", "m")
     first = cut(placed.groupBy("of").agg(F.min(order).alias("x")).select("x.a", "x.m"), "first-copies")
@@ -445,4 +485,4 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
     if n := again.count():  # equal rows: each of them is as good as the others
         again = _few(again, n)
         out = out.join(again, at, "left_anti").unionByName(out.join(again, at, "left_semi").dropDuplicates([at]))
-    return out.drop(at).select(*[f"`{c}`" for c in docs.columns])
+    return out.select(*[f"`{c}`" for c in docs.columns])

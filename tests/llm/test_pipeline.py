@@ -59,10 +59,10 @@ def test_queries_and_sql(spark, sf):
     import duckdb
 
     con = duckdb.connect()
-    for t in ("documents", "labels", "pages", "embeddings"):
+    for t in ("documents", "labels", "pages", "embeddings", "benchmark"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
     named = Q.queries()
-    assert [n.split("_")[0] for n in named if n.startswith("op")] == [f"op{i}" for i in range(1, 11)]
+    assert [n.split("_")[0] for n in named if n.startswith("op")] == [f"op{i}" for i in range(1, 14)]
     tidy = lambda v: None if v is None or v != v else v
     for name, sql in Q.oracle_sql().items():
         df = named[name](spark, sf)

@@ -115,6 +115,18 @@ def test_keep_one_when_splits_change(spark, tmp_path, monkeypatch, similarity):
     assert sorted(got) == list(range(200))
 
 
+@pytest.mark.parametrize("similarity", [None, 0.8])
+def test_keep_one_when_keys_collide(spark, monkeypatch, similarity):
+    """With row keys and set keys of a few values only, unlike rows still stay, one of each group of copies."""
+    rng = random.Random(9)
+    texts = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(60)) for _ in range(60)]
+    df = spark.createDataFrame([(i, texts[i % 60]) for i in range(120)] + [(7, texts[7])] * 2, "doc_id long, text string").repartition(3)
+    plain = simhash.row_key
+    monkeypatch.setattr(simhash, "row_key", lambda docs, order=0: plain(docs, order) if order else F.pmod(plain(docs), F.lit(5)))
+    limits = {} if similarity is None else {"key_of": lambda shingles: int(shingles.sum()) % 7}
+    assert sorted(r.doc_id for r in simhash.keep_one(df, width=5, similarity=similarity, **limits).collect()) == list(range(60))
+
+
 def test_forest_beyond_a_block():
     rng = np.random.default_rng(1)
     fps = np.unique(np.uint64(7) ^ (np.uint64(1) << rng.integers(0, 20, 4000).astype(np.uint64)) ^ (np.uint64(1) << rng.integers(0, 64, 4000).astype(np.uint64)) ^ (np.uint64(1) << rng.integers(0, 64, 4000).astype(np.uint64)))
@@ -144,11 +156,38 @@ def test_mixing(spark, edge_documents, empty_documents):
     want = {r.source: r.n for r in edge_documents.groupBy("source").agg(F.sum(F.size(F.expr(r"regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+', 0)"))).alias("n")).collect()}
     assert mix.sizes == want
     assert sorted(map(tuple, mixing.Mix(edge_documents).table().collect()), key=str) == sorted(map(tuple, rows), key=str)
-    out = mix.documents(edge_documents)
+    out = mixing.Mix(edge_documents, whole_rows=True).documents()
     assert out.columns == edge_documents.columns and out.count() == sum(r.copies for r in rows)
     assert mixing.Mix(empty_documents).table().count() == 0
 
 
+def test_mix_when_splits_change(spark, tmp_path, monkeypatch):
+    """Each job plans its splits otherwise; with many equal rows the documents taken are as many as the table says."""
+    rows = [(i % 40, " w" * (30 + i % 3), f"s{i % 3}") for i in range(3100)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(16).write.parquet(str(tmp_path / "documents.parquet"))
+    calls, plain, key = [], mixing.cut, "spark.sql.files.maxPartitionBytes"
+
+    def moved(df, name):
+        out = plain(df, name)
+        calls.append(name)
+        spark.conf.set(key, str((2_000, 1 << 27, 9_000)[len(calls) % 3]))
+        return out
+
+    monkeypatch.setattr(mixing, "cut", moved)
+    try:
+        mix = mixing.Mix(spark.read.parquet(str(tmp_path / "documents.parquet")), whole_rows=True)
+        want = mix.copies(mix.sized).agg(F.sum("copies"), F.sum(F.col("copies") * F.col("size"))).first()
+        got = []
+        for most in (1_500, 1 << 27):
+            spark.conf.set(key, str(most))
+            got.append(Counter(map(tuple, mix.documents().collect())))
+    finally:
+        spark.conf.unset(key)
+    assert got[0] == got[1] and sum(got[0].values()) == want[0]
+    words = {g: sum(k * len(t.split()) for (_, t, s), k in got[0].items() if s == g) for g in mix.targets}
+    assert all(abs(words[g] - mix.targets[g]) <= 40 for g in words) and sum(words.values()) == want[1]
+
+
 def test_mixing_meets_targets(spark):
     rng = random.Random(2)
     rows = [(i, " w" * rng.choice([5, 20, 90, 300, 1500]), "hot" if i % 3 == 0 else f"s{i % 20}") for i in range(2000)]
