@@ -125,17 +125,25 @@ PLANS = [
 ]
 
 
-@pytest.mark.parametrize("question,code,queries", PLANS)
-def test_decompose(question, code, queries):
-    assert decompose.plan(question, ["A", "B"], CONFIG) == ("FALLBACK" if code else "APPLIED", code, queries or {"A": question, "B": question})
+def planned(spark, rows, config=CONFIG):
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, question string, document_ids array<string>")
+    return [(r.status, r.failure_code, r.queries) for r in decompose.decompose(df, config).orderBy("i").collect()]
+
+
+def test_decompose(spark):
+    got = planned(spark, [(q, ["A", "B"]) for q, _, _ in PLANS])
+    assert got == [("FALLBACK" if code else "APPLIED", code, queries or {"A": q, "B": q}) for q, code, queries in PLANS]
+    turned = planned(spark, [(q, ["B", "A"]) for q, _, _ in PLANS])
+    assert turned == got
 
 
 def test_decompose_preconditions(spark):
-    assert decompose.plan("q", ["A"], CONFIG)[:2] == decompose.plan("q", ["A", "A"], CONFIG)[:2] == ("FALLBACK", "ROUTE_COUNT_NOT_TWO")
-    assert decompose.plan("compare", ["A", "C"], CONFIG)[1] == "DOCUMENT_IDENTITY_UNAVAILABLE"
-    assert decompose.plan("compare", ["A", "B"], decompose.ComparisonConfig(CONFIG.aliases, CONFIG.comparison_markers, enabled=False))[:2] == ("DISABLED", "SWITCH_DISABLED")
-    df = spark.createDataFrame([(PLANS[0][0], ["A", "B"]), (None, None)], "question string, document_ids array<string>")
-    assert sorted(map(str, ((r.status, r.failure_code) for r in decompose.decompose(df, CONFIG).collect()))) == ["('APPLIED', None)", "('FALLBACK', 'ROUTE_COUNT_NOT_TWO')"]
+    rows = [("q", ["A"]), ("q", ["A", "A"]), ("compare", ["A", "C"]), (None, None), (None, ["A", "B"]), ("\u3000\n", ["A", "B"])]
+    got = planned(spark, rows)
+    assert [c for _, c, _ in got] == ["ROUTE_COUNT_NOT_TWO", "ROUTE_COUNT_NOT_TWO", "DOCUMENT_IDENTITY_UNAVAILABLE", "ROUTE_COUNT_NOT_TWO", "QUESTION_BLANK", "QUESTION_BLANK"]
+    assert [q for _, _, q in got] == [{"A": "q"}, {"A": "q"}, {"A": "compare", "C": "compare"}, {}, {"A": "", "B": ""}, {"A": "\u3000\n", "B": "\u3000\n"}]
+    off = decompose.ComparisonConfig(CONFIG.aliases, CONFIG.comparison_markers, enabled=False)
+    assert planned(spark, [("compare", ["A", "B"])], off) == [("DISABLED", "SWITCH_DISABLED", {"A": "compare", "B": "compare"})]
     a = spark.createDataFrame([("A", "Net"), ("B", "net"), ("B", "other")], "document_id string, alias string")
     assert [r.alias for r in decompose.ambiguous_aliases(a).collect()] == ["net"]
 
