@@ -7,7 +7,7 @@ from pyspark.sql.window import Window
 
 from lodestone.functions import scalars as S
 from lodestone.functions import text as X
-from lodestone.operators import answers, blockmax, checks, claims, corpus, evaluation, lexical
+from lodestone.operators import answers, blockmax, checks, claims, corpus, evaluation, lexical, similar
 from lodestone.plans import retrieval as R
 from lodestone.plans.frames import ITEMS, JUDGMENTS, chunks, items, judgments, questions, table
 from lodestone.plans.registry import query, stored, with_checkpoints
@@ -274,14 +274,27 @@ def clm_parse_rules(spark, sf_dir):
     return claims.parse_claims(o.withColumn("payload", payload)).select("claim_id", "error", first["text"].alias("first_text"), F.array_join(first["citation_ids"], ",").alias("first_ids"))
 
 
-def _pairs(spark, sf_dir):
-    """Vectors of one label as candidate pairs; the other cosine is that of the halves."""
+def _pairs(spark, sf_dir, only=None):
+    """Vectors of one label as candidate pairs (those of `only`: a, b, where given); the other cosine is that of the halves."""
     e = table(spark, sf_dir, "embeddings").select("vec_id", "label", F.col("embedding").alias("v"))
     a, b = e.toDF("a", "label", "va"), e.toDF("b", "label", "vb")
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, z: s + z)
     cos = lambda x, y: dot(x, y) / F.sqrt(dot(x, x) * dot(y, y))
     half = lambda x: F.slice(x, 1, 32)
-    return a.join(b, "label").where("a < b").select("a", "b", F.round(cos("va", "vb") + 0.5, 6).alias("q"), F.round(cos(half("va"), half("vb")) + 0.5, 6).alias("answer"), (F.col("a") % 2 == F.col("b") % 2).alias("same_class"), (F.col("a") % 5 == F.col("b") % 5).alias("shared_document"), (F.col("a") % 7 == F.col("b") % 7).alias("shared_chunk"))
+    both = a.join(b, "label").where("a < b") if only is None else only.join(a, "a").join(b.drop("label"), "b")
+    alike = lambda n: F.col("a") % n == F.col("b") % n
+    q, answer = F.round(cos("va", "vb") + 0.5, 6), F.round(cos(half("va"), half("vb")) + 0.5, 6)
+    return both.select("a", "b", q.alias("q"), answer.alias("answer"), alike(2).alias("same_class"), alike(5).alias("shared_document"), alike(7).alias("shared_chunk"))
+
+
+def _near_pairs(spark, sf_dir):
+    """The pairs that a rule may link: those of the join on the whole vectors at the least threshold of any rule, and on the halves at the one that goes by them alone."""
+    e = table(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding", F.slice("embedding", 1, 32).alias("half"))
+    shift = 0.5 + 1e-6  # as _pairs adds, and rounds
+    written = lambda df: stored(df, "similar")
+    whole = similar.similar_pairs(e, corpus.Q_AND_A[0] - shift, written, by="label")
+    part = similar.similar_pairs(e, corpus.A_SHARED_DOCUMENT - shift, written, vector_col="half", by="label")
+    return _pairs(spark, sf_dir, whole.select("a", "b").union(part.select("a", "b")).distinct())
 
 
 _PAIRS = """pairs AS (SELECT a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) + 0.5, 6) AS q, round(list_cosine_similarity(a.embedding[1:32]::DOUBLE[], b.embedding[1:32]::DOUBLE[]) + 0.5, 6) AS answer,
@@ -291,7 +304,7 @@ linked AS (SELECT * FROM (SELECT a, b, CASE WHEN q >= 0.88 THEN 'QUESTION' WHEN
 
 @query(f"WITH {_PAIRS} SELECT a, b, reason FROM linked")
 def cor_near_dup_pairs(spark, sf_dir):
-    return corpus.pair_reasons(_pairs(spark, sf_dir)).select("a", "b", "reason")
+    return corpus.pair_reasons(_near_pairs(with_checkpoints(spark), sf_dir)).select("a", "b", "reason")
 
 
 _GROUPS = f"""{_PAIRS}, walk AS (SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT w.a, l.b FROM walk w JOIN (SELECT a, b FROM linked UNION ALL SELECT b, a FROM linked) l ON l.a = w.b),
@@ -300,7 +313,8 @@ comp AS (SELECT a AS id, min(b) AS component FROM walk GROUP BY a)"""
 
 def _components(spark, sf_dir):
     nodes = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"))
-    return corpus.components(nodes, corpus.pair_reasons(_pairs(spark, sf_dir)).select("a", "b"), lambda df: df.checkpoint())
+    links = stored(corpus.pair_reasons(_near_pairs(spark, sf_dir)).select("a", "b"), "links")  # asked in every round
+    return corpus.components(nodes, links, lambda df: df.checkpoint())
 
 
 @query(f"WITH RECURSIVE {_GROUPS} SELECT id, component FROM comp")

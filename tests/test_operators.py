@@ -647,3 +647,26 @@ def test_places_of_packed_chunks():
             held = {i for a, b in spans for i in range(a, b)}
             assert all(c.isspace() or i in held for i, c in enumerate(text))
             assert [b for _, b in spans] == sorted(b for _, b in spans)
+
+
+@pytest.mark.parametrize("least", [0.8, 0.3])
+def test_similarity_join(spark, least):
+    """All pairs at the threshold, none below; blocks of clustered vectors that can't hold one are not compared."""
+    import numpy as np
+
+    from lodestone.operators import similar
+
+    rng = np.random.default_rng(5)
+    homes = rng.normal(size=(12, 10)) * 3
+    x = np.concatenate([homes[i % 12] + 0.6 * rng.normal(size=10) for i in range(600)]).reshape(600, 10)
+    rows = [(i, [float(a) for a in v], "hot" if i % 3 else f"k{i % 4}") for i, v in enumerate(x)] + [(900, [0.0] * 10, "hot"), (901, None, "hot")]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string")
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    cosines = unit @ unit.T
+    want = {(i, j) for i in range(600) for j in range(i + 1, 600) if cosines[i, j] >= least and rows[i][2] == rows[j][2]}
+    got = [(r.a, r.b) for r in similar.similar_pairs(df, least, lambda d: d.cache(), by="label", pivots=12, block=40).collect()]
+    assert len(got) == len(set(got)) and set(got) == want and want
+    pivots = unit[:12]
+    placed = similar._placed(df.where("vec_id < 600").select(F.col("vec_id").alias("id"), F.lit("").alias("key"), dense.normalized(F.col("embedding")).alias("v")), pivots).withColumn("sub", F.lit(0))
+    met = similar.block_pairs(placed, pivots, least).agg(F.sum(F.col("n") * F.col("n2"))).first()[0]
+    assert met < (0.5 if least > 0.5 else 1.01) * 600 * 600
