@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.operators.lifecycle import missing_rows
@@ -23,18 +23,20 @@ def exists(spark: SparkSession, path: str) -> bool:
 def publish(df: DataFrame, path: str, check=None, partition_by: list[str] | None = None) -> DataFrame:
     """Write beside the target, verify there, then rename; an existing target is an error. check(frame) raises on a fault.
 
-    Rows are compared by number and by a digest that doesn't depend on order, both from one pass each.
+    Rows are compared by number and by a digest that doesn't depend on order, taken of what is given while it is written, and of what was
+    written by reading it back: the input is computed once, so it may differ from run to run, as a model's answers do.
     """
     spark = df.sparkSession
     fs, target = _fs(spark, path)
     if fs.exists(target):
         raise FileExistsError(path)
     staged = f"{path}.staging-{uuid.uuid4().hex}"
-    df.write.partitionBy(*partition_by or []).parquet(staged)
-    written = spark.read.parquet(staged)
-    digest = lambda d: d.agg(F.count(F.lit(1)), F.sum(F.xxhash64(*sorted(df.columns)).cast("decimal(38,0)"))).first()
+    facts = [F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64(*[F.col(f"`{c}`") for c in sorted(df.columns)]).cast("decimal(38,0)")).alias("digest")]
+    given = Observation()
+    df.observe(given, *facts).write.partitionBy(*partition_by or []).parquet(staged)
+    written = spark.read.schema(df.schema).parquet(staged)
     try:
-        if digest(df) != digest(written.select(df.columns)):
+        if given.get != written.agg(*facts).first().asDict():
             raise ValueError("what was written isn't what was given")
         if check:
             check(written)

@@ -670,3 +670,31 @@ def test_similarity_join(spark, least):
     placed = similar._placed(df.where("vec_id < 600").select(F.col("vec_id").alias("id"), F.lit("").alias("key"), dense.normalized(F.col("embedding")).alias("v")), pivots).withColumn("sub", F.lit(0))
     met = similar.block_pairs(placed, pivots, least).agg(F.sum(F.col("n") * F.col("n2"))).first()[0]
     assert met < (0.5 if least > 0.5 else 1.01) * 600 * 600
+
+
+def test_bulk_sink_commits_all_or_none(spark, tmp_path):
+    from lodestone.sources import bulk
+
+    spark.dataSource.register(bulk.BulkSink)
+    df = spark.range(1000).select("id", F.concat(F.lit("t"), F.col("id").cast("string")).alias("text")).repartition(4)
+    at = f"file://{tmp_path}/bulk"
+    save = lambda d, **o: d.write.format("lodestone_bulk").option("path", at).options(**o).mode("append").save()
+    save(df)
+    save(df.where("id < 10"))
+    assert bulk.published(spark, at, df.schema).count() == 1010
+    before = sorted(p.name for p in (tmp_path / "bulk").iterdir())
+    assert not any(n.startswith("_staging") for n in before)
+    with pytest.raises(Exception, match="rows in one file"):
+        save(df.coalesce(2), most_rows=400)
+    with pytest.raises(Exception, match="rows in one file"):
+        save(df.where("id < 300").union(df).coalesce(2), most_rows=600)
+    assert sorted(p.name for p in (tmp_path / "bulk").iterdir()) == before
+    assert bulk.published(spark, at, df.schema).count() == 1010
+    writer = bulk.BulkWriter(at, 100)
+    import pyarrow as pa
+
+    done = writer.write(iter([pa.record_batch({"id": [1], "text": ["a"]})]))
+    with pytest.raises(ValueError, match="isn't what its task wrote"):
+        writer.commit([bulk.Staged(done.name, 2, done.digest)])
+    assert sorted(p.name for p in (tmp_path / "bulk").iterdir()) == before
+    assert bulk.published(spark, f"file://{tmp_path}/none", df.schema).count() == 0
