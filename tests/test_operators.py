@@ -439,7 +439,7 @@ def test_summaries(spark):
 
 
 def test_answers(spark):
-    assert one(spark.createDataFrame([([("a", [1, 2]), ("b", [3])],)], "c array<struct<text:string,citation_ids:array<int>>>").select(answers.rendered_claims(F.col("c")).alias("x")))["x"] == "a [1][2] b [3]"
+    assert one(spark.createDataFrame([([("a", [1, 2]), ("b", [3])],)], "c array<struct<text:string,citation_ids:array<int>>>").select(answers.rendered_claims(F.col("c")).alias("x")))["x"] == "a [1][2]\nb [3]"
 
 
 def test_readers_and_sinks(spark, tmp_path):
