@@ -3,6 +3,7 @@
 import json
 import math
 import random
+import re
 
 import pytest
 from hypothesis import given, settings
@@ -698,3 +699,26 @@ def test_bulk_sink_commits_all_or_none(spark, tmp_path):
         writer.commit([bulk.Staged(done.name, 2, done.digest)])
     assert sorted(p.name for p in (tmp_path / "bulk").iterdir()) == before
     assert bulk.published(spark, f"file://{tmp_path}/none", df.schema).count() == 0
+
+
+def test_batches_are_scored_where_postings_lie(spark, tmp_path):
+    """Scores of a batch equal those of all pairs; postings are dealt by chunk, and no pair is shuffled before its question's best are taken."""
+    rng = random.Random(8)
+    words = [f"t{i}" for i in range(60)]
+    c = spark.createDataFrame([(f"c{i:04d}", " ".join(rng.choices(words, k=rng.randrange(0, 40))), f"head t{i % 40}") for i in range(200)] + [("c9999", None, "")], "chunk_id string, text string, section_path string")
+    q = spark.createDataFrame([(i, " ".join(rng.choices(words, k=rng.randrange(1, 14)))) for i in range(30)] + [(98, "the of"), (99, None)], "question_id long, question string")
+    q.write.parquet(f"file://{tmp_path}/q")
+    q = spark.read.parquet(f"file://{tmp_path}/q")  # of a known size
+    fields, weights = {"body": F.col("text"), "section": F.col("section_path")}, {"body": 1.0, "section": 2.0}
+    b = lexical.batch(q, c, fields, weights, lambda df, name: df.cache())
+    rows = lambda df: sorted((r.question_id, r.chunk_id, round(float(r.score), 5)) for r in df.collect())
+    assert rows(b.bm25()) == rows(lexical.bm25_scan(q, c, fields, weights))
+    assert rows(b.overlap()) == rows(lexical.overlap_scores(q, c, F.concat_ws(" ", "section_path", "text")))
+    seen = c.where("chunk_id like '%7'").select("chunk_id")
+    assert rows(b.bm25(seen)) == rows(lexical.bm25_scan(q, c, fields, weights).join(seen, "chunk_id"))
+    best = lexical.top_k(b.overlap(), 3, ["question_id"])
+    plan = best._jdf.queryExecution().sparkPlan().toString()
+    assert "WindowGroupLimit" in plan
+    assert not re.search(r"hashpartitioning\((question_id#\d+L?, chunk_id|chunk_id#\d+, question_id)", best._jdf.queryExecution().executedPlan().toString())
+    empty = lexical.batch(q, c.where("false"), fields, weights, lambda df, name: df.cache())
+    assert empty.bm25().count() == empty.overlap().count() == 0
