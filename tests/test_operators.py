@@ -722,3 +722,27 @@ def test_batches_are_scored_where_postings_lie(spark, tmp_path):
     assert not re.search(r"hashpartitioning\((question_id#\d+L?, chunk_id|chunk_id#\d+, question_id)", best._jdf.queryExecution().executedPlan().toString())
     empty = lexical.batch(q, c.where("false"), fields, weights, lambda df, name: df.cache())
     assert empty.bm25().count() == empty.overlap().count() == 0
+
+
+def test_metrics_of_many_judgments(spark):
+    """The ideal list and the two relevant documents come from counts and ends: nothing sorts or lists a question's judgments."""
+    q = spark.createDataFrame([(1,), (2,), (3,)], "question_id long")
+    grades = {1: [3] * 4 + [2] * 9 + [1] * 200, 2: [1], 3: [0, 2, 2]}
+    j = spark.createDataFrame([(k, f"c{i}", f"d{i // 2}" if k == 1 else f"d{i}", g) for k, gs in grades.items() for i, g in enumerate(gs)], "question_id long, chunk_id string, document_id string, relevance int")
+    r = spark.createDataFrame([("a", 1, "c0", 1), ("a", 1, "c12", 2), ("a", 3, "c1", 1), ("a", 3, "c2", 2), ("a", 2, "x", 1)], "backend string, question_id long, chunk_id string, rank int")
+    df = evaluation.question_metrics(q, r, j, (3, 50))
+    assert "rank(" not in df._jdf.queryExecution().optimizedPlan().toString() and "row_number(" not in df._jdf.queryExecution().optimizedPlan().toString()
+    got = {(x.question_id, x.k): x for x in df.collect()}
+    import math
+
+    for k, gs in grades.items():
+        for cut in (3, 50):
+            ideal = sum((2**g - 1) / math.log2(i + 2) for i, g in enumerate(sorted(gs, reverse=True)[:cut]))
+            ranked = {1: [3, 2], 2: [], 3: [2, 2]}[k]
+            dcg = sum((2**g - 1) / math.log2(i + 2) for i, g in enumerate(ranked))
+            assert got[k, cut].ndcg == pytest.approx(dcg / ideal)
+            relevant = sum(g >= 2 for g in gs)
+            assert got[k, cut].recall == (pytest.approx(len(ranked) / relevant) if relevant else None)
+    two = evaluation.two_sided(r, j)
+    assert two._jdf.queryExecution().optimizedPlan().toString().count("collect_set(") == 1  # of the first ranks only
+    assert {(x.question_id, x.backend): x.strict for x in two.collect()} == {(1, "a"): False, (3, "a"): True}
