@@ -450,11 +450,11 @@ def lif_stream_state(spark, sf_dir):
     """The state machine as a stream over files, run to the end of what is there."""
     import uuid
 
-    from lodestone.streaming.states import drain, version_states
+    from lodestone.streaming.states import drain_to, version_states
 
     with_checkpoints(spark)
     at = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/stream-{uuid.uuid4().hex}"
     events = version_events(spark, sf_dir).select("version_id", "sequence", "status", "revision")
     events.write.parquet(f"{at}/in")
     stream = spark.readStream.schema(events.schema).parquet(f"{at}/in")
-    return drain(version_states(stream), f"s{uuid.uuid4().hex}", f"{at}/checkpoint")
+    return drain_to(version_states(stream), f"{at}/out", f"{at}/checkpoint")

@@ -57,3 +57,9 @@ def drain(stream: DataFrame, name: str, checkpoint: str, mode: str = "append") -
     spark: SparkSession = stream.sparkSession
     stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
     return spark.table(name)
+
+
+def drain_to(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
+    """Run an append stream over what is there now, its result written as Parquet below path by its tasks; results of any size."""
+    stream.writeStream.format("parquet").outputMode("append").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(path)

@@ -746,3 +746,13 @@ def test_metrics_of_many_judgments(spark):
     two = evaluation.two_sided(r, j)
     assert two._jdf.queryExecution().optimizedPlan().toString().count("collect_set(") == 1  # of the first ranks only
     assert {(x.question_id, x.backend): x.strict for x in two.collect()} == {(1, "a"): False, (3, "a"): True}
+
+
+def test_stream_state_is_written_by_tasks(spark, sf):
+    """The drained stream is a scan of files, not a table of the driver's memory."""
+    from lodestone.plans.relations import lif_stream_state
+
+    df = lif_stream_state(spark, sf)
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "parquet" in plan and "MemoryPlan" not in plan
+    assert df.count() == spark.read.parquet(f"{sf}/events.parquet").count()
