@@ -13,7 +13,7 @@ from lodestone.plans import retrieval as R
 from lodestone.plans.frames import ITEMS, table
 from lodestone.plans.frames import chunks, questions
 from lodestone.plans.frames import items as base_items
-from lodestone.plans.registry import query, with_checkpoints
+from lodestone.plans.registry import query, stored, with_checkpoints
 from lodestone.sources import readers, sinks
 
 
@@ -186,8 +186,7 @@ def chk_several_active(spark, sf_dir):
 
 
 def _stemmed(spark, sf_dir):
-    index = lexical.postings(chunks(spark, sf_dir), R._fields(), fts_tokens)
-    return lexical.bm25_scores(questions(spark, sf_dir), index, {"body": 1.0, "section": 2.0}, tokenizer=fts_tokens)
+    return lexical.batch(questions(spark, sf_dir), chunks(spark, sf_dir), R._fields(), {"body": 1.0, "section": 2.0}, stored, fts_tokens).bm25()
 
 
 @query()
