@@ -82,3 +82,114 @@ def similar_pairs(vectors: DataFrame, least: float, keep, id_col: str = "vec_id"
     one = left.select(*work, "id", "v")
     both = right.select(*[F.col(c).alias(f"{c}_") for c in work], "id2", "w").toDF(*work, "id2", "w")  # columns of its own, as both sides are grouped by them
     return one.groupBy(*work).cogroup(both.groupBy(*work)).applyInPandas(product, f"a {kind}, b {kind}, cosine double")
+
+
+def blocks_of(vectors: DataFrame, columns: list[str], keep, id_col: str = "vec_id", by: str | None = None, block: int = 16_384) -> DataFrame:
+    """The pairs of blocks of one key, each with itself too: key, i, j, id and the unit vectors v_0.. of block i (side 0) and j (side 1), one row a vector and side.
+
+    A key's vectors are dealt into g blocks of about `block` by hash of the identifier, so a vector is sent to g + 1 tasks, whatever
+    the key's size. A vector that isn't valid in any of the columns is null there.
+    """
+    key = F.col(by).cast("string") if by else F.lit("")
+    good = keep(vectors.select(F.col(id_col).alias("id"), key.alias("key"), *[normalized(F.col(c)).alias(f"v_{n}") for n, c in enumerate(columns)]))
+    sizes = good.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("g"))
+    dealt = good.join(F.broadcast(sizes), "key").withColumn("b", F.pmod(F.xxhash64("id"), F.col("g")).cast("int"))
+    other = F.sequence(F.lit(0), F.col("g") - 1)
+    sides = F.concat(
+        F.transform(F.filter(other, lambda o: o >= F.col("b")), lambda o: F.struct(F.col("b").alias("i"), o.alias("j"), F.lit(0).alias("side"))),
+        F.transform(F.filter(other, lambda o: o < F.col("b")), lambda o: F.struct(o.alias("i"), F.col("b").alias("j"), F.lit(1).alias("side"))),
+    )
+    return dealt.select("key", "id", *[f"v_{n}" for n in range(len(columns))], F.explode(sides).alias("x")).select("key", "x.i", "x.j", "x.side", "id", *[f"v_{n}" for n in range(len(columns))])
+
+
+def _products(frame: pd.DataFrame, columns: int, dims: list[int], rows: int = 512):
+    """(identifiers of some rows, of all columns, cosines by column, which of them are pairs a row before b) of a block pair, some rows at a time."""
+
+    def side(x: pd.DataFrame) -> tuple[np.ndarray, list[np.ndarray]]:
+        none = lambda n: np.full(dims[n], np.nan)
+        return x["id"].to_numpy(), [np.stack([none(n) if v is None else v for v in x[f"v_{n}"]]) if len(x) else np.zeros((0, dims[n])) for n in range(columns)]
+
+    a, av = side(frame[frame["side"] == 0])
+    alone = frame["i"].iloc[0] == frame["j"].iloc[0]
+    b, bv = (a, av) if alone else side(frame[frame["side"] == 1])
+    for at in range(0, len(a), rows):
+        some = a[at : at + rows]
+        yield some, b, [x[at : at + rows] @ y.T for x, y in zip(av, bv, strict=True)], (some[:, None] < b[None, :]) if alone else np.ones((len(some), len(b)), bool)
+
+
+def _dims(frame: pd.DataFrame, columns: int) -> list[int]:
+    return [next((len(v) for v in frame[f"v_{n}"] if v is not None), 1) for n in range(columns)]
+
+
+def any_similar(vectors: DataFrame, least: dict[str, float], keep, id_col: str = "vec_id", by: str | None = None, block: int = 16_384) -> DataFrame:
+    """a, b and the cosine by each column of all pairs a < b of one key with at least one column's cosine at its least; a null is no cosine."""
+    columns = list(least)
+    pairs = blocks_of(vectors, columns, keep, id_col, by, block)
+    kind = dict(pairs.dtypes)["id"]
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for a, b, cosines, once in _products(frame, len(columns), _dims(frame, len(columns))):
+            i, j = np.nonzero(once & np.logical_or.reduce([c >= least[n] for n, c in zip(columns, cosines, strict=True)]))
+            x, y = a[i], b[j]
+            out.append(pd.DataFrame({"a": np.where(x < y, x, y), "b": np.where(x < y, y, x), **{n: c[i, j] for n, c in zip(columns, cosines, strict=True)}}))
+        return pd.concat(out) if out else pd.DataFrame({"a": frame["id"][:0], "b": frame["id"][:0], **{n: np.zeros(0) for n in columns}})
+
+    found = pairs.groupBy("key", "i", "j").applyInPandas(run, f"a {kind}, b {kind}, " + ", ".join(f"`{n}` double" for n in columns))
+    return found.select("a", "b", *[F.when(~F.isnan(n), F.col(n)).alias(n) for n in columns])
+
+
+def cosine_counts(vectors: DataFrame, places: int, keep, id_col: str = "vec_id", vector_col: str = "embedding", by: str | None = None, block: int = 16_384, width: int = 1, within: tuple[int, list[int]] | None = None) -> DataFrame:
+    """part, n: how many pairs a < b of one key have a cosine in each part of `width` units of 10 ** -places, rounded to units.
+
+    within (a width, parts of that width): only pairs in these parts are counted.
+    """
+    pairs = blocks_of(vectors, [vector_col], keep, id_col, by, block)
+    unit = 10**places
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        total = np.zeros(2 * unit // width + 3, np.int64)
+        for _, _, (c,), once in _products(frame, 1, _dims(frame, 1)):
+            whole = np.floor(c[once & ~np.isnan(c)] * unit + 0.5).astype(np.int64) + unit
+            if within is not None:
+                asked = np.zeros(2 * unit // within[0] + 3, bool)
+                asked[np.array(within[1]) + unit // within[0]] = True
+                whole = whole[asked[whole // within[0]]]
+            total += np.bincount(whole // width, minlength=len(total))
+        at = np.nonzero(total)[0]
+        return pd.DataFrame({"part": at - unit // width, "n": total[at]})
+
+    return pairs.groupBy("key", "i", "j").applyInPandas(run, "part long, n long").groupBy("part").agg(F.sum("n").alias("n"))
+
+
+def cosine_quantiles(vectors: DataFrame, asked: list[float], places: int, keep, coarse: int = 1000, plus: float = 0.0, **how) -> list[float | None]:
+    """Exact quantiles (linear between neighbours at (n - 1) * p) of the rounded cosines, plus a number, of all pairs of one key.
+
+    Two passes of counts: by parts of `coarse` units, then by unit within the parts that hold the ranks, so no task holds more than counts,
+    and the driver gets one row a part.
+    """
+    listed = lambda **more: sorted((r["part"], r["n"]) for r in cosine_counts(vectors, places, keep, **more, **how).collect())
+    counts = listed(width=coarse)
+    n = sum(c for _, c in counts)
+    if not n:
+        return [None for _ in asked]
+    ranks = {f((n - 1) * p) for p in asked for f in (math.floor, math.ceil)}
+    home = {k: _at(counts, k) for k in ranks}
+    fine = listed(within=(coarse, sorted({part for part, _ in home.values()})))
+    value = {k: round(_at([x for x in fine if x[0] // coarse == part], k - before)[0] / 10**places + plus, places) for k, (part, before) in home.items()}
+    out = []
+    for p in asked:
+        at = (n - 1) * p
+        lo, hi = value[math.floor(at)], value[math.ceil(at)]
+        out.append(lo + (hi - lo) * (at - math.floor(at)))
+    return out
+
+
+def _at(counts: list[tuple[int, int]], k: int) -> tuple[int, int]:
+    """The part that holds rank k, and how many ranks lie before it."""
+    before = 0
+    for part, n in counts:
+        if k < before + n:
+            return part, before
+        before += n
+    raise IndexError(k)

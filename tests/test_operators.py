@@ -756,3 +756,29 @@ def test_stream_state_is_written_by_tasks(spark, sf):
     plan = df._jdf.queryExecution().optimizedPlan().toString()
     assert "parquet" in plan and "MemoryPlan" not in plan
     assert df.count() == spark.read.parquet(f"{sf}/events.parquet").count()
+
+
+@pytest.mark.parametrize("block", [37, 10_000])
+def test_blocked_products_find_and_count_all_pairs(spark, block):
+    """Pairs by any of two cosines, and exact quantiles from counts, equal brute force with any size of block; a vector goes to blocks + 1 tasks at most."""
+    import numpy as np
+
+    from lodestone.operators import similar
+
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(300, 8))
+    rows = [(i, [float(a) for a in v], [float(a) for a in v[:4]], "hot" if i % 4 else f"k{i % 3}") for i, v in enumerate(x)] + [(900, [0.0] * 8, [0.0] * 4, "hot"), (901, None, None, "hot")]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, half array<double>, label string")
+    cos = lambda y: (lambda u: u @ u.T)(y / np.linalg.norm(y, axis=1, keepdims=True))
+    whole, half = cos(x), cos(x[:, :4])
+    same = [(i, j) for i in range(300) for j in range(i + 1, 300) if rows[i][3] == rows[j][3]]
+    keep = lambda d: d.cache()
+    got = similar.any_similar(df, {"embedding": 0.7, "half": 0.9}, keep, by="label", block=block).collect()
+    assert sorted((r.a, r.b) for r in got) == [p for p in same if whole[p] >= 0.7 or half[p] >= 0.9]
+    assert all(r.embedding == pytest.approx(whole[r.a, r.b]) and r.half == pytest.approx(half[r.a, r.b]) for r in got)
+    values = sorted(round(whole[p] + 0.5, 6) for p in same)
+    found = similar.cosine_quantiles(df, [0.5, 0.99, 1.0], 6, keep, plus=0.5, by="label", block=block)
+    assert found == pytest.approx([float(np.quantile(values, q)) for q in (0.5, 0.99, 1.0)], abs=1e-9)
+    assert similar.cosine_quantiles(df.where("false"), [0.5], 6, keep) == [None]
+    sent = similar.blocks_of(df, ["embedding"], keep, by="label", block=block).groupBy("id").count().agg(F.max("count")).first()[0]
+    assert sent <= -(-232 // block) + 1
