@@ -122,10 +122,14 @@ def ann_top_k(queries: DataFrame, vectors: DataFrame, k: int, min_score: float =
     """question_id, chunk_id, score (6 places), rank: about the k nearest by cosine >= min_score, looked for in the query's `probes` nearest cells.
 
     Cells are fitted on a bounded sample; every vector is in one, and only pairs that share a cell are multiplied. With as many
-    probes as cells the answer is exact. With scope_col (of queries) and visible_col (of vectors, an array of scopes) a vector that a
+    probes as cells the answer is exact: cells then part nothing, so queries and vectors meet in large blocks and no query is sent to
+    every cell. With scope_col (of queries) and visible_col (of vectors, an array of scopes) a vector that a
     scope may not see is left out before the k best are taken. same=False leaves out a query's own identifier.
     """
     n = vectors.count()
+    if probes >= min(most_cells, -(-n // cell_size)):
+        number = lambda df: df.withColumn(id_col, F.col(id_col).cast("long"))
+        return cosine_top_k(number(queries), number(vectors), k, min_score, id_col, vector_col, same, scope_col=scope_col if visible_col else None, visible_col=visible_col)
     centres = fit_cells(vectors, min(most_cells, -(-n // cell_size)), min(most_cells, -(-n // cell_size)) * sample_per_cell, id_col, vector_col)
     many = max(1, min(probes, len(centres)))
 

@@ -782,3 +782,16 @@ def test_blocked_products_find_and_count_all_pairs(spark, block):
     assert similar.cosine_quantiles(df.where("false"), [0.5], 6, keep) == [None]
     sent = similar.blocks_of(df, ["embedding"], keep, by="label", block=block).groupBy("id").count().agg(F.max("count")).first()[0]
     assert sent <= -(-232 // block) + 1
+
+
+def test_all_cells_probed_is_blocked(spark):
+    """With as many probes as cells the answer equals the exact one, and queries aren't repeated for every cell."""
+    rng = random.Random(4)
+    df = spark.createDataFrame([(i, [rng.gauss(0, 1) for _ in range(6)], [f"s{i % 3}"]) for i in range(300)], "vec_id long, embedding array<double>, visible array<string>")
+    asked = df.where("vec_id % 20 = 0").withColumn("scope", F.lit("s1"))
+    how = {"scope_col": "scope", "visible_col": "visible", "same": False}
+    got = dense.ann_top_k(asked, df, 5, 0.1, cell_size=10, probes=30, **how)
+    assert "cell#" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(got.collect()) == sorted(dense.cosine_top_k(asked, df, 5, 0.1, **how).collect()) and got.count()
+    few = dense.ann_top_k(asked, df, 5, 0.1, cell_size=10, probes=29, **how)
+    assert "cell#" in few._jdf.queryExecution().optimizedPlan().toString()
