@@ -121,7 +121,8 @@ class Cells:
         """question_id, chunk_id, score (6 places), rank: the k nearest by cosine >= min_score in the `probes` nearest cells (as measured, unless given).
 
         With scope_col only vectors whose visible list holds the query's scope take part, from the first bound on. Queries of another length are
-        an error, invalid ones have no row. same=False leaves out a query's own identifier.
+        an error, invalid ones have no row. same=False leaves out a query's own identifier. Where all cells are searched the stored vectors
+        are multiplied in blocks, as codes would bound nothing that a block doesn't.
         """
         scope = F.col(scope_col).cast("string") if scope_col else F.lit(None).cast("string")
         asked = queries.select(F.col(query_id).alias("q"), normalized(F.col(vector_col)).alias("v"), scope.alias("scope")).where("v is not null")
@@ -129,6 +130,9 @@ class Cells:
         if odd:
             raise ValueError(f"a query's vector hasn't {self.dims} components")
         many = max(1, min(probes or self.probes, len(self.centres)))
+        if many == len(self.centres):  # no cell is passed over: large blocks, and no query repeated for every cell
+            held = self.vectors.join(self.codes.select("cell", "id", "visible"), ["cell", "id"]) if scope_col else self.vectors
+            return cosine_top_k(asked, held, k, min_score, "id", "v", same, query_id="q", scope_col="scope" if scope_col else None, visible_col="visible" if scope_col else None)
         probed = _near_cells(asked, self.centres, many).select("q", "v", "scope", F.explode("cells").alias("cell")) if len(self.centres) else asked.withColumn("cell", F.lit(0))
         wanted = [r["cell"] for r in probed.select("cell").distinct().collect()]  # at most the cells
         codes = self.codes if len(wanted) >= len(self.centres) else self.codes.where(F.col("cell").isin(wanted))

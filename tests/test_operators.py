@@ -795,3 +795,18 @@ def test_all_cells_probed_is_blocked(spark):
     assert sorted(got.collect()) == sorted(dense.cosine_top_k(asked, df, 5, 0.1, **how).collect()) and got.count()
     few = dense.ann_top_k(asked, df, 5, 0.1, cell_size=10, probes=29, **how)
     assert "cell#" in few._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_all_stored_cells_searched_is_blocked(spark, tmp_path):
+    """A search of all stored cells equals the exact one under scopes, and repeats no query a cell."""
+    from lodestone.operators import cells
+
+    rng = random.Random(9)
+    df = spark.createDataFrame([(f"v{i}", [rng.gauss(0, 1) for _ in range(6)], [f"s{i % 3}"]) for i in range(200)], "chunk_id string, vector array<double>, visible array<string>")
+    cells.write(df, f"file://{tmp_path}/all", "x", cell_size=20, visible_col="visible")
+    index = cells.open_index(spark, f"file://{tmp_path}/all", "x")
+    asked = df.where("chunk_id like '%7'").select(F.expr("cast(substring(chunk_id, 2) as long)").alias("question_id"), "vector", F.lit("s1").alias("scope"))
+    got = index.top_k(asked, 5, 0.1, probes=len(index.centres), scope_col="scope")
+    assert "FlatMapCoGroups" not in got._jdf.queryExecution().optimizedPlan().toString()
+    want = dense.cosine_top_k(asked, df, 5, 0.1, "chunk_id", "vector", query_id="question_id", scope_col="scope", visible_col="visible")
+    assert sorted(got.collect()) == sorted(want.collect()) and got.count()
