@@ -810,3 +810,25 @@ def test_all_stored_cells_searched_is_blocked(spark, tmp_path):
     assert "FlatMapCoGroups" not in got._jdf.queryExecution().optimizedPlan().toString()
     want = dense.cosine_top_k(asked, df, 5, 0.1, "chunk_id", "vector", query_id="question_id", scope_col="scope", visible_col="visible")
     assert sorted(got.collect()) == sorted(want.collect()) and got.count()
+
+
+def test_claims_of_one_large_tenant_are_spread(spark, tmp_path):
+    """Each document is checked with the next of its tenant, and no task holds a tenant whole."""
+    from lodestone.plans import quality
+
+    rows = [(i, f"Line {i}\nmore {i}", "en", None if i % 40 == 7 else "rare" if i % 40 == 9 else "big", 10) for i in range(400)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars int").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(0, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = [[(r.claim_id, r.answer_id, r.quotes) for r in part] for part in quality._claims(spark, str(tmp_path)).rdd.glom().collect()]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    want = []
+    for source in (None, "rare", "big"):
+        mine = [r for r in rows if r[3] == source]
+        want += [(f"c{r[0]:010d}", source, [r[1], *([n[1]] if n else [])]) for r, n in zip(mine, [*mine[1:], None], strict=True)]
+    assert sorted((x for part in got for x in part), key=str) == sorted(want, key=str)
+    assert max(sum(x[1] == "big" for x in part) for part in got) < 300
