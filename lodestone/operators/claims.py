@@ -23,9 +23,18 @@ def _subset(a: Column, b: Column) -> Column:
     return F.size(F.array_except(a, b)) == 0
 
 
-def evidence_facts(evidence: Column) -> Column:
-    """What the rules ask of an evidence text (in lower case), taken from it once."""
-    return F.struct(evidence.alias("text"), X.numbers(evidence).alias("numbers"), X.unit_facts(evidence).alias("units"), X.latin_tokens(evidence, False).alias("latin"), X.cjk_bigrams(evidence).alias("pairs"))
+def evidence_facts(evidence: Column, claim: Column) -> Column:
+    """What the rules ask of an evidence text (in lower case) for a claim or its clauses, taken from it once; what a claim without digits,
+    Latin letters or CJK characters can't ask for is left empty.
+    """
+    asked = lambda sign, fact, kind: F.when(claim.rlike(sign), fact).otherwise(F.array().cast(kind))
+    return F.struct(
+        evidence.alias("text"),
+        asked(X.DIGIT, X.numbers(evidence), "array<double>").alias("numbers"),
+        asked(X.DIGIT, X.unit_facts(evidence), "array<struct<unit:string,value:double>>").alias("units"),
+        asked("[A-Za-zΑ-Ωα-ω]", X.latin_tokens(evidence, False), "array<string>").alias("latin"),
+        asked("[一-鿿]", X.cjk_bigrams(evidence), "array<string>").alias("pairs"),
+    )
 
 
 def core_overlap(claim: Column, facts: Column) -> Column:
@@ -48,7 +57,7 @@ def support_failure(claim: Column, facts: Column) -> Column:
     qualifier = F.lit(False)
     for group in QUALIFIERS:
         qualifier = qualifier | need(group, group)
-    parts = X.clauses(claim)
+    no_overlap = X.let(X.clauses(claim), lambda parts: (F.size(parts) == 0) | ~F.forall(parts, lambda p: core_overlap(p, facts)))
     return (
         F.when(~_subset(X.numbers(claim), facts["numbers"]), "NUMERIC_ANCHOR_MISSING_FROM_EVIDENCE")
         .when(~_subset(X.unit_facts(claim), facts["units"]), "NUMERIC_UNIT_NOT_ESTABLISHED")
@@ -58,19 +67,20 @@ def support_failure(claim: Column, facts: Column) -> Column:
         .when(X.has_any(low, COMPARATIVE) & ~shares_objects(claim, facts), "COMPARISON_OBJECTS_NOT_ESTABLISHED")
         .when(need(NOVELTY, NOVELTY), "NOVELTY_OR_SUPERLATIVE_NOT_ESTABLISHED")
         .when(qualifier, "QUALIFYING_CONDITION_NOT_ESTABLISHED")
-        .when((F.size(parts) == 0) | ~F.forall(parts, lambda p: core_overlap(p, facts)), "CORE_LEXICAL_OVERLAP_NOT_ESTABLISHED")
+        .when(no_overlap, "CORE_LEXICAL_OVERLAP_NOT_ESTABLISHED")
     )
 
 
 def is_safe_limitation(claim: Column) -> Column:
     """No number, and every clause says that evidence is missing."""
-    parts = X.clauses(F.lower(claim))
-    return ~claim.rlike(X.NUMBER) & (F.size(parts) > 0) & F.forall(parts, lambda p: X.has_any(p, INSUFFICIENT))
+    every = X.let(X.clauses(F.lower(claim)), lambda parts: (F.size(parts) > 0) & F.forall(parts, lambda p: X.has_any(p, INSUFFICIENT)))
+    return ~claim.rlike(X.NUMBER) & X.has_any(F.lower(claim), INSUFFICIENT) & every
 
 
 def conflicts(quotes: Column) -> Column:
     """Units with two values or more over at least two quotes: array of (unit, values)."""
-    facts = F.flatten(F.transform(quotes, lambda q, i: F.transform(X.unit_facts(q), lambda f: F.struct(f["unit"].alias("unit"), f["value"].alias("value"), i.alias("quote")))))
+    several = F.when(F.size(quotes) < 2, F.array().cast("array<string>")).otherwise(quotes)
+    facts = F.flatten(F.transform(several, lambda q, i: F.transform(X.unit_facts(q), lambda f: F.struct(f["unit"].alias("unit"), f["value"].alias("value"), i.alias("quote")))))
 
     def grouped(all_: Column) -> Column:
         units = F.array_distinct(F.transform(all_, lambda f: f["unit"]))
@@ -105,7 +115,7 @@ def verify(claims: DataFrame) -> DataFrame:
     bad = F.when(X.is_blank(F.col("text")), "CLAIM_TEXT_EMPTY").otherwise(citation_failure(F.col("citation_ids"), F.col("quotes")))
     df = claims.withColumn("_bad", bad).withColumn("_cited", F.when(F.col("_bad").isNull(), cited))
     df = df.withColumn("_evidence", F.lower(F.array_join("_cited", "\n"))).withColumn("_conflicts", conflicts(F.col("_cited"))).withColumn("_facts", X.unit_facts(F.col("text")))
-    df = df.withColumn("_failure", X.let(evidence_facts(F.col("_evidence")), lambda e: support_failure(F.col("text"), e)))
+    df = df.withColumn("_failure", X.let(evidence_facts(F.col("_evidence"), F.col("text")), lambda e: support_failure(F.col("text"), e)))
     told = X.has_any(F.lower("text"), CONFLICT)
     stated = F.exists("_conflicts", lambda c: F.size(F.array_intersect(c["values"], F.transform(F.filter("_facts", lambda f: f["unit"] == c["unit"]), lambda f: f["value"]))) >= 2)
     clash = F.size("_conflicts") > 0
@@ -123,24 +133,28 @@ def verify(claims: DataFrame) -> DataFrame:
 
 
 def verify_set(claims: DataFrame) -> DataFrame:
-    """Verdict on a whole evidence set, clause by clause where the claim as a whole fails; claims as for verify, citations valid."""
+    """Verdict on a whole evidence set, clause by clause where the claim as a whole fails; claims as for verify, citations valid.
+
+    Rules are asked only where nothing before them gives the verdict, clauses only where the whole claim fails.
+    """
+    text, clash, told = F.col("text"), F.col("_clash"), X.has_any(F.lower("text"), CONFLICT)
     cited = F.transform("citation_ids", lambda p: X.strip(F.get(F.col("quotes"), p - 1)))
-    df = claims.withColumn("_cited", cited).withColumn("_evidence", F.lower(F.array_join("_cited", "\n"))).withColumn("_clash", F.size(conflicts(F.col("_cited"))) > 0)
-    parts = lambda e: F.size(F.filter(X.clauses(F.col("text")), lambda p: support_failure(p, e).isNull()))
-    both = X.let(evidence_facts(F.col("_evidence")), lambda e: F.struct(support_failure(F.col("text"), e).alias("whole"), parts(e).alias("good")))
-    df = df.withColumn("_both", both).withColumn("_failure", F.col("_both.whole")).withColumn("_parts", X.clauses(F.col("text")))
-    good = F.col("_both.good")
-    told = X.has_any(F.lower("text"), CONFLICT)
-    limited = is_safe_limitation(F.col("text"))
+    df = claims.withColumn("_cited", cited).withColumn("_clash", F.size(conflicts(F.col("_cited"))) > 0).withColumn("_limited", is_safe_limitation(text))
+    known = F.coalesce(clash, F.lit(False)) | F.coalesce(told, F.lit(False)) | F.coalesce("_limited", F.lit(False))
+    good = lambda e: F.size(F.filter(X.clauses(text), lambda p: support_failure(p, e).isNull()))
+    both = lambda e: X.let(support_failure(text, e), lambda f: F.struct(f.alias("whole"), F.when(f.isNotNull(), good(e)).alias("good")))
+    rules = X.let(evidence_facts(F.lower(F.array_join("_cited", "\n")), text), both)
+    df = df.withColumn("_both", F.when(~known, rules)).withColumn("_parts", X.clauses(text))
+    failure, good_parts = F.col("_both.whole"), F.col("_both.good")
     status = (
-        F.when(F.col("_clash"), "CONFLICTING_EVIDENCE").when(told, "INSUFFICIENT_EVIDENCE").when(limited, "INSUFFICIENT_EVIDENCE").when(F.col("_failure").isNull(), "SUPPORTED_BY_EVIDENCE_SET")
-        .when((good > 0) & (good < F.size("_parts")), "PARTIALLY_SUPPORTED").otherwise("INSUFFICIENT_EVIDENCE")
+        F.when(clash, "CONFLICTING_EVIDENCE").when(told, "INSUFFICIENT_EVIDENCE").when(F.col("_limited"), "INSUFFICIENT_EVIDENCE").when(failure.isNull(), "SUPPORTED_BY_EVIDENCE_SET")
+        .when((good_parts > 0) & (good_parts < F.size("_parts")), "PARTIALLY_SUPPORTED").otherwise("INSUFFICIENT_EVIDENCE")
     )
     reason = (
-        F.when(F.col("_clash") & told, "BOUND_NUMERIC_CONFLICT_DISCLOSED").when(F.col("_clash"), "BOUND_NUMERIC_CONFLICT_NOT_DISCLOSED").when(told, "CONFLICT_NOT_DETERMINISTICALLY_PROVEN")
-        .when(limited, "SAFE_LIMITATION_WITH_BOUND_EVIDENCE").otherwise(F.coalesce("_failure", F.lit("DETERMINISTIC_EVIDENCE_SET_PASS")))
+        F.when(clash & told, "BOUND_NUMERIC_CONFLICT_DISCLOSED").when(clash, "BOUND_NUMERIC_CONFLICT_NOT_DISCLOSED").when(told, "CONFLICT_NOT_DETERMINISTICALLY_PROVEN")
+        .when(F.col("_limited"), "SAFE_LIMITATION_WITH_BOUND_EVIDENCE").otherwise(F.coalesce(failure, F.lit("DETERMINISTIC_EVIDENCE_SET_PASS")))
     )
-    return df.withColumn("status", status).withColumn("reason", reason).drop("_cited", "_evidence", "_clash", "_failure", "_parts", "_both")
+    return df.withColumn("status", status).withColumn("reason", reason).drop("_cited", "_clash", "_limited", "_both", "_parts")
 
 
 def report(verified: DataFrame, by: str = "answer_id") -> DataFrame:
@@ -199,14 +213,22 @@ def with_adjacent(claims: DataFrame, neighbours: DataFrame) -> DataFrame:
     neighbours: claim_id, position (order of trial), quote. At most one neighbour is used, the first that helps; no score changes.
     Adds expanded and reason_codes, which tell of the neighbour.
     """
-    alone = verify_set(claims).withColumn("position", F.lit(0))
-    more = claims.join(neighbours, "claim_id")
-    more = more.withColumn("citation_ids", F.concat("citation_ids", F.array(F.size("quotes") + 1))).withColumn("quotes", F.concat("quotes", F.array("quote"))).drop("quote")
-    tried = verify_set(more).where("status in ('SUPPORTED_BY_EVIDENCE_SET', 'CONFLICTING_EVIDENCE')")
-    both = alone.unionByName(tried, allowMissingColumns=True)
+    settled = lambda status: status.isin("SUPPORTED_BY_EVIDENCE_SET", "CONFLICTING_EVIDENCE")
+    dealt = claims.repartition(int(claims.sparkSession.conf.get("spark.sql.shuffle.partitions")), "claim_id")  # by number: the work is far more than the bytes
+    alone = verify_set(dealt)
+    near = neighbours.select(F.col("claim_id").alias("_of"), F.col("position").alias("_position"), F.col("quote").alias("_quote"))
+    rows = alone.withColumn("_own", F.struct(*alone.columns)).join(near, (F.col("claim_id") == F.col("_of")) & ~settled(F.col("status")), "left")
+    # a claim that no neighbour is tried for has no text here, so nothing is taken from it again
+    added = F.concat("_own.citation_ids", F.array(F.size("_own.quotes") + 1)), F.concat("_own.quotes", F.array("_quote"))
+    tried = F.col("_of").isNotNull()
+    again = rows.select("claim_id", "_own", tried.alias("_tried"), "_position", *[F.when(tried, c).alias(n) for c, n in zip((F.col("_own.text"), *added), ("text", "citation_ids", "quotes"), strict=True)])
+    both = verify_set(again).withColumn("expanded", F.col("_tried") & settled(F.col("status")))
+    order = Window.partitionBy("claim_id").orderBy(F.col("expanded").desc(), "_position")
+    first = both.withColumn("_n", F.row_number().over(order)).where("_n = 1")
+    from_row = {"citation_ids", "quotes", "status", "reason"}
+    picked = first.select(*[(F.when(F.col("expanded"), F.col(c)).otherwise(F.col(f"_own.{c}")) if c in from_row else F.col(f"_own.{c}")).alias(c) for c in alone.columns], "expanded")
     codes = F.when(F.col("expanded"), F.array("reason", F.lit("SAME_DOCUMENT_VERSION_ADJACENT_EVIDENCE_ADDED"), F.lit("RETRIEVAL_SCORE_UNCHANGED"))).otherwise(F.array("reason"))
-    order = Window.partitionBy("claim_id").orderBy(F.when(F.col("status").isin("SUPPORTED_BY_EVIDENCE_SET", "CONFLICTING_EVIDENCE"), 0).otherwise(1), "position")
-    return both.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n").withColumn("expanded", F.col("position") > 0).drop("position").withColumn("reason_codes", codes)
+    return picked.withColumn("reason_codes", codes)
 
 
 _CLAIMS = "OBJECT<claims: ARRAY<OBJECT<citation_ids: ARRAY<BIGINT>, text: STRING>>>"

@@ -832,3 +832,19 @@ def test_claims_of_one_large_tenant_are_spread(spark, tmp_path):
         want += [(f"c{r[0]:010d}", source, [r[1], *([n[1]] if n else [])]) for r, n in zip(mine, [*mine[1:], None], strict=True)]
     assert sorted((x for part in got for x in part), key=str) == sorted(want, key=str)
     assert max(sum(x[1] == "big" for x in part) for part in got) < 300
+
+
+def test_neighbours_are_verified_once_and_only_for_open_claims(spark):
+    """The verdict isn't taken again in a condition of the join, and is as before: the first neighbour that settles an open claim."""
+    df = spark.createDataFrame([(1, "Alpha took 3 days", [1], ["Alpha took long"]), (2, "Alpha grows", [1], ["Alpha grows"]), (3, "Beta falls", [1], ["Gamma"]), (4, None, [1], ["x"])], "claim_id int, text string, citation_ids array<int>, quotes array<string>")
+    near = spark.createDataFrame([(1, 3, "Alpha took 3 days too"), (1, 2, "Alpha took 3 days"), (1, 1, "none"), (2, 1, "Alpha took 4 days"), (3, 1, "none"), (5, 1, "x")], "claim_id int, position int, quote string")
+    out = claims.with_adjacent(df, near)
+    got = {r.claim_id: (r.status, r.expanded, r.citation_ids, r.quotes, len(r.reason_codes)) for r in out.collect()}
+    assert got == {
+        1: ("SUPPORTED_BY_EVIDENCE_SET", True, [1, 2], ["Alpha took long", "Alpha took 3 days"], 3),
+        2: ("SUPPORTED_BY_EVIDENCE_SET", False, [1], ["Alpha grows"], 1),
+        3: ("INSUFFICIENT_EVIDENCE", False, [1], ["Gamma"], 1),
+        4: ("SUPPORTED_BY_EVIDENCE_SET", False, [1], ["x"], 1),
+    }
+    plan = out._jdf.queryExecution().optimizedPlan()
+    assert plan.toString().count("format_string(%.5e") <= 2 * claims.verify_set(df)._jdf.queryExecution().optimizedPlan().toString().count("format_string(%.5e")
