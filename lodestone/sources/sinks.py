@@ -80,6 +80,15 @@ def write_jsonl(df: DataFrame, path: str) -> None:
     df.select(*sorted(df.columns)).write.option("ignoreNullFields", False).json(path)
 
 
+def write_files(texts: DataFrame, path: str) -> None:
+    """One file a row of one column of text, all in one folder, so that reading lists one folder and not one a file.
+
+    Tasks move their own files to the folder when they commit, which the driver would else do one by one.
+    """
+    rows = texts.repartition(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")))  # by number: the work is in the files, not in the bytes
+    rows.write.option("maxRecordsPerFile", 1).option("mapreduce.fileoutputcommitter.algorithm.version", 2).text(path)
+
+
 def write_batches(batched: DataFrame, path: str, column: str = "batch") -> None:
     """One folder of JSON lines a batch."""
     batched.repartition(column).write.partitionBy(column).json(path)
