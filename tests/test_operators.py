@@ -848,3 +848,12 @@ def test_neighbours_are_verified_once_and_only_for_open_claims(spark):
     }
     plan = out._jdf.queryExecution().optimizedPlan()
     assert plan.toString().count("format_string(%.5e") <= 2 * claims.verify_set(df)._jdf.queryExecution().optimizedPlan().toString().count("format_string(%.5e")
+
+
+def test_files_lie_in_one_folder(spark, tmp_path):
+    """One file a row, no folder a file, and the reader gets each whole."""
+    texts = spark.range(0, 30, 1, 3).select(F.concat(F.lit("%PDF-"), F.col("id").cast("string")).alias("value"))
+    sinks.write_files(texts, str(tmp_path / "files"))
+    assert not [p for p in (tmp_path / "files").iterdir() if p.is_dir()]
+    d = readers.binary_documents(spark, str(tmp_path / "files"), "*.txt")
+    assert sorted(bytes(r.content).decode().strip() for r in d.collect()) == sorted(f"%PDF-{i}" for i in range(30))
