@@ -15,25 +15,35 @@ Q_ALONE, A_SHARED_DOCUMENT, Q_SHARED_CHUNK, Q_AND_A = 0.88, 0.92, 0.82, (0.76, 0
 SPLIT_TARGETS = {"dev": 300, "test": 100, "acceptance": 100}
 
 
+def _pair_rules(q, a, same_class, shared_document, shared_chunk) -> tuple:
+    """(condition, name) of the rules in order, on columns or on arrays alike."""
+    return (
+        (q >= Q_ALONE, "QUESTION"),
+        (same_class & shared_document & (a >= A_SHARED_DOCUMENT), "ANSWER_AND_DOCUMENT"),
+        (shared_chunk & (q >= Q_SHARED_CHUNK), "QUESTION_AND_CHUNK"),
+        (same_class & shared_chunk & (q >= Q_AND_A[0]) & (a >= Q_AND_A[1]), "QUESTION_ANSWER_AND_CHUNK"),
+    )
+
+
 def pair_reasons(pairs: DataFrame) -> DataFrame:
     """Pairs with the first rule that links them; pairs: a, b, q, answer (cosines), same_class, shared_document, shared_chunk."""
-    q, a = F.col("q"), F.col("answer")
-    reason = (
-        F.when(q >= Q_ALONE, "QUESTION")
-        .when(F.col("same_class") & F.col("shared_document") & (a >= A_SHARED_DOCUMENT), "ANSWER_AND_DOCUMENT")
-        .when(F.col("shared_chunk") & (q >= Q_SHARED_CHUNK), "QUESTION_AND_CHUNK")
-        .when(F.col("same_class") & F.col("shared_chunk") & (q >= Q_AND_A[0]) & (a >= Q_AND_A[1]), "QUESTION_ANSWER_AND_CHUNK")
-    )
+    rules = _pair_rules(*map(F.col, ("q", "answer", "same_class", "shared_document", "shared_chunk")))
+    reason = F.coalesce(*[F.when(c, name) for c, name in rules])
     return pairs.withColumn("reason", reason).where("reason is not null")
 
 
+def pairs_linked(q: np.ndarray, answer: np.ndarray, same_class: np.ndarray, shared_document: np.ndarray, shared_chunk: np.ndarray) -> np.ndarray:
+    """Which pairs any rule of `pair_reasons` links, on arrays in a task; NaN is no cosine."""
+    return np.logical_or.reduce([c for c, _ in _pair_rules(q, answer, same_class, shared_document, shared_chunk)])
+
+
 def components(nodes: DataFrame, links: DataFrame, checkpoint) -> DataFrame:
     """id, component (smallest id reachable); nodes: id, links: a, b. checkpoint(df) cuts the lineage, on shared storage on a cluster.
 
     Every node takes the smallest label among itself and its neighbours, then the label of that label, until nothing changes; the
     jump halves chains, so rounds grow with the logarithm of their length.
     """
-    both = links.select("a", "b").union(links.select("b", "a")).distinct()
+    both = links.select("a", "b").union(links.select("b", "a"))  # repeats don't change a minimum
     label = nodes.select("id", F.col("id").alias("component"))
     while True:
         near = both.join(label, both.b == label.id).groupBy(F.col("a").alias("id")).agg(F.min("component").alias("near"))

@@ -7,6 +7,7 @@ import math
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -91,7 +92,12 @@ def blocks_of(vectors: DataFrame, columns: list[str], keep, id_col: str = "vec_i
     the key's size. A vector that isn't valid in any of the columns is null there.
     """
     key = F.col(by).cast("string") if by else F.lit("")
-    good = keep(vectors.select(F.col(id_col).alias("id"), key.alias("key"), *[normalized(F.col(c)).alias(f"v_{n}") for n, c in enumerate(columns)]))
+    return _block_pairs(keep(vectors.select(F.col(id_col).alias("id"), key.alias("key"), *[normalized(F.col(c)).alias(f"v_{n}") for n, c in enumerate(columns)])), block)
+
+
+def _block_pairs(good: DataFrame, block: int) -> DataFrame:
+    """key, i, j, side, id and what else the rows (id, key, ..) hold, for each pair of blocks of their key that they belong to."""
+    rest = [c for c in good.columns if c not in ("id", "key")]
     sizes = good.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("g"))
     dealt = good.join(F.broadcast(sizes), "key").withColumn("b", F.pmod(F.xxhash64("id"), F.col("g")).cast("int"))
     other = F.sequence(F.lit(0), F.col("g") - 1)
@@ -99,7 +105,7 @@ def blocks_of(vectors: DataFrame, columns: list[str], keep, id_col: str = "vec_i
         F.transform(F.filter(other, lambda o: o >= F.col("b")), lambda o: F.struct(F.col("b").alias("i"), o.alias("j"), F.lit(0).alias("side"))),
         F.transform(F.filter(other, lambda o: o < F.col("b")), lambda o: F.struct(o.alias("i"), F.col("b").alias("j"), F.lit(1).alias("side"))),
     )
-    return dealt.select("key", "id", *[f"v_{n}" for n in range(len(columns))], F.explode(sides).alias("x")).select("key", "x.i", "x.j", "x.side", "id", *[f"v_{n}" for n in range(len(columns))])
+    return dealt.select("key", "id", *rest, F.explode(sides).alias("x")).select("key", "x.i", "x.j", "x.side", "id", *rest)
 
 
 def _products(frame: pd.DataFrame, columns: int, dims: list[int], rows: int = 512):
@@ -139,6 +145,67 @@ def any_similar(vectors: DataFrame, least: dict[str, float], keep, id_col: str =
     return found.select("a", "b", *[F.when(~F.isnan(n), F.col(n)).alias(n) for n in columns])
 
 
+def _units(vectors: pa.ChunkedArray, lengths: list[int | None]) -> list[np.ndarray]:
+    """Unit vectors of a prefix of each length (None: the whole vector) in double precision; NaN where one isn't valid."""
+    if len(pc.unique(pc.list_value_length(vectors))) != 1:
+        raise ValueError("vectors differ in length")
+    x = _matrix(vectors.combine_chunks(), len(vectors)).astype(np.float64)
+    out = []
+    for n in lengths:
+        with np.errstate(all="ignore"):
+            norm = np.sqrt((x[:, :n] ** 2).sum(1))
+            out.append(x[:, :n] / np.where(np.isfinite(norm) & (norm > 0), norm, np.nan)[:, None])
+    return out
+
+
+def _join_trees(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
+    """Join the trees of a and b pair by pair; root holds every node's root, and stays so."""
+    while True:
+        x, y = root[a], root[b]
+        apart = x != y
+        if not apart.any():
+            return
+        a, b, x, y = a[apart], b[apart], x[apart], y[apart]
+        np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+        while (up := root[root]).tobytes() != root.tobytes():
+            root[:] = up
+
+
+def _forest(table: pa.Table, least: dict[int | None, float], linked, rows: int) -> pa.Table:
+    """a, b: a star for each set of identifiers that links of one pair of blocks connect. Pairs whose ends are connected already are not looked at."""
+    alone = table["i"][0].as_py() == table["j"][0].as_py()
+    table = table.take(pc.sort_indices(table, [("side", "ascending"), ("id", "ascending")]))
+    ids, units = table["id"].to_numpy(), _units(table["v"], list(least))
+    first = len(ids) if alone else pc.sum(pc.equal(table["side"], 0)).as_py()
+    root = np.arange(len(ids))
+    for at in range(0, first, rows):
+        here, there = np.arange(at, min(at + rows, first)), np.arange(at if alone else first, len(ids))
+        main = np.bincount(root).argmax()  # the largest tree: its nodes need not meet one another
+        for i, j in ((here[root[here] == main], there[root[there] != main]), (here[root[here] != main], there)):
+            if len(i) and len(j):
+                cosines = [u[i] @ u[j].T for u in units]
+                x, y = np.nonzero(np.logical_or.reduce([c >= n for c, n in zip(cosines, least.values(), strict=True)]) & (root[i][:, None] != root[j][None, :]))
+                good = linked(ids[i[x]], ids[j[y]], *[c[x, y] for c in cosines])
+                _join_trees(root, i[x[good]], j[y[good]])
+    order = np.argsort(ids, kind="stable")
+    _, lowest, tree = np.unique(root[order], return_index=True, return_inverse=True)
+    a, b = ids[order][lowest[tree]], ids[order]
+    return pa.table({"a": pa.array(a[a != b], table["id"].type), "b": pa.array(b[a != b], table["id"].type)})
+
+
+def linking_forest(vectors: DataFrame, least: dict[int | None, float], linked, id_col: str = "vec_id", vector_col: str = "embedding", by: str | None = None, block: int = 65_536, rows: int = 128) -> DataFrame:
+    """a, b: pairs that connect the same identifiers as all linked pairs of one key do, fewer than the vectors of each pair of blocks.
+
+    A pair is linked where the cosine of one of the prefixes of both vectors (None: the whole) is at its `least` and linked(a, b,
+    cosines by prefix), on numpy arrays, says so; the order of a and b must not matter to it. Links are reduced in the task that finds
+    them, so what is sent doesn't grow with their number: a vector goes, as it is stored, to one task for each block of its key.
+    """
+    key = F.col(by).cast("string") if by else F.lit("")
+    good = vectors.where(F.col(id_col).isNotNull() & (F.size(vector_col) > 0)).select(F.col(id_col).alias("id"), key.alias("key"), F.col(vector_col).alias("v"))
+    kind = dict(good.dtypes)["id"]
+    return _block_pairs(good, block).groupBy("key", "i", "j").applyInArrow(lambda t: _forest(t, least, linked, rows), f"a {kind}, b {kind}")
+
+
 def cosine_counts(vectors: DataFrame, places: int, keep, id_col: str = "vec_id", vector_col: str = "embedding", by: str | None = None, block: int = 16_384, width: int = 1, within: tuple[int, list[int]] | None = None) -> DataFrame:
     """part, n: how many pairs a < b of one key have a cosine in each part of `width` units of 10 ** -places, rounded to units.
 

@@ -673,6 +673,75 @@ def test_similarity_join(spark, least):
     assert met < (0.5 if least > 0.5 else 1.01) * 600 * 600
 
 
+def _brute_components(ids: list, linked) -> dict:
+    """id, smallest id reachable, by trying all pairs."""
+    near = {i: [j for j in ids if i != j and linked(i, j)] for i in ids}
+    out = {}
+    for i in sorted(ids):
+        todo = [] if i in out else [i]
+        while todo:
+            if (j := todo.pop()) not in out:
+                out[j] = i
+                todo += near[j]
+    return out
+
+
+@pytest.mark.parametrize(("least", "block", "text"), [(0.9, 1000, False), (0.9, 40, True), (0.97, 25, False), (-0.5, 60, False)])
+def test_linking_forest(spark, least, block, text):
+    """Links kept connect what all links connect, whatever the blocks; a pair of blocks keeps fewer than it has vectors."""
+    import numpy as np
+
+    from lodestone.operators import similar
+
+    rng = np.random.default_rng(6)
+    homes = rng.normal(size=(30, 8)) * 3
+    x = np.array([homes[i % 30] + 0.9 * rng.normal(size=8) for i in range(300)])
+    x[40:60] = x[40]
+    name = (lambda i: f"n{i}") if text else (lambda i: i - 150)
+    rows = [(name(i), [float(a) for a in v], "hot" if i % 3 else f"k{i % 2}") for i, v in enumerate(x)]
+    odd = [None, [0.0] * 8, [], [1.0, None] + [1.0] * 6, [math.nan] + [1.0] * 7, [math.inf] + [1.0] * 7]
+    rows += [(name(900 + i), v, "hot") for i, v in enumerate(odd)] + [(name(950), rows[1][1], None), (None, rows[1][1], "hot")]
+    df = spark.createDataFrame(rows, f"vec_id {'string' if text else 'long'}, embedding array<double>, label string")
+    unit = {r[0]: (x[i] / np.linalg.norm(x[i]), x[i, :4] / np.linalg.norm(x[i, :4]), r[2]) for i, r in enumerate(rows[:300])}
+
+    def linked(a, b):
+        (u, h, k), (v, g, m) = unit[a], unit[b]
+        return k == m and (u @ v >= least or h @ g >= least + 0.01) and u @ v < 0.9999 and h @ g > -0.2
+
+    rule = lambda a, b, whole, half: (whole < 0.9999) & (half > -0.2)
+    kept = [(r.a, r.b) for r in similar.linking_forest(df, {None: least, 4: least + 0.01}, rule, by="label", block=block, rows=16).collect()]
+    want = _brute_components(list(unit), linked)
+    links = {*kept, *((b, a) for a, b in kept)}
+    assert links and _brute_components(list(unit), lambda i, j: (i, j) in links) == want
+    sizes = [sum(r[2] == k for r in rows[:300]) for k in ("hot", "k0", "k1")]
+    assert len(kept) < sum(n * -(-n // block) for n in sizes) + len(rows)
+    with pytest.raises(Exception, match="differ in length"):
+        similar.linking_forest(df.unionByName(spark.createDataFrame([(name(999), [1.0] * 7, "hot")], df.schema)), {None: least, 4: least}, rule, by="label").collect()
+
+
+def test_components_store_fewer_links_than_vectors(spark, tmp_path, monkeypatch):
+    """A label of copies has links with the square of its vectors; cor_group_ids and cor_components keep no more than connect them. Groups equal those of all pairs."""
+    from lodestone.plans import quality
+
+    half, same, other = [1.0] * 32 + [0.0] * 32, [1.0] * 64, [(-1.0) ** i for i in range(64)]
+    rows = [(i, same, 1) for i in range(120)] + [(-i, other if i % 2 else half, 2) for i in range(1, 60)]
+    rows += [(500, None, 1), (501, [0.0] * 64, 1), (502, [0.0] * 32 + [1.0] * 32, 1), (503, [math.nan] + [1.0] * 63, 1), (504, same, None), (505, same, 3)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    counts = []
+
+    def counted(df, name):
+        if name == "links":
+            counts.append(df.count())
+        return df.cache()
+
+    monkeypatch.setattr(quality, "stored", counted)
+    got = {r.id: r.component for r in quality.cor_components(spark, str(tmp_path)).collect()}
+    links = {(r.a, r.b) for r in quality.cor_near_dup_pairs(spark, str(tmp_path)).collect()}
+    assert len(links) > 120 * 119 / 2 and got == _brute_components([r[0] for r in rows], lambda i, j: (i, j) in links or (j, i) in links)
+    assert len(counts) == 1 and counts[0] < len(rows)
+    assert sum(r.n_members for r in quality.cor_group_ids(spark, str(tmp_path)).collect()) == len(rows)
+
+
 def test_bulk_sink_commits_all_or_none(spark, tmp_path):
     from lodestone.sources import bulk
 
