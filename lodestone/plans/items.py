@@ -186,13 +186,13 @@ def chk_several_active(spark, sf_dir):
 
 
 def _stemmed(spark, sf_dir):
-    return lexical.batch(questions(spark, sf_dir), chunks(spark, sf_dir), R._fields(), {"body": 1.0, "section": 2.0}, stored, fts_tokens).bm25()
+    return lexical.batch(questions(spark, sf_dir), chunks(spark, sf_dir), R._fields(), {"body": 1.0, "section": 2.0}, stored, fts_tokens)
 
 
 @query()
 def lex_bm25_porter(spark, sf_dir):
     """BM25 over stemmed tokens without accents."""
-    return lexical.top_k(_stemmed(spark, sf_dir), 10, ["question_id"])
+    return _stemmed(spark, sf_dir).bm25_best(10)
 
 
 @query()

@@ -1,17 +1,20 @@
 """Operators on small frames whose results are worked out by hand."""
 
+import collections
 import json
 import math
 import random
 import re
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from lodestone.functions import scalars, text
-from lodestone.operators import access, answers, checks, chunking, claims, corpus, decompose, dense, evaluation, fusion, lexical, lifecycle, summaries
+from lodestone.operators import access, answers, checks, chunking, claims, corpus, decompose, dense, evaluation, fusion, lexical, lifecycle, scores, summaries
 from lodestone.schemas import CHUNK, SCOPE, require_schema, schema_violations
 from lodestone.sources import readers, sinks
 
@@ -793,6 +796,73 @@ def test_batches_are_scored_where_postings_lie(spark, tmp_path):
     assert empty.bm25().count() == empty.overlap().count() == 0
 
 
+def test_batch_candidates(spark, monkeypatch):
+    """The best of all tasks' candidates are the best of all pairs, ties included; counts of shared terms are those of all pairs; rows of one chunk are one."""
+    rng = random.Random(5)
+    words = [f"t{i}" for i in range(25)]
+    texts = [" ".join(rng.choices(words, k=rng.randrange(0, 12))) for _ in range(120)]
+    rows = [(f"c{i:04d}", texts[i % 70], f"t{i % 3}") for i in range(120)] + [("c0007", "t1 t2 t2", "t1"), ("c0009", texts[9], "t0"), ("c9998", None, None), ("c9998", "", "")]
+    c = spark.createDataFrame(rows, "chunk_id string, text string, section_path string").repartition(5)
+    q = spark.createDataFrame([(f"q{i}", " ".join(rng.choices(words, k=rng.randrange(1, 9)))) for i in range(20)] + [("q98", "each or"), ("q99", None)], "question_id string, question string")
+    fields, weights = {"body": F.col("text"), "section": F.col("section_path")}, {"body": 1.0, "section": 2.0}
+    b = lexical.batch(q, c, fields, weights, lambda df, name: df.cache())
+    got = b.candidates(4).cache()
+    best = {k: sorted((r.question_id, r["rank"], r.chunk_id, round(r.score, 5)) for r in lexical.best_of(got, 4).where(F.col("backend") == k).collect()) for k in ("overlap", "bm25")}
+    one_row = c.groupBy("chunk_id").agg(F.array_join(F.sort_array(F.collect_list("text")), " ").alias("text"), F.array_join(F.sort_array(F.collect_list("section_path")), " ").alias("section_path"))
+    pairs = {"overlap": lexical.overlap_scores(q, one_row, F.concat_ws(" ", "section_path", "text")), "bm25": lexical.bm25_scan(q, one_row, fields, weights)}
+    for k, all_pairs in pairs.items():
+        assert best[k] == sorted((r.question_id, r["rank"], r.chunk_id, round(float(r.score), 5)) for r in lexical.top_k(all_pairs, 4, ["question_id"]).collect())
+    shared = {(r.question_id, r.chunk_id): r.score for r in pairs["overlap"].collect()}
+    assert all(r.shared == shared.get((r.question_id, r.chunk_id), 0) for r in lexical.best_of(got, 4).collect())
+    assert {(r.question_id, r.shared): r.n for r in lexical.shared_counts(got).collect()} == dict(collections.Counter((k[0], s) for k, s in shared.items()))
+    monkeypatch.setattr(lexical, "QUESTIONS_A_PASS", 6)
+    parts = lexical.batch(q, c, fields, weights, lambda df, name: df.cache())
+    assert len(parts.passes) == 4 and sorted(map(tuple, parts.bm25_best(4).collect())) == sorted(map(tuple, b.bm25_best(4).collect()))
+
+
+def test_blocks_of_scores_are_bounded(monkeypatch):
+    """Sums don't depend on how many rows a task adds up at a time; what it keeps stays near the k best a question."""
+    rng = np.random.default_rng(2)
+    n, n_terms, n_questions = 300, 12, 7
+    held = [sorted(rng.choice(n_terms, rng.integers(0, 9), replace=False).tolist()) for _ in range(n)]
+    ints, many = pa.list_(pa.int32()), rng.integers(1, 4, n_terms).tolist()
+    batch = pa.RecordBatch.from_arrays([pa.array([f"c{i:03d}" for i in range(n)]), pa.array([10 + i % 5 for i in range(n)]), pa.array(held, ints), pa.array([[many[p] for p in row] for row in held], ints)], names=["chunk_id", "length", "places", "tf_body"])
+    first = np.arange(n_terms + 1) * 3
+    asked = scores.Asked(pa.array(range(n_questions)), first, np.concatenate([rng.choice(n_questions, 3, replace=False) for _ in range(n_terms)]), np.arange(3 * n_terms) % 5 > 0, np.linspace(0.1, 2, 3 * n_terms), (1.0,), 12.0, 1.2, 0.75)
+    schema = pa.schema([("backend", pa.string()), ("question_id", pa.int64()), ("chunk_id", pa.string()), ("score", pa.float64()), ("shared", pa.int64()), ("n", pa.int64())])
+    run = lambda: [r for b in scores.best_and_counts(asked, 3, ("overlap", "bm25"), schema)(iter([batch])) for r in b.to_pylist()]
+    whole = run()
+    assert len(whole) <= 2 * 3 * n_questions + n_questions * n_terms
+    monkeypatch.setattr(scores, "PAIRS_A_BLOCK", 20)
+    assert run() == whole and max(len(s) for _, s, _ in asked.blocks(batch)) == 2
+    monkeypatch.setattr(scores, "PAIRS_A_BLOCK", 10_000)
+    monkeypatch.setattr(scores, "ADDENDS_A_BLOCK", 30)
+    assert run() == whole and max(s.sum() for _, s, _ in asked.blocks(batch)) <= 30
+
+
+def test_metrics_write_no_judgments(spark, sf, monkeypatch):
+    """Metrics count judgments by grade in the task that scores: what is written grows with questions and tasks, not with pairs of question and chunk."""
+    from lodestone.plans import quality, registry, retrieval
+
+    written = {}
+
+    def kept(df, name):
+        out = registry.stored(df, name)
+        written[name] = out.count()
+        return out
+
+    for m in (quality, retrieval):
+        monkeypatch.setattr(m, "stored", kept)
+    q = quality.questions(spark, sf)
+    got = quality._per_question(spark, sf)
+    rows = lambda df: sorted((r.question_id, r.backend, r.k, *[None if r[m] is None else round(r[m], 9) for m in ("recall", "precision", "mrr", "ndcg")]) for r in df.collect())
+    n_chunks, n_questions = quality.chunks(spark, sf).count(), q.count()
+    assert rows(got) and set(written) == {"held-terms", "candidates"} and written["held-terms"] == n_chunks
+    assert written["candidates"] < n_questions * n_chunks
+    want = evaluation.question_metrics(q, *quality._ranked_and_judged(spark, sf), backends=("overlap", "bm25"))
+    assert rows(got) == rows(want)
+
+
 def test_metrics_of_many_judgments(spark):
     """The ideal list and the two relevant documents come from counts and ends: nothing sorts or lists a question's judgments."""
     q = spark.createDataFrame([(1,), (2,), (3,)], "question_id long")
