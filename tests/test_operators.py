@@ -820,6 +820,34 @@ def test_batch_candidates(spark, monkeypatch):
     assert len(parts.passes) == 4 and sorted(map(tuple, parts.bm25_best(4).collect())) == sorted(map(tuple, b.bm25_best(4).collect()))
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.none() | st.text(st.sampled_from("abyz019 _-.,\n\t\0ÀéñßİıΣςσǅﬁａ３٣अकि्中文𝒳𐐀\u0301\u0323\u00a0\u2028") | st.characters(exclude_categories=["Cs"]), max_size=30) | st.sampled_from(["Running RUNNERS ponies", "ΟΔΟΣ", "naïve cafés", "x_y", "e\u0301_\u0301"]), max_size=8))
+def test_token_lists(texts):
+    """Tokens of many texts at once are those of each text by itself, as the rule has them: accents off, lower case, runs of letters and digits, stems."""
+    import unicodedata
+
+    from lodestone.functions import stemming
+
+    rule = lambda t: [stemming.stem(w) for w in re.findall(r"[^\W_]+", "".join(c for c in unicodedata.normalize("NFD", t or "") if not unicodedata.combining(c)).lower())]
+    assert stemming.token_lists(pa.array(texts, pa.string())).to_pylist() == [stemming.full_text_tokens(t) for t in texts] == [rule(t) for t in texts]
+
+
+def test_stemmed_batch(spark, monkeypatch):
+    """A tokenizer with a form inside tasks gets texts as they are, in bounded pieces, and finds what it finds as a function of columns."""
+    from lodestone.functions import stemming
+
+    c = spark.createDataFrame([("a", "Cafés, running ponies", "s"), ("b", "The runner ran", None), ("c", None, "Pony"), ("d", "", "")], "chunk_id string, text string, section_path string")
+    q = spark.createDataFrame([(1, "cafe runs"), (2, "ponies"), (3, "the")], "question_id long, question string")
+    fields, weights = {"body": F.col("text"), "section": F.col("section_path")}, {"body": 1.0, "section": 2.0}
+    b = lexical.batch(q, c, fields, weights, lambda df, name: df.cache(), stemming.fts_tokens)
+    assert "ArrowEvalPython" not in b.passes[0].held._jdf.queryExecution().optimizedPlan().toString()
+    rows = lambda df: sorted((r.question_id, r.chunk_id, round(r.score, 5)) for r in df.collect())
+    assert rows(b.bm25()) == rows(lexical.bm25_scores(q, lexical.postings(c, fields, stemming.fts_tokens), weights, tokenizer=stemming.fts_tokens))
+    batch = pa.RecordBatch.from_arrays([pa.array("abcde"), pa.array(["x" * n for n in (3, 9, 1, 1, 1)])], names=["chunk_id", "body"])
+    monkeypatch.setattr(scores, "TEXTS_A_PIECE", 4)
+    assert [p.column(0).to_pylist() for p in scores._pieces(batch)] == [["a"], ["b"], ["c", "d", "e"]]
+
+
 def test_blocks_of_scores_are_bounded(monkeypatch):
     """Sums don't depend on how many rows a task adds up at a time; what it keeps stays near the k best a question."""
     rng = np.random.default_rng(2)
