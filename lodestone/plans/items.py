@@ -201,8 +201,8 @@ def evl_four_backends(spark, sf_dir):
     number = F.substring("chunk_id", 2, 10).cast("bigint")
     lexical_two = R.two_rankings(spark, sf_dir).select("backend", "question_id", number.alias("chunk_id"), "score", "rank")
     asked = dense.embed(questions(spark, sf_dir), dense.hashed_embedding, "question").select(F.col("question_id").alias("id"), "vector")
-    held = dense.embed(chunks(spark, sf_dir).select(number.alias("id"), "text"), dense.hashed_embedding).select("id", "vector")
-    near = dense.cosine_top_k(asked, held, 20, 0.5, "id", "vector").withColumn("backend", F.lit("dense"))
+    held = stored(dense.embed(chunks(spark, sf_dir).select(number.alias("id"), "text"), dense.hashed_embedding).select("id", "vector"), "vectors")
+    near = stored(dense.cosine_top_k(stored(asked, "question-vectors"), held, 20, 0.5, "id", "vector").withColumn("backend", F.lit("dense")), "nearest")
     three = lexical_two.unionByName(near)
     fused = fusion.rrf(three, top=20).select(F.lit("rrf").alias("backend"), "question_id", "chunk_id", "score", "rank")
     return three.unionByName(fused)

@@ -891,6 +891,15 @@ def test_metrics_write_no_judgments(spark, sf, monkeypatch):
     assert rows(got) == rows(want)
 
 
+def test_texts_are_embedded_once(spark, sf):
+    """Four backends: vectors are written when they are made, so counting, blocking and fusing them doesn't ask the provider again."""
+    from lodestone.plans import items
+
+    df = items.evl_four_backends(spark, sf)
+    assert "MapInArrow" not in df._jdf.queryExecution().optimizedPlan().toString()
+    assert {r.backend for r in df.select("backend").distinct().collect()} == {"overlap", "bm25", "dense", "rrf"}
+
+
 def test_metrics_of_many_judgments(spark):
     """The ideal list and the two relevant documents come from counts and ends: nothing sorts or lists a question's judgments."""
     q = spark.createDataFrame([(1,), (2,), (3,)], "question_id long")
