@@ -10,8 +10,7 @@ from pyspark.sql import types as T
 from lodestone.functions.stemming import fts_tokens
 from lodestone.operators import checks, chunking, dense, evaluation, fusion, items, lexical, summaries
 from lodestone.plans import retrieval as R
-from lodestone.plans.frames import ITEMS, table
-from lodestone.plans.frames import chunks, questions
+from lodestone.plans.frames import ITEMS, passages, questions, table
 from lodestone.plans.frames import items as base_items
 from lodestone.plans.registry import query, stored, with_checkpoints
 from lodestone.sources import readers, sinks
@@ -186,7 +185,7 @@ def chk_several_active(spark, sf_dir):
 
 
 def _stemmed(spark, sf_dir):
-    return lexical.batch(questions(spark, sf_dir), chunks(spark, sf_dir), R._fields(), {"body": 1.0, "section": 2.0}, stored, fts_tokens)
+    return lexical.batch(questions(spark, sf_dir), passages(spark, sf_dir), R._fields(), {"body": 1.0, "section": 2.0}, stored, fts_tokens)
 
 
 @query()
@@ -201,7 +200,7 @@ def evl_four_backends(spark, sf_dir):
     number = F.substring("chunk_id", 2, 10).cast("bigint")
     lexical_two = R.two_rankings(spark, sf_dir).select("backend", "question_id", number.alias("chunk_id"), "score", "rank")
     asked = dense.embed(questions(spark, sf_dir), dense.hashed_embedding, "question").select(F.col("question_id").alias("id"), "vector")
-    held = stored(dense.embed(chunks(spark, sf_dir).select(number.alias("id"), "text"), dense.hashed_embedding).select("id", "vector"), "vectors")
+    held = stored(dense.embed(passages(spark, sf_dir).select(number.alias("id"), "text"), dense.hashed_embedding).select("id", "vector"), "vectors")
     near = stored(dense.cosine_top_k(stored(asked, "question-vectors"), held, 20, 0.5, "id", "vector").withColumn("backend", F.lit("dense")), "nearest")
     three = lexical_two.unionByName(near)
     fused = fusion.rrf(three, top=20).select(F.lit("rrf").alias("backend"), "question_id", "chunk_id", "score", "rank")

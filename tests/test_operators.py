@@ -891,6 +891,19 @@ def test_metrics_write_no_judgments(spark, sf, monkeypatch):
     assert rows(got) == rows(want)
 
 
+def test_passages_need_no_labels(spark, sf, tmp_path):
+    """Texts to be searched meet no labels, so no text is shuffled; where labels name a document twice they are the rows of the chunks all the same."""
+    from lodestone.plans import frames
+
+    rows = lambda df: collections.Counter(map(tuple, df.select("chunk_id", "text", "section_path").collect()))
+    got = frames.passages(spark, sf)
+    assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString() and rows(got) == rows(frames.chunks(spark, sf))
+    d, labels = (frames.table(spark, sf, t) for t in ("documents", "labels"))
+    d.limit(50).union(d.limit(1).withColumn("doc_id", F.lit(None).cast("long"))).write.parquet(f"file://{tmp_path}/documents.parquet")
+    labels.union(labels.limit(9)).union(labels.limit(2).withColumn("doc_id", F.lit(None).cast("long"))).write.parquet(f"file://{tmp_path}/labels.parquet")
+    assert rows(frames.passages(spark, f"file://{tmp_path}")) == rows(frames.chunks(spark, f"file://{tmp_path}"))
+
+
 def test_texts_are_embedded_once(spark, sf):
     """Four backends: vectors are written when they are made, so counting, blocking and fusing them doesn't ask the provider again."""
     from lodestone.plans import items
